@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, secret_scan, sharding, simhash
+from . import ann, covertree, langid, mixing, packing, quality, secret_scan, sharding, simhash, url_filter
 from .common import table
 
 
@@ -39,13 +39,66 @@ def op5_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.valid_vectors(table(spark, sf_dir, "embeddings"))
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+def _list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries of two lists over the hosts, sites and first path segments that the pages name.
+
+    Each key and list has 0 to 3 entries, add and remove in turn, on days that the MD5 of both decides."""
+    keys = pages.select(F.explode(url_filter.keys_of(F.col("url"))).alias("k")).where("k.rank >= 3").select("k.key").distinct()
+    lists = F.explode(F.array(F.struct(F.lit("blocked").alias("list"), F.lit("block").alias("action")), F.struct(F.lit("trusted").alias("list"), F.lit("allow").alias("action"))))
+    drawn = keys.withColumn("l", lists).select("key", "l.list", "l.action").withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("|", "list", "key").cast("binary")), 1, 7), 16, 10).cast("long"))
+    each = drawn.where("h % 4 > 0").withColumn("seq", F.explode(F.sequence(F.lit(1), (F.col("h") % 4).cast("int"))))
+    day = F.floor(F.col("h") / F.pow(F.lit(7.0), F.col("seq"))) % 60
+    return each.select("list", "action", "key", F.when(F.col("seq") % 2 == 1, "add").otherwise("remove").alias("op"), F.date_add(F.lit("2024-01-01").cast("date"), day.cast("int")).alias("at"), "seq")
+
+
+def op7_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7919 % 90).cast("int")))
+    return url_filter.apply_lists(captures, _list_entries(pages)).select("page_id", "url", "fetched", "n_active", "list", "key", "verdict")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
 
 
+def op9_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "source", "host_quality", "path_quality", "evidence", "p_quality", "keep")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_feistel_shards, op3_language_id, op4_entropy_mix, op5_bin_slack_packing, op8_simhash_dedup)
+    f.__name__: f for f in (op1_secret_scan, op2_feistel_shards, op3_language_id, op4_entropy_mix, op5_bin_slack_packing, op6_multiprobe_search, op7_temporal_url_filter, op8_simhash_dedup, op9_cover_tree_dedup, op10_site_quality)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP7_SQL = r"""
+WITH hosts AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host,
+    regexp_extract(url, '^[^:]+://[^/?#]+/([^/?#]+)', 1) AS segment, DATE '2024-01-01' + CAST(page_id * 7919 % 90 AS INT) AS fetched FROM pages),
+parts AS (SELECT *, string_split(host, '.') AS labels FROM hosts WHERE host <> ''),
+asked AS (SELECT page_id, host || '/' || segment AS key, 1000 AS rank FROM parts WHERE segment <> ''
+  UNION ALL SELECT page_id, array_to_string(labels[i:], '.'), len(labels) - i + 1 FROM parts, range(1, 100) r(i) WHERE i <= greatest(len(labels) - 1, 1)),
+keys AS (SELECT DISTINCT key FROM asked WHERE rank >= 3),
+drawn AS (SELECT key, list, action, CAST('0x' || substr(md5(list || '|' || key), 1, 7) AS BIGINT) AS h
+  FROM keys, (VALUES ('blocked', 'block'), ('trusted', 'allow')) l(list, action)),
+entries AS (SELECT key, list, action, s AS seq, CASE WHEN s % 2 = 1 THEN 'add' ELSE 'remove' END AS op,
+    DATE '2024-01-01' + CAST(CAST(floor(h / pow(7.0, s)) AS BIGINT) % 60 AS INT) AS at FROM drawn, range(1, 4) r(s) WHERE s <= h % 4),
+spans AS (SELECT *, lead(at) OVER (PARTITION BY list, key ORDER BY at, seq) AS until FROM entries),
+met AS (SELECT a.page_id, a.rank, s.action, s.list, s.key FROM asked a JOIN hosts h USING (page_id) JOIN spans s ON a.key = s.key
+  WHERE s.op = 'add' AND s.at <= h.fetched AND (s.until IS NULL OR h.fetched < s.until)),
+best AS (SELECT page_id, count(*) OVER (PARTITION BY page_id) AS n, action, list, key,
+    row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, action, list, key) AS r FROM met)
+SELECT h.page_id, h.url, h.fetched, coalesce(b.n, 0) AS n_active, b.list, b.key, coalesce(b.action, 'keep') AS verdict
+FROM hosts h LEFT JOIN best b ON h.page_id = b.page_id AND b.r = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_temporal_url_filter": _OP7_SQL}
