@@ -79,18 +79,18 @@ def fit(x: np.ndarray, good: np.ndarray, ridge: float = 1e-2, rounds: int = 30)
     return Model(mean, scale, w)
 
 
-@pandas_udf("array<double>")
-def _features(text: pd.Series) -> pd.Series:
-    return pd.Series([features(t) for t in text])
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
     """From at most ``sample`` labelled documents by hash of their ids (the bound of the sample; it is the broadcast side too).
 
     Labels of one id are averaged; ids and labels that are null, and ids without a document, are not used."""
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "good", _features("text").alias("x")).toPandas()
+
+    @pandas_udf("array<double>")
+    def shape(text: pd.Series) -> pd.Series:
+        return pd.Series([features(t) for t in text])
+
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "good", shape("text").alias("x")).toPandas()
     found = found.sort_values("doc_id", kind="stable")
     return fit(np.array(found["x"].tolist()), found["good"].to_numpy(bool))
 
@@ -130,15 +130,15 @@ def posteriors(scored: DataFrame) -> DataFrame:
     Every document counts as its expected quality under the global rate. A host's rate is shrunk to the global rate and a path's
     to its host's, each with a pseudo-count estimated from all groups, so sparse sites lean on the level above. Sums are
     taken before rows are shuffled, so a hot host is one row per task."""
-    # The global rate that agrees with the evidence: a fixed point of the mean posterior, over counts of rounded evidence.
-    steps = written(scored.groupBy(F.round("evidence", 1).alias("e")).agg(F.count("*").alias("n")), "evidence")
-    rate = 0.8
-    for _ in range(25):
-        row = steps.agg(F.sum(F.col("n") * _sigmoid(F.col("e") + float(np.log(rate / (1 - rate))))).alias("g"), F.sum("n").alias("n")).first()
-        new = min(max((row["g"] or 0.0) / row["n"], 0.01), 0.99) if row["n"] else rate
-        if abs(new - rate) < 1e-4:
+    # The global rate that agrees with the evidence: a fixed point of the mean posterior over counts of rounded evidence
+    # (241 values at most, as evidence lies within -12 and 12).
+    steps = scored.groupBy(F.round("evidence", 1).alias("e")).agg(F.count("*").alias("n")).toPandas().sort_values("e")
+    e, n, rate = steps["e"].to_numpy(float), steps["n"].to_numpy(float), 0.8
+    for _ in range(100 if len(n) else 0):
+        new = float(np.clip((n / (1 + np.exp(-e - np.log(rate / (1 - rate))))).sum() / n.sum(), 0.01, 0.99))
+        rate, moved = round(new, 9), abs(new - rate)
+        if moved < 1e-7:
             break
-        rate = round(new, 6)
     good = _sigmoid(F.col("evidence") + float(np.log(rate / (1 - rate)))).cast("decimal(20,9)")
     paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(good).cast("double").alias("good")), "paths")
     hosts = written(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum(F.col("good").cast("decimal(30,9)")).cast("double").alias("good")), "hosts")

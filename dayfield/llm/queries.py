@@ -59,7 +59,7 @@ def _list_entries(pages: DataFrame) -> DataFrame:
 def op7_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7919 % 90).cast("int")))
-    return url_filter.apply_lists(captures, _list_entries(pages)).select("page_id", "url", "fetched", "n_active", "list", "key", "verdict")
+    return url_filter.apply_lists(captures, _list_entries(pages)).select("page_id", "url", F.col("fetched").cast("string").alias("fetched"), "n_active", "list", "key", "verdict")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,13 +91,13 @@ keys AS (SELECT DISTINCT key FROM asked WHERE rank >= 3),
 drawn AS (SELECT key, list, action, CAST('0x' || substr(md5(list || '|' || key), 1, 7) AS BIGINT) AS h
   FROM keys, (VALUES ('blocked', 'block'), ('trusted', 'allow')) l(list, action)),
 entries AS (SELECT key, list, action, s AS seq, CASE WHEN s % 2 = 1 THEN 'add' ELSE 'remove' END AS op,
-    DATE '2024-01-01' + CAST(CAST(floor(h / pow(7.0, s)) AS BIGINT) % 60 AS INT) AS at FROM drawn, range(1, 4) r(s) WHERE s <= h % 4),
-spans AS (SELECT *, lead(at) OVER (PARTITION BY list, key ORDER BY at, seq) AS until FROM entries),
+    DATE '2024-01-01' + CAST(CAST(floor(h / pow(7.0, s)) AS BIGINT) % 60 AS INT) AS since FROM drawn, range(1, 4) r(s) WHERE s <= h % 4),
+spans AS (SELECT *, lead(since) OVER (PARTITION BY list, key ORDER BY since, seq) AS until FROM entries),
 met AS (SELECT a.page_id, a.rank, s.action, s.list, s.key FROM asked a JOIN hosts h USING (page_id) JOIN spans s ON a.key = s.key
-  WHERE s.op = 'add' AND s.at <= h.fetched AND (s.until IS NULL OR h.fetched < s.until)),
+  WHERE s.op = 'add' AND s.since <= h.fetched AND (s.until IS NULL OR h.fetched < s.until)),
 best AS (SELECT page_id, count(*) OVER (PARTITION BY page_id) AS n, action, list, key,
     row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, action, list, key) AS r FROM met)
-SELECT h.page_id, h.url, h.fetched, coalesce(b.n, 0) AS n_active, b.list, b.key, coalesce(b.action, 'keep') AS verdict
+SELECT h.page_id, h.url, CAST(h.fetched AS VARCHAR) AS fetched, coalesce(b.n, 0) AS n_active, b.list, b.key, coalesce(b.action, 'keep') AS verdict
 FROM hosts h LEFT JOIN best b ON h.page_id = b.page_id AND b.r = 1
 """
 
