@@ -118,12 +118,14 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def train(labelled: DataFrame, per_lang: int = 250, landmarks: int = 160, id_col: str = "doc_id") -> Model:
     """A model from at most ``per_lang`` rows of each language (the bound of the sample), chosen by a hash of their ids.
 
-    ``labelled`` has id, text and lang. Rows without a language or a letter are not used. A count per language sets a hash
-    threshold first, so that only about twice the sample is ranked and no hot language meets in one task."""
+    ``labelled`` has id, text and lang. Rows without a language or a letter are not used. A count per language (the model has a
+    column for each) sets a hash threshold first, so that only about twice the sample leaves the scan and is ranked."""
     usable = labelled.where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}"))).select(F.col(id_col).alias("doc_id"), "text", "lang")
     usable = usable.withColumn("_h", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("_n"))
-    near = usable.join(sizes, "lang").where(F.col("_h") <= F.lit(float(2 * per_lang + 20) * (1 << 30)) / F.col("_n"))
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    edges = {lang: int(float(2 * per_lang + 20) * (1 << 30) / n) for lang, n in sizes.items()}
+    edge = F.try_element_at(F.create_map(*(F.lit(x) for pair in edges.items() for x in pair)), "lang") if edges else F.lit(0)
+    near = usable.where(F.col("_h") <= edge)
     ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= per_lang)
     rows = ranked.select("text", "lang", "_h").mapInArrow(_feature_batches, "lang string, codes array<int>").toArrow()
     found = sorted(zip(rows.column("lang").to_pylist(), (np.asarray(x.values) for x in rows.column("codes")), strict=True), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
