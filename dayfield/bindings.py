@@ -17,7 +17,7 @@ FROM (SELECT vec_id, label, CAST(EL(1) AS DOUBLE) AS x, CAST(EL(2) AS DOUBLE) AS
   2E0*((l_orderkey*15485863 + l_linenumber*32452843) % 100019)/100019 - 1 AS dz,
   sqrt(1 - (2E0*((l_orderkey*15485863 + l_linenumber*32452843) % 100019)/100019 - 1)
          * (2E0*((l_orderkey*15485863 + l_linenumber*32452843) % 100019)/100019 - 1)) AS r,
-  CAST(max(l_extendedprice) AS DOUBLE) AS lum, CAST(max(l_quantity) AS DOUBLE)/1E3 AS omega
+  CAST(max(l_extendedprice) AS DOUBLE)*1.000003E0 AS lum, CAST(max(l_quantity) AS DOUBLE)*1.000003E0/1E3 AS omega
  FROM {lineitem} GROUP BY l_orderkey, l_linenumber) d""",
     "b_points": """SELECT s_suppkey AS pt_id, CAST(s_suppkey * 37 % 101 AS DOUBLE)/10 AS x, CAST(s_suppkey * 53 % 97 AS DOUBLE)/10 AS y,
   1.2E0 AS z, CAST(s_suppkey % 3 AS INT) AS level FROM {supplier}""",
@@ -28,13 +28,13 @@ FROM (SELECT vec_id, label, CAST(EL(1) AS DOUBLE) AS x, CAST(EL(2) AS DOUBLE) AS
 FROM {orders} GROUP BY year(o_orderdate)*12 + month(o_orderdate), o_orderkey % 16""",
     "b_sun": """SELECT CAST(year(o_orderdate)*12 + month(o_orderdate) AS INT) AS t, CAST(max(o_orderkey) % 16 AS INT) AS patch, CAST(max(o_totalprice) AS DOUBLE)/1E3 AS sun_rad,
   CAST(max(o_totalprice) AS DOUBLE)/1E6 AS patch_rad FROM {orders} GROUP BY year(o_orderdate)*12 + month(o_orderdate)""",
-    "b_contrib": """SELECT l_suppkey AS pt_id, CAST(l_linenumber AS INT) AS sensor_id, CAST(l_partkey % 16 AS INT) AS patch, CAST(avg(l_discount) AS DOUBLE) AS value
+    "b_contrib": """SELECT l_suppkey AS pt_id, CAST(l_linenumber AS INT) AS sensor_id, CAST(l_partkey % 16 AS INT) AS patch, CAST(avg(l_discount) AS DOUBLE)*1.000003E0 AS value
 FROM {lineitem} GROUP BY l_suppkey, l_linenumber, l_partkey % 16""",
     "b_result": """SELECT CAST(year(l_shipdate)*12 + month(l_shipdate) AS INT) AS sky, l_suppkey AS point, l_returnflag AS view, l_linestatus AS metric,
   CAST(sum(l_quantity) AS DOUBLE) AS value FROM {lineitem} GROUP BY year(l_shipdate)*12 + month(l_shipdate), l_suppkey, l_returnflag, l_linestatus""",
-    "b_result2": """SELECT CAST(year(l_commitdate)*12 + month(l_commitdate) AS INT) AS sky, l_suppkey AS point, l_returnflag AS view, l_linestatus AS metric,
-  CAST(sum(l_quantity) AS DOUBLE) + 0.5E0 AS value FROM {lineitem} GROUP BY year(l_commitdate)*12 + month(l_commitdate), l_suppkey, l_returnflag, l_linestatus""",
-    "b_grid": """SELECT CAST(l_linenumber AS INT) AS feature, CAST(l_partkey % 16 AS INT) AS i, CAST(l_orderkey % 16 AS INT) AS j, CAST(avg(l_extendedprice) AS DOUBLE) AS value
+    "b_result2": """SELECT CAST(year(l_shipdate)*12 + month(l_shipdate) + 2 AS INT) AS sky, l_suppkey AS point, l_returnflag AS view, l_linestatus AS metric,
+  CAST(sum(l_quantity) AS DOUBLE) + 0.5E0 AS value FROM {lineitem} GROUP BY year(l_shipdate)*12 + month(l_shipdate) + 2, l_suppkey, l_returnflag, l_linestatus""",
+    "b_grid": """SELECT CAST(l_linenumber AS INT) AS feature, CAST(l_partkey % 16 AS INT) AS i, CAST(l_orderkey % 16 AS INT) AS j, CAST(avg(l_extendedprice) AS DOUBLE)*1.000003E0 AS value
 FROM {lineitem} GROUP BY l_linenumber, l_partkey % 16, l_orderkey % 16""",
 }
 

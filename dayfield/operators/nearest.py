@@ -25,38 +25,38 @@ def _around(cells: list[Column]) -> Column:
     return F.array(*(F.array(*(c + step for c, step in zip(cells, steps, strict=True))) for steps in itertools.product((-1, 0, 1), repeat=len(cells))))
 
 
-def _finest(right: DataFrame, coords: tuple[str, ...]) -> tuple[float, int]:
-    """Cell size for about one row a cell, and the number of doublings that cover the whole extent."""
+def _scale(right: DataFrame, coords: tuple[str, ...], reach: float) -> tuple[list[float], float, int]:
+    """Lower corner, cell size for about one row a cell, and the number of doublings after which one cell covers everything."""
     row = right.agg(F.count("*").alias("n"), *(F.max(c).alias(f"hi_{c}") for c in coords), *(F.min(c).alias(f"lo_{c}") for c in coords)).first()
-    if not row["n"]:
-        return 1.0, 1
-    extent = max(max((row[f"hi_{c}"] or 0) - (row[f"lo_{c}"] or 0) for c in coords), 1e-9)
-    finest = extent / max(1.0, row["n"] ** (1 / len(coords)))
-    return finest, max(1, math.ceil(math.log2(extent / finest)) + 1)
+    low = [(row[f"lo_{c}"] or 0.0) - reach for c in coords]
+    extent = max(max((row[f"hi_{c}"] or 0.0) + reach - lo for c, lo in zip(coords, low, strict=True)), 1e-9) * 1.001
+    finest = extent / max(1.0, row["n"] ** (1 / max(1, len(coords) - 1 if len(coords) > 2 else len(coords))))  # directions lie on a surface
+    return low, finest, max(0, math.ceil(math.log2(extent / finest)))
 
 
 def knn(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coords: tuple[str, ...] = XYZ, k: int = 1, reach: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
     """(by.., left_id, right_id, dist, rank): the k nearest rows of ``right`` for each row of ``left``, ties to the smaller id.
 
-    Rows of ``right`` are counted in cells of doubling size. A row of ``left`` takes the finest level at which the cells around it
-    hold k rows; these are nearer than the diagonal of the block, so the block some levels up holds the true neighbours. Both
-    steps are equi joins on (level, cell), and on the columns ``by`` if rows match only within them. ``reach`` is the
-    largest distance by which ``left`` lies outside the extent of ``right``."""
-    finest, doublings = _finest(right, coords)
-    up = math.ceil(math.log2(2 * math.sqrt(len(coords)))) + 1
-    doublings += math.ceil(math.log2(1 + reach / finest))
-    top = doublings + up
+    Rows of ``right`` are counted in cells of doubling size. A row of ``left`` takes the finest level at which its own cell holds k
+    rows, and the k-th distance in that cell; the finest level whose cells are at least as wide holds the true neighbours in
+    the block around its cell. All steps are equi joins on (level, cell), and on the columns ``by`` if rows match only
+    within them. ``reach`` is the largest distance by which ``left`` lies outside the extent of ``right``."""
+    low, finest, doublings = _scale(right, coords, reach)
+    up = math.ceil(math.log2(math.sqrt(len(coords)))) if len(coords) > 1 else 0
     size = F.lit(finest) * F.pow(F.lit(2.0), F.col("_level"))
+    cell = lambda side: [F.floor((F.col(f"{side}{c}") - lo) / size).cast("long") for c, lo in zip(coords, low, strict=True)]
     right = right.select(*by, F.col(right_id), *(F.col(c).alias(f"_r_{c}") for c in coords)).where(F.col(right_id).isNotNull())
-    at = right.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("_cell", F.array(*_cell(coords, size, "_r_")))
-    counts = at.groupBy(*by, "_level", "_cell").agg(F.count("*").alias("_n"))
+    at = right.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(doublings + up)))).withColumn("_cell", F.array(*cell("_r_")))
+    counts = at.groupBy(*by, "_level", "_cell").agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
     ids, cells = [*by, left_id], [*by, "_level", "_cell"]
     own = left.select(*ids, *(F.col(c).alias(f"_l_{c}") for c in coords)).distinct()
-    probes = own.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(doublings)))).withColumn("_cell", F.explode(_around(_cell(coords, size, "_l_"))))
-    held = probes.join(counts, cells).groupBy(*ids, "_level").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k)
-    level = held.groupBy(*ids).agg(F.min("_level").alias("_found"))
-    search = own.join(level, ids, "left").withColumn("_level", F.coalesce(F.col("_found") + up, F.lit(top)).cast("int"))
-    near = search.withColumn("_cell", F.explode(_around(_cell(coords, size, "_l_")))).join(at, cells)
+    probes = own.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(doublings)))).withColumn("_cell", F.array(*cell("_l_")))
+    level = probes.join(counts, cells, "left_semi").groupBy(*ids).agg(F.min("_level").alias("_level"))
+    inside = own.join(level, ids).withColumn("_cell", F.array(*cell("_l_"))).join(at, cells).select(*ids, squared("_l_", "_r_", coords).alias("_d2"))
+    edge = F.sqrt(F.min("_d2") if k == 1 else F.element_at(F.array_sort(F.collect_list("_d2")), k))  # a cell one level down held fewer than k
+    bound = inside.groupBy(*ids).agg(F.greatest(F.ceil(F.log2(F.greatest(edge, F.lit(1e-300)) / finest * (1 + 1e-9))), F.lit(0)).cast("int").alias("_level"))
+    search = own.join(bound, ids, "left").withColumn("_level", F.least(F.coalesce("_level", F.lit(doublings + up)), F.lit(doublings + up)))
+    near = search.withColumn("_cell", F.explode(_around(cell("_l_")))).join(at, cells)
     ranked = near.withColumn("_d2", squared("_l_", "_r_", coords)).select(*ids, right_id, "_d2")
     if k == 1:
         best = ranked.groupBy(*ids).agg(F.min(F.struct("_d2", right_id)).alias("_b"))
