@@ -5,6 +5,7 @@ The stages follow the all-weather sky model of Perez, Seals and Michalsky (1993)
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,11 @@ SOLAR_CONSTANT, HALF_SUN_DEG, DEW_POINT = 1367.0, 0.2665, 10.9735311509
 TREGENZA = ((84, 30), (72, 30), (60, 24), (48, 24), (36, 18), (24, 12), (12, 6), (0, 1))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it (plans stay small when filters are pushed down)."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def categories(spark: SparkSession) -> DataFrame:
     """The model's constants, one row for each of the 8 clearness categories: (category, cp, fd, ed)."""
     rows = [(i, list(map(float, COEFFICIENTS[i])), list(map(float, DIFFUSE_EFFICACY[i])), list(map(float, DIRECT_EFFICACY[i]))) for i in range(8)]
@@ -63,33 +69,50 @@ def sun_position(rows: DataFrame, rotation: float = 0.0) -> DataFrame:
 
     Needs utc, lat and lon (west positive). Low-precision solar coordinates after Meeus as NOAA publishes them, with its standard
     refraction."""
-    seconds = F.unix_seconds(F.col("utc").cast("timestamp"))
     rad, sin, cos = F.radians, F.sin, F.cos
-    out = rows.withColumn("_t", (seconds / 86400.0 + 2440587.5 - 2451545.0) / 36525.0)
-    t = F.col("_t")
-    out = out.withColumns({
-        "_l": rad(280.46646 + t * (36000.76983 + 0.0003032 * t)),
-        "_m": rad(357.52911 + t * (35999.05029 - 0.0001537 * t)),
-        "_e": 0.016708634 - t * (0.000042037 + 0.0000001267 * t),
-        "_o": rad(125.04 - 1934.136 * t),
-    })
-    l, m, e, o = (F.col(c) for c in ("_l", "_m", "_e", "_o"))  # noqa: E741
-    centre = sin(m) * (1.914602 - t * (0.004817 + 0.000014 * t)) + sin(2 * m) * (0.019993 - 0.000101 * t) + sin(3 * m) * 0.000289
-    out = out.withColumn("_lam", l + rad(centre - 0.00569 - 0.00478 * sin(o)))
-    out = out.withColumn("_eps", rad(23 + (26 + (21.448 - t * (46.815 + t * (0.00059 - 0.001813 * t))) / 60) / 60 + 0.00256 * cos(o)))
-    out = out.withColumn("_dec", F.asin(sin("_eps") * sin("_lam"))).withColumn("_y", F.pow(F.tan(F.col("_eps") / 2), F.lit(2)))
-    y = F.col("_y")
-    out = out.withColumn("_eot", 4 * F.degrees(y * sin(2 * l) - 2 * e * sin(m) + 4 * e * y * sin(m) * cos(2 * l) - 0.5 * y * y * sin(4 * l) - 1.25 * e * e * sin(2 * m)))
-    out = out.withColumn("_ha", rad((F.pmod(seconds, F.lit(86400)) / 60.0 + F.col("_eot") - 4 * F.col("lon")) / 4 - 180))
-    phi, dec, ha = rad("lat"), F.col("_dec"), F.col("_ha")
-    out = out.withColumn("_alt", F.degrees(F.asin(d.clip(sin(phi) * sin(dec) + cos(phi) * cos(dec) * cos(ha), -1.0, 1.0))))
-    alt = F.col("_alt")
-    tan = F.tan(rad(alt))
-    bend = F.when(alt > 85, 0.0).when(alt > 5, F.try_divide(F.lit(58.1), tan) - F.try_divide(F.lit(0.07), F.pow(tan, F.lit(3))) + F.try_divide(F.lit(0.000086), F.pow(tan, F.lit(5)))).when(alt > -0.575, 1735 + alt * (-518.2 + alt * (103.4 + alt * (-12.79 + alt * 0.711)))).otherwise(F.try_divide(F.lit(-20.774), tan))
-    out = out.withColumn("sun_alt", alt + bend / 3600)
-    out = out.withColumn("sun_az", F.degrees(F.atan2(sin(ha), cos(ha) * sin(phi) - F.tan(dec) * cos(phi))) - rotation)
-    v = d.from_alt_az(F.col("sun_alt"), F.col("sun_az"))
-    return out.withColumns({"sx": v.x, "sy": v.y, "sz": v.z}).drop("_t", "_l", "_m", "_e", "_o", "_lam", "_eps", "_dec", "_y", "_eot", "_ha", "_alt")
+    phi = rad("lat")
+
+    def orbit(s: Column) -> Column:
+        t = s["t"]
+        return F.struct(
+            s["sec"].alias("sec"), t.alias("t"),
+            rad(280.46646 + t * (36000.76983 + 0.0003032 * t)).alias("l"), rad(357.52911 + t * (35999.05029 - 0.0001537 * t)).alias("m"),
+            (0.016708634 - t * (0.000042037 + 0.0000001267 * t)).alias("e"), rad(125.04 - 1934.136 * t).alias("o"),
+        )
+
+    def ecliptic(s: Column) -> Column:
+        t, m, o = s["t"], s["m"], s["o"]
+        centre = sin(m) * (1.914602 - t * (0.004817 + 0.000014 * t)) + sin(2 * m) * (0.019993 - 0.000101 * t) + sin(3 * m) * 0.000289
+        eps = rad(23 + (26 + (21.448 - t * (46.815 + t * (0.00059 - 0.001813 * t))) / 60) / 60 + 0.00256 * cos(o))
+        return F.struct(*(s[k].alias(k) for k in ("sec", "l", "m", "e")), (s["l"] + rad(centre - 0.00569 - 0.00478 * sin(o))).alias("lam"), eps.alias("eps"))
+
+    def hour_angle(s: Column) -> Column:
+        l, m, e = s["l"], s["m"], s["e"]  # noqa: E741
+        return let(F.pow(F.tan(s["eps"] / 2), F.lit(2)), lambda y: F.struct(
+            F.asin(sin(s["eps"]) * sin(s["lam"])).alias("dec"),
+            rad((F.pmod(s["sec"], F.lit(86400)) / 60.0 + 4 * F.degrees(y * sin(2 * l) - 2 * e * sin(m) + 4 * e * y * sin(m) * cos(2 * l) - 0.5 * y * y * sin(4 * l) - 1.25 * e * e * sin(2 * m)) - 4 * F.col("lon")) / 4 - 180).alias("ha"),
+        ))
+
+    def angles(s: Column) -> Column:
+        dec, ha = s["dec"], s["ha"]
+        alt = F.degrees(F.asin(d.clip(sin(phi) * sin(dec) + cos(phi) * cos(dec) * cos(ha), -1.0, 1.0)))
+        return F.struct(alt.alias("alt"), (F.degrees(F.atan2(sin(ha), cos(ha) * sin(phi) - F.tan(dec) * cos(phi))) - rotation).alias("az"))
+
+    def refracted(s: Column) -> Column:
+        alt = s["alt"]
+        tan = F.tan(rad(alt))
+        bend = F.when(alt > 85, 0.0).when(alt > 5, F.try_divide(F.lit(58.1), tan) - F.try_divide(F.lit(0.07), F.pow(tan, F.lit(3))) + F.try_divide(F.lit(0.000086), F.pow(tan, F.lit(5)))).when(alt > -0.575, 1735 + alt * (-518.2 + alt * (103.4 + alt * (-12.79 + alt * 0.711)))).otherwise(F.try_divide(F.lit(-20.774), tan))
+        return F.struct((alt + bend / 3600).alias("alt"), s["az"].alias("az"))
+
+    def direction(s: Column) -> Column:
+        v = d.from_alt_az(s["alt"], s["az"])
+        return F.struct(s["alt"].alias("sun_alt"), s["az"].alias("sun_az"), v.x.alias("sx"), v.y.alias("sy"), v.z.alias("sz"))
+
+    seconds = F.unix_seconds(F.col("utc").cast("timestamp"))
+    sun = F.struct(seconds.alias("sec"), ((seconds / 86400.0 + 2440587.5 - 2451545.0) / 36525.0).alias("t"))
+    for stage in (orbit, ecliptic, hour_angle, angles, refracted, direction):
+        sun = let(sun, stage)
+    return rows.withColumn("_sun", sun).select(*rows.columns, *(F.col(f"_sun.{c}").alias(c) for c in ("sun_alt", "sun_az", "sx", "sy", "sz")))
 
 
 def sky_state(rows: DataFrame) -> DataFrame:
