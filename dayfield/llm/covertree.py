@@ -53,18 +53,24 @@ def build(unit: np.ndarray, most_nodes: int = 256, depth: int = 4) -> Tree:
     return tree
 
 
-def surviving_pairs(tree: Tree, radii: dict[int, float], reach: float) -> list[tuple[int, int]]:
-    """Leaf pairs (i <= j) that may hold vectors within ``reach``; ``radii`` are the measured covering radii of the leaves.
-
-    The traversal starts at the root pair; at each level a pair is dropped if its centres are further apart than ``reach``
-    plus both covering radii, else its children are paired. A node covers what its leaves cover."""
-    cover: list[np.ndarray] = [np.array([radii.get(i, -np.inf) for i in range(len(tree.levels[-1]))])]
+def covers(tree: Tree, radii: dict[int, float]) -> list[np.ndarray]:
+    """Covering radius of every node of every level, from the radii measured at the leaves; -inf where nothing hangs."""
+    cover = [np.array([radii.get(i, -np.inf) for i in range(len(tree.levels[-1]))])]
     for level in range(len(tree.levels) - 1, 0, -1):
         to, up = tree.levels[level - 1], tree.parents[level]
         apart = np.sqrt(((tree.levels[level] - to[up]) ** 2).sum(axis=1))
         above = np.full(len(to), -np.inf)
         np.maximum.at(above, up, apart + cover[0])
         cover.insert(0, above)
+    return cover
+
+
+def surviving_pairs(tree: Tree, radii: dict[int, float], reach: float) -> list[np.ndarray]:
+    """For each level the node pairs (i <= j) that may hold vectors within ``reach``.
+
+    The traversal starts at the root pair; a pair is dropped if its centres are further apart than ``reach`` plus both covering
+    radii, else its children are paired at the next level."""
+    cover, out = covers(tree, radii), []
     pairs = np.array([[0, 0]])
     for level in range(len(tree.levels)):
         if level:
@@ -74,7 +80,28 @@ def surviving_pairs(tree: Tree, radii: dict[int, float], reach: float) -> list[t
         centre, r = tree.levels[level], cover[level]
         apart = np.sqrt(((centre[pairs[:, 0]] - centre[pairs[:, 1]]) ** 2).sum(axis=1))
         pairs = pairs[apart <= reach + r[pairs[:, 0]] + r[pairs[:, 1]] + 1e-9]
-    return [(int(i), int(j)) for i, j in pairs]
+        out.append(pairs)
+    return out
+
+
+def ancestors(tree: Tree, level: int) -> np.ndarray:
+    """The node of ``level`` above each leaf."""
+    node = np.arange(len(tree.levels[-1]))
+    for up in range(len(tree.levels) - 1, level, -1):
+        node = tree.parents[up][node]
+    return node
+
+
+def dealing_level(tree: Tree, sizes: dict[int, int], pairs: list[np.ndarray], block: int) -> int:
+    """The level at which dealing vectors out to the blocks of their partner nodes copies the fewest rows."""
+    costs = []
+    for level, found in enumerate(pairs):
+        count = np.zeros(len(tree.levels[level]))
+        np.add.at(count, ancestors(tree, level)[list(sizes)], list(sizes.values()))
+        parts = np.ceil(count / block)
+        i, j = found[:, 0], found[:, 1]
+        costs.append((count[i] * parts[j]).sum() + (count[j] * parts[i])[i != j].sum())
+    return int(np.argmin(costs))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -109,21 +136,31 @@ def _linked_sets(linked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(rows), np.concatenate(columns)
 
 
-def _block_pair(group: pa.Table, threshold: float) -> pa.Table:
-    """Links between the two sides of one block pair: link counts (b null), and edges (n 0) that join each linked set to its least id."""
-    ids, side = group.column("vec_id").to_numpy(), group.column("side").to_numpy()
+def _block_pair(group: pa.Table, threshold: float, alive: dict[int, np.ndarray]) -> pa.Table:
+    """Links between the two sides of one block pair: link counts (b null), and edges (n 0) that join each linked set to its least id.
+
+    The traversal goes on here: for each leaf on the left, only right rows on leaves that survive with it are compared."""
+    ids, side, leaf = (group.column(c).to_numpy() for c in ("vec_id", "side", "leaf"))
     (_, x), = matrix(group.column("vec"))
-    unit = _unit(x)
+    unit, may = _unit(x), alive[x.shape[1]]
     left, right = np.flatnonzero(side <= 0), np.flatnonzero(side == 1)
     within = not len(right) and bool((side == 0).all())
     right = left if within else right
-    out_a, out_b, out_n = [], [], []
     linked = np.zeros((len(left), len(right)), bool)
-    for at in range(0, len(left), 512):
-        cosine = unit[left[at : at + 512]] @ unit[right].T
-        linked[at : at + 512] = cosine >= threshold
+    whole = len(may) == 1 or may[np.ix_(np.unique(leaf[left]), np.unique(leaf[right]))].mean() > 0.5 if len(left) and len(right) else True
+    for rows in [np.arange(len(left))] if whole else [np.flatnonzero(leaf[left] == n) for n in np.unique(leaf[left])]:
+        columns = slice(None) if whole else np.flatnonzero(may[leaf[left[rows[0]]]][leaf[right]])
+        to = unit[right[columns]].T
+        for at in range(0, len(rows), 512):
+            some = rows[at : at + 512]
+            hit = unit[left[some]] @ to >= threshold
+            if whole:
+                linked[some] = hit
+            else:
+                linked[np.ix_(some, columns)] = hit
     if within:
         np.fill_diagonal(linked, False)
+    out_a, out_b, out_n = [], [], []
     for mine, count in ((left, linked.sum(axis=1)), (right, np.zeros(0) if within else linked.sum(axis=0))):
         has = np.flatnonzero(count)
         out_a.append(ids[mine[has]])
@@ -143,8 +180,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, sample: int = 2048,
 
     Two vectors link if their cosine (double precision) is ``threshold`` or more. The upper levels of the cover tree come from at
     most ``sample`` vectors by hash; every vector hangs on its nearest leaf, and the covering radii are measured over all of
-    them, so pruning is exact. Leaf pairs that survive are compared block by block (``block`` rows a side) with matrix products;
-    a block pair gives counts and one edge per linked vector, never all pairs.
+    them, so pruning is exact. Vectors are dealt out at the level that copies the fewest rows, in blocks of about ``block`` rows; inside
+    a block pair, surviving leaf pairs are compared with matrix products. A block pair gives counts and one edge per
+    linked vector, never all pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of another
     length: n_links 0, component_id their own id, kept true. Rows that repeat an id are one vector, the first by hash. Rows with
@@ -161,21 +199,31 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, sample: int = 2048,
     placed = written(once.mapInArrow(lambda b: _assign(b, trees), f"vec_id long, vec {kind}, dim int, leaf int, gap double"), "leaves")
     measured = placed.groupBy("dim", "leaf").agg(F.count("*").alias("n"), F.max("gap").alias("r")).collect()  # most_nodes rows a dimension
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    parts = {(m["dim"], m["leaf"]): -(-m["n"] // block) for m in measured}
-    pairs = []
+    nodes, partners, alive = [], [], {}
     for dim, tree in trees.items():
-        radii = {m["leaf"]: m["r"] for m in measured if m["dim"] == dim}
-        for i, j in surviving_pairs(tree, radii, reach):
-            pairs.append((dim, i, j, parts[dim, i], parts[dim, j]))
+        sizes = {m["leaf"]: m["n"] for m in measured if m["dim"] == dim}
+        found = surviving_pairs(tree, {m["leaf"]: m["r"] for m in measured if m["dim"] == dim}, reach)
+        may = np.zeros((len(tree.levels[-1]),) * 2, bool)
+        may[found[-1][:, 0], found[-1][:, 1]] = may[found[-1][:, 1], found[-1][:, 0]] = True
+        alive[dim] = may
+        level = dealing_level(tree, sizes, found, block)
+        above = ancestors(tree, level)
+        parts = np.zeros(len(tree.levels[level]), np.int64)
+        np.add.at(parts, above[list(sizes)], list(sizes.values()))
+        parts = -(-parts // block)
+        nodes += [(dim, leaf, int(above[leaf]), int(parts[above[leaf]])) for leaf in sizes]
+        for i, j in found[level].tolist():
+            if parts[i] and parts[j]:
+                partners += [(dim, i, j, int(parts[j]))] + ([(dim, j, i, int(parts[i]))] if i != j else [])
     spark = rows.sparkSession
-    left = spark.createDataFrame(pairs, "dim int, leaf int, other int, own_parts int, other_parts int")
-    mirrored = left.where("leaf < other").select("dim", F.col("other").alias("leaf"), F.col("leaf").alias("other"), F.col("other_parts").alias("own_parts"), F.col("own_parts").alias("other_parts"))
-    partners = left.unionByName(mirrored)
-    dealt = placed.select("vec_id", "vec", "dim", "leaf").join(partners, ["dim", "leaf"])
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("own_parts")).cast("int")).withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
-    own, other = F.struct(F.col("leaf").alias("l"), F.col("part").alias("p")), F.struct(F.col("other").alias("l"), F.col("other_part").alias("p"))
-    dealt = dealt.select("vec_id", "vec", F.struct("dim", F.least(own, other).alias("i"), F.greatest(own, other).alias("j")).alias("pair"), F.when(own == other, 0).when(own < other, -1).otherwise(1).alias("side"))
-    found = written(dealt.groupBy("pair").applyInArrow(lambda t: _block_pair(t, threshold), "a long, b long, n long"), "links")
+    up = spark.createDataFrame(nodes, "dim int, leaf int, node int, own_parts int")  # most_nodes rows a dimension
+    to = spark.createDataFrame(partners, "dim int, node int, other int, other_parts int").groupBy("dim", "node").agg(F.collect_list(F.struct("other", "other_parts")).alias("to"))
+    dealt = placed.select("vec_id", "vec", "dim", "leaf").join(F.broadcast(up), ["dim", "leaf"]).join(F.broadcast(to), ["dim", "node"])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("own_parts")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.flatten(F.transform("to", lambda t: F.transform(F.sequence(F.lit(0), t["other_parts"] - 1), lambda p: F.struct(t["other"].alias("l"), p.alias("p"))))))).drop("to")
+    own, other = F.struct(F.col("node").alias("l"), F.col("part").alias("p")), F.col("o")
+    dealt = dealt.select("vec_id", "vec", "leaf", F.struct("dim", F.least(own, other).alias("i"), F.greatest(own, other).alias("j")).alias("pair"), F.when(own == other, 0).when(own < other, -1).otherwise(1).alias("side"))
+    found = written(dealt.groupBy("pair").applyInArrow(lambda t: _block_pair(t, threshold, alive), "a long, b long, n long"), "links")
     labels = components(found.where("n = 0").select("a", "b"))
     counts = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
     out = ids.join(counts, ids["vec_id"] == counts["id"], "left").drop("id").join(labels, F.col("vec_id") == F.col("id"), "left").drop("id")
