@@ -59,7 +59,7 @@ class Model:
         return np.clip(x @ self.weights[:-1] + self.weights[-1], -12, 12)
 
 
-def fit(x: np.ndarray, good: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> Model:
+def fit(x: np.ndarray, good: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> Model:
     """Ridge logistic regression by Newton steps; both classes weigh the same, so the intercept holds no prior.
 
     With one class only, or none, the evidence of every text is 0."""

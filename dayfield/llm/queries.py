@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,4 +102,47 @@ SELECT h.page_id, h.url, CAST(h.fetched AS VARCHAR) AS fetched, coalesce(b.n, 0)
 FROM hosts h LEFT JOIN best b ON h.page_id = b.page_id AND b.r = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_temporal_url_filter": _OP7_SQL}
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _found_sql(pattern: str) -> str:
+    """(rid, s, e, v) of all matches of a pattern: lengths of the parts between and of the matches before add up to the offsets."""
+    before = "list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+    return f"""SELECT rid, CAST(s AS BIGINT) AS s, CAST(s AS BIGINT) + length(v) AS e, v FROM (SELECT rid, m[i] AS v, {before} AS s FROM (
+  SELECT rid, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, {_text(pattern)}) AS m, regexp_split_to_array(t, {_text(pattern)}) AS p FROM docs)))"""
+
+
+def _class_sql(name: str, pattern: str, alphabet: str, window: int, bits: float) -> str:
+    """CTEs that end in {name}: stretches of windows whose sum of c log c stays under the bound."""
+    terms = "[" + ", ".join(map(str, secret_scan._terms(window))) + "]"
+    bound = math.floor(secret_scan.SCALE * window * (math.log2(window) - bits))
+    allowed = " OR ".join(f"regexp_matches(v, {_text(p)})" for p in secret_scan.ALLOW)
+    folded = "lower(v)" if len(alphabet) == 16 else "v"
+    return f"""{name}_runs AS (SELECT * FROM ({_found_sql(pattern)}) WHERE NOT ({allowed})),
+{name}_windows AS (SELECT rid, s, v, i, string_split(substr({folded}, i, {window}), '') AS w FROM {name}_runs, range(1, 1000000) r(i) WHERE i <= length(v) - {window - 1}),
+{name}_hot AS (SELECT rid, s, i FROM {name}_windows WHERE list_sum(list_transform(list_distinct(w), lambda c: CAST({terms} AS BIGINT[])[len(list_filter(w, lambda z: z = c)) + 1])) <= {bound}),
+{name} AS (SELECT rid, s + min(i) - 1 AS s, s + max(i) - 1 + {window} AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY rid, s ORDER BY i) AS g FROM (
+  SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY rid, s ORDER BY i) + {window} THEN 0 ELSE 1 END AS fresh FROM {name}_hot)) GROUP BY rid, s, g)"""
+
+
+def _op1_sql() -> str:
+    (assign, a_pattern, _, a_least), (access, _, _, _), (hexes, _, _, _) = secret_scan.BASE
+    group = f"regexp_extract(v, {_text(a_pattern)}, 2)"
+    parts = [f"SELECT rid, s, e, 0 AS k, '{assign}' AS kind FROM ({_found_sql(a_pattern)}) WHERE length({group}) >= {a_least}"]
+    parts += [f"SELECT rid, s, e, {i}, '{kind}' FROM ({_found_sql(secret_scan.SEARCH[kind])})" for i, kind in ((1, access), (2, hexes))]
+    clear = "NOT EXISTS (SELECT 1 FROM {other} o WHERE o.rid = x.rid AND o.s < x.e AND x.s < o.e)"
+    (one, *_), (two, *_) = secret_scan.CLASSES
+    listed = "coalesce(string_agg({which}, ',' ORDER BY s, k), '')"
+    said = "kind || ':' || s || ':' || e"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({" UNION ALL ".join(parts)}),
+{_class_sql(*secret_scan.CLASSES[0])}, {_class_sql(*secret_scan.CLASSES[1])},
+spans AS (SELECT * FROM base UNION ALL SELECT rid, s, e, 3, 'entropy' FROM {one} x WHERE {clear.format(other="base")}
+  UNION ALL SELECT rid, s, e, 3, 'entropy' FROM {two} x WHERE {clear.format(other="base")} AND {clear.format(other=one)})
+SELECT doc_id, count(CASE WHEN kind = 'assign' THEN 1 END) AS n_assign, count(CASE WHEN kind = 'access' THEN 1 END) AS n_access, count(CASE WHEN kind = 'hex' THEN 1 END) AS n_hex,
+  sha256({listed.format(which=f"CASE WHEN k < 3 THEN {said} END")}) AS base_sha256, {listed.format(which=said)} AS spans
+FROM docs LEFT JOIN spans USING (rid) GROUP BY rid, doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op7_temporal_url_filter": _OP7_SQL}
