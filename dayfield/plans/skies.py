@@ -134,10 +134,8 @@ def fl02_user_mask(spark, sf_dir):
 
 @query(oracle("SELECT station, CAST(k AS INT) AS masked, t FROM (SELECT station, t, row_number() OVER (PARTITION BY station ORDER BY t) - 1 AS k FROM (SELECT station, CAST(month*100000 + day*1000 + hour*10 AS INT) AS t, day FROM b_weather)) WHERE t % 7 = 0", "b_weather"))
 def fl03_masked_index(spark, sf_dir):
-    from pyspark.sql import Window
-
     t = binding(spark, sf_dir, "b_weather").select("station", (F.col("month") * 100000 + F.col("day") * 1000 + F.col("hour") * 10).cast("int").alias("t"))
-    return t.withColumn("masked", F.row_number().over(Window.partitionBy("station").orderBy("t")) - 1).where("t % 7 = 0").select("station", "masked", "t")
+    return weather.masked_index(t, t.where("t % 7 = 0")).select("station", "masked", "t")
 
 
 @query(oracle("SELECT c.t, c.month, c.day, c.hour, w.month IS NOT NULL AS in_mask FROM (SELECT CAST(i AS INT) AS t, CAST(month(ts) AS INT) AS month, CAST(day(ts) AS INT) AS day, hour(ts) + 0.5E0 AS hour FROM (SELECT i, TIMESTAMP '2021-01-01' + to_hours(i) AS ts FROM range(8760) r(i))) c LEFT JOIN (SELECT DISTINCT month, day, hour FROM b_weather WHERE station = 1) w ON c.month = w.month AND c.day = w.day AND c.hour = w.hour", "b_weather"))
@@ -199,11 +197,9 @@ def jn20_time_cubic(spark, sf_dir):
     return rounded(interpolate.time_cubic(series, wanted, ["dir_norm"]), "dir_norm")
 
 
-@query(oracle("SELECT CAST(row_number() OVER (ORDER BY station, month, day, hour) AS INT) AS t, round(dir_norm, 6) AS dir_norm, month, 10.9735311509 AS dew_pt FROM b_weather".replace("10.9735311509", "CAST(10.9735311509 AS DOUBLE)"), "b_weather"))
+@query(oracle("SELECT station*1000000 + month*100000 + day*1000 + CAST(hour*10 AS INT) AS t, round(dir_norm, 6) AS dir_norm, month, CAST(10.9735311509 AS DOUBLE) AS dew_pt FROM b_weather", "b_weather"))
 def io04_sky_input(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = binding(spark, sf_dir, "b_weather").withColumn("t", F.row_number().over(Window.orderBy("station", "month", "day", "hour")))
+    rows = binding(spark, sf_dir, "b_weather").withColumn("t", F.col("station") * 1000000 + F.col("month") * 100000 + F.col("day") * 1000 + (F.col("hour") * 10).cast("int"))
     named = rows.select("t", F.col("month").alias("c1"), F.col("day").alias("c2"), F.col("hour").alias("c3"), F.col("dir_norm").alias("c4"), F.col("dif_horiz").alias("c5"))
     return weather.sky_input(named).select("t", F.round("dir_norm", 6).alias("dir_norm"), "month", "dew_pt")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import directions as d
@@ -111,8 +111,6 @@ def calendar_mask(times: DataFrame, wanted: DataFrame) -> DataFrame:
 def user_mask(times: DataFrame, mask: DataFrame | None, mode: str) -> DataFrame:
     """Day rows of ``times`` (t, is_day) that a mask keeps. Modes: ``rows`` (a list of t), ``all`` (t, keep over all rows), ``day``
     (n, keep over day rows counted from 0), ``none``."""
-    from pyspark.sql import Window
-
     day = times.where("is_day")
     if mode == "none" or mask is None:
         return day
@@ -121,13 +119,17 @@ def user_mask(times: DataFrame, mask: DataFrame | None, mode: str) -> DataFrame:
     if mode == "all":
         return day.join(mask.where("keep").select("t"), "t", "left_semi")
     if mode == "day":
-        numbered = day.withColumn("n", F.row_number().over(Window.orderBy("t")) - 1)
-        return numbered.join(mask.where("keep").select("n"), "n", "left_semi").drop("n")
+        return _numbered(day, "n").join(mask.where("keep").select("n"), "n", "left_semi").drop("n")
     raise ValueError(f"unknown mask mode {mode!r}")
 
 
-def masked_index(masked: DataFrame, rows: DataFrame) -> DataFrame:
-    """(t, masked): the place of original rows among the masked ones; rows outside the mask drop out."""
-    from pyspark.sql import Window
+def _numbered(times: DataFrame, name: str) -> DataFrame:
+    """Row numbers by t from 0, per station where there is one (a station's year is a small window)."""
+    by = [c for c in ("station",) if c in times.columns]
+    return times.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("t")) - 1)
 
-    return masked.select("t").withColumn("masked", F.row_number().over(Window.orderBy("t")) - 1).join(rows.select("t"), "t")
+
+def masked_index(masked: DataFrame, rows: DataFrame) -> DataFrame:
+    """([station,] t, masked): the place of original rows among the masked ones; rows outside the mask drop out."""
+    on = [c for c in ("station", "t") if c in masked.columns and c in rows.columns]
+    return _numbered(masked, "masked").select(*on, "masked").join(rows.select(*on), on)
