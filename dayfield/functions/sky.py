@@ -226,3 +226,25 @@ def unit_sky(spark: SparkSession, side: int) -> DataFrame:
 def daylight_mask(rows: DataFrame, min_alt: float = 2.0, min_dif: float = 5.0, min_dir: float = 0.0) -> DataFrame:
     """Adds is_day: sun above ``min_alt`` and diffuse above ``min_dif`` (both strict), direct at least ``min_dir``."""
     return rows.withColumn("is_day", (F.col("sz") > math.sin(math.radians(min_alt))) & (F.col("dif_horiz") > min_dif) & (F.col("dir_norm") >= min_dir))
+
+
+def solstice_tracks(stations: DataFrame) -> DataFrame:
+    """(stations.., month, k, sx, sy, sz): the sun every five minutes of both solstice days while it is up."""
+    spark = stations.sparkSession
+    times = spark.range(576).select(F.when(F.col("id") < 288, 6).otherwise(12).alias("month"), F.lit(21).alias("day"), (F.col("id") % 288).cast("int").alias("k"), (F.col("id") % 288 / 12).alias("hour"))
+    tracks = sun_position(to_utc(timestamps(stations.crossJoin(F.broadcast(times)))))
+    return tracks.where("sz > 0").select(*stations.columns, "month", "k", "sx", "sy", "sz")
+
+
+def solar_boundary(stations: DataFrame, rotation: float = 0.0, far: float = 1000.0) -> DataFrame:
+    """(stations.., ring): both tracks in plan as one polygon, closed through far points west and east; where the sun does not rise on a
+    solstice, a far point to the south (December) or north (June) stands for its track."""
+    tracks = solstice_tracks(stations)
+    x, y = d.rotate_z(F.col("sx"), F.col("sy"), rotation)
+    listed = tracks.groupBy(*stations.columns).agg(*(F.array_sort(F.collect_list(F.when(F.col("month") == m, F.struct("k", x.alias("x"), y.alias("y"))))).alias(n) for m, n in ((6, "jun"), (12, "dec"))))
+    a = math.radians(rotation)
+    spot = lambda px, py: F.struct(F.lit(px * math.cos(a) - py * math.sin(a)).alias("x"), F.lit(px * math.sin(a) + py * math.cos(a)).alias("y"))
+    plain = lambda c: F.transform(c, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    jun = F.when(F.size("jun") > 0, plain("jun")).otherwise(F.array(spot(0.0, far)))
+    dec = F.when(F.size("dec") > 0, F.reverse(plain("dec"))).otherwise(F.array(spot(0.0, -far)))
+    return listed.select(*stations.columns, F.concat(F.array(spot(far, 0.0)), jun, F.array(spot(-far, 0.0)), dec).alias("ring"))

@@ -306,3 +306,37 @@ def flagship_illuminance(spark, sf_dir):
     per_point = contrib(spark, sf_dir).groupBy("pt_id", "patch").agg(F.sum("value").alias("value"))
     found = integrate.coefficient_product(rows, per_point, ["pt_id"])
     return found.select("pt_id", F.col("t").alias("month"), F.round(F.col("value") * 179, 4).alias("illum"))
+
+
+def _one_metric(name: str, sql: str, digits: int):
+    """A query of one metric over the shared plan."""
+    oracle_sql = oracle(f"SELECT pt_id, view, round({sql}, {digits}) + 0.0 AS {name} FROM parts", "b_dirs", ctes=f"{VIEWED}, {PARTS}")
+
+    def run(spark, sf_dir):
+        return _metrics(spark, sf_dir, (name,), (digits,))
+
+    return oracle_sql, run
+
+
+for _id, _name, _sql, _digits in (
+    ("mt02", "avglum", "flux/area", 2),
+    ("mt03", "avgraylum", "slum/n", 2),
+    ("mt04", "gcr", "(flux2/area)/pow(flux/area, 2)", 6),
+    ("mt07", "density", "n/area", 4),
+    ("mt08", "srcarea", "srcarea", 6),
+):
+    _oracle, _run = _one_metric(_name, _sql, _digits)
+    _run.__name__ = f"{_id}_{_name}"
+    query(_oracle)(_run)
+
+
+@query(oracle("SELECT k, round(phi, 6) AS phi, round(ex, 6) + 0.0 AS ex, round(ey, 6) + 0.0 AS ey, n FROM eq, (SELECT count(*) AS n FROM b_rays)", "b_rays", ctes=_EQ))
+def mt15_equator_angles(spark, sf_dir):
+    n = binding(spark, sf_dir, "b_rays").agg(F.count("*").alias("n"))
+    return rounded(metrics.equator(spark, 8).crossJoin(n), "phi", "ex", "ey")
+
+
+@query(oracle(f"SELECT pt_id, k, round(sum(w*lum)/sum(w), 4) + 0.0 AS eq_lum FROM (SELECT *, exp(-{_GAP}*{_GAP}/(2*radians(20)*radians(20)))*sqrt(greatest(1 - dz*dz, 0))*omega AS w FROM b_dirs, eq) GROUP BY pt_id, k", "b_dirs", ctes=_EQ))
+def mt16_equator_luminance(spark, sf_dir):
+    found = metrics.around(binding(spark, sf_dir, "b_dirs"), metrics.equator(spark, 8), ("pt_id",), 20.0)
+    return rounded(found, "eq_lum", digits=4).select("pt_id", "k", "eq_lum")

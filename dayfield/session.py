@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a temporary folder where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-dayfield-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def session(cores: int | str = "*", name: str = "dayfield") -> SparkSession:
     """A local session. Adaptive execution re-plans joins and splits skewed partitions at run time."""
     spark = (

@@ -208,3 +208,14 @@ def test_cubic_goes_through_the_nodes(spark):
     got = {r["t"]: r["v"] for r in interpolate.time_cubic(series, asked, ["v"]).collect()}
     assert all(got[float(t)] == pytest.approx(math.sin(t / 3), abs=1e-9) for t in range(12))
     assert got[5.5] == pytest.approx(math.sin(5.5 / 3), abs=1e-3)
+
+
+def test_suns_lie_inside_the_solar_boundary(spark):
+    one = spark.createDataFrame([(0, 46.25, -6.13, -15.0)], "station int, lat double, lon double, meridian double")
+    times = spark.range(12 * 8).select((F.col("id") % 12 + 1).cast("int").alias("month"), F.lit(10).alias("day"), (F.floor(F.col("id") / 12) + 9.5).alias("hour"))
+    suns = sky.sun_position(sky.to_utc(sky.timestamps(one.crossJoin(times)))).where("sz > 0.05")
+    ring = sky.solar_boundary(one).select("ring")
+    inside = suns.crossJoin(ring).withColumn("inside", zones.in_ring(F.col("sx"), F.col("sy"), F.col("ring")))
+    assert inside.where("not inside").count() == 0 and inside.count() > 50
+    north = spark.createDataFrame([(0, 80.0, 0.0, 0.0)], "station int, lat double, lon double, meridian double")
+    assert sky.solar_boundary(north).first()["ring"][-1]["y"] == -1000.0
