@@ -160,14 +160,19 @@ def hex_print(column: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
+def deduplicated(docs: DataFrame, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
     """One document of each component: the row of its smallest doc_id; repeated rows of that id are one document.
 
-    Rows with a null id are kept only where their component has no other id, one row for each different text."""
+    Rows with a null id cannot be named: they stay, one row for each different text. The ids that go are counted: up
+    to ``broadcast_rows`` of them are broadcast, so that no text is shuffled; beyond, texts are joined by id."""
     found = near_duplicates(docs, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_id")
-    keep = written(keep, "kept")
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    flags = written(found.groupBy("doc_id").agg(F.count_if(stays).alias("_n")).withColumnRenamed("doc_id", "_id"), "kept")
+    keep, gone = flags.where("_n > 0 or _id is null"), flags.where("_n = 0 and _id is not null")
+    if gone.count() <= broadcast_rows:
+        kept = docs.join(F.broadcast(gone), docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    else:
+        kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
     if keep.where("_n > 1 or _id is null").limit(1).count():
         first = F.min(F.struct(*(F.xxhash64(F.col(c)) for c in docs.columns)))
         key = F.struct(*(F.xxhash64(F.col(c)) for c in docs.columns))
