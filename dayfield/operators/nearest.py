@@ -34,30 +34,36 @@ def _scale(right: DataFrame, coords: tuple[str, ...], reach: float) -> tuple[lis
     return low, finest, max(0, math.ceil(math.log2(extent / finest)))
 
 
+def _hashed_around(cells: list[Column]) -> Column:
+    """array<long>: hashes of the level with the cell itself and all that touch it."""
+    return F.array(*(F.xxhash64("_level", *(c + step for c, step in zip(cells, steps, strict=True))) for steps in itertools.product((-1, 0, 1), repeat=len(cells))))
+
+
 def knn(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coords: tuple[str, ...] = XYZ, k: int = 1, reach: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
     """(by.., left_id, right_id, dist, rank): the k nearest rows of ``right`` for each row of ``left``, ties to the smaller id.
 
     Rows of ``right`` are counted in cells of doubling size. A row of ``left`` takes the finest level at which its own cell holds k
     rows, and the k-th distance in that cell; the finest level whose cells are at least as wide holds the true neighbours in
     the block around its cell. All steps are equi joins on (level, cell), and on the columns ``by`` if rows match only
-    within them. ``reach`` is the largest distance by which ``left`` lies outside the extent of ``right``."""
+    within them; a cell is a hash of its level and indices, and a collision only adds rows that the distance then rules out. ``reach`` is the largest distance by which ``left`` lies outside the extent of ``right``."""
     low, finest, doublings = _scale(right, coords, reach)
     up = math.ceil(math.log2(math.sqrt(len(coords)))) if len(coords) > 1 else 0
     size = F.lit(finest) * F.pow(F.lit(2.0), F.col("_level"))
     cell = lambda side: [F.floor((F.col(f"{side}{c}") - lo) / size).cast("long") for c, lo in zip(coords, low, strict=True)]
     right = right.select(*by, F.col(right_id), *(F.col(c).alias(f"_r_{c}") for c in coords)).where(F.col(right_id).isNotNull())
-    at = right.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(doublings + up)))).withColumn("_cell", F.array(*cell("_r_")))
-    counts = at.groupBy(*by, "_level", "_cell").agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
-    ids, cells = [*by, left_id], [*by, "_level", "_cell"]
+    at = right.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(doublings + up)))).withColumn("_cell", F.xxhash64("_level", *cell("_r_")))
+    counts = at.groupBy(*by, "_cell").agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
+    ids, cells = [*by, left_id], [*by, "_cell"]
     own = left.select(*ids, *(F.col(c).alias(f"_l_{c}") for c in coords)).distinct()
-    probes = own.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(doublings)))).withColumn("_cell", F.array(*cell("_l_")))
+    probes = own.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(doublings)))).withColumn("_cell", F.xxhash64("_level", *cell("_l_")))
     level = probes.join(counts, cells, "left_semi").groupBy(*ids).agg(F.min("_level").alias("_level"))
-    inside = own.join(level, ids).withColumn("_cell", F.array(*cell("_l_"))).join(at, cells).select(*ids, squared("_l_", "_r_", coords).alias("_d2"))
-    edge = F.sqrt(F.min("_d2") if k == 1 else F.element_at(F.array_sort(F.collect_list("_d2")), k))  # a cell one level down held fewer than k
-    bound = inside.groupBy(*ids).agg(F.greatest(F.ceil(F.log2(F.greatest(edge, F.lit(1e-300)) / finest * (1 + 1e-9))), F.lit(0)).cast("int").alias("_level"))
+    inside = own.join(level, ids).withColumn("_cell", F.xxhash64("_level", *cell("_l_"))).join(at, cells).select(*ids, squared("_l_", "_r_", coords).alias("_d2"))
+    edge = F.min("_d2") if k == 1 else F.element_at(F.array_sort(F.collect_list("_d2")), k)  # a cell one level down held fewer than k
+    wide = F.ceil(F.log2(F.greatest(F.sqrt("_edge"), F.lit(1e-300)) / finest * (1 + 1e-9)))
+    bound = inside.groupBy(*ids).agg(edge.alias("_edge")).select(*ids, "_edge", F.greatest(wide, F.lit(0)).cast("int").alias("_level"))
     search = own.join(bound, ids, "left").withColumn("_level", F.least(F.coalesce("_level", F.lit(doublings + up)), F.lit(doublings + up)))
-    near = search.withColumn("_cell", F.explode(_around(cell("_l_")))).join(at, cells)
-    ranked = near.withColumn("_d2", squared("_l_", "_r_", coords)).select(*ids, right_id, "_d2")
+    near = search.withColumn("_cell", F.explode(_hashed_around(cell("_l_")))).join(at, cells).withColumn("_d2", squared("_l_", "_r_", coords))
+    ranked = near.where(F.col("_edge").isNull() | (F.col("_d2") <= F.col("_edge"))).select(*ids, right_id, "_d2")
     if k == 1:
         best = ranked.groupBy(*ids).agg(F.min(F.struct("_d2", right_id)).alias("_b"))
         return best.select(*ids, F.col(f"_b.{right_id}").alias(right_id), F.sqrt("_b._d2").alias("dist"), F.lit(1).alias("rank"))
