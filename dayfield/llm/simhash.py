@@ -165,7 +165,11 @@ def deduplicated(docs: DataFrame, broadcast_rows: int = 1_000_000, **options) ->
 
     Rows with a null id cannot be named: they stay, one row for each different text. The ids that go are counted: up
     to ``broadcast_rows`` of them are broadcast, so that no text is shuffled; beyond, texts are joined by id."""
-    found = near_duplicates(docs, **options)
+    return one_of_each(docs, near_duplicates(docs, **options), broadcast_rows)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The rows of ``docs`` that ``found`` (doc_id, component_id) keeps, as ``deduplicated`` says."""
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     flags = written(found.groupBy("doc_id").agg(F.count_if(stays).alias("_n")).withColumnRenamed("doc_id", "_id"), "kept")
     keep, gone = flags.where("_n > 0 or _id is null"), flags.where("_n = 0 and _id is not null")
