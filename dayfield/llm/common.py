@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-dayfield-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -33,6 +35,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucket_count(rows: int, each: int = 20_000) -> int:
+    """Buckets for ``prefix_sums`` over a group of so many rows."""
+    return max(64, -(-rows // each))
+
+
+def unique_join(rows: DataFrame, values: DataFrame, key: str, weight: str = "n") -> DataFrame:
+    """``rows`` joined to ``values`` (one row per key, ``weight`` = how many rows have it) on one column of non-null keys.
+
+    Keys that hold over a thousandth of all rows are a thousand at most: these are broadcast, so that a key with a third of all
+    rows is not one task; the others meet in an ordinary join."""
+    total = values.agg(F.sum(weight)).first()[0] or 0
+    edge = max(1000, total // 1000)
+    often, seldom = values.where(F.col(weight) > edge).drop(weight), values.where(F.col(weight) <= edge).drop(weight)
+    hot = rows.join(F.broadcast(often), key)
+    return hot.unionByName(rows.join(F.broadcast(often.select(key)), key, "left_anti").join(seldom, key))
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, buckets: int = 1024) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before this one in its group.
 
@@ -59,11 +78,12 @@ def _salted_min(pairs: DataFrame, salts: int) -> DataFrame:
     return keyed.join(least, ["u", "s"]).select("u", "v", "m")
 
 
-def components(edges: DataFrame, rounds: int = 60, salts: int = 8) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200, salts: int = 8) -> DataFrame:
     """(id, component): the smallest id reachable, for every id that an edge (a, b) names.
 
     Alternating large-star and small-star steps; each round is written to the shared folder and the loop ends when the
-    edge set no longer changes. Nothing but one count and one checksum reaches the driver."""
+    edge set no longer changes. Nothing but one count and one checksum reaches the driver. The rounds grow with the logarithm of
+    the longest chain; more than ``rounds`` is an error, never an unfinished result."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
     for _ in range(rounds):
@@ -76,5 +96,7 @@ def components(edges: DataFrame, rounds: int = 60, salts: int = 8) -> DataFrame:
         if (row["n"], row["h"]) == mark or not row["n"]:
             break
         mark = (row["n"], row["h"])
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())

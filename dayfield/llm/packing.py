@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, written
+from .common import bucket_count, prefix_sums, written
 
 CAPACITY, END_ID = 1024, 2
 
@@ -23,20 +24,44 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: White space as the pattern of the vocabulary knows it (the Unicode property), and the length from which a run is cut out.
+_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+LONG_RUN, ADDED = 50_000, {"<|endoftext|>": 50256}
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """The byte-level vocabulary as ranks: gives the ids of ``byte_bpe_50k.json`` (tests compare them) several times faster."""
+    """(encoder, encoder of single runs): the byte-level vocabulary as ranks gives the ids of ``byte_bpe_50k.json`` several times
+    faster (tests compare them). The second takes a text as one word of the pattern."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    make = lambda name, pattern, added: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return make("byte_bpe_50k", public_tokenizers.PATTERN, ADDED), make("byte_bpe_50k_run", r"[\s\S]+", {})
+
+
+def _plain(text: str, path: str) -> list[int]:
+    """Ids of a text without added tokens. The pattern looks ahead after white space and recurses over the run, so very long runs
+    are encoded by themselves: such a run is one word but for its last character, which belongs to what follows."""
+    words, run = _encoder(path)
+    if len(text) < LONG_RUN:
+        return words.encode_ordinary(text)
+    ids, at = [], 0
+    for found in _WHITE.finditer(text):
+        if found.end() - found.start() >= LONG_RUN:
+            end = found.end() - (found.end() < len(text))
+            ids += words.encode_ordinary(text[at : found.start()]) + run.encode_ordinary(text[found.start() : end])
+            at = end
+    return ids + words.encode_ordinary(text[at:])
 
 
 def encode(text: str | None, path: str) -> np.ndarray:
-    """Ids of the whole text (special strings are ordinary text), then the end id."""
-    ids = _encoder(path).encode_ordinary(text or "")
+    """Ids of the whole text, whatever its length, then the end id. The vocabulary's added token keeps its own id."""
+    ids: list[int] = []
+    for i, part in enumerate((text or "").split(*ADDED)):
+        ids += [*ADDED.values()] * bool(i) + _plain(part, path)
     ids.append(END_ID)
     return np.array(ids, "<u4")
 
@@ -121,11 +146,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     The driver sees one count per length (``capacity`` numbers at most) and plans bins over them; items are ranked within their
     length by two-level sums and look their place up. Columns doc_id and piece, if there, fix the order of equal lengths; equal
-    rows are interchangeable. An empty table gives no rows."""
+    rows are interchangeable. Columns sequence_id and offset of ``items`` are replaced. An empty table gives no rows."""
+    items = items.drop("sequence_id", "offset")
     counts = {int(r["length"]): int(r["n"]) for r in items.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}
     held = items.sparkSession.sparkContext.broadcast(_plan(counts, capacity))
     order = [c for c in ("doc_id", "piece") if c in items.columns] or items.columns
-    ranked = prefix_sums(items, ["length"], order, F.lit(1), "_rank", 256)
+    ranked = prefix_sums(items, ["length"], order, F.lit(1), "_rank", bucket_count(max(counts.values(), default=0)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = held.value
