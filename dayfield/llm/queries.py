@@ -49,7 +49,7 @@ def _list_entries(pages: DataFrame) -> DataFrame:
     """Dated entries of two lists over the hosts, sites and first path segments that the pages name.
 
     Each key and list has 0 to 3 entries, add and remove in turn, on days that the MD5 of both decides."""
-    keys = pages.select(F.explode(url_filter.keys_of(F.col("url"))).alias("k")).where("k.rank >= 3").select("k.key").distinct()
+    keys = pages.select(F.explode(url_filter.keys_of(F.col("url"))).alias("k")).select("k.key").distinct()
     lists = F.explode(F.array(F.struct(F.lit("blocked").alias("list"), F.lit("block").alias("action")), F.struct(F.lit("trusted").alias("list"), F.lit("allow").alias("action"))))
     drawn = keys.withColumn("l", lists).select("key", "l.list", "l.action").withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("|", "list", "key").cast("binary")), 1, 7), 16, 10).cast("long"))
     each = drawn.where("h % 4 > 0").withColumn("seq", F.explode(F.sequence(F.lit(1), (F.col("h") % 4).cast("int"))))
@@ -83,12 +83,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _OP7_SQL = r"""
-WITH hosts AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host,
-    regexp_extract(url, '^[^:]+://[^/?#]+/([^/?#]+)', 1) AS segment, DATE '2024-01-01' + CAST(page_id * 7919 % 90 AS INT) AS fetched FROM pages),
-parts AS (SELECT *, string_split(host, '.') AS labels FROM hosts WHERE host <> ''),
+WITH places AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)', 1), '^.*@', '') AS place,
+    regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\]*[/\\]([^/?#\\]+)', 1) AS segment, DATE '2024-01-01' + CAST(page_id * 7919 % 90 AS INT) AS fetched FROM pages),
+hosts AS (SELECT page_id, url, segment, fetched, lower(regexp_replace(regexp_extract(place, '^(\[[^\]]*\]|[^:\[]*)', 1), '\.+$', '')) AS host FROM places),
+parts AS (SELECT *, string_split(host, '.') AS labels, regexp_matches(host, '^\[|(^|\.)[0-9]+$') AS address FROM hosts WHERE host <> ''),
 asked AS (SELECT page_id, host || '/' || segment AS key, 1000 AS rank FROM parts WHERE segment <> ''
-  UNION ALL SELECT page_id, array_to_string(labels[i:], '.'), len(labels) - i + 1 FROM parts, range(1, 100) r(i) WHERE i <= greatest(len(labels) - 1, 1)),
-keys AS (SELECT DISTINCT key FROM asked WHERE rank >= 3),
+  UNION ALL SELECT page_id, array_to_string(labels[i:], '.'), len(labels) - i + 1 FROM parts, range(1, 100) r(i) WHERE i <= CASE WHEN address THEN 1 ELSE greatest(len(labels) - 1, 1) END),
+keys AS (SELECT DISTINCT key FROM asked),
 drawn AS (SELECT key, list, action, CAST('0x' || substr(md5(list || '|' || key), 1, 7) AS BIGINT) AS h
   FROM keys, (VALUES ('blocked', 'block'), ('trusted', 'allow')) l(list, action)),
 entries AS (SELECT key, list, action, s AS seq, CASE WHEN s % 2 = 1 THEN 'add' ELSE 'remove' END AS op,
