@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, unique_join, written
 
 BITS, MOST, SEGMENTS, SHINGLE, SEED = 64, 4, 3, 4, 42
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -147,12 +147,13 @@ def near_duplicates(docs: DataFrame, most: int = MOST, segments: int = SEGMENTS,
     never name one (a component of null ids only has a null component_id). Repeated rows come out as often as they went in.
     Other columns are not read; an empty table gives no rows. Only 16 bytes a row are shuffled, never texts."""
     prints = written(fingerprints(docs, id_col, text_col), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     labels = components(links(classes, most, segments))
-    named = classes.join(labels, F.col("fp") == F.col("id"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    to = named.join(smallest, "component").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(to, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    named = classes.join(labels, F.col("fp") == F.col("id"), "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("component"))
+    named = written(named, "named")
+    smallest = written(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "smallest")
+    to = written(unique_join(named, smallest, "component").select("fp", "component_id", F.col("rows").alias("n")), "named")
+    return unique_join(prints, to, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_print(column: str = "fp"):

@@ -105,16 +105,37 @@ def test_kernel_presence_matches_sets():
     assert bounds[1] - bounds[0] <= len(grams) and bounds[1] - bounds[0] >= len(grams) - 2  # hashed, few collisions
 
 
+def fullest(lengths: list[int], room: int) -> int:
+    """The largest subset sum of ``lengths`` that is at most ``room``, by all subsets."""
+    return max(s for m in range(1 << len(lengths)) if (s := sum(x for i, x in enumerate(lengths) if m >> i & 1)) <= room)
+
+
 def test_minimum_bin_slack_fills_bins():
-    counts = {1000: 3, 600: 5, 424: 5, 24: 4, 1: 7, 512: 4, 1023: 2}
-    bins = packing.minimum_bin_slack(counts, 1024)
-    used: dict = {}
-    for lengths, times in bins:
-        assert sum(lengths) <= 1024
-        for x in lengths:
-            used[x] = used.get(x, 0) + times
-    assert used == counts
-    assert sum(t for _, t in bins) == 3 + 5 + 2 + 2 + 0 or sum(t for _, t in bins) <= 13
+    draw = random.Random(9)
+    for capacity in (12, 37, 1024):
+        for _ in range(25):
+            counts: dict[int, int] = {}
+            for _ in range(draw.randrange(1, 13)):
+                x = draw.randrange(1, capacity + 1)
+                counts[x] = counts.get(x, 0) + 1
+            left = dict(counts)
+            for lengths, times in packing.minimum_bin_slack(counts, capacity):
+                for _ in range(times):
+                    items = sorted((x for x, n in left.items() for _ in range(n)), reverse=True)
+                    assert lengths[0] == items[0] and sum(lengths) == items[0] + fullest(items[1:], capacity - items[0])
+                    for x in lengths:
+                        left[x] -= 1
+            assert not any(left.values())
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "word" + " " * 900_000 + "next\n" + "\t\n" * 60_000, "\u3000" * 300_000 + "a", "abc" * 400_000, "1234567890" * 100_000, "漢字仮名" * 100_000, "<|endoftext|>" + " " * 120_000 + "<|endoftext|>x"])
+def test_very_long_runs_have_the_ids_of_the_tokenizer(text):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encode(text, packing.default_vocabulary()).tolist() == [*reference.encode(text, add_special_tokens=False).ids, 2]
 
 
 def test_packing_round_trip(spark):
@@ -123,10 +144,9 @@ def test_packing_round_trip(spark):
     import public_tokenizers
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     draw = random.Random(3)
-    texts = [None, "", "short", "<|endoftext|> is text"] + [" ".join(draw.choices(WORDS, k=draw.randrange(1, 1500))) for _ in range(60)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "3 as length")
+    texts = [None, "", "short", "<|endoftext|> is <|endoftext|><|endoftext|> a token", " " * 200_000 + "end"] + [" ".join(draw.choices(WORDS, k=draw.randrange(1, 1500))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "3 as length", "4 as sequence_id", "5 as offset")
     got = packing.packed(docs, keep_ids=True).collect()
     by_doc: dict = {}
     for r in got:

@@ -6,6 +6,7 @@ import datetime as dt
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from dayfield.llm import ann, covertree, url_filter
 
@@ -81,9 +82,9 @@ def brute_components(x: np.ndarray, threshold: float):
 
 
 def test_cover_tree_matches_brute_force(spark):
-    for seed, nodes, block in ((4, 256, 4096), (5, 12, 37)):
+    for seed, node_rows, block in ((4, 4096, 8192), (5, 37, 23)):
         x = vectors(seed)
-        got = {r["vec_id"]: r for r in covertree.near_duplicates(frame(spark, x), 0.9, most_nodes=nodes, block=block).collect()}
+        got = {r["vec_id"]: r for r in covertree.near_duplicates(frame(spark, x), 0.9, node_rows=node_rows, block=block).collect()}
         count, label = brute_components(x, 0.9)
         assert [got[i]["n_links"] for i in range(400)] == count.tolist()
         assert [got[i]["component_id"] for i in range(400)] == label.tolist()
@@ -94,15 +95,26 @@ def test_cover_tree_matches_brute_force(spark):
     assert covertree.near_duplicates(frame(spark, x).limit(0)).count() == 0
 
 
-def test_traversal_keeps_every_close_pair():
-    x = covertree._unit(vectors(6))
-    tree = covertree.build(x[:100], 64)
-    leaf, gap = tree.leaves(x)
-    radii = {int(n): float(gap[leaf == n].max()) for n in np.unique(leaf)}
-    alive = {tuple(p) for p in covertree.surviving_pairs(tree, radii, math.sqrt(0.2))[-1].tolist()}
-    linked = np.argwhere(x @ x.T >= 0.9)
-    assert {(min(leaf[i], leaf[j]), max(leaf[i], leaf[j])) for i, j in linked} <= alive
-    assert len(alive) < len(radii) * (len(radii) + 1) // 2
+def test_tree_levels_and_traversal(spark):
+    draw = np.random.default_rng(6)
+    x = (draw.normal(size=(40, 32))[draw.integers(0, 40, 1500)] + 0.1 * draw.normal(size=(1500, 32))).astype(np.float32)
+    reach = math.sqrt(0.2)
+    classes = ann.valid_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).selectExpr("vec_id as class", "vec", "1L as w")
+    rows, nodes = covertree.build(classes, reach, node_rows=100)
+    leaf = {r["class"]: r["node"] for r in rows.select("class", "node").collect()}
+    assert sorted(leaf) == list(range(1500))
+    unit, by_name = covertree._unit(x), {r["node"]: r for r in nodes.collect()}
+    for i, name in leaf.items():
+        while name:
+            r = by_name[name]
+            assert r["centre"] is None or np.linalg.norm(unit[i] - np.array(r["centre"])) <= r["cover"] + 1e-9 <= r["radius"] + 2e-9
+            assert not r["parent"] or by_name[r["parent"]]["radius"] in (r["radius"], 2 * r["radius"])
+            name = r["parent"]
+    found, figures = covertree.traverse(nodes, reach)
+    alive = {(r["i"], r["j"]) for r in found.collect()}
+    alive |= {(j, i) for i, j in alive}
+    assert all((leaf[i], leaf[j]) in alive for i, j in np.argwhere(unit @ unit.T >= 0.9).tolist())
+    assert figures and sum(kept for _, kept in figures) < 0.2 * sum(tested for tested, _ in figures)
 
 
 def test_lists_over_time(spark):
@@ -126,6 +138,15 @@ def test_lists_over_time(spark):
     assert url_filter.apply_lists(c.limit(0), e).count() == 0 and url_filter.apply_lists(c, e.limit(0)).where("verdict <> 'keep'").count() == 0
 
 
+def test_hosts_behind_user_names_ports_and_brackets(spark):
+    cases = {
+        "http://user:pw@bad.com/x": ["bad.com/x", "bad.com"], "http://a@b@Bad.com.:8080": ["bad.com"], "http://[2001:DB8::1]:80/z": ["[2001:db8::1]/z", "[2001:db8::1]"],
+        "http://a.bad.com\\@good.com": ["a.bad.com/@good.com", "a.bad.com", "bad.com"], "http://1.2.3.4/a/b": ["1.2.3.4/a", "1.2.3.4"], "https://x.y.z?q=/no": ["x.y.z", "y.z"], "http://": None, "mailto:x@y.z": None,
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "url string").select("url", url_filter.keys_of(F.col("url")).alias("k")).collect()
+    assert {r["url"]: r["k"] and [k["key"] for k in r["k"]] for r in rows} == cases
+
+
 def test_pipeline_stages_and_columns(spark):
     import corpus_pipeline
 
