@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -16,19 +17,20 @@ from .common import table, written
 SYMBOLS = "#$%&*@^~<>{}[]=|\\_+"
 
 
-def features(text: str | None) -> list[float]:
-    """Shape of the whole text: repetition, capitals, symbols, marks, word lengths. Null and blank texts give a row of their own."""
+def read(text: str | None) -> tuple[list[float], Counter]:
+    """(shape, words) of the whole text: repetition, capitals, symbols, marks, word lengths, and how often each word occurs. Null
+    and blank texts have a shape of their own and no words."""
     text = text or ""
     words = text.split()
     n, size = len(words), len(text)
-    if not n:
-        return [1.0] + [0.0] * 12
     counts = Counter(words)
+    if not n:
+        return [1.0] + [0.0] * 12, counts
     letters = sum(map(str.isalpha, text))
     lower = text.lower()
     capitals = sum(a != b for a, b in zip(text, lower, strict=False)) if len(lower) == size else sum(map(str.isupper, text))
     symbols = sum(map(text.count, SYMBOLS))
-    return [
+    shape = [
         0.0,
         len(counts) / n,
         counts.most_common(1)[0][1] / n,
@@ -43,6 +45,11 @@ def features(text: str | None) -> list[float]:
         min(20.0, (size - n + 1) / n) / 20,
         np.log1p(n) / 10,
     ]
+    return shape, counts
+
+
+def features(text: str | None) -> list[float]:
+    return read(text)[0]
 
 
 @dataclass(frozen=True)
@@ -50,13 +57,61 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    words: dict[str, float] = field(default_factory=dict)
+    word_weight: float = 0.0
+
+    def of_shape(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1]
 
     def evidence(self, texts) -> np.ndarray:
-        """Log likelihood ratio of good to bad for each text, within -12 and 12."""
+        """Log likelihood ratio of good to bad for each text, within -12 and 12: of its shape and of its words."""
         if not len(texts):
             return np.zeros(0)
-        x = (np.array([features(t) for t in texts]) - self.mean) / self.scale
-        return np.clip(x @ self.weights[:-1] + self.weights[-1], -12, 12)
+        found = [read(t) for t in texts]
+        tokens = np.array([token_evidence(counts, self.words) for _, counts in found])
+        return np.clip(self.of_shape(np.array([x for x, _ in found])) + self.word_weight * tokens, -12, 12)
+
+
+def token_evidence(counts: Iterable[str], words: dict[str, float]) -> float:
+    """Sum of the log likelihood ratios of the distinct words that are known, over the root of their number and ten more, so that
+    long texts do not outgrow their shape."""
+    known = [words[w] for w in counts if w in words]
+    return sum(known) / float(np.sqrt(len(known) + 10))
+
+
+def word_ratios(counts: list[Iterable[str]], good: np.ndarray, least: int = 3) -> dict[str, float]:
+    """Log ratio of the share of good and of bad documents that hold a word, smoothed by one document of each; words of ``least`` documents or more."""
+    holds: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    for words, g in zip(counts, good.tolist(), strict=True):
+        holds[g].update(words.keys())
+    n = {g: sum(good == g) for g in (True, False)}
+    return {w: float(np.log((holds[True][w] + 1) / (n[True] + 2) * (n[False] + 2) / (holds[False][w] + 1))) for w in {*holds[True], *holds[False]} if holds[True][w] + holds[False][w] >= least}
+
+
+def fit_texts(texts: list[str | None], good: np.ndarray) -> Model:
+    """Shape evidence by ridge logistic regression, then word evidence on top of it.
+
+    The weight of the words is fitted on halves that did not name their ratios (the other half did), with the shape evidence as
+    a fixed offset, so that words add what the shape leaves open. Without both classes the evidence of every text is 0."""
+    found = [read(t) for t in texts]
+    shape = fit(np.array([x for x, _ in found]), good)
+    if len(np.unique(good)) < 2:
+        return shape
+    counts = [c for _, c in found]
+    half, tokens = np.arange(len(texts)) % 2, np.zeros(len(texts))
+    for h in (0, 1):
+        ratios = word_ratios([c for c, k in zip(counts, half, strict=True) if k != h], good[half != h])
+        tokens[half == h] = [token_evidence(c, ratios) for c, k in zip(counts, half, strict=True) if k == h]
+    offset = np.clip(shape.of_shape(np.array([x for x, _ in found])), -12, 12)
+    weight = np.where(good, 0.5 / good.sum(), 0.5 / (~good).sum()) * len(good)
+    b, penalty = 0.0, 1e-2 * len(good)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(offset + b * tokens, -30, 30)))
+        step = ((weight * (good - p)) @ tokens - penalty * b) / ((weight * p * (1 - p)) @ tokens**2 + penalty)
+        b += step
+        if abs(step) < 1e-9:
+            break
+    return Model(shape.mean, shape.scale, shape.weights, word_ratios(counts, good), max(0.0, b))
 
 
 def fit(x: np.ndarray, good: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> Model:
@@ -82,17 +137,13 @@ def fit(x: np.ndarray, good: np.ndarray, ridge: float = 1e-3, rounds: int = 30)
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
     """From at most ``sample`` labelled documents by hash of their ids (the bound of the sample; it is the broadcast side too).
 
-    Labels of one id are averaged; ids and labels that are null, and ids without a document, are not used."""
+    One text of each sampled id reaches the driver, where the model is fitted. Labels of one id are averaged; ids and labels that are null, and ids without a document, are not used."""
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
-    @pandas_udf("array<double>")
-    def shape(text: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in text])
-
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "good", shape("text").alias("x")).toPandas()
-    found = found.sort_values("doc_id", kind="stable")
-    return fit(np.array(found["x"].tolist()), found["good"].to_numpy(bool))
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good")).orderBy("doc_id").toPandas()
+    return fit_texts(rows["text"].tolist(), rows["good"].to_numpy(bool))
 
 
 def _evidence(docs: DataFrame, model: Model) -> Column:
@@ -124,14 +175,9 @@ def _strength(groups: DataFrame, centre: Column) -> float:
     return float(min(max(row["v"] / between - 1, 1.0), 1e4))
 
 
-def posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, host_quality, path_quality) from (host, path, evidence).
-
-    Every document counts as its expected quality under the global rate. A host's rate is shrunk to the global rate and a path's
-    to its host's, each with a pseudo-count estimated from all groups, so sparse sites lean on the level above. Sums are
-    taken before rows are shuffled, so a hot host is one row per task."""
-    # The global rate that agrees with the evidence: a fixed point of the mean posterior over counts of rounded evidence
-    # (241 values at most, as evidence lies within -12 and 12).
+def global_rate(scored: DataFrame) -> float:
+    """The share of good documents that agrees with the evidence: a fixed point of the mean posterior over counts of rounded
+    evidence (241 values at most, as evidence lies within -12 and 12)."""
     steps = scored.groupBy(F.round("evidence", 1).alias("e")).agg(F.count("*").alias("n")).toPandas().sort_values("e")
     e, n, rate = steps["e"].to_numpy(float), steps["n"].to_numpy(float), 0.8
     for _ in range(100 if len(n) else 0):
@@ -139,33 +185,69 @@ def posteriors(scored: DataFrame) -> DataFrame:
         rate, moved = round(new, 9), abs(new - rate)
         if moved < 1e-7:
             break
-    good = _sigmoid(F.col("evidence") + float(np.log(rate / (1 - rate)))).cast("decimal(20,9)")
-    paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(good).cast("double").alias("good")), "paths")
-    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum(F.col("good").cast("decimal(30,9)")).cast("double").alias("good")), "hosts")
-    pull = _strength(hosts, F.lit(rate))
-    hosts = hosts.select(F.col("host").alias("_host"), ((F.col("good") + pull * rate) / (F.col("n") + pull)).alias("host_quality"))
+    return rate
+
+
+@dataclass(frozen=True)
+class Sites:
+    """``rows``: host, path, path_good, path_n, host_good, host_n; the global rate and the pseudo-counts of hosts and paths."""
+
+    rows: DataFrame
+    rate: float
+    host_pull: float
+    path_pull: float
+
+    def own(self, evidence: Column) -> Column:
+        """Expected quality of one document under the global rate."""
+        return F.round(_sigmoid(evidence + float(np.log(self.rate / (1 - self.rate)))), 9)
+
+    def host_quality(self, out: Column, n: int = 1) -> Column:
+        """Posterior of a host without ``n`` documents of the expected quality ``out``."""
+        return (F.greatest(F.col("host_good") - out, F.lit(0.0)) + self.host_pull * self.rate) / (F.col("host_n") - n + self.host_pull)
+
+    def path_quality(self, out: Column, n: int = 1) -> Column:
+        return (F.greatest(F.col("path_good") - out, F.lit(0.0)) + self.path_pull * self.host_quality(out, n)) / (F.col("path_n") - n + self.path_pull)
+
+
+def sites(scored: DataFrame) -> Sites:
+    """Counts and expected good documents of hosts and paths from (host, path, evidence).
+
+    Every document counts as its expected quality under the global rate. A host's rate is shrunk to the global rate and a path's
+    to its host's, each with a pseudo-count estimated from all groups, so sparse sites lean on the level above. Sums are
+    taken before rows are shuffled, so a hot host is one row per task."""
+    rate = global_rate(scored)
+    good = F.round(_sigmoid(F.col("evidence") + float(np.log(rate / (1 - rate)))), 9).cast("decimal(20,9)")
+    paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("path_n"), F.sum(good).cast("double").alias("path_good")), "paths")
+    hosts = written(paths.groupBy(F.col("host").alias("_host")).agg(F.sum("path_n").alias("host_n"), F.sum(F.col("path_good").cast("decimal(30,9)")).cast("double").alias("host_good")), "hosts")
+    host_pull = _strength(hosts.select(F.col("host_n").alias("n"), F.col("host_good").alias("good")), F.lit(rate))
     joined = written(paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host"), "sites")
-    pull = _strength(joined, F.col("host_quality"))
-    return written(joined.select("host", "path", "host_quality", ((F.col("good") + pull * F.col("host_quality")) / (F.col("n") + pull)).alias("path_quality")), "sites")
+    held = Sites(joined, rate, host_pull, 1.0)
+    centred = joined.select(F.col("path_n").alias("n"), F.col("path_good").alias("good"), held.host_quality(F.lit(0.0), 0).alias("centre"))
+    return Sites(joined, rate, host_pull, _strength(centred, F.col("centre")))
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = 6000, least: float = 0.5) -> DataFrame:
-    """``docs`` with host_quality, path_quality, evidence, p_quality and keep (p_quality >= ``least``).
+def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = 6000, least: float = 0.5, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its ``columns``) with host_quality, path_quality, evidence, p_quality and keep (p_quality >= ``least``).
 
-    log odds = evidence of the whole text + log odds of its path's posterior. ``host`` and ``path`` default to the source and its
-    language. Null hosts and paths are sites of their own. Null, empty and very long texts are judged like any other; repeated
-    rows stay. Without labels of both classes the evidence is 0 and every document is kept. Columns of ``docs`` of the five
-    new names are replaced; others pass through. No text is shuffled: sites are joined by their keys."""
+    log odds = evidence of the whole text + log odds of its path's posterior, both posteriors taken without the document itself,
+    so that no text counts twice. ``host`` and ``path`` default to the source and its language. Null hosts and paths are sites
+    of their own. Null, empty and very long texts are judged like any other; repeated rows stay. Without labels of both classes
+    the evidence is 0 and every document is kept; an empty table gives no rows. Columns of ``docs`` of the five new names are
+    replaced; others pass through. Texts are read by Python once: rows and evidence are written, and no text is shuffled."""
     model = train(docs, labels, sample)
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
-    scored = docs.select(host.alias("host"), path.alias("path"), _evidence(docs, model).alias("evidence"))
-    sites = posteriors(written(scored, "scored")).select(F.col("host").alias("_site_host"), F.col("path").alias("_site_path"), F.col("host_quality").alias("_hq"), F.col("path_quality").alias("_pq"))
-    joined = docs.withColumn("_host", host).withColumn("_path", path).join(sites, F.col("_host").eqNullSafe(F.col("_site_host")) & F.col("_path").eqNullSafe(F.col("_site_path")))
-    out = joined.withColumn("evidence", F.round(_evidence(docs, model), 9)).withColumn("host_quality", F.col("_hq")).withColumn("path_quality", F.col("_pq"))
+    new = ("host_quality", "path_quality", "evidence", "p_quality", "keep")
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in new]
+    scored = written(docs.select(F.struct(*kept).alias("row"), host.alias("host"), path.alias("path"), F.round(_evidence(docs, model), 9).alias("evidence")), "scored")
+    found = sites(scored.select("host", "path", "evidence"))
+    at = found.rows.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_n", "host_good", "path_n", "path_good")
+    out = scored.join(at, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))).withColumn("_own", found.own(F.col("evidence")))
+    out = out.select("row.*", found.host_quality(F.col("_own")).alias("host_quality"), found.path_quality(F.col("_own")).alias("path_quality"), "evidence")
     out = out.withColumn("p_quality", _sigmoid(F.col("evidence") + _logit(F.col("path_quality"))))
-    return out.withColumn("keep", F.col("p_quality") >= least).drop("_host", "_path", "_site_host", "_site_path", "_hq", "_pq")
+    return out.withColumn("keep", F.col("p_quality") >= least)
 
 
 def kept_documents(docs: DataFrame, sf_dir: str, **options) -> DataFrame:
-    """The documents that ``judge`` keeps, with the columns they came with."""
-    return judge(docs, table(docs.sparkSession, sf_dir, "labels"), **options).where("keep").select(*docs.columns)
+    """The documents that ``judge`` keeps, with the columns they came with. Nulls, repeats and empty tables are as ``judge`` says."""
+    judged = judge(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang"), table(docs.sparkSession, sf_dir, "labels"), columns=["row"], **options)
+    return judged.where("keep").select("row.*")

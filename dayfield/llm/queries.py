@@ -74,7 +74,7 @@ def op9_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"), columns=["doc_id", "source"])
     return judged.select("doc_id", "source", "host_quality", "path_quality", "evidence", "p_quality", "keep")
 
 

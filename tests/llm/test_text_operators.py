@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from dayfield.llm import langid, packing, quality, simhash
 
@@ -170,13 +171,45 @@ def test_packing_round_trip(spark):
     assert packing.packed(docs.limit(0)).count() == 0
 
 
-def test_quality_separates_and_shrinks(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    got = quality.judge(docs, labels).join(labels, "doc_id").collect()
-    right = np.mean([bool(r["quality"]) == r["keep"] for r in got])
-    assert right > 0.97
-    assert not [r["doc_id"] for r in got if r["quality"] == 1 and not r["keep"]]
+def test_quality_on_held_out_labels(spark):
+    """Fitted on one half of the labels, judged on the other; no sample is shared."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = quality.judge(docs, labels.where("doc_id % 2 = 0"), columns=["doc_id"]).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    assert len(got) > 1000
+    assert np.mean([bool(r["quality"]) == r["keep"] for r in got]) > 0.99
+    assert np.mean([r["keep"] for r in got if r["quality"] == 1]) > 0.998
+
+
+def test_quality_words_add_to_shape():
+    draw = random.Random(4)
+    common = [f"w{i}" for i in range(300)]
+    texts = [" ".join(draw.choices(common, k=80) + draw.choices(["spamword", "buynow", "cheap"] if i % 2 else ["theorem", "proof", "lemma"], k=8)) for i in range(400)]
+    good = np.arange(400) % 2 == 0
+    model = quality.fit_texts(texts[:200], good[:200])
+    assert model.word_weight > 0 and ((model.evidence(texts[200:]) > 0) == good[200:]).mean() > 0.95
+
+
+def test_posteriors_match_brute_force(spark):
+    """Every document's posteriors, summed over its host and path without itself, row by row in plain Python."""
+    draw = random.Random(8)
+    rows = [(i, draw.choice(["h1", "h1", "h2", None]), draw.choice(["p", "q", None]), f"{'good words here ' * draw.randrange(1, 9)}{'!!! $$$ BUY ' * draw.randrange(0, 6)}") for i in range(120)]
+    docs = spark.createDataFrame([*rows, (120, "lone", "p", "one single page")], "doc_id long, source string, lang string, text string").selectExpr("*", "1 as host", "2 as _own", "3 as row")
+    labels = spark.createDataFrame([(r[0], int("BUY" not in r[3])) for r in rows if r[0] % 2], "doc_id long, quality int")
+    got = [r.asDict() for r in quality.judge(docs, labels).collect()]
+    scored = spark.createDataFrame([(r["source"], r["lang"], r["evidence"]) for r in got], "host string, path string, evidence double")
+    held = quality.sites(scored)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    own = [sigmoid(r["evidence"] + np.log(held.rate / (1 - held.rate))) for r in got]
+    for i, r in enumerate(got):
+        host = [own[k] for k, o in enumerate(got) if k != i and o["source"] == r["source"]]
+        path = [own[k] for k, o in enumerate(got) if k != i and (o["source"], o["lang"]) == (r["source"], r["lang"])]
+        h = (sum(host) + held.host_pull * held.rate) / (len(host) + held.host_pull)
+        p = (sum(path) + held.path_pull * h) / (len(path) + held.path_pull)
+        assert abs(r["host_quality"] - h) < 1e-6 and abs(r["path_quality"] - p) < 1e-6
+        assert abs(r["p_quality"] - sigmoid(r["evidence"] + np.log(p / (1 - p)))) < 1e-6 and r["keep"] == (r["p_quality"] >= 0.5)
+    lone = next(r for r in got if r["doc_id"] == 120)
+    assert abs(lone["path_quality"] - held.rate) < 1e-6 and lone["host"] == 1 and lone["_own"] == 2
 
 
 def test_quality_edge_cases(spark):
@@ -190,9 +223,9 @@ def test_quality_edge_cases(spark):
 
 def test_empirical_bayes_shrinks_sparse_sites(spark):
     rows = [("big", "a", 4.0)] * 300 + [("big", "b", 4.0)] * 20 + [("bad", "a", -4.0)] * 300 + [("tiny", "a", -4.0)]
-    scored = spark.createDataFrame(rows, "host string, path string, evidence double")
-    got = {(r["host"], r["path"]): r for r in quality.posteriors(scored).collect()}
-    assert got["bad", "a"]["path_quality"] < got["tiny", "a"]["path_quality"] < got["big", "a"]["path_quality"]
+    held = quality.sites(spark.createDataFrame(rows, "host string, path string, evidence double"))
+    got = {(r["host"], r["path"]): r["q"] for r in held.rows.select("host", "path", held.path_quality(F.lit(0.0), 0).alias("q")).collect()}
+    assert got["bad", "a"] < got["tiny", "a"] < got["big", "a"]
 
 
 @pytest.mark.parametrize("text", [None, "", "   ", "word", "A" * 100000, "ẞ İ ŉ"])
