@@ -52,13 +52,13 @@ def unique_join(rows: DataFrame, values: DataFrame, key: str, weight: str = "n")
     return hot.unionByName(rows.join(F.broadcast(often.select(key)), key, "left_anti").join(seldom, key))
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, buckets: int = 1024) -> DataFrame:
+def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, buckets: int = 1024, bucket: Column | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before this one in its group.
 
-    Rows are ordered by a hash bucket of ``order`` and then by ``order``. Sums are taken per (group, bucket) first, so a group
+    Rows are ordered by a hash bucket of ``order`` (or by ``bucket``, an int) and then by ``order``. Sums are taken per (group, bucket) first, so a group
     that holds a third of all rows is still spread over ``buckets`` window partitions; only one row per bucket is summed
     across buckets. Rows that agree in every ``order`` column are interchangeable. Null groups are groups."""
-    keyed = df.withColumn("_value", value.cast("long")).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    keyed = df.withColumn("_value", value.cast("long")).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int") if bucket is None else bucket)
     keys = [*group, "_bucket"]
     totals = keyed.groupBy(*keys).agg(F.sum("_value").alias("_total"))
     across = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

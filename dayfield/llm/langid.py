@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Orders of the blended spectrum, size of the hashed n-gram space, and how many characters are coded at a time.
 ORDERS, SPACE_BITS, CHUNK = (1, 2, 3), 17, 1 << 18
+#: Cells of one presence matrix.
+CELLS = 1 << 24
 
 
 def _codes(points: np.ndarray, owner: np.ndarray, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,28 +74,38 @@ class Model:
     orders: tuple[int, ...] = ORDERS
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """One row per text: kernel ridge outputs of the one-versus-rest problems, 0 where a text has no n-gram."""
+        """One row per text: kernel ridge outputs of the one-versus-rest problems, 0 where a text has no n-gram.
+
+        A block of texts is a matrix of n-gram presence over the n-grams that occur in it; its product with the weights gives all
+        outputs of the block."""
         out = np.zeros((len(texts), max(1, len(self.langs))))
         if not self.langs:
             return out
         for first, bounds, codes in presence(texts, self.orders):
             count = np.diff(bounds)
-            full = np.flatnonzero(count)
-            if len(full):
-                sums = np.add.reduceat(self.weights[codes], bounds[full], axis=0)
-                out[first + full] = sums / np.sqrt(count[full])[:, None]
+            used = np.zeros(1 << SPACE_BITS, bool)
+            used[codes] = True
+            column, weights = np.cumsum(used) - 1, self.weights[used]
+            block = max(1, CELLS // max(1, len(weights)))
+            for at in range(0, len(count), block):
+                n = count[at : at + block]
+                x = np.zeros((len(n), len(weights)), np.float32)
+                x[np.repeat(np.arange(len(n)), n), column[codes[bounds[at] : bounds[at + len(n)]]]] = 1
+                out[first + at : first + at + len(n)] = (x @ weights) / np.sqrt(np.maximum(n, 1))[:, None]
         return out
 
 
 def fit(features: list[np.ndarray], langs: list[str], landmarks: int = 160, ridge: float = 1e-3) -> Model:
-    """Nystroem kernel ridge regression on presence features (sorted distinct codes of each text)."""
+    """Nystroem kernel ridge regression on presence features (sorted distinct codes of each text).
+
+    Landmarks are dealt to the languages in turn: ``landmarks`` of them, and two of each language at least."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((1, 1)))
     y = np.array([names.index(x) for x in langs])
     by_class = [np.flatnonzero(y == c) for c in range(len(names))]
     order = [members[i] for i in range(max(map(len, by_class))) for members in by_class if i < len(members)]
-    chosen = [i for i in order if len(features[i])][:landmarks]
+    chosen = [i for i in order if len(features[i])][: max(landmarks, 2 * len(names))]
     if not chosen:
         return Model(names, np.zeros((1 << SPACE_BITS, len(names)), np.float32))
     table = np.zeros((1 << SPACE_BITS, len(chosen)), np.float32)

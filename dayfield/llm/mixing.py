@@ -5,34 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, prefix_sums, written
+from .common import WORD, bucket_count, prefix_sums, written
 
 #: Sums of tilted tokens are taken in this type, whose addition is exact, so that reruns agree.
 EXACT = "decimal(38,6)"
 
 
-def targets(sources: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, rounds: int = 200) -> DataFrame:
-    """(source, n_docs, source_size) -> the same with ``weight`` and ``target``.
+def targets(sources: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(source, n_docs, source_size) -> the same with ``weight``, ``full`` and ``target``.
 
     ``sources`` has one row per source. Targets share ``share`` of all sizes by weight; a source whose part would exceed
     ``most`` times its size stops there and the rest is shared again among the others, until none is above. Weights repeat over
-    the sources in code point order, null last."""
+    the sources in code point order, null last.
+
+    The sources that stop are those with the least size per weight: in that order, what a unit of weight gets if all sources
+    before stop is a prefix sum, and a source stops where that exceeds its own bound. One window over the sources, one row each."""
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
     repeat = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    state = written(sources.withColumn("weight", repeat).withColumn("full", F.lit(False)), "targets")
-    total = float(state.agg(F.sum("source_size")).first()[0] or 0) * share
-    left, open_weight = total, 0.0
-    for _ in range(rounds):
-        row = state.agg(F.sum(F.when(F.col("full"), F.col("source_size") * most).otherwise(0.0)).alias("used"), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).alias("open"), F.count_if("full").alias("n")).first()
-        left, open_weight = total - (row["used"] or 0.0), row["open"] or 0.0
-        if not open_weight:
-            break
-        part = F.lit(left) * F.col("weight") / F.lit(open_weight)
-        state = state.withColumn("full", F.col("full") | (part > F.col("source_size") * most))
-        if state.where("full").count() == row["n"]:
-            break
-    part = F.lit(left) * F.col("weight") / F.lit(open_weight) if open_weight else F.lit(0.0)
-    return state.withColumn("target", F.when(F.col("full"), F.col("source_size") * most).otherwise(part).cast("double"))
+    bound = (F.col("source_size") * most).cast("decimal(30,3)")
+    state = sources.withColumn("weight", repeat).withColumn("_bound", bound).withColumn("_each", F.col("source_size") * most / F.col("weight"))
+    before = Window.orderBy("_each", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    everywhere = Window.partitionBy(F.lit(0))
+    left = F.sum(F.col("source_size")).over(everywhere) * share - F.coalesce(F.sum("_bound").over(before), F.lit(0)).cast("double")
+    unit = left / (F.sum("weight").over(everywhere) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    state = state.withColumn("_unit", unit).withColumn("full", F.col("_unit") > F.col("_each"))
+    level = F.max(F.when(~F.col("full"), F.col("_unit"))).over(everywhere)
+    target = F.when(F.col("full"), F.col("source_size") * most).otherwise(level * F.col("weight")).cast("double")
+    return written(state.withColumn("target", target).drop("_bound", "_each", "_unit"), "targets")
 
 
 def _rate(lam: Column, size: Column, mean: Column, most: float) -> Column:
@@ -73,6 +72,47 @@ def balance(sizes: DataFrame, sources: DataFrame, most: float = 2.0, rounds: int
     return state
 
 
+def _hash(seed: int, doc: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit(seed), doc, text)
+
+
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _whole(size: Column, h: Column, most: float, seed: int) -> tuple[Column, Column]:
+    """(rate, words of the whole copies) of a row, given the columns of its source."""
+    rate = F.when(F.col("full"), F.lit(most)).when(F.col("source_size") == 0, F.lit(1.0)).otherwise(_rate(F.col("lam"), size, F.col("mean"), most))
+    chance = F.pmod(F.xxhash64(F.lit(seed + 1), h), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)
+    return rate, (copies * size).cast("long")
+
+
+def _room(size: Column, whole: Column, lack: Column, most: float) -> Column:
+    """How many words a row can still take, or give back."""
+    return F.when(lack >= 0, F.floor(F.lit(most) * size).cast("long") - whole).otherwise(whole)
+
+
+def _plan(docs: DataFrame, weights, share: float, most: float, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, state): one row of numbers per document with its place in the hash order, and one row per source."""
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(text).alias("size"), _hash(seed, F.col(id_col), text).alias("_h"))
+    rows = written(rows, "sizes")
+    sizes = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
+    sources = sizes.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size"))
+    state = balance(sizes, targets(sources, weights, share, most), most).select(F.col("source").alias("_source"), "n_docs", "source_size", "target", "full", "lam", "mean")
+    rate, whole = _whole(F.col("size"), F.col("_h"), most, seed)
+    rated = rows.join(state, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("rate", rate).withColumn("whole", whole)
+    lacks = written(rated.groupBy("source").agg((F.round(F.max("target")).cast("long") - F.sum("whole")).alias("lack")).withColumnRenamed("source", "_of"), "lacks")
+    state = written(state.join(lacks, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of"), "state")
+    rated = rated.join(lacks, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+    rated = rated.withColumn("room", _room(F.col("size"), F.col("whole"), F.col("lack"), most))
+    largest = state.agg(F.max("n_docs")).first()[0] or 0
+    held = bucket_count(state.agg(F.max("n_docs")).first()[0] or 0)
+    high = F.shiftright("_h", 64 - max(1, (held - 1).bit_length())).cast("int")
+    return prefix_sums(rated, ["source"], ["_h", "doc_id", "size"], F.col("room"), "before", bucket=high), state
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How much of each row the mix takes: doc_id, source, size, source_size, target, rate, taken.
 
@@ -81,42 +121,37 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     its size), and the taken words of a source equal its target to the word. No document is taken more than ``most`` times.
     Null texts and texts without words have size 0 and are taken 0; null sources are one source, the last. Repeated rows each
     count. Other columns are not read. An empty table gives no rows. Equal input gives equal output, whatever the partitioning."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"))
-    rows = written(rows, "sizes")
-    sizes = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
-    sources = sizes.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size"))
-    state = balance(sizes, targets(sources, weights, share, most), most).select(F.col("source").alias("_source"), "source_size", "target", "full", "lam", "mean")
-    rated = rows.join(state, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rated = rated.withColumn("rate", F.when(F.col("full"), F.lit(most)).when(F.col("source_size") == 0, F.lit(1.0)).otherwise(_rate(F.col("lam"), F.col("size"), F.col("mean"), most)))
-    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    rated = rated.withColumn("whole", (copies * F.col("size")).cast("long"))
-    lacks = rated.groupBy("source").agg((F.round(F.max("target")).cast("long") - F.sum("whole")).alias("lack")).withColumnRenamed("source", "_source")
-    rated = rated.join(lacks, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rated = rated.withColumn("room", F.when(F.col("lack") >= 0, F.floor(F.lit(most) * F.col("size")).cast("long") - F.col("whole")).otherwise(F.col("whole")))
-    placed = prefix_sums(rated, ["source"], ["_h", "doc_id", "size"], F.col("room"), "before", 1024)
+    placed, _ = _plan(docs, weights, share, most, seed, id_col, text_col, source_col)
     change = F.greatest(F.least(F.abs("lack") - F.col("before"), F.col("room")), F.lit(0))
     taken = (F.col("whole") + F.when(F.col("lack") >= 0, change).otherwise(-change)).cast("long")
     return placed.select("doc_id", "source", "size", "source_size", "target", "rate", taken.alias("taken"), "_h")
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the rows of ``docs`` as often as the mix takes them; the one part copy of a source is cut between words.
-
-    Rows are matched by id, source and text, so repeated rows are spread evenly over their copies."""
-    text = F.col("text")
-    plan = mix(docs, **options).groupBy("doc_id", "source", "_h").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count("*").alias("_rows"))
-    seed = options.get("seed", 42)
-    key = docs.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"), text))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_h").alias("_key"), "_taken", "_size", "_rows")
-    joined = key.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_h") == F.col("_key")))
-    each = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_rows")))
-    last = F.when(F.col("_size") > 0, each % F.col("_size"))
-    copies = F.when(F.col("_size") > 0, F.ceil(each / F.col("_size"))).otherwise(0).cast("int")
-    rows = joined.withColumn("_last", last).withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    cut = F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("_last").cast("int")), " ")
-    part = (F.col("_copy") == F.col("_copies")) & (F.col("_last") > 0)
-    rows = rows.withColumn("text", F.when(part, cut).otherwise(text))
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, broadcast_sources: int = 100_000) -> DataFrame:
+    """The mixed corpus: the rows of ``docs`` as often as ``mix`` takes them; the part copy of a source is cut between words.
+
+    A row's copies follow from its source, its hash and the one place in the hash order of its source where the correction ends,
+    so one row per source (counted: broadcast up to ``broadcast_sources``, else joined) meets the texts and no text is shuffled. Rows
+    that are equal at that place share the part evenly, rounded down. Documents without words are not taken; null texts and
+    sources are as ``mix`` says; an empty table gives no rows. Columns of ``docs`` come back unchanged but for a cut text and, if
+    there, its n_chars."""
+    placed, state = _plan(docs, weights, share, most, seed, "doc_id", "text", "source")
+    few = F.broadcast if state.count() <= broadcast_sources else (lambda df: df)
+    ends = written(placed.where((F.col("room") > 0) & (F.col("before") < F.abs("lack"))).groupBy(F.col("source").alias("_s")).agg(F.max("_h").alias("_end")), "ends")
+    last = placed.select("source", "_h", "before", "lack").join(few(ends), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_end")))
+    parts = last.groupBy("_s", "_end").agg(F.floor((F.max(F.abs("lack")) - F.min("before")) / F.count("*")).cast("long").alias("_part"))
+    held = written(state.join(parts, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"), "ends")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source"), _size(F.col("text")).alias("size"), _hash(seed, F.col("doc_id"), F.col("text")).alias("_h"))
+    rows = rows.join(few(held), F.col("source").eqNullSafe(F.col("_source"))).withColumn("whole", _whole(F.col("size"), F.col("_h"), most, seed)[1])
+    rows = rows.withColumn("room", _room(F.col("size"), F.col("whole"), F.col("lack"), most))
+    change = F.when(F.col("_h") < F.col("_end"), F.col("room")).when(F.col("_h") == F.col("_end"), F.least("room", "_part")).otherwise(0)
+    rows = rows.withColumn("taken", F.col("whole") + F.when(F.col("lack") >= 0, change).otherwise(-change)).where("size > 0 and taken > 0")
+    rows = rows.withColumn("copies", F.ceil(F.col("taken") / F.col("size")).cast("int")).withColumn("rest", (F.col("taken") % F.col("size")).cast("int"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    text, part = F.col("row.text"), (F.col("copy") == F.col("copies")) & (F.col("rest") > 0)
+    cut = F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("rest")), " ")
+    out = rows.withColumn("row", F.col("row").withField("text", F.when(part, cut).otherwise(text)))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("row", F.col("row").withField("n_chars", F.when(part, F.length("row.text").cast(kind)).otherwise(F.col("row.n_chars"))))
+    return out.select("row.*")

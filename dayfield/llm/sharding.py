@@ -8,7 +8,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, written
+from .common import bucket_count, prefix_sums, written
 
 #: A prime below 2^31: products of two residues stay inside a signed 64-bit integer.
 PRIME = 2147483647
@@ -47,14 +47,14 @@ def permute(number: Column, n: int, seed: int = 42, rounds: int = 6) -> Column:
     return F.aggregate(F.array(once(number.cast("long"))), F.lit(0).cast("long"), lambda _, x: F.when(x < n, x).otherwise(F.aggregate(steps, x, lambda s, __: F.when(s < n, s).otherwise(once(s)))))
 
 
-def global_numbers(rows: DataFrame, keys: list[str], buckets: int = 4096) -> tuple[DataFrame, int]:
+def global_numbers(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     """``rows`` with ``row_number`` 0..n-1 and n. The number depends on the values of ``keys`` alone, not on files or tasks.
 
     Rows that agree in all ``keys`` are counted first and unfolded again in runs of 100,000, so a third of all rows may be
     the same row."""
     counted = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")), "numbered")
     n = counted.agg(F.sum("_n")).first()[0] or 0
-    first = prefix_sums(counted, [], keys, F.col("_n"), "_first", buckets)
+    first = prefix_sums(counted, [], keys, F.col("_n"), "_first", bucket_count(n))
     run = 100_000
     runs = first.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / run).cast("long"))))
     copies = runs.withColumn("_copy", F.explode(F.sequence(F.col("_run") * run, F.least(F.col("_run") * run + run, F.col("_n")) - 1)))

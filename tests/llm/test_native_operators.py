@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -172,3 +173,58 @@ def test_mixed_rows_have_the_taken_words(spark):
     taken = sum(r["taken"] for r in mixing.mix(docs).collect())
     out = mixing.mixed_rows(docs)
     assert out.columns == docs.columns and sum(len(r["text"].split()) for r in out.collect()) == taken
+
+
+def test_mixed_rows_agree_with_the_plan_row_by_row(spark):
+    draw = random.Random(12)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(draw.randrange(0, 40))), draw.choice(["a", "a", "b", "é", None]), 0, "e", 1, 2) for i in range(300)]
+    rows += [(None, "no id at all", "b", 0, "e", 1, 2), (900, None, "a", 0, "e", 1, 2), (901, "", None, 0, "e", 1, 2), (902, "very long " * 150_000, "b", 0, "e", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, _end string, _h int, copies int")
+    want = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect() if r["taken"]}
+    for few in (100_000, 0):
+        out = mixing.mixed_rows(docs, broadcast_sources=few)
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        got: Counter = Counter()
+        for r in out.collect():
+            got[r["doc_id"]] += len(r["text"].split())
+            assert (r["_end"], r["_h"], r["copies"]) == ("e", 1, 2) and r["n_chars"] in (0, len(r["text"]))
+        assert dict(got) == want
+
+
+def test_mixed_rows_of_repeated_rows_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "one two three", "a")] * 50 + [(2, "four five", "a"), (3, "six", "b")], "doc_id long, text string, source string")
+    out = mixing.mixed_rows(docs)
+    words = sum(len(r["text"].split()) for r in out.where("source = 'a'").collect())
+    taken = sum(r["taken"] for r in mixing.mix(docs).where("source = 'a'").collect())
+    assert 0 <= taken - words < 50
+    assert mixing.mixed_rows(docs.limit(0)).count() == 0
+
+
+def test_targets_on_many_random_sources(spark):
+    draw = random.Random(13)
+    for _ in range(4):
+        sizes = {f"s{i:02}": draw.choice([0, 1, 5, 50, 1000, draw.randrange(1, 100_000)]) for i in range(draw.randrange(1, 25))} | {None: draw.randrange(0, 500)}
+        if not sum(sizes.values()):
+            continue
+        sources = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, n_docs long, source_size long")
+        got, want = {r["source"]: r["target"] for r in mixing.targets(sources).collect()}, brute_targets(sizes)
+        assert all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in sizes)
+
+
+def test_multipliers_solve_the_dual(spark):
+    """The tilt of each source against a plain bisection over its own documents."""
+    draw = random.Random(14)
+    sizes = {s: [draw.randrange(1, 200) for _ in range(80)] for s in "abcd"}
+    docs = spark.createDataFrame([(i, "w " * n, s) for s in sizes for i, n in enumerate(sizes[s])], "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    for s, own in sizes.items():
+        mine = [r for r in rows if r["source"] == s]
+        mean, target = sum(own) / len(own), mine[0]["target"]
+        if target >= 2 * sum(own):
+            continue
+        rate = lambda lam, n: min(2.0, math.exp(min(5.0, max(-60.0, lam * n / mean))))
+        lo, hi = -400.0, 400.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * rate(mid, n) for n in own) < target else (lo, mid)
+        assert all(abs(r["rate"] - rate(lo, r["size"])) < 1e-3 for r in mine)

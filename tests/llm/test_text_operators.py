@@ -87,6 +87,26 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_scores_match_an_explicit_kernel_ridge():
+    """Kernel values from Python sets, landmarks and ridge solved directly, against the folded weights and block products."""
+    draw = random.Random(11)
+    pools = {"aa": "abcdeé ", "bb": "abxyzž ", "cc": "кошмапт "}
+    rows = [("".join(draw.choices(pools[lang], k=draw.randrange(5, 60))), lang) for lang in draw.choices(list(pools), k=90)]
+    texts, langs = [t for t, _ in rows], [x for _, x in rows]
+    sets = [set(codes[bounds[i] : bounds[i + 1]].tolist()) for _, bounds, codes in langid.presence(texts) for i in range(len(bounds) - 1)]
+    model = langid.fit([np.array(sorted(s)) for s in sets[:60]], langs[:60], landmarks=12, ridge=1e-3)
+    names = sorted(set(langs[:60]))
+    members = {n: [i for i in range(60) if langs[i] == n] for n in names}
+    chosen = [members[n][k] for k in range(60) for n in names if k < len(members[n])][:12]
+    kernel = lambda a, b: len(sets[a] & sets[b]) / np.sqrt(len(sets[a]) * len(sets[b]))
+    k_nm, k_mm = np.array([[kernel(i, j) for j in chosen] for i in range(60)]), np.array([[kernel(i, j) for j in chosen] for i in chosen])
+    w = np.diag([60 / (len(names) * len(members[x])) for x in langs[:60]])
+    y = np.array([[float(x == n) for n in names] for x in langs[:60]])
+    alpha = np.linalg.solve(k_nm.T @ w @ k_nm + 1e-3 * 60 * k_mm + 1e-6 * np.eye(12), k_nm.T @ w @ y)
+    wanted = np.array([[kernel(i, j) for j in chosen] for i in range(60, 90)]) @ alpha
+    assert model.langs == names and np.abs(model.scores(texts[60:]) - wanted).max() < 1e-3
+
+
 def test_language_edge_cases(spark):
     rows = [(1, None, "en"), (2, "12 34", "en"), (3, "the and of " * 40, "en"), (4, "der die und " * 40, "de"), (5, "der und " * 200000, None), (None, "the of", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "0 as score")
