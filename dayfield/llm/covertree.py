@@ -260,7 +260,7 @@ def _block_pair(group: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(np.concatenate(out_a).astype(np.int64)), "b": pa.array(np.concatenate(out_b).astype(np.int64), mask=n > 0), "n": pa.array(n)})
 
 
-def links(classes: DataFrame, threshold: float, node_rows: int = 4096, block: int = 8192) -> DataFrame:
+def links(classes: DataFrame, threshold: float, node_rows: int = 4096, block: int = 4096) -> DataFrame:
     """(a, b, n) over ``classes`` (class, vec, w): n other vectors link with class a (b null), or a and b are connected (n 0)."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     rows, nodes = build(classes, reach, node_rows)
@@ -284,7 +284,7 @@ def links(classes: DataFrame, threshold: float, node_rows: int = 4096, block: in
     return written(found.union(within), "links")
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.9, node_rows: int = 4096, block: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.9, node_rows: int = 4096, block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per vec_id: vec_id, n_links, component_id, kept.
 
     Two vectors link if their cosine (double precision) is ``threshold`` or more. Equal vectors (by two 64-bit hashes) are one class
