@@ -22,6 +22,9 @@ FROM (SELECT vec_id, label, CAST(EL(1) AS DOUBLE) AS x, CAST(EL(2) AS DOUBLE) AS
     "b_points": """SELECT s_suppkey AS pt_id, CAST(s_suppkey * 37 % 101 AS DOUBLE)/10 AS x, CAST(s_suppkey * 53 % 97 AS DOUBLE)/10 AS y,
   1.2E0 AS z, CAST(s_suppkey % 3 AS INT) AS level FROM {supplier}""",
     "b_queries": """SELECT c_custkey AS q_id, CAST(c_custkey * 41 % 1009 AS DOUBLE)/100 AS x, CAST(c_custkey * 59 % 997 AS DOUBLE)/100 AS y, 1.2E0 AS z FROM {customer}""",
+    "b_asked": """SELECT q_id, x, y, z, r*cos(phi) AS sx, r*sin(phi) AS sy, sz FROM (
+ SELECT c_custkey AS q_id, CAST(c_custkey * 41 % 1009 AS DOUBLE)/100 AS x, CAST(c_custkey * 59 % 997 AS DOUBLE)/100 AS y, 1.2E0 AS z, 6.283185307179586E0 * (c_custkey*104729 % 100003) / 100003 AS phi,
+  (c_custkey*7919 % 10007 + 5E-1) / 10007 AS sz, sqrt(1 - ((c_custkey*7919 % 10007 + 5E-1) / 10007) * ((c_custkey*7919 % 10007 + 5E-1) / 10007)) AS r FROM {customer}) c""",
     "b_weather": """SELECT CAST(user_id % 3 AS INT) AS station, CAST(month(ts) AS INT) AS month, CAST(day(ts) AS INT) AS day, hour(ts) + 0.5E0 AS hour,
   avg(value) AS dir_norm, 5E-1*avg(value) + 1 AS dif_horiz FROM {events} GROUP BY user_id % 3, month(ts), day(ts), hour(ts)""",
     "b_sky": """SELECT CAST(year(o_orderdate)*12 + month(o_orderdate) AS INT) AS t, CAST(o_orderkey % 16 AS INT) AS patch, CAST(sum(o_totalprice) AS DOUBLE)/1E6 AS coef

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +15,65 @@ SCALE = 179.0
 
 
 def coefficient_product(sky: DataFrame, contrib: DataFrame, keys: list[str], value: str = "value", out: str = "value", channel: str | None = None) -> DataFrame:
-    """(t, keys, out): sum over patches of coef * value. Patches (and channels) are joined and summed in one grouping."""
-    on = ["patch"] + ([channel] if channel else [])
-    by = ["t", *keys] + ([channel] if channel else [])
-    return sky.join(contrib, on).groupBy(*by).agg(F.sum(F.col("coef") * F.col(value)).alias(out))
+    """(t, keys, [channel,] out): sum over patches of coef * value, for every pair of a time and a key that share a patch.
+
+    A block product: keys and times are dealt into blocks by hash, blocks meet as (key block, time block), and each pair of blocks
+    is one matrix product over the patches. A contribution is copied once per time block and a coefficient once per key block, so no
+    row per (time, key, patch) exists before the sum, and there are as many tasks as block pairs, however few patches there are.
+    Repeated rows of one patch add up; null keys are keys; null values and patches are left out."""
+    on = [channel] if channel else []
+    keys = [k for k in keys if k not in on]
+    time_blocks, key_blocks = _blocks(sky, ["t"]), _blocks(contrib, keys)
+    coefs = sky.where("patch is not null and coef is not null").select("t", "patch", F.col("coef").cast("double").alias("_v"), *on).withColumn("_tb", F.pmod(F.xxhash64("t"), F.lit(time_blocks)).cast("int"))
+    rows = contrib.where("patch is not null").select(*keys, *on, "patch", F.col(value).cast("double").alias("_v")).where("_v is not null")
+    rows = rows.withColumn("_kb", F.pmod(F.xxhash64(*keys), F.lit(key_blocks)).cast("int"))
+    left = rows.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(time_blocks - 1))))
+    right = coefs.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(key_blocks - 1))))
+    schema = ", ".join([f"`t` {sky.schema['t'].dataType.simpleString()}", *(f"`{k}` {contrib.schema[k].dataType.simpleString()}" for k in [*keys, *on]), f"`{out}` double"])
+    return left.groupBy("_kb", "_to", *on).cogroup(right.groupBy("_of", "_tb", *on)).applyInArrow(lambda x, y: _product(x, y, keys, on, out), schema)
+
+
+#: Times and keys in one block, about.
+BLOCK = 2048
+
+
+def _blocks(rows: DataFrame, keys: list[str]) -> int:
+    return max(1, -(-(rows.agg(F.approx_count_distinct(F.struct(*keys))).first()[0] or 0) // BLOCK))
+
+
+def _coded(table: pa.Table, names: list[str]) -> tuple[np.ndarray, pa.Table]:
+    """(code of each row, the distinct rows of ``names`` by code)."""
+    codes = np.zeros(table.num_rows, np.int64)
+    for n in names:
+        part = table.column(n).combine_chunks().dictionary_encode(null_encoding="encode")
+        part = part.chunk(0) if isinstance(part, pa.ChunkedArray) else part
+        codes = np.unique(codes * (len(part.dictionary) + 1) + part.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
+    return codes, table.select(names).take(pa.array(first))
+
+
+def _product(left: pa.Table, right: pa.Table, keys: list[str], on: list[str], out: str) -> pa.Table:
+    """Keys x patches times patches x times; pairs without a common patch give no row."""
+    if not left.num_rows or not right.num_rows:
+        left, right = left.slice(0, 0), right.slice(0, 0)
+    patches = np.union1d(left.column("patch").to_numpy(), right.column("patch").to_numpy())
+    row, named = _coded(left, keys)
+    column, times = _coded(right, ["t"])
+    a, b = np.zeros((named.num_rows, len(patches))), np.zeros((len(patches), times.num_rows))
+    p, q = np.searchsorted(patches, left.column("patch").to_numpy()), np.searchsorted(patches, right.column("patch").to_numpy())
+    np.add.at(a, (row, p), left.column("_v").to_numpy())
+    np.add.at(b, (q, column), right.column("_v").to_numpy())
+    has_a, has_b = np.zeros(a.shape, np.float32), np.zeros(b.shape, np.float32)
+    has_a[row, p], has_b[q, column] = 1, 1
+    i, j = np.nonzero(has_a @ has_b)
+    values = (a @ b)[i, j]
+    columns = {"t": times.column("t").take(pa.array(j))} | {k: named.column(k).take(pa.array(i)) for k in keys}
+    columns |= {c: pa.array([left.column(c)[0].as_py()] * len(i), left.column(c).type) if left.num_rows else left.column(c) for c in on}
+    return pa.table(columns | {out: pa.array(values)})
 
 
 def dense_product(sky_arrays: DataFrame, ray_arrays: DataFrame, keys: list[str]) -> DataFrame:
-    """The same over array columns: ``coefs`` per time and ``lums`` per key, both ordered by patch."""
+    """The same over array columns: ``coefs`` per time and ``lums`` per key, both ordered by patch. A row per time and key by definition."""
     pairs = sky_arrays.crossJoin(ray_arrays)
     return pairs.select("t", *keys, F.aggregate(F.zip_with("coefs", "lums", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("value"))
 

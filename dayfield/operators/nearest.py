@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 XYZ, DXYZ = ("x", "y", "z"), ("dx", "dy", "dz")
+#: Rows of a right side that every task may hold: under a megabyte of coordinates.
+SMALL = 20_000
 
 
 def squared(left: str, right: str, coords: tuple[str, ...]) -> Column:
@@ -25,12 +31,22 @@ def _around(cells: list[Column]) -> Column:
     return F.array(*(F.array(*(c + step for c, step in zip(cells, steps, strict=True))) for steps in itertools.product((-1, 0, 1), repeat=len(cells))))
 
 
-def _scale(right: DataFrame, coords: tuple[str, ...], reach: float) -> tuple[list[float], float, int]:
-    """Lower corner, cell size for about one row a cell, and the number of doublings after which one cell covers everything."""
+def _scale(right: DataFrame, coords: tuple[str, ...], reach: float, by: tuple[str, ...] = (), crowd: int = 64) -> tuple[list[float], float, int]:
+    """Lower corner, finest cell size, and the number of doublings after which one cell covers everything.
+
+    The size starts at about one row a cell if rows were even; while a cell holds more than ``crowd`` rows, and splitting it still
+    helps (rows of one place cannot be split), it is quartered."""
     row = right.agg(F.count("*").alias("n"), *(F.max(c).alias(f"hi_{c}") for c in coords), *(F.min(c).alias(f"lo_{c}") for c in coords)).first()
     low = [(row[f"lo_{c}"] or 0.0) - reach for c in coords]
     extent = max(max((row[f"hi_{c}"] or 0.0) + reach - lo for c, lo in zip(coords, low, strict=True)), 1e-9) * 1.001
     finest = extent / max(1.0, row["n"] ** (1 / max(1, len(coords) - 1 if len(coords) > 2 else len(coords))))  # directions lie on a surface
+    most = None
+    while row["n"] > crowd and finest > extent / 2**30:
+        cells = right.groupBy(*by, *(F.floor((F.col(c) - lo) / finest) for c, lo in zip(coords, low, strict=True))).count()
+        now = cells.agg(F.max("count")).first()[0]
+        if now <= crowd or (most is not None and now > 0.9 * most):
+            break
+        most, finest = now, finest / 4
     return low, finest, max(0, math.ceil(math.log2(extent / finest)))
 
 
@@ -39,14 +55,17 @@ def _hashed_around(cells: list[Column]) -> Column:
     return F.array(*(F.xxhash64("_level", *(c + step for c, step in zip(cells, steps, strict=True))) for steps in itertools.product((-1, 0, 1), repeat=len(cells))))
 
 
-def knn(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coords: tuple[str, ...] = XYZ, k: int = 1, reach: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
+def knn(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coords: tuple[str, ...] = XYZ, k: int = 1, reach: float = 0.0, by: tuple[str, ...] = (), small: int = SMALL) -> DataFrame:
     """(by.., left_id, right_id, dist, rank): the k nearest rows of ``right`` for each row of ``left``, ties to the smaller id.
 
-    Rows of ``right`` are counted in cells of doubling size. A row of ``left`` takes the finest level at which its own cell holds k
-    rows, and the k-th distance in that cell; the finest level whose cells are at least as wide holds the true neighbours in
+    A ``right`` side of up to SMALL rows (counted) is sent to every task and searched by blocks of distances (``knn_small``). Beyond,
+    rows of ``right`` are counted in cells of doubling size. A row of ``left`` takes the finest level at which its own cell holds k
+    rows, and the largest distance in that cell; the finest level whose cells are at least as wide holds the true neighbours in
     the block around its cell. All steps are equi joins on (level, cell), and on the columns ``by`` if rows match only
     within them; a cell is a hash of its level and indices, and a collision only adds rows that the distance then rules out. ``reach`` is the largest distance by which ``left`` lies outside the extent of ``right``."""
-    low, finest, doublings = _scale(right, coords, reach)
+    if small and not by and right.limit(small + 1).count() <= small:
+        return knn_small(left, right, left_id, right_id, coords, k)
+    low, finest, doublings = _scale(right, coords, reach, by, 64 * k)
     up = math.ceil(math.log2(math.sqrt(len(coords)))) if len(coords) > 1 else 0
     size = F.lit(finest) * F.pow(F.lit(2.0), F.col("_level"))
     cell = lambda side: [F.floor((F.col(f"{side}{c}") - lo) / size).cast("long") for c, lo in zip(coords, low, strict=True)]
@@ -58,7 +77,7 @@ def knn(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coords:
     probes = own.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(doublings)))).withColumn("_cell", F.xxhash64("_level", *cell("_l_")))
     level = probes.join(counts, cells, "left_semi").groupBy(*ids).agg(F.min("_level").alias("_level"))
     inside = own.join(level, ids).withColumn("_cell", F.xxhash64("_level", *cell("_l_"))).join(at, cells).select(*ids, squared("_l_", "_r_", coords).alias("_d2"))
-    edge = F.min("_d2") if k == 1 else F.element_at(F.array_sort(F.collect_list("_d2")), k)  # a cell one level down held fewer than k
+    edge = F.min("_d2") if k == 1 else F.max("_d2")  # the cell holds k rows at least
     wide = F.ceil(F.log2(F.greatest(F.sqrt("_edge"), F.lit(1e-300)) / finest * (1 + 1e-9)))
     bound = inside.groupBy(*ids).agg(edge.alias("_edge")).select(*ids, "_edge", F.greatest(wide, F.lit(0)).cast("int").alias("_level"))
     search = own.join(bound, ids, "left").withColumn("_level", F.least(F.coalesce("_level", F.lit(doublings + up)), F.lit(doublings + up)))
@@ -75,14 +94,37 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coor
     return knn(left, right, left_id, right_id, coords, 1, reach).drop("rank")
 
 
-def nearest_small(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coords: tuple[str, ...] = XYZ, most: int = 10_000) -> DataFrame:
-    """The same for a ``right`` side of at most ``most`` rows, which is counted before it is broadcast; beyond, the cell join."""
-    if right.limit(most + 1).count() > most:
-        return nearest(left, right, left_id, right_id, coords)
-    small = F.broadcast(right.select(F.col(right_id), *(F.col(c).alias(f"_r_{c}") for c in coords)))
-    own = left.select(F.col(left_id), *(F.col(c).alias(f"_l_{c}") for c in coords))
-    best = own.crossJoin(small).groupBy(left_id).agg(F.min(F.struct(squared("_l_", "_r_", coords).alias("_d2"), F.col(right_id))).alias("_b"))
-    return best.select(left_id, F.col(f"_b.{right_id}").alias(right_id), F.sqrt("_b._d2").alias("dist"))
+def knn_small(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coords: tuple[str, ...], k: int) -> DataFrame:
+    """``knn`` against a ``right`` side that every task holds: blocks of ``left`` rows times all of ``right``, ties to the smaller id.
+
+    One scan of ``left``, no shuffle but for repeated rows of one id, which give the same answer once."""
+    table = right.select(F.col(right_id).alias("id"), *(F.col(c).cast("double").alias(c) for c in coords)).where(F.col("id").isNotNull()).toArrow()
+    order = pc.sort_indices(table.column("id"))
+    ids, at = table.column("id").take(order).combine_chunks(), np.array([table.column(c).take(order).to_numpy() for c in coords])
+    held = left.sparkSession.sparkContext.broadcast((ids, at))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, at = held.value
+        n, block = len(ids), max(1, (1 << 20) // max(1, len(ids)))
+        for batch in batches:
+            asked = np.array([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(at))])
+            for start in range(0, batch.num_rows if n else 0, block):
+                part = asked[:, start : start + block]
+                d2 = sum((part[c][:, None] - at[c][None]) * (part[c][:, None] - at[c][None]) for c in range(len(at)))
+                if k == 1:
+                    best = d2.argmin(axis=1)[:, None]
+                else:
+                    top = np.argpartition(d2, min(k, n) - 1, axis=1)[:, : min(k, n)]
+                    edge = np.take_along_axis(d2, top, 1).max(axis=1)
+                    best = np.take_along_axis(top, np.lexsort((top, np.take_along_axis(d2, top, 1))), 1)
+                    for i in np.flatnonzero((d2 <= edge[:, None]).sum(axis=1) > min(k, n)):
+                        best[i] = np.lexsort((np.arange(n), d2[i]))[: min(k, n)]
+                rows, width = np.repeat(np.arange(start, start + len(best)), best.shape[1]), best.shape[1]
+                dist = np.sqrt(np.take_along_axis(d2, best, 1)).ravel()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), ids.take(pa.array(best.ravel())), pa.array(dist), pa.array(np.tile(np.arange(1, width + 1, dtype=np.int32), len(best)))], [left_id, right_id, "dist", "rank"])
+
+    kinds = f"`{left_id}` {left.schema[left_id].dataType.simpleString()}, `{right_id}` {right.schema[right_id].dataType.simpleString()}, dist double, rank int"
+    return left.select(left_id, *(F.col(c).cast("double") for c in coords)).distinct().mapInArrow(search, kinds)
 
 
 def within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float, coords: tuple[str, ...] = DXYZ) -> DataFrame:
@@ -144,16 +186,24 @@ def points_by_sun(queries: DataFrame, suns: DataFrame, sun_points: DataFrame, sc
     lifted by the error of its sun (chord over ``scale``) and every position takes the nearest lifted point, so a better sun
     wins over a slightly nearer point; the points used are kept. One plan for all queries."""
     found = candidate_suns(queries, suns, tolerance_deg, least).join(sun_points, "sun_id")
-    sampled = found.select("q_id", "sun_id", "pt_id", "x", "y", "z", "chord")
+    sampled = found.select("q_id", "x", "y", "z", F.struct("pt_id", "sun_id", "chord").alias("b"))
     if fixed is not None:
-        each = sampled.select("q_id").distinct().crossJoin(F.broadcast(fixed.select(F.col("pt_id").alias("_f"), *(F.col(c).alias(f"_l_{c}") for c in XYZ))))
-        near = each.join(sampled, "q_id").groupBy("q_id", "_f", *(f"_l_{c}" for c in XYZ)).agg(F.min_by(F.struct("sun_id", "chord"), F.struct(squared("_l_", "", XYZ), "pt_id", "sun_id")).alias("b"))
-        sampled = sampled.unionByName(near.select("q_id", F.col("b.sun_id").alias("sun_id"), F.col("_f").alias("pt_id"), *(F.col(f"_l_{c}").alias(c) for c in XYZ), F.col("b.chord").alias("chord")))
-    lifted = sampled.withColumn("_z", F.col("z") + F.col("chord") / scale)
-    left = sampled.select("q_id", *(F.col(c).alias(f"_l_{c}") for c in XYZ)).distinct()
-    d2 = (F.col("_l_x") - F.col("x")) ** 2 + (F.col("_l_y") - F.col("y")) ** 2 + (F.col("_l_z") - F.col("_z")) ** 2
-    best = left.join(lifted, "q_id").groupBy("q_id", "_l_x", "_l_y", "_l_z").agg(F.min_by(F.struct("pt_id", "sun_id", "x", "y", "z", "chord"), F.struct(d2, "pt_id", "sun_id")).alias("b"))
-    return best.select("q_id", "b.pt_id", "b.sun_id", "b.x", "b.y", "b.z", F.degrees(2 * F.asin(F.col("b.chord") / 2)).alias("error_deg")).distinct()
+        near = fixed_to_suns(sampled, fixed)
+        sampled = sampled.unionByName(near.select("q_id", *XYZ, F.struct(F.col("pt_id"), F.col("sun_id"), F.col("chord")).alias("b")))
+    lifted = sampled.select("q_id", "x", "y", (F.col("z") + F.col("b.chord") / scale).alias("z"), "b")
+    spots = sampled.select("q_id", F.struct(*XYZ).alias("spot"), *XYZ).distinct()
+    used = knn(spots, lifted, "spot", "b", XYZ, 1, 10.0, ("q_id",)).select("q_id", "b").distinct()
+    at = sampled.select("q_id", *XYZ, "b").distinct()
+    return used.join(at, ["q_id", "b"]).select("q_id", "b.pt_id", "b.sun_id", *XYZ, F.degrees(2 * F.asin(F.col("b.chord") / 2)).alias("error_deg"))
+
+
+def fixed_to_suns(sampled: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(q_id, pt_id, x, y, z, sun_id, chord): every fixed point in every query, with the sun of the nearest sampled point of the query.
+
+    ``sampled`` is (q_id, x, y, z, b), b = (pt_id, sun_id, chord). The result has a row per query and fixed point by definition."""
+    each = sampled.select("q_id").distinct().crossJoin(fixed.select(F.col("pt_id").alias("_f"), *XYZ))
+    near = knn(each, sampled, "_f", "b", XYZ, 1, 10.0, ("q_id",))
+    return each.join(near, ["q_id", "_f"]).select("q_id", F.col("_f").alias("pt_id"), *XYZ, "b.sun_id", "b.chord")
 
 
 def per_distinct(rows: DataFrame, keys: list[str], compute) -> DataFrame:

@@ -17,7 +17,7 @@ V2 = "(q.dx-p.dx)*(q.dx-p.dx)+(q.dy-p.dy)*(q.dy-p.dy)+(q.dz-p.dz)*(q.dz-p.dz)"
 #: Nearest plan point of each query, ties to the smaller id.
 NEAR = f"near AS (SELECT q_id, pt_id, d2 FROM (SELECT q.q_id, p.pt_id, {D2} AS d2, row_number() OVER (PARTITION BY q.q_id ORDER BY {D2}, p.pt_id) AS k FROM b_queries q, b_points p) WHERE k = 1)"
 SUNS = "SELECT ray_id AS sun_id, dx AS sx, dy AS sy, dz AS sz, CAST(ray_id % 2 AS INT) AS level FROM b_rays WHERE dz > 0"
-ASKED = "SELECT ray_id AS q_id, dx AS sx, dy AS sy, dz AS sz FROM b_dirs WHERE dz > 0 AND ray_id % 50 = 1"
+ASKED = "SELECT q_id, sx, sy, sz FROM b_asked"
 
 
 def suns(spark, sf_dir):
@@ -26,8 +26,8 @@ def suns(spark, sf_dir):
 
 
 def asked(spark, sf_dir):
-    dirs = binding(spark, sf_dir, "b_dirs").where("dz > 0 and ray_id % 50 = 1")
-    return dirs.select(F.col("ray_id").alias("q_id"), F.col("dx").alias("sx"), F.col("dy").alias("sy"), F.col("dz").alias("sz"))
+    """The suns and positions that are looked up."""
+    return binding(spark, sf_dir, "b_asked")
 
 
 def near_points(spark, sf_dir):
@@ -47,14 +47,13 @@ def jn02_nearest_point(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    s, p = suns(spark, sf_dir).where("sun_id % 5 = 0"), binding(spark, sf_dir, "b_points")
+    s, p = suns(spark, sf_dir), binding(spark, sf_dir, "b_points")
     return s.crossJoin(p.drop("level")).select((F.col("sun_id") * 100000 + F.col("pt_id")).alias("pair_id"), "sx", "sy", "sz", "x", "y", "z")
 
 
-@query(oracle("SELECT q_id, pair_id, round(sqrt(d2), 6) AS dist FROM (SELECT q_id, pair_id, d2, row_number() OVER (PARTITION BY q_id ORDER BY d2, pair_id) AS k FROM (SELECT a.q_id, s.sun_id*100000 + p.pt_id AS pair_id, (a.sx-s.sx)*(a.sx-s.sx)+(a.sy-s.sy)*(a.sy-s.sy)+(a.sz-s.sz)*(a.sz-s.sz)+(a.x*0.1-p.x*0.1)*(a.x*0.1-p.x*0.1)+(a.y*0.1-p.y*0.1)*(a.y*0.1-p.y*0.1)+(a.z*0.1-p.z*0.1)*(a.z*0.1-p.z*0.1) AS d2 FROM asked a, suns s, b_points p WHERE s.sun_id % 5 = 0)) WHERE k = 1", "b_rays", "b_dirs", "b_points", ctes=f"suns AS ({SUNS}), asked AS (SELECT *, CAST(q_id % 97 AS DOUBLE)/10 AS x, CAST(q_id % 89 AS DOUBLE)/10 AS y, 1.2E0 AS z FROM ({ASKED}))"))
+@query(oracle("SELECT q_id, pair_id, round(sqrt(d2), 6) AS dist FROM (SELECT q_id, pair_id, d2, row_number() OVER (PARTITION BY q_id ORDER BY d2, pair_id) AS k FROM (SELECT a.q_id, s.sun_id*100000 + p.pt_id AS pair_id, (a.sx-s.sx)*(a.sx-s.sx)+(a.sy-s.sy)*(a.sy-s.sy)+(a.sz-s.sz)*(a.sz-s.sz)+(a.x*0.1-p.x*0.1)*(a.x*0.1-p.x*0.1)+(a.y*0.1-p.y*0.1)*(a.y*0.1-p.y*0.1)+(a.z*0.1-p.z*0.1)*(a.z*0.1-p.z*0.1) AS d2 FROM b_asked a, suns s, b_points p)) WHERE k = 1", "b_rays", "b_asked", "b_points", ctes=f"suns AS ({SUNS})"))
 def jn03_nearest_sun_point(spark, sf_dir):
-    q = asked(spark, sf_dir).withColumn("x", (F.col("q_id") % 97).cast("double") / 10).withColumn("y", (F.col("q_id") % 89).cast("double") / 10).withColumn("z", F.lit(1.2))
-    return nearest.nearest_pair(q, _pairs(spark, sf_dir), 0.1).select("q_id", "pair_id", F.round("dist", 6).alias("dist"))
+    return nearest.nearest_pair(asked(spark, sf_dir), _pairs(spark, sf_dir), 0.1).select("q_id", "pair_id", F.round("dist", 6).alias("dist"))
 
 
 @query(oracle("SELECT round(s.g, 6) AS sun_gap, round(p.g, 6) AS point_gap, round(s.g/p.g, 6) AS scale FROM (SELECT avg(m) AS g FROM (SELECT a.sun_id, min(sqrt((a.sx-b.sx)*(a.sx-b.sx)+(a.sy-b.sy)*(a.sy-b.sy)+(a.sz-b.sz)*(a.sz-b.sz))) AS m FROM suns a, suns b WHERE a.sun_id <> b.sun_id AND a.level = 0 AND b.level = 0 GROUP BY a.sun_id)) s, (SELECT avg(m) AS g FROM (SELECT q.pt_id, min(sqrt(" + D2 + ")) AS m FROM b_points q, b_points p WHERE q.pt_id <> p.pt_id AND q.level = 0 AND p.level = 0 GROUP BY q.pt_id)) p", "b_rays", "b_points", ctes=f"suns AS ({SUNS})"))
@@ -81,36 +80,35 @@ def sun_points(spark, sf_dir):
     return suns(spark, sf_dir).select("sun_id", (F.col("sun_id") % 7).alias("m")).join(binding(spark, sf_dir, "b_points").withColumn("m", F.pmod(-F.col("pt_id"), F.lit(7))), "m").select("sun_id", "pt_id", "x", "y", "z")
 
 
-@query(oracle("SELECT q_id, sun_id, round(chord, 6) AS chord FROM cand", "b_rays", "b_dirs", ctes=SUN_CTES))
+@query(oracle("SELECT q_id, sun_id, round(chord, 6) AS chord FROM cand", "b_rays", "b_asked", ctes=SUN_CTES))
 def jn06_candidate_suns(spark, sf_dir):
     return nearest.candidate_suns(asked(spark, sf_dir), suns(spark, sf_dir), 5.0, 3).select("q_id", "sun_id", F.round("chord", 6).alias("chord"))
 
 
-@query(oracle("SELECT q_id, sun_id, pt_id FROM cand JOIN sun_points USING (sun_id)", "b_rays", "b_dirs", "b_points", ctes=f"{SUN_CTES}, {SUN_POINTS}"))
+@query(oracle("SELECT q_id, sun_id, pt_id FROM cand JOIN sun_points USING (sun_id)", "b_rays", "b_asked", "b_points", ctes=f"{SUN_CTES}, {SUN_POINTS}"))
 def jn07_candidate_points(spark, sf_dir):
     found = nearest.candidate_suns(asked(spark, sf_dir), suns(spark, sf_dir), 5.0, 3)
     return found.join(sun_points(spark, sf_dir), "sun_id").select("q_id", "sun_id", "pt_id")
 
 
-@query(oracle("SELECT q_id, pt_id, sun_id FROM (SELECT q_id, f.pt_id, sun_id, row_number() OVER (PARTITION BY q_id, f.pt_id ORDER BY (f.x-p.x)*(f.x-p.x)+(f.y-p.y)*(f.y-p.y)+(f.z-p.z)*(f.z-p.z), p.pt_id, sun_id) AS k FROM (SELECT q_id, sun_id, pt_id, x, y, z FROM cand JOIN sun_points USING (sun_id)) p, (SELECT -pt_id AS pt_id, x + 0.05 AS x, y, z FROM b_points WHERE level = 0) f) WHERE k = 1", "b_rays", "b_dirs", "b_points", ctes=f"{SUN_CTES}, {SUN_POINTS}"))
+@query(oracle("SELECT q_id, pt_id, sun_id FROM (SELECT q_id, f.pt_id, sun_id, row_number() OVER (PARTITION BY q_id, f.pt_id ORDER BY (f.x-p.x)*(f.x-p.x)+(f.y-p.y)*(f.y-p.y)+(f.z-p.z)*(f.z-p.z), p.pt_id, sun_id) AS k FROM (SELECT q_id, sun_id, pt_id, x, y, z FROM cand JOIN sun_points USING (sun_id)) p, (SELECT -pt_id AS pt_id, x + 0.05 AS x, y, z FROM b_points WHERE level = 0) f) WHERE k = 1", "b_rays", "b_asked", "b_points", ctes=f"{SUN_CTES}, {SUN_POINTS}"))
 def jn08_fixed_points(spark, sf_dir):
     sampled = nearest.candidate_suns(asked(spark, sf_dir), suns(spark, sf_dir), 5.0, 3).join(sun_points(spark, sf_dir), "sun_id")
-    fixed = binding(spark, sf_dir, "b_points").where("level = 0").select((-F.col("pt_id")).alias("f_id"), (F.col("x") + 0.05).alias("fx"), F.col("y").alias("fy"), F.col("z").alias("fz"))
-    d2 = (F.col("fx") - F.col("x")) * (F.col("fx") - F.col("x")) + (F.col("fy") - F.col("y")) * (F.col("fy") - F.col("y")) + (F.col("fz") - F.col("z")) * (F.col("fz") - F.col("z"))
-    best = sampled.crossJoin(fixed).groupBy("q_id", "f_id").agg(F.min_by("sun_id", F.struct(d2, "pt_id", "sun_id")).alias("sun_id"))
-    return best.select("q_id", F.col("f_id").alias("pt_id"), "sun_id")
+    fixed = binding(spark, sf_dir, "b_points").where("level = 0").select((-F.col("pt_id")).alias("pt_id"), (F.col("x") + 0.05).alias("x"), "y", "z")
+    found = nearest.fixed_to_suns(sampled.select("q_id", "x", "y", "z", F.struct("pt_id", "sun_id", "chord").alias("b")), fixed)
+    return found.select("q_id", "pt_id", "sun_id")
 
 
-LIFTED = "lifted AS (SELECT q_id, sun_id, pt_id, x, y, z, chord, z + chord/0.5 AS lz FROM cand JOIN sun_points USING (sun_id)), spots AS (SELECT DISTINCT q_id, x, y, z FROM lifted), used AS (SELECT DISTINCT q_id, pt_id, sun_id, chord FROM (SELECT s.q_id, l.pt_id, l.sun_id, l.chord, row_number() OVER (PARTITION BY s.q_id, s.x, s.y, s.z ORDER BY (s.x-l.x)*(s.x-l.x)+(s.y-l.y)*(s.y-l.y)+(s.z-l.lz)*(s.z-l.lz), l.pt_id, l.sun_id) AS k FROM spots s JOIN lifted l ON s.q_id = l.q_id) WHERE k = 1)"
+LIFTED = "lifted AS (SELECT q_id, sun_id, pt_id, x, y, z, chord, z + chord/0.5 AS lz FROM cand JOIN sun_points USING (sun_id)), spots AS (SELECT DISTINCT q_id, x, y, z FROM lifted), used AS (SELECT DISTINCT q_id, b.p AS pt_id, b.s AS sun_id, b.c AS chord FROM (SELECT s.q_id, min({'d': (s.x-l.x)*(s.x-l.x)+(s.y-l.y)*(s.y-l.y)+(s.z-l.lz)*(s.z-l.lz), 'p': l.pt_id, 's': l.sun_id, 'c': l.chord}) AS b FROM spots s JOIN lifted l ON s.q_id = l.q_id GROUP BY s.q_id, s.x, s.y, s.z))"
 
 
-@query(oracle("SELECT q_id, pt_id, sun_id, round(degrees(2*asin(chord/2)), 6) AS error_deg FROM used", "b_rays", "b_dirs", "b_points", ctes=f"{SUN_CTES}, {SUN_POINTS}, {LIFTED}"))
+@query(oracle("SELECT q_id, pt_id, sun_id, round(degrees(2*asin(chord/2)), 6) AS error_deg FROM used", "b_rays", "b_asked", "b_points", ctes=f"{SUN_CTES}, {SUN_POINTS}, {LIFTED}"))
 def jn09_penalised_points(spark, sf_dir):
     found = nearest.points_by_sun(asked(spark, sf_dir), suns(spark, sf_dir), sun_points(spark, sf_dir), 0.5, 5.0, 3)
     return found.select("q_id", "pt_id", "sun_id", F.round("error_deg", 6).alias("error_deg"))
 
 
-@query(oracle("SELECT q_id, count(*) AS n, count(DISTINCT sun_id) AS n_suns, round(max(degrees(2*asin(chord/2))), 6) AS worst FROM used GROUP BY q_id", "b_rays", "b_dirs", "b_points", ctes=f"{SUN_CTES}, {SUN_POINTS}, {LIFTED}"))
+@query(oracle("SELECT q_id, count(*) AS n, count(DISTINCT sun_id) AS n_suns, round(max(degrees(2*asin(chord/2))), 6) AS worst FROM used GROUP BY q_id", "b_rays", "b_asked", "b_points", ctes=f"{SUN_CTES}, {SUN_POINTS}, {LIFTED}"))
 def jn10_points_by_suns(spark, sf_dir):
     found = nearest.points_by_sun(asked(spark, sf_dir), suns(spark, sf_dir), sun_points(spark, sf_dir), 0.5, 5.0, 3)
     return found.groupBy("q_id").agg(F.count("*").alias("n"), F.countDistinct("sun_id").alias("n_suns"), F.round(F.max("error_deg"), 6).alias("worst"))
@@ -136,9 +134,9 @@ def jn22_plane_at_points(spark, sf_dir):
     return brought.groupBy("q_id").agg(F.round(F.avg("value"), 6).alias("value"), F.round(F.max("dist"), 6).alias("point_err"))
 
 
-@query(oracle("SELECT q_id, t, sensor_id, round(sum(coef*value), 6) AS value FROM near JOIN b_contrib USING (pt_id) JOIN b_sky USING (patch) WHERE sensor_id IN (1, 2) AND t % 12 = 6 GROUP BY q_id, t, sensor_id", "b_queries", "b_points", "b_contrib", "b_sky", ctes=NEAR))
+@query(oracle("SELECT q_id, t, sensor_id, round(sum(coef*value), 6) AS value FROM near JOIN b_contrib USING (pt_id) JOIN b_sky USING (patch) GROUP BY q_id, t, sensor_id", "b_queries", "b_points", "b_contrib", "b_sky", ctes=NEAR))
 def jn23_sensor_plane_at_points(spark, sf_dir):
-    product = integrate.coefficient_product(binding(spark, sf_dir, "b_sky").where("t % 12 = 6"), binding(spark, sf_dir, "b_contrib").where("sensor_id in (1, 2)"), ["pt_id", "sensor_id"])
+    product = integrate.coefficient_product(binding(spark, sf_dir, "b_sky"), binding(spark, sf_dir, "b_contrib"), ["pt_id", "sensor_id"])
     return near_points(spark, sf_dir).join(product, "pt_id").select("q_id", "t", "sensor_id", F.round("value", 6).alias("value"))
 
 
@@ -159,9 +157,9 @@ def _filled(spark, sf_dir):
     return cells.select("zone", "i", "j", "cell_id").join(near, "cell_id")
 
 
-@query(oracle("SELECT zone, i, j, sky, round(sum(value), 6) AS value FROM filled JOIN b_result ON point = pt_id WHERE metric = 'O' AND sky % 12 = 0 GROUP BY zone, i, j, sky", "b_points", "b_result", ctes=CELLS))
+@query(oracle("SELECT zone, i, j, sky, round(sum(value), 6) AS value FROM filled JOIN b_result ON point = pt_id WHERE metric = 'O' GROUP BY zone, i, j, sky", "b_points", "b_result", ctes=CELLS))
 def jn26_plan_raster(spark, sf_dir):
-    facts = binding(spark, sf_dir, "b_result").where("metric = 'O' and sky % 12 = 0").withColumnRenamed("point", "pt_id")
+    facts = binding(spark, sf_dir, "b_result").where("metric = 'O'").withColumnRenamed("point", "pt_id")
     return _filled(spark, sf_dir).join(facts, "pt_id").groupBy("zone", "i", "j", "sky").agg(F.round(F.sum("value"), 6).alias("value"))
 
 
@@ -177,22 +175,22 @@ def ag12_area_mean(spark, sf_dir):
     return facts.join(area, "pt_id").groupBy("zone", "sky").agg(F.round(F.sum(F.col("value") * F.col("area")) / F.sum("area"), 6).alias("mean"))
 
 
-@query(oracle(f"SELECT sky, point, view, metric, round(value, 6) AS value FROM (SELECT sky, q_id AS point, view, metric, value FROM near JOIN b_result ON point = pt_id WHERE sky % 12 = 3 UNION ALL SELECT DISTINCT sky, q_id, view, 'rebase_err', sqrt(d2) FROM near JOIN b_result ON point = pt_id WHERE sky % 12 = 3)", "b_queries", "b_points", "b_result", ctes=NEAR))
+@query(oracle(f"SELECT sky, point, view, metric, round(value, 6) AS value FROM (SELECT sky, q_id AS point, view, metric, value FROM near JOIN b_result ON point = pt_id UNION ALL SELECT DISTINCT sky, q_id, view, 'rebase_err', sqrt(d2) FROM near JOIN b_result ON point = pt_id)", "b_queries", "b_points", "b_result", ctes=NEAR))
 def jn18_rebase(spark, sf_dir):
-    moved = cube.rebase(binding(spark, sf_dir, "b_result").where("sky % 12 = 3"), binding(spark, sf_dir, "b_points"), binding(spark, sf_dir, "b_queries"))
+    moved = cube.rebase(binding(spark, sf_dir, "b_result"), binding(spark, sf_dir, "b_points"), binding(spark, sf_dir, "b_queries"))
     return moved.select(*cube.AXES, F.round("value", 6).alias("value"))
 
 
-@query(oracle("SELECT sky, q_id AS point, round(value, 6) AS value, round(origarea, 6) AS origarea, round(100.0/n, 6) AS area, round(sqrt(d2), 6) AS rebase_err FROM (SELECT r.sky, q.q_id, r.value, r.origarea, r.d2, row_number() OVER (PARTITION BY r.sky, q.q_id ORDER BY r.d2, r.point) AS k FROM (SELECT q.q_id, r.*, (q.x-r.x)*(q.x-r.x)+(q.y-r.y)*(q.y-r.y)+(q.z-r.z)*(q.z-r.z) AS d2 FROM zonal r, b_queries q) r JOIN b_queries q USING (q_id)), (SELECT count(*) AS n FROM b_queries) WHERE k = 1", "b_queries", "b_points", "b_result", ctes="zonal AS (SELECT sky, point, x, y, z, 1.0E0 + point % 4 AS origarea, sum(value) AS value FROM b_result JOIN b_points ON point = pt_id WHERE sky % 12 = 1 AND (sky + point) % 3 = 0 GROUP BY ALL)"))
+@query(oracle("SELECT sky, q_id AS point, round(b.v, 6) AS value, round(b.o, 6) AS origarea, round(100.0/n, 6) AS area, round(sqrt(b.d), 6) AS rebase_err FROM (SELECT r.sky, q.q_id, min({'d': (q.x-r.x)*(q.x-r.x)+(q.y-r.y)*(q.y-r.y)+(q.z-r.z)*(q.z-r.z), 'p': r.point, 'v': r.value, 'o': r.origarea}) AS b FROM zonal r, b_queries q GROUP BY ALL), (SELECT count(*) AS n FROM b_queries)", "b_queries", "b_points", "b_result", ctes="zonal AS (SELECT sky, point, x, y, z, 1.0E0 + point % 4 AS origarea, sum(value) AS value FROM b_result JOIN b_points ON point = pt_id GROUP BY ALL)"))
 def jn19_rebase_zonal(spark, sf_dir):
-    facts = binding(spark, sf_dir, "b_result").where("sky % 12 = 1 and (sky + point) % 3 = 0").groupBy("sky", "point").agg(F.sum("value").alias("value"))
+    facts = binding(spark, sf_dir, "b_result").groupBy("sky", "point").agg(F.sum("value").alias("value"))
     zonal = facts.join(binding(spark, sf_dir, "b_points").withColumnRenamed("pt_id", "point"), "point").withColumn("area", 1.0 + F.col("point") % 4)
     return cube.rebase_zonal(zonal, binding(spark, sf_dir, "b_queries"), 100.0).select("sky", "point", *(F.round(c, 6).alias(c) for c in ("value", "origarea", "area", "rebase_err")))
 
 
-@query(oracle("SELECT t, q_id, 'sky_err' AS metric, round(sqrt(d2), 6) AS value FROM (SELECT DISTINCT t FROM b_sky WHERE t % 12 = 0), near UNION ALL SELECT t, q_id, 'sky_pt', CAST(pt_id AS DOUBLE) FROM (SELECT DISTINCT t FROM b_sky WHERE t % 12 = 0), near", "b_sky", "b_queries", "b_points", ctes=NEAR))
+@query(oracle("SELECT t, q_id, 'sky_err' AS metric, round(sqrt(d2), 6) AS value FROM (SELECT DISTINCT t FROM b_sky), near UNION ALL SELECT t, q_id, 'sky_pt', CAST(pt_id AS DOUBLE) FROM (SELECT DISTINCT t FROM b_sky), near", "b_sky", "b_queries", "b_points", ctes=NEAR))
 def jn29_provenance(spark, sf_dir):
-    times = binding(spark, sf_dir, "b_sky").where("t % 12 = 0").select("t").distinct()
+    times = binding(spark, sf_dir, "b_sky").select("t").distinct()
     gridded = integrate.time_by_point(times, binding(spark, sf_dir, "b_queries"), {"sky": binding(spark, sf_dir, "b_points")})
     return integrate.provenance(gridded, ["sky"]).select("t", "q_id", "metric", F.round("value", 6).alias("value"))
 
@@ -222,9 +220,9 @@ def io06_sun_point_index(spark, sf_dir):
     return sun_points(spark, sf_dir).groupBy("pt_id").agg(F.countDistinct("sun_id").alias("n_suns"), F.count("*").alias("n"))
 
 
-@query(oracle("SELECT t, pt_id, sensor_id, n, round(value, 6) AS value FROM (SELECT t, pt_id, sensor_id, count(*) AS n, sum(coef*value) AS value FROM b_sky JOIN b_contrib USING (patch) WHERE t % 12 = 0 GROUP BY t, pt_id, sensor_id)", "b_sky", "b_contrib"))
+@query(oracle("SELECT t, pt_id, sensor_id, n, round(value, 6) AS value FROM (SELECT t, pt_id, sensor_id, count(*) AS n, sum(coef*value) AS value FROM b_sky JOIN b_contrib USING (patch) GROUP BY t, pt_id, sensor_id)", "b_sky", "b_contrib"))
 def ag10_distinct_then_join(spark, sf_dir):
     """Rows that share a patch are computed once: distinct keys, product, join back."""
-    rows = binding(spark, sf_dir, "b_sky").where("t % 12 = 0").join(binding(spark, sf_dir, "b_contrib"), "patch")
+    rows = binding(spark, sf_dir, "b_sky").join(binding(spark, sf_dir, "b_contrib"), "patch")
     once = nearest.per_distinct(rows, ["coef", "value"], lambda k: k.withColumn("product", F.col("coef") * F.col("value")))
     return once.groupBy("t", "pt_id", "sensor_id").agg(F.count("*").alias("n"), F.round(F.sum("product"), 6).alias("value"))

@@ -99,8 +99,8 @@ def test_nearest_matches_brute_force(spark, k, shape):
     for i in range(len(q)):
         d2 = (q[i, 0] - p[:, 0]) * (q[i, 0] - p[:, 0]) + (q[i, 1] - p[:, 1]) * (q[i, 1] - p[:, 1]) + (q[i, 2] - p[:, 2]) * (q[i, 2] - p[:, 2])
         assert [got[i, n + 1] for n in range(k)] == np.lexsort((np.arange(len(p)), d2))[:k].tolist()
-    small = {r["q_id"]: r["pt_id"] for r in nearest.nearest_small(table(q, "q_id"), table(p, "pt_id"), "q_id", "pt_id").collect()}
-    assert k > 1 or small == {i: got[i, 1] for i in range(len(q))}
+    by_cells = {(r["q_id"], r["rank"]): r["pt_id"] for r in nearest.knn(table(q, "q_id"), table(p, "pt_id"), "q_id", "pt_id", nearest.XYZ, k, 5.0, small=0).collect()}
+    assert by_cells == got
     assert nearest.knn(table(q, "q_id"), table(p, "pt_id").limit(0), "q_id", "pt_id").count() == 0
 
 
