@@ -231,6 +231,14 @@ def _linked_sets(linked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(rows), np.concatenate(columns)
 
 
+def _weighed(linked: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sum of the weights that each row links with."""
+    out = np.zeros(len(linked), np.int64)
+    some = np.flatnonzero(linked.any(axis=1))
+    out[some] = linked[some].astype(np.float64) @ weight
+    return out
+
+
 def _block_pair(group: pa.Table, threshold: float) -> pa.Table:
     """Links between the two sides of one block pair: link counts (b null), and edges (n 0) that join each linked set to its least id."""
     ids, side, weight = (group.column(c).to_numpy() for c in ("class", "side", "w"))
@@ -246,7 +254,7 @@ def _block_pair(group: pa.Table, threshold: float) -> pa.Table:
     if within:
         np.fill_diagonal(linked, False)
     out_a, out_b, out_n = [], [], []
-    for mine, count in ((left, linked @ weight[right]), (right, np.zeros(0) if within else weight[left] @ linked)):
+    for mine, count in ((left, _weighed(linked, weight[right])), (right, np.zeros(0) if within else _weighed(linked.T, weight[left]))):
         has = np.flatnonzero(count)
         out_a.append(ids[mine[has]])
         out_b.append(np.full(len(has), -1))
