@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import warnings
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .nearest import XYZ, knn, nearest
 
@@ -36,6 +39,23 @@ def axis_filter(result: DataFrame, **wanted) -> DataFrame:
     return result
 
 
+def metric_filter(result: DataFrame, wanted: list[str | int]) -> DataFrame:
+    """Rows of metrics by name or by place in their order; unknown names warn and are left out."""
+    known = [r[0] for r in result.select("metric").distinct().orderBy("metric").limit(10_000).collect()]
+    names = [known[w] if isinstance(w, int) and -len(known) <= w < len(known) else w for w in wanted]
+    for name in names:
+        if name not in known:
+            warnings.warn(f"no metric {name!r}", stacklevel=2)
+    return result.where(F.col("metric").isin([n for n in names if n in known]))
+
+
+def sky_filter(result: DataFrame, times: DataFrame) -> DataFrame:
+    """Rows of the skies in ``times`` (a column t of a filtered sky table); an empty result is an error."""
+    if not times.limit(1).count():
+        raise ValueError("the sky filter leaves no time")
+    return filter_by(result, "sky", times.select("t"))
+
+
 def filter_by(result: DataFrame, name: str, labels: DataFrame) -> DataFrame:
     """Rows whose axis value is in the one-column table ``labels``."""
     only = labels.select(F.col(labels.columns[0]).alias(axis(name))).distinct()
@@ -48,6 +68,28 @@ def pull(result: DataFrame, column: str, values: list, **filters) -> DataFrame:
     return axis_filter(result, **filters).groupBy(*rows).pivot(column, values).agg(F.first("value"))
 
 
+def pull_order(*axes: str | int) -> list[str]:
+    """All axes: those given, then the others in their own order."""
+    named = [axis(a) for a in axes]
+    if len(set(named)) < len(named):
+        raise ValueError(f"an axis is named twice: {named}")
+    return named + [a for a in AXES if a not in named]
+
+
+def pull_axes(result: DataFrame, *axes: str | int, labels: dict[str, list] | None = None, preserve: int = 1, **filters) -> DataFrame:
+    """The cube with the first ``preserve`` axes (of ``pull_order``) as columns and the others as label columns of the rows.
+
+    Columns are named by their labels, joined by "_" where several axes are kept. ``labels`` gives the values of the kept axes; an
+    axis that is left out takes the distinct ones (a bounded list: they become columns)."""
+    order = pull_order(*axes)
+    kept, rows = order[:preserve], order[preserve:]
+    found = axis_filter(result, **filters)
+    known = {a: (labels or {}).get(a) or [r[0] for r in found.select(a).distinct().orderBy(a).limit(10_000).collect()] for a in kept}
+    names = ["_".join(map(str, combo)) for combo in itertools.product(*known.values())]
+    key = F.concat_ws("_", *(F.col(a).cast("string") for a in kept))
+    return found.withColumn("_column", key).groupBy(*rows).pivot("_column", names).agg(F.first("value"))
+
+
 def pull_zonal(result: DataFrame, column: str, values: list, **filters) -> DataFrame:
     """``pull`` of a ragged cube: points belong to a sky, so sky cannot be the column and point can neither be it nor be filtered."""
     if column in ("sky", "point") or "point" in filters:
@@ -65,17 +107,43 @@ def merge(*results: DataFrame, along: str) -> DataFrame:
     return ordered.join(first, name).where("_from = _first").select(*AXES, "value")
 
 
-def axis_mismatches(left: DataFrame, right: DataFrame, along: str) -> DataFrame:
-    """(axis, label, side): labels of the other axes that only one cube has. A merge is sound where this is empty."""
+def axis_mismatches(left: DataFrame, right: DataFrame, along: str, tolerance: float = 1e-5) -> DataFrame:
+    """(axis, label, side): labels of the other axes that only one cube has. A merge is sound where this is empty.
+
+    Numbers agree if they differ by ``tolerance`` or less, relative to the larger and at least absolutely: labels are dealt into cells of that
+    width and meet in the same or the next cell. Other labels must be equal."""
     parts = []
     for name in AXES:
         if name != axis(along):
-            a, b = (r.select(F.col(name).cast("string").alias("label")).distinct() for r in (left, right))
-            both = a.withColumn("l", F.lit(1)).join(b.withColumn("r", F.lit(1)), "label", "full_outer")
-            parts.append(both.where("l is null or r is null").select(F.lit(name).alias("axis"), "label", F.when(F.col("l").isNull(), "right").otherwise("left").alias("side")))
+            number = isinstance(left.schema[name].dataType, T.NumericType)
+            sides = []
+            for r in (left, right):
+                label = r.select(F.col(name).cast("string").alias("label"), *([F.col(name).cast("double").alias("v")] if number else [])).distinct()
+                sides.append(label.withColumn("cell", F.floor(F.asinh(F.col("v")) / (2 * tolerance))) if number else label.withColumn("cell", F.col("label")))
+            for (one, two), side in zip((sides, sides[::-1]), ("left", "right"), strict=True):
+                if number:
+                    near = two.select(F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("_c"), F.col("v").alias("_v"))
+                    close = F.abs(F.col("v") - F.col("_v")) <= tolerance * F.greatest(F.abs("v"), F.abs("_v"), F.lit(1.0))
+                    alone = one.join(near, (F.col("cell") == F.col("_c")) & close, "left_anti")
+                else:
+                    alone = one.join(two.select(F.col("cell").alias("_c")), F.col("cell") == F.col("_c"), "left_anti")
+                parts.append(alone.select(F.lit(name).alias("axis"), "label", F.lit(side).alias("side")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def merge_checked(*results: DataFrame, along: str) -> DataFrame:
+    """``merge`` of cubes whose other axes agree; else an error that names the first mismatches."""
+    for other in results[1:]:
+        if bad := axis_mismatches(results[0], other, along).limit(5).collect():
+            raise ValueError(f"axes differ: {[tuple(r) for r in bad]}")
+    return merge(*results, along=along)
+
+
+def concatenated(parts: list[DataFrame]) -> DataFrame:
+    """Chunks of one evaluation over skies as one cube; a sky that two chunks hold is an error of the caller and stays twice."""
+    return reduce(DataFrame.unionByName, [p.select(*AXES, "value") for p in parts])
+
+
 def percentiles(result: DataFrame, metric, levels: list[float]) -> DataFrame:
     """(point, view, level, value): exact percentiles over skies of one metric, linear between ranks."""
     found = result.where(F.col("metric") == metric).groupBy("point", "view").agg(F.percentile("value", F.array(*map(F.lit, levels))).alias("p"))
@@ -110,13 +178,17 @@ def rebase_zonal(zonal: DataFrame, new_points: DataFrame, total: float) -> DataF
 
 
 def info(result: DataFrame, few: int = 20) -> DataFrame:
-    """(axis, n, label): all labels of a short axis, the first and last five of a long one."""
+    """(axis, n, label): all labels of a short axis, the first and last five of a long one.
+
+    Labels are counted, and the ends come from two sorted heads; no window runs over all labels."""
     parts = []
     for name in AXES:
-        labels = result.select(F.col(name).cast("string").alias("label"), F.col(name).alias("_k")).distinct()
-        ranked = labels.withColumn("_up", F.row_number().over(Window.orderBy("_k"))).withColumn("n", F.count("*").over(Window.partitionBy()))
+        labels = result.select(F.col(name).alias("_k")).distinct()
+        n = labels.agg(F.count("*").alias("n"))
         limit = 100 if name == "metric" else few
-        parts.append(ranked.where((F.col("n") <= limit) | (F.col("_up") <= 5) | (F.col("_up") > F.col("n") - 5)).select(F.lit(name).alias("axis"), "n", "label"))
+        ends = labels.orderBy("_k").limit(5).union(labels.orderBy(F.col("_k").desc()).limit(5))
+        shown = ends.union(labels.orderBy("_k").limit(limit).crossJoin(n).where(F.col("n") <= limit).select("_k")).distinct()
+        parts.append(shown.crossJoin(n).select(F.lit(name).alias("axis"), "n", F.col("_k").cast("string").alias("label")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -134,9 +206,30 @@ def deviation_total(report: DataFrame) -> DataFrame:
     return report.groupBy("metric").agg(F.avg("mae").alias("mae"), F.avg("msd").alias("msd"))
 
 
+def formatted(kind: str, column: Column) -> Column:
+    """A label for file names: four digits of a whole number, two decimals of every member of a tuple, text as it is."""
+    if kind == "tuple":
+        return F.array_join(F.transform(column, lambda x: F.format_string("%05.02f", x.cast("double"))), "_")
+    return F.format_string("%04d", column.cast("long")) if kind == "number" else column.cast("string")
+
+
 def labels(result: DataFrame) -> DataFrame:
     """Adds file_label (four digits of sky and point) and row_label."""
-    return result.withColumn("file_label", F.format_string("%04d_%04d", "sky", "point")).withColumn("row_label", F.concat_ws("\t", "sky", "point", "view"))
+    return result.withColumn("file_label", F.concat_ws("_", formatted("number", F.col("sky")), formatted("number", F.col("point")))).withColumn("row_label", F.concat_ws("\t", "sky", "point", "view"))
+
+
+def axis_index(result: DataFrame, name: str | int, wanted: list) -> DataFrame:
+    """(label, index): places of labels in the ordered axis, from 0; a label that the axis does not have is an error.
+
+    The index is a count of smaller labels, taken for the wanted labels only."""
+    a = axis(name)
+    known = result.select(F.col(a).alias("label")).distinct()
+    asked = known.where(F.col("label").isin(wanted))
+    if asked.count() < len(set(wanted)):
+        raise ValueError(f"labels that axis {a!r} does not have among {wanted}")
+    before = [F.count_if(F.col("label") < F.lit(w)).cast("int") for w in wanted]
+    counts = known.agg(F.array(*(F.struct(F.lit(w).alias("label"), b.alias("index")) for w, b in zip(wanted, before, strict=True))).alias("a"))
+    return counts.select(F.explode("a").alias("s")).select("s.label", "s.index")
 
 
 def heat_map(values: DataFrame, steps_per_day: int) -> DataFrame:
@@ -145,19 +238,31 @@ def heat_map(values: DataFrame, steps_per_day: int) -> DataFrame:
     return values.select(F.floor(t / steps_per_day).cast("int").alias("day"), (steps_per_day - 1 - t % steps_per_day).cast("int").alias("row"), "value")
 
 
-def printed(result: DataFrame, column: str, values: list) -> DataFrame:
-    """``pull`` as text with five significant digits: the rows of the TSV export."""
-    wide = pull(result, column, values)
-    rows = [a for a in AXES if a != column]
+def printed(result: DataFrame, column: str, values: list, row_labels: bool = True, times: DataFrame | None = None, fill: float = 0.0, **filters) -> DataFrame:
+    """``pull`` as text with five significant digits: the rows of the TSV export.
+
+    With ``times`` (a column sky) every time of the year has its rows, ``fill`` where the cube has none. ``row_labels`` keeps the
+    labels of the rows as leading columns; without them rows still come in the order of their labels when written."""
+    chosen = axis_filter(result, **filters)
+    wide = pull(chosen if times is None else pad(chosen, times, fill), column, values)
+    rows = [a for a in AXES if a != column] if row_labels else []
     return wide.select(*rows, *(F.when(F.col(f"`{v}`").isNull(), "").otherwise(F.format_string("%.4e", F.col(f"`{v}`").cast("double"))).alias(str(v)) for v in values))
 
 
 def write_tsv(wide: DataFrame, path: str, header: bool = True, by: str | None = None) -> None:
-    """One TSV table, or one folder per value of ``by``."""
-    writer = wide.write.mode("overwrite").option("sep", "\t").option("header", header)
+    """One TSV table, or one folder per value of ``by``, each with one file (``by`` has few values)."""
+    parted = wide.repartition(by) if by else wide
+    writer = parted.write.mode("overwrite").option("sep", "\t").option("header", header)
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
+def write_serial(result: DataFrame, column: str, values: list, last: str, path: str, header: bool = True, **options) -> None:
+    """A TSV table per value of the axis ``last``: folders ``file_label=<formatted value>``; ragged cubes repeat the labels of their rows."""
+    kind = "number" if isinstance(result.schema[axis(last)].dataType, T.IntegralType) else "text"
+    wide = printed(result, column, values, **options).withColumn("file_label", formatted(kind, F.col(last))).drop(last)
+    write_tsv(wide, path, header, "file_label")
+
+
 def write_result(result: DataFrame, path: str, by: str = "metric") -> None:
     """Partitioned by metric (dense cubes) or by another axis, so that a later filter on it prunes files."""
     result.write.mode("overwrite").partitionBy(axis(by)).parquet(path)

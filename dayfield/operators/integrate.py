@@ -90,15 +90,36 @@ def with_sun_patch(sky: DataFrame, sun: DataFrame, include_sky: bool = True) ->
     return (sky.select("t", "patch", "coef").unionByName(share) if include_sky else share).groupBy("t", "patch").agg(F.sum("coef").alias("coef"))
 
 
+def coefficients(sky: DataFrame, sun: DataFrame, plane: str, has_sun: bool = True) -> DataFrame:
+    """(t, patch, coef): the coefficients that a plane takes over the grid: ``sky``, ``sun`` (disc radiance on the sun's patch), ``patch``
+    (the sun's share of its patch), or sky and patch together (``sky`` where there is no sun plane)."""
+    if plane == "sky":
+        return sky.select("t", "patch", "coef") if has_sun else with_sun_patch(sky, sun)
+    if plane == "sun":
+        return sun.select("t", "patch", F.col("sun_rad").alias("coef"))
+    if plane == "patch":
+        return with_sun_patch(sky, sun, False)
+    raise ValueError(f"no coefficients for a plane {plane!r}")
+
+
+def sun_lookups(sun: DataFrame, least: float = 0.0) -> DataFrame:
+    """Times with an active sun: only these look up sun planes."""
+    return sun.where(F.col("sun_rad") > least)
+
+
 def direct_difference(contrib_sky: DataFrame, contrib_direct: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, patch, value): max(sky - direct, 0) per patch; a missing direct contribution is 0."""
     direct = contrib_direct.select(*keys, "patch", F.col("value").alias("direct"))
     return contrib_sky.join(direct, [*keys, "patch"], "left").select(*keys, "patch", F.greatest(F.col("value") - F.coalesce("direct", F.lit(0.0)), F.lit(0.0)).alias("value"))
 
 
-def time_by_point(times: DataFrame, points: DataFrame, planes: dict[str, DataFrame]) -> DataFrame:
-    """(t, q_id, <plane>_pt..): every time with every point, and the point's nearest row in each plane, found once per point."""
+def time_by_point(times: DataFrame, points: DataFrame, planes: dict[str, DataFrame], sun: DataFrame | None = None) -> DataFrame:
+    """(t, q_id, <plane>_pt..): every time with every point, and the point's nearest row in each plane, found once per point.
+
+    With ``sun`` (t, patch), direct views get the patch of the time's sun as ``sun_patch``; null where no sun is up."""
     found = points
+    if sun is not None:
+        times = times.join(sun_lookups(sun).select("t", F.col("patch").alias("sun_patch")), "t", "left")
     for name, plane in planes.items():
         near = nearest(points, plane, "q_id", "pt_id", XYZ, 10.0).select("q_id", F.col("pt_id").alias(f"{name}_pt"), F.col("dist").alias(f"{name}_err"))
         found = found.join(near, "q_id")
@@ -116,19 +137,22 @@ SIMTYPES: dict[str, tuple[tuple[str, str], ...]] = {
     "sunpatch": (("sky", "sun patch"),),
     "2comp": (("sky", "sky"), ("sun", "sun")),
     "3comp": (("sky", "sky"), ("difference", "sun patch"), ("sun", "sun")),
-    "1compdv": (("sky", "sky"), ("difference", "sun patch"), ("views", "sun")),
+    "1compdv": (("sky", "sky"), ("difference", "real sun patch"), ("views", "sun")),
     "directview": (("views", "sun"),),
     "sunonly": (("sun", "sun"),),
     "directpatch": (("direct", "sun patch"),),
 }
 
 
-def simulate(simtype: str, sky: DataFrame, sun: DataFrame, planes: dict[str, DataFrame], scale: float = SCALE) -> DataFrame:
+def simulate(simtype: str, sky: DataFrame, sun: DataFrame, planes: dict[str, DataFrame], scale: float = SCALE, real_sun: DataFrame | None = None) -> DataFrame:
     """(t, pt_id, sensor_id, illum): the sum of a simulation type's terms.
 
     ``planes``: sky and direct have (pt_id, sensor_id, patch, value); sun and views (pt_id, sensor_id, patch, value), where the patch
     says which suns they stand for; difference is made of sky and direct. A type that is not listed is one fixed plane of
-    that name with coefficient 1. A missing plane is an error. Every term is one product; they are summed in one grouping."""
+    that name with coefficient 1. A missing plane is an error. Every term is one product; they are summed in one grouping.
+
+    ``sun`` says on which patch the sampled sun that stands for each time lies; ``real_sun`` (the same columns, ``sun`` if not
+    given) on which patch the sun itself does: 1compdv takes the patch to be replaced from the real sun, 3comp from the sampled one."""
     terms = SIMTYPES.get(simtype)
     if terms is None:
         if simtype not in planes:
@@ -145,6 +169,7 @@ def simulate(simtype: str, sky: DataFrame, sun: DataFrame, planes: dict[str, Dat
         "sky": sky.select("t", "patch", "coef"),
         "sky+sun": with_sun_patch(sky, sun),
         "sun patch": with_sun_patch(sky, sun, False),
+        "real sun patch": with_sun_patch(sky, sun if real_sun is None else real_sun, False),
         "sun": sun.select("t", "patch", F.col("sun_rad").alias("coef")),
     }
     parts = [_on_plane(coefs[kind], planes[plane]) for plane, kind in terms]
@@ -202,7 +227,57 @@ def provenance(grid: DataFrame, planes: list[str]) -> DataFrame:
     return wide.unpivot(["t", "q_id"], [c for p in planes for c in (f"{p}_err", f"{p}_pt")], "metric", "value")
 
 
-def sensors(points: DataFrame, offsets: DataFrame, directions: DataFrame) -> DataFrame:
-    """(pt_id, sensor_id, x, y, z, dx, dy, dz): offsets x directions at every point; both lists are short and given by the caller."""
+#: Metrics that evaluate gives, from the sums over rays of a view: each is linear or quadratic in the coefficient of a ray's patch.
+EVALUATED = {
+    "illum": lambda scale: F.col("illum") * scale,
+    "avglum": lambda scale: F.try_divide(F.col("flux"), F.col("area")) * scale,
+    "gcr": lambda scale: F.try_divide(F.col("flux2") * F.col("area"), F.col("flux") * F.col("flux")),
+}
+
+
+def evaluate(sky: DataFrame, seen: DataFrame, wanted: list[str], zonal: DataFrame | None = None, grid: DataFrame | None = None, planes: tuple[str, ...] = (), src_only: bool = False, keys: tuple[str, ...] = (), scale: float = SCALE) -> DataFrame:
+    """(sky, point, view, [keys,] metric, value): skies x points x views.
+
+    ``seen`` are rays in view (pt_id, view, patch, omega, lum, cos[, is_src]). Rays are summed per (point, view, patch) once; a
+    sky then costs one product over patches, whatever the number of rays. ``src_only`` keeps rays of sources. With ``zonal``
+    (t, pt_id, x, y, z, area; ``zonal_points``) every sky has its own points, and x, y, z and area lead the metrics. Else every
+    sky has every point. ``grid`` (``time_by_point``) with ``planes`` adds where the values came from. ``keys`` (src) keeps sources apart."""
+    if unknown := [w for w in wanted if w not in EVALUATED]:
+        raise ValueError(f"unknown metrics: {unknown}")
+    by = ["pt_id", "view", *keys]
+    area = seen.groupBy(*by).agg(F.sum("omega").alias("area"))
+    rays = seen.where("is_src") if src_only else seen
+    w = F.col("lum") * F.col("omega")
+    parts = rays.groupBy(*by, "patch").agg(F.sum(w * F.col("cos")).alias("illum"), F.sum(w).alias("flux"), F.sum(w * F.col("lum")).alias("flux2"))
+    need = {"illum": ("illum",), "avglum": ("flux",), "gcr": ("flux", "flux2")}
+    sums = sorted({n for x in wanted for n in need[x]})
+    squares = sky.withColumn("coef", F.col("coef") * F.col("coef"))
+    long = reduce(DataFrame.unionByName, [coefficient_product(squares if n == "flux2" else sky, parts, by, n).withColumn("_part", F.lit(n)) for n in sums])
+    wide = long.groupBy("t", *by).pivot("_part", sums).agg(F.first("value")).join(area, by)
+    wide = wide.select("t", *by, *(EVALUATED[x](scale).alias(x) for x in wanted))
+    lead: list[str] = []
+    if zonal is not None:
+        lead = ["x", "y", "z", "area"]
+        wide = wide.join(zonal.select("t", "pt_id", *(F.col(c).cast("double").alias(c) for c in lead)), ["t", "pt_id"])
+    out = wide.unpivot(["t", *by], [*lead, *wanted], "metric", "value").select(F.col("t").alias("sky"), F.col("pt_id").alias("point"), "view", *keys, "metric", "value")
+    if grid is not None and planes:
+        views = seen.select(F.col("pt_id").alias("point"), "view", *keys).distinct()
+        more = provenance(grid, list(planes)).select(F.col("t").alias("sky"), F.col("q_id").alias("point"), "metric", "value").join(views, "point")
+        out = out.unionByName(more.select(out.columns))
+    return out
+
+
+def summed_sources(evaluated: DataFrame, key: str = "src") -> DataFrame:
+    """Additive metrics of several sources of one point as one value."""
+    return evaluated.groupBy(*(c for c in evaluated.columns if c not in (key, "value"))).agg(F.sum("value").alias("value"))
+
+
+def sensors(points: DataFrame, offsets: DataFrame, directions: DataFrame | None = None) -> DataFrame:
+    """(pt_id, sensor_id, x, y, z, dx, dy, dz): offsets x directions at every point; both lists are short and given by the caller.
+
+    ``offsets`` may hold complete sensors (o_id, ox, oy, oz, dx, dy, dz); ``directions`` is then left out."""
+    if directions is None:
+        local = offsets.withColumn("sensor_id", F.col("o_id").cast("int"))
+        return points.crossJoin(local).select("pt_id", "sensor_id", (F.col("x") + F.col("ox")).alias("x"), (F.col("y") + F.col("oy")).alias("y"), (F.col("z") + F.col("oz")).alias("z"), "dx", "dy", "dz")
     local = offsets.crossJoin(directions).withColumn("sensor_id", F.col("o_id") * 1000 + F.col("d_id"))
-    return points.crossJoin(F.broadcast(local)).select("pt_id", "sensor_id", (F.col("x") + F.col("ox")).alias("x"), (F.col("y") + F.col("oy")).alias("y"), (F.col("z") + F.col("oz")).alias("z"), "dx", "dy", "dz")
+    return points.crossJoin(local).select("pt_id", "sensor_id", (F.col("x") + F.col("ox")).alias("x"), (F.col("y") + F.col("oy")).alias("y"), (F.col("z") + F.col("oz")).alias("z"), "dx", "dy", "dz")

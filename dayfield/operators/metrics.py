@@ -153,6 +153,12 @@ def equator(spark, n: int, closed: bool = False) -> DataFrame:
     return k.withColumn("ex", F.cos("phi")).withColumn("ey", F.sin("phi"))
 
 
+def equator_of(rows: DataFrame, n: str, closed: bool = False) -> DataFrame:
+    """``rows`` times their own number ``n`` of equator angles: k, phi, ex, ey; ``closed`` ends with the first angle again (k = n)."""
+    k = F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - (0 if closed else 1)))
+    return rows.withColumn("k", k).withColumn("phi", F.col("k") * 2 * math.pi / F.col(n)).withColumn("ex", F.cos("phi")).withColumn("ey", F.sin("phi"))
+
+
 def around(rays: DataFrame, angles: DataFrame, keys: tuple[str, ...], sigma_deg: float = 10.0, low_below: float = 1000.0) -> DataFrame:
     """Per equator angle: eq_lum (gaussian mean weighted by sin theta * omega, wrapped), eq_illum, eq_gcr, eq_loggc, eq_dgp.
 

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..bindings import binding, oracle
 from ..functions import directions as d
 from ..operators import grid, integrate, metrics
+from ..session import scratch_folder
+from ..sources import tables
 from . import sqltext as q
 from .geometry import views
 from .registry import query, r, rounded
@@ -33,15 +38,16 @@ def jn15_coef_product(spark, sf_dir):
     return integrate.coefficient_product(sky(spark, sf_dir), contrib(spark, sf_dir), ["pt_id", "sensor_id"]).select("t", "pt_id", "sensor_id", F.round("value", 6).alias("value"))
 
 
-@query(oracle(f"SELECT t, pt_id, sensor_id, round(value, 6) AS value FROM ({PRODUCT.format(sky='b_sky', contrib='b_contrib')}) WHERE t % 12 = 0", "b_sky", "b_contrib"))
+@query(oracle(f"SELECT t, pt_id, sensor_id, round(coalesce(value, 0), 6) AS value FROM (SELECT DISTINCT t FROM b_sky) CROSS JOIN (SELECT DISTINCT pt_id, sensor_id FROM b_contrib) LEFT JOIN ({PRODUCT.format(sky='b_sky', contrib='b_contrib')}) USING (t, pt_id, sensor_id)", "b_sky", "b_contrib"))
 def jn15_dense_product(spark, sf_dir):
-    coefs = integrate.as_arrays(sky(spark, sf_dir).where("t % 12 = 0"), ["t"], "coef", 16, "coefs")
+    coefs = integrate.as_arrays(sky(spark, sf_dir), ["t"], "coef", 16, "coefs")
     lums = integrate.as_arrays(contrib(spark, sf_dir), ["pt_id", "sensor_id"], "value", 16, "lums")
     return integrate.dense_product(coefs, lums, ["pt_id", "sensor_id"]).select("t", "pt_id", "sensor_id", F.round("value", 6).alias("value"))
 
 
 SKYSUN = "skysun AS (SELECT t, patch, sum(coef) AS coef FROM (SELECT t, patch, coef FROM b_sky UNION ALL SELECT t, patch, patch_rad FROM b_sun) GROUP BY t, patch)"
 DIRECT = "direct AS (SELECT pt_id, sensor_id, patch, value*0.8 AS value FROM b_contrib WHERE patch % 3 <> 0), difference AS (SELECT c.pt_id, c.sensor_id, c.patch, greatest(c.value - coalesce(d.value, 0), 0) AS value FROM b_contrib c LEFT JOIN direct d USING (pt_id, sensor_id, patch))"
+REALSUN = "realsun AS (SELECT t, CAST((patch + 1) % 16 AS INT) AS patch, patch_rad AS coef FROM b_sun)"
 SUNPATCH = "sunpatch AS (SELECT t, patch, sum(patch_rad) AS coef FROM b_sun GROUP BY t, patch), sunrad AS (SELECT t, patch, sun_rad AS coef FROM b_sun)"
 
 
@@ -50,20 +56,22 @@ def jn14_sun_patch(spark, sf_dir):
     return rounded(integrate.with_sun_patch(sky(spark, sf_dir), sun(spark, sf_dir)), "coef").select("t", "patch", "coef")
 
 
-@query(oracle("SELECT k.t, k.patch, round(k.coef, 6) AS sky_coef, round(s.sun_rad, 6) AS sun_rad, round(CASE WHEN s.patch = k.patch THEN s.patch_rad ELSE 0 END, 6) AS sun_patch FROM b_sky k JOIN b_sun s USING (t)", "b_sky", "b_sun"))
+@query(oracle("SELECT plane, t, patch, round(coef, 6) AS coef FROM (SELECT 'sky' AS plane, t, patch, coef FROM b_sky UNION ALL SELECT 'sun', t, patch, sun_rad FROM b_sun UNION ALL SELECT 'patch', t, patch, coef FROM sunpatch UNION ALL SELECT 'all', t, patch, coef FROM skysun)", "b_sky", "b_sun", ctes=f"{SKYSUN}, {SUNPATCH}"))
 def jn13_coefficients(spark, sf_dir):
-    joined = sky(spark, sf_dir).join(sun(spark, sf_dir).withColumnRenamed("patch", "sun_patch_id"), "t")
-    return joined.select("t", "patch", F.round("coef", 6).alias("sky_coef"), F.round("sun_rad", 6).alias("sun_rad"), F.round(F.when(F.col("patch") == F.col("sun_patch_id"), F.col("patch_rad")).otherwise(0.0), 6).alias("sun_patch"))
+    """The coefficients of every kind of plane; "all" is the sky plane of a model without a sun plane."""
+    k, s = sky(spark, sf_dir), sun(spark, sf_dir)
+    parts = [integrate.coefficients(k, s, plane, has).withColumn("plane", F.lit(name)) for name, plane, has in (("sky", "sky", True), ("sun", "sun", True), ("patch", "patch", True), ("all", "sky", False))]
+    return rounded(reduce(DataFrame.unionByName, parts), "coef").select("plane", "t", "patch", "coef")
 
 
 def direct(spark, sf_dir):
     return contrib(spark, sf_dir).where("patch % 3 <> 0").withColumn("value", F.col("value") * 0.8)
 
 
-@query(oracle("SELECT pt_id, sensor_id, patch, round(value, 8) AS value FROM difference", "b_contrib", ctes=DIRECT))
+@query(oracle("SELECT pt_id, sensor_id, patch, round(value, 10) AS value FROM difference", "b_contrib", ctes=DIRECT))
 def jn21_direct_difference(spark, sf_dir):
     found = integrate.direct_difference(contrib(spark, sf_dir), direct(spark, sf_dir), ["pt_id", "sensor_id"])
-    return rounded(found, "value", digits=8).select("pt_id", "sensor_id", "patch", "value")
+    return rounded(found, "value", digits=10).select("pt_id", "sensor_id", "patch", "value")
 
 
 def _planes(spark, sf_dir):
@@ -73,11 +81,12 @@ def _planes(spark, sf_dir):
 
 def _sim_sql(*terms: tuple[str, str]) -> str:
     union = " UNION ALL ".join(f"SELECT * FROM ({PRODUCT.format(sky=s, contrib=c)})" for s, c in terms)
-    return oracle(f"SELECT t, pt_id, sensor_id, round(sum(value)*179, 4) AS illum FROM ({union}) GROUP BY t, pt_id, sensor_id", "b_sky", "b_sun", "b_contrib", ctes=f"{SKYSUN}, {DIRECT}, {SUNPATCH}, suncon AS (SELECT pt_id, sensor_id, patch, value*0.1 AS value FROM b_contrib), viewcon AS (SELECT * FROM suncon WHERE patch % 2 = 0)")
+    return oracle(f"SELECT t, pt_id, sensor_id, round(sum(value)*179, 4) AS illum FROM ({union}) GROUP BY t, pt_id, sensor_id", "b_sky", "b_sun", "b_contrib", ctes=f"{SKYSUN}, {DIRECT}, {SUNPATCH}, {REALSUN}, suncon AS (SELECT pt_id, sensor_id, patch, value*0.1 AS value FROM b_contrib), viewcon AS (SELECT * FROM suncon WHERE patch % 2 = 0)")
 
 
 def _simulate(spark, sf_dir, name):
-    return rounded(integrate.simulate(name, sky(spark, sf_dir), sun(spark, sf_dir), _planes(spark, sf_dir)), "illum", digits=4).select("t", "pt_id", "sensor_id", "illum")
+    real = sun(spark, sf_dir).withColumn("patch", ((F.col("patch") + 1) % 16).cast("int"))
+    return rounded(integrate.simulate(name, sky(spark, sf_dir), sun(spark, sf_dir), _planes(spark, sf_dir), real_sun=real), "illum", digits=4).select("t", "pt_id", "sensor_id", "illum")
 
 
 @query(oracle("SELECT t, pt_id, sensor_id, round(v*179, 4) AS illum FROM (SELECT DISTINCT t FROM b_sky), (SELECT pt_id, sensor_id, sum(value) AS v FROM b_contrib WHERE patch = 3 GROUP BY pt_id, sensor_id)", "b_sky", "b_contrib"))
@@ -110,7 +119,7 @@ def in04_three_components(spark, sf_dir):
     return _simulate(spark, sf_dir, "3comp")
 
 
-@query(_sim_sql(("b_sky", "b_contrib"), ("sunpatch", "difference"), ("sunrad", "viewcon")))
+@query(_sim_sql(("b_sky", "b_contrib"), ("realsun", "difference"), ("sunrad", "viewcon")))
 def in05_direct_views(spark, sf_dir):
     return _simulate(spark, sf_dir, "1compdv")
 
@@ -250,28 +259,51 @@ def wn01_occlusion(spark, sf_dir):
     return metrics.occluded(rays.where("src <> 0"), rays.where("src = 0")).select("pt_id", "ray_id")
 
 
-@query(oracle("SELECT sky, point, view, metric, round(value, 3) + 0.0 AS value FROM (SELECT t AS sky, pt_id AS point, view, 'illum' AS metric, sum(coef*lum*omega*cosine)*179 AS value FROM viewed v JOIN (SELECT t, patch, coef FROM b_sky WHERE t % 12 = 6) s ON s.patch = v.ray_id % 16 GROUP BY t, pt_id, view UNION ALL SELECT t, pt_id, view, 'avglum', sum(coef*lum*omega)*179/sum(omega) FROM viewed v JOIN (SELECT t, patch, coef FROM b_sky WHERE t % 12 = 6) s ON s.patch = v.ray_id % 16 GROUP BY t, pt_id, view)", "b_sky", "b_dirs", ctes=VIEWED.split(", marked")[0]))
+_SEEN = VIEWED.split(", marked")[0]
+_EVAL = "sums AS (SELECT t, pt_id, view, src, sum(coef*lum*omega*cosine) AS e, sum(coef*lum*omega) AS f, sum(coef*coef*lum*lum*omega) AS g FROM viewed v JOIN b_sky s ON s.patch = v.ray_id % 16 GROUP BY ALL), areas AS (SELECT pt_id, view, sum(omega) AS a FROM viewed GROUP BY ALL), lit AS (SELECT t, pt_id, view, sum(e)*179 AS illum, sum(f)*179/any_value(a) AS avglum, sum(g)*any_value(a)/(sum(f)*sum(f)) AS gcr FROM sums JOIN areas USING (pt_id, view) GROUP BY ALL)"
+_ZONED = "zoned AS (SELECT t, pt_id, x, y, z, area FROM (SELECT DISTINCT t FROM b_sky), (SELECT pt_id, x, y, z, 1E0 + pt_id % 4 AS area, level FROM b_points) WHERE level = (t // 12) % 3)"
+
+
+def _seen(spark, sf_dir):
+    return viewed(spark, sf_dir).withColumn("patch", (F.col("ray_id") % 16).cast("int"))
+
+
+@query(oracle("SELECT t AS sky, pt_id AS point, view, metric, CASE WHEN metric = 'gcr' THEN round(value, 6) ELSE round(value, 0) END + 0.0 AS value FROM (SELECT t, pt_id, view, unnest(['illum', 'avglum', 'gcr']) AS metric, unnest([illum, avglum, gcr]) AS value FROM lit)", "b_sky", "b_dirs", ctes=f"{_SEEN}, {_EVAL}"))
 def in07_evaluate(spark, sf_dir):
-    """Sky x point x view: rays take their coefficients, then metrics, then long rows."""
-    lit = sky(spark, sf_dir).where("t % 12 = 6").join(viewed(spark, sf_dir).withColumn("patch", (F.col("ray_id") % 16).cast("int")), "patch").withColumn("lum", F.col("lum") * F.col("coef"))
-    wide = metrics.evaluate(lit.select(F.col("t").alias("sky"), F.col("pt_id").alias("point"), "view", "dx", "dy", "dz", "omega", "lum", "cos", "vx", "vy", "vz"), metrics.KEYS, ["illum", "avglum"])
-    return rounded(metrics.unpivoted(wide), "value", digits=3)
+    """All skies x points x views, as long rows."""
+    found = integrate.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum", "avglum", "gcr"])
+    return found.withColumn("value", F.when(F.col("metric") == "gcr", r("value")).otherwise(r("value", 0)))
 
 
-@query(oracle("SELECT t, round(sum(illum*area)/sum(area), 3) + 0.0 AS illum, count(*) AS n FROM (SELECT t, pt_id, sum(coef*lum*omega*abs(dz))*179 AS illum FROM b_dirs v JOIN b_sky s ON s.patch = v.ray_id % 16 WHERE t % 12 = 6 GROUP BY t, pt_id) JOIN (SELECT pt_id, 1E0 + pt_id % 4 AS area, level FROM b_points) USING (pt_id) WHERE level = (t // 12) % 3 GROUP BY t", "b_sky", "b_dirs", "b_points"))
+@query(oracle("SELECT t AS sky, pt_id AS point, view, metric, round(value, 0) + 0.0 AS value FROM (SELECT t, pt_id, view, 'illum' AS metric, sum(e)*179 AS value FROM sums WHERE src = 0 GROUP BY ALL UNION ALL SELECT t, q.pt_id, view, unnest(['sky_err', 'sky_pt']), unnest([0E0, CAST(q.pt_id AS DOUBLE)]) FROM (SELECT DISTINCT t FROM b_sky), (SELECT DISTINCT pt_id, view FROM viewed) q JOIN b_points USING (pt_id))", "b_sky", "b_dirs", "b_points", ctes=f"{_SEEN}, {_EVAL}"))
+def in07_sources_only(spark, sf_dir):
+    """Only rays of the first source, with the plane point and its distance as further metrics."""
+    seen = _seen(spark, sf_dir).withColumn("is_src", F.col("src") == 0)
+    points = binding(spark, sf_dir, "b_points")
+    grid_of = integrate.time_by_point(sky(spark, sf_dir).select("t").distinct(), points.withColumnRenamed("pt_id", "q_id"), {"sky": points})
+    return rounded(integrate.evaluate(sky(spark, sf_dir), seen, ["illum"], grid=grid_of, planes=("sky",), src_only=True), "value", digits=0)
+
+
+@query(oracle("SELECT t AS sky, pt_id AS point, view, metric, round(value, 0) + 0.0 AS value FROM (SELECT t, pt_id, view, unnest(['x', 'y', 'z', 'area', 'illum']) AS metric, unnest([x, y, z, area, illum]) AS value FROM lit JOIN zoned USING (t, pt_id))", "b_sky", "b_dirs", "b_points", ctes=f"{_SEEN}, {_EVAL}, {_ZONED}"))
 def in08_zonal_evaluate(spark, sf_dir):
-    points = binding(spark, sf_dir, "b_points").withColumn("area", 1.0 + F.col("pt_id") % 4).select("pt_id", "area", "level")
-    rays = binding(spark, sf_dir, "b_dirs").withColumn("patch", (F.col("ray_id") % 16).cast("int")).withColumn("value", F.col("lum") * F.col("omega") * F.abs("dz"))
-    lit = integrate.coefficient_product(sky(spark, sf_dir).where("t % 12 = 6"), rays.groupBy("pt_id", "patch").agg(F.sum("value").alias("value")), ["pt_id"])
-    zonal = lit.join(points, "pt_id").where("level = floor(t / 12) % 3")
-    return zonal.groupBy("t").agg(r(F.sum(F.col("value") * 179 * F.col("area")) / F.sum("area"), 3).alias("illum"), F.count("*").alias("n"))
+    """Points and areas per sky; x, y, z and area lead the metrics."""
+    points = binding(spark, sf_dir, "b_points").withColumn("area", 1.0 + F.col("pt_id") % 4)
+    zonal = sky(spark, sf_dir).select("t", (F.floor(F.col("t") / 12) % 3).cast("int").alias("level")).distinct().join(points, "level")
+    return rounded(integrate.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum"], zonal=zonal), "value", digits=0)
 
 
-@query(oracle("SELECT t, view, round(sum(illum), 3) + 0.0 AS illum FROM (SELECT t, view, src, sum(coef*lum*omega*cosine)*179 AS illum FROM viewed v JOIN b_sky s ON s.patch = v.ray_id % 16 WHERE pt_id = 7 AND t % 12 = 6 GROUP BY t, view, src) GROUP BY t, view", "b_sky", "b_dirs", ctes=VIEWED.split(", marked")[0]))
+@query(oracle("SELECT t AS sky, pt_id AS point, view, 'illum' AS metric, round(illum, 0) + 0.0 AS value FROM lit", "b_sky", "b_dirs", ctes=f"{_SEEN}, {_EVAL}"))
 def in11_point_all_suns(spark, sf_dir):
-    one = viewed(spark, sf_dir).where("pt_id = 7").withColumn("patch", (F.col("ray_id") % 16).cast("int")).withColumn("value", F.col("lum") * F.col("omega") * F.col("cos") * 179)
-    found = integrate.coefficient_product(sky(spark, sf_dir).where("t % 12 = 6"), one, ["view", "src"])
-    return found.groupBy("t", "view").agg(r(F.sum("value"), 3).alias("illum"))
+    """All sources of every point apart, then their sum per view."""
+    apart = integrate.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum"], keys=("src",))
+    return rounded(integrate.summed_sources(apart), "value", digits=0).select("sky", "point", "view", "metric", "value")
+
+
+@query(oracle("SELECT t AS sky, pt_id AS point, view, src, round(e*179, 0) + 0.0 AS value FROM sums", "b_sky", "b_dirs", ctes=f"{_SEEN}, {_EVAL}"))
+def in11_sources_apart(spark, sf_dir):
+    """The combined form: a row per source."""
+    apart = integrate.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum"], keys=("src",))
+    return rounded(apart, "value", digits=0).select("sky", "point", "view", "src", "value")
 
 
 @query(oracle(f"SELECT pt_id, count(*) AS n, round(sum(omega), 6) AS omega, round(sum(energy), 3) AS energy FROM (SELECT pt_id, cell, step, sum(omega) AS omega, sum(omega*lum) AS energy FROM (SELECT *, patch AS cell, floor(ln(greatest(lum, 1E-9))/ln(1.2)) AS step FROM ({q.patch('SELECT * FROM b_dirs', 8)})) GROUP BY pt_id, cell, step) GROUP BY pt_id", "b_dirs"))
@@ -293,10 +325,14 @@ def sc22_source_size(spark, sf_dir):
     return binding(spark, sf_dir, "b_dirs").groupBy("pt_id", "src").agg(F.round(F.sqrt(F.sum("omega") / math.pi), 6).alias("radius"), F.round(F.sum("omega") * hit, 6).alias("omega"))
 
 
-@query(oracle("SELECT sensor_id, t, n, round(v, 6) AS value FROM (SELECT sensor_id, t, count(*) AS n, sum(coef*value) AS v FROM b_contrib JOIN b_sky USING (patch) WHERE sensor_id <= 3 AND t % 12 = 0 GROUP BY sensor_id, t)", "b_contrib", "b_sky"))
+@query(oracle("SELECT CAST(pt_id % 3 AS INT) AS level, pt_id, sensor_id, count(*) AS n, round(sum(value), 6) AS value FROM b_contrib GROUP BY ALL", "b_contrib"))
 def io09_sensor_scan(spark, sf_dir):
-    rows = contrib(spark, sf_dir).where("sensor_id <= 3").join(sky(spark, sf_dir).where("t % 12 = 0"), "patch")
-    return rows.groupBy("sensor_id", "t").agg(F.count("*").alias("n"), F.round(F.sum(F.col("coef") * F.col("value")), 6).alias("value"))
+    """A sensor plane from text: level, point, sensor, patch and value; the level is the leading column."""
+    path = scratch_folder(spark, "sensors")
+    rows = contrib(spark, sf_dir).select((F.col("pt_id") % 3).alias("level"), "pt_id", "sensor_id", "patch", "value")
+    rows.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in rows.columns)).alias("value")).write.text(path)
+    found = tables.read_sensors(spark, path)
+    return found.groupBy("level", "pt_id", "sensor_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("value"))
 
 
 @query(oracle("SELECT pt_id, month, round(sum(v)*179, 4) AS illum FROM (SELECT pt_id, CAST((t - 1) % 12 + 1 AS INT) AS month, coef*value AS v FROM b_sky JOIN b_contrib USING (patch)) GROUP BY pt_id, month", "b_sky", "b_contrib"))
@@ -330,10 +366,11 @@ for _id, _name, _sql, _digits in (
     query(_oracle)(_run)
 
 
-@query(oracle("SELECT k, round(phi, 6) AS phi, round(ex, 6) + 0.0 AS ex, round(ey, 6) + 0.0 AS ey, n FROM eq, (SELECT count(*) AS n FROM b_rays)", "b_rays", ctes=_EQ))
+@query(oracle("SELECT pt_id, CAST(k AS INT) AS k, round(k*2*pi()/n, 6) AS phi, round(cos(k*2*pi()/n), 6) + 0.0 AS ex, round(sin(k*2*pi()/n), 6) + 0.0 AS ey FROM (SELECT pt_id, 3 + pt_id % 5 AS n FROM (SELECT DISTINCT pt_id FROM b_rays)), range(9) r(k) WHERE k <= n", "b_rays"))
 def mt15_equator_angles(spark, sf_dir):
-    n = binding(spark, sf_dir, "b_rays").agg(F.count("*").alias("n"))
-    return rounded(metrics.equator(spark, 8).crossJoin(n), "phi", "ex", "ey")
+    """Closed equator angles, as many as each point asks for: the last is the first again."""
+    points = binding(spark, sf_dir, "b_rays").select("pt_id", (3 + F.col("pt_id") % 5).alias("n")).distinct()
+    return rounded(metrics.equator_of(points, "n", closed=True), "phi", "ex", "ey").select("pt_id", "k", "phi", "ex", "ey")
 
 
 @query(oracle(f"SELECT pt_id, k, round(sum(w*lum)/sum(w), 4) + 0.0 AS eq_lum FROM (SELECT *, exp(-{_GAP}*{_GAP}/(2*radians(20)*radians(20)))*sqrt(greatest(1 - dz*dz, 0))*omega AS w FROM b_dirs, eq) GROUP BY pt_id, k", "b_dirs", ctes=_EQ))

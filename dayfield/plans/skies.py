@@ -10,6 +10,7 @@ from ..bindings import binding, oracle
 from ..functions import directions as d
 from ..functions import sky
 from ..operators import interpolate
+from ..session import scratch_folder
 from ..sources import tables, weather
 from .registry import query, r, rounded
 
@@ -204,21 +205,27 @@ def io04_sky_input(spark, sf_dir):
     return weather.sky_input(named).select("t", F.round("dir_norm", 6).alias("dir_norm"), "month", "dew_pt")
 
 
-@query(oracle("SELECT t, patch, round(coef, 6) AS coef, CAST(t // 12 AS INT) AS year FROM b_sky", "b_sky"))
+@query(oracle("SELECT t, patch, round(coef, 6) AS coef, round(sun_rad, 6) AS sun_rad, 4 AS side FROM b_sky LEFT JOIN (SELECT t, sun_rad FROM b_sun) USING (t)", "b_sky", "b_sun"))
 def io11_sky_table(spark, sf_dir):
-    return binding(spark, sf_dir, "b_sky").select("t", "patch", F.round("coef", 6).alias("coef"), F.floor(F.col("t") / 12).cast("int").alias("year"))
+    """Coefficients, suns and times written as one folder and read again; the side comes from the ground patch."""
+    path = scratch_folder(spark, "sky")
+    matrix = binding(spark, sf_dir, "b_sky")
+    tables.write_sky(matrix, binding(spark, sf_dir, "b_sun"), matrix.select("t").distinct(), path)
+    patches, suns, times, side = tables.read_sky(spark, path)
+    rows = times.join(patches, "t").join(suns.select("t", "sun_rad"), "t", "left")
+    return rounded(rows, "coef", "sun_rad").select("t", "patch", "coef", "sun_rad", F.lit(side).alias("side"))
 
 
-@query()
+_LINES = "grid AS (SELECT p.patch, s.t, coalesce(coef, 0) AS coef FROM (SELECT DISTINCT patch FROM b_sky) p CROSS JOIN (SELECT DISTINCT t FROM b_sky) s LEFT JOIN b_sky k ON k.patch = p.patch AND k.t = s.t UNION ALL SELECT 16, s.t, coalesce(sun_rad, 0) FROM (SELECT DISTINCT t FROM b_sky) s LEFT JOIN b_sun u ON u.t = s.t)"
+
+
+@query(oracle("SELECT CAST(patch AS INT) AS patch, string_agg(printf('%.5e', coef) || chr(9) || printf('%.5e', coef), chr(9) ORDER BY t) AS line FROM grid GROUP BY patch", "b_sky", "b_sun", ctes=_LINES))
 def io16_sky_text(spark, sf_dir):
-    """Rows of the text export: one per patch."""
-    times = list(range(23941, 23953))
-    return tables.sky_text(binding(spark, sf_dir, "b_sky"), times)
+    """Rows of the text export for two channels: one per patch and one of the sun, over all times."""
+    return tables.sky_text(binding(spark, sf_dir, "b_sky"), 2, binding(spark, sf_dir, "b_sun"))
 
 
-@query(oracle("SELECT station, month, day, hour, CAST(n AS INT) AS day_row FROM days", "b_weather", ctes=f"{_SUN}, days AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY month, day, hour) - 1 AS n FROM sxyz WHERE sz > sin(radians(2)) AND dif_horiz > 5)"))
+@query(oracle("SELECT station, month, day, hour, printf('%02d-%02d %05.2f', month, day, hour) AS label, CAST(row_number() OVER w - 1 AS INT) AS idx, CASE WHEN up THEN CAST(sum(CASE WHEN up THEN 1 ELSE 0 END) OVER w - 1 AS INT) ELSE -1 END AS masked FROM (SELECT *, sz > sin(radians(2)) AND dif_horiz > 5 AND dir_norm >= 0 AS up FROM sxyz) WINDOW w AS (PARTITION BY station ORDER BY month, day, hour ROWS UNBOUNDED PRECEDING)", "b_weather", ctes=_SUN))
 def io19_sky_view(spark, sf_dir):
-    from pyspark.sql import Window
-
-    day = sky.daylight_mask(sunny(spark, sf_dir)).where("is_day")
-    return day.withColumn("day_row", F.row_number().over(Window.partitionBy("station").orderBy("month", "day", "hour")) - 1).select(*KEYS, "day_row")
+    """All rows with label, original index and, by day, masked index (-1 outside the mask)."""
+    return weather.indexed(sky.daylight_mask(sunny(spark, sf_dir)), "is_day").select(*KEYS, "label", "idx", F.coalesce("masked", F.lit(-1)).alias("masked"))

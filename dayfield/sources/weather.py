@@ -133,3 +133,11 @@ def masked_index(masked: DataFrame, rows: DataFrame) -> DataFrame:
     """([station,] t, masked): the place of original rows among the masked ones; rows outside the mask drop out."""
     on = [c for c in ("station", "t") if c in masked.columns and c in rows.columns]
     return _numbered(masked, "masked").select(*on, "masked").join(rows.select(*on), on)
+
+
+def indexed(rows: DataFrame, mask: str, key: str = "station") -> DataFrame:
+    """Adds label, idx (the row's place among all of its station) and masked (its place among the rows of the mask, null outside)."""
+    order = Window.partitionBy(key).orderBy("month", "day", "hour").rowsBetween(Window.unboundedPreceding, 0)
+    label = F.format_string("%02d-%02d %05.2f", "month", "day", "hour")
+    masked = F.when(F.col(mask), (F.sum(F.when(F.col(mask), 1).otherwise(0)).over(order) - 1).cast("int"))
+    return rows.withColumns({"label": label, "idx": F.row_number().over(Window.partitionBy(key).orderBy("month", "day", "hour")) - 1, "masked": masked})
