@@ -8,9 +8,11 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .draws import uniform
+
 PI = math.pi
 
 
@@ -98,6 +100,30 @@ def bin_uv(code: Column, n: int, offset: float = 0.5) -> tuple[Column, Column]:
     return (F.floor(code / n) + offset) / n, (code % n + offset) / n
 
 
+def jittered_uv(code: Column, n: int, seed: int, *keys: str) -> tuple[Column, Column]:
+    """A place inside the cell of a flat index, drawn from the seed and the keys."""
+    return (F.floor(code / n) + uniform(seed, *keys)) / n, (code % n + uniform(seed + 1, *keys)) / n
+
+
+#: What ``transform`` can do: name -> (columns of the input, columns of the result, function of the input columns).
+def _ops() -> dict:
+    def of_xyz(f):
+        return lambda *c: f(norm(Xyz(*c)))
+
+    return {"xy": (3, 2, of_xyz(to_angular)), "aa": (3, 2, of_xyz(to_alt_az)), "tp": (3, 2, of_xyz(to_theta_phi)), "uv": (3, 2, of_xyz(to_uv)), "uv2xyz": (2, 3, lambda u, v: from_uv(u, v))}
+
+
+def transform(rows: DataFrame, columns: list[str], op: str, names: list[str]) -> DataFrame:
+    """``rows`` with the chosen columns transformed into ``names``: xyz to angular (xy), altitude and azimuth (aa), theta and phi (tp) or
+    square coordinates (uv), or back from these (uv2xyz). Vectors are scaled to length 1 first; a wrong number of columns is an error."""
+    if op not in _ops():
+        raise ValueError(f"unknown transform {op!r}")
+    takes, gives, f = _ops()[op]
+    if len(columns) != takes or len(names) != gives:
+        raise ValueError(f"{op} takes {takes} columns and gives {gives}, not {len(columns)} and {len(names)}")
+    return rows.withColumns(dict(zip(names, f(*map(F.col, columns)), strict=True)))
+
+
 def sky_patch(v: Xyz, side: int) -> Column:
     """Patch of a direction: square cell of the upper hemisphere, side * side for the ground."""
     u, w = to_uv(v)

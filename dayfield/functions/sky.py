@@ -198,8 +198,9 @@ def patch_directions(spark: SparkSession, side: int, jn: int = 4) -> DataFrame:
     return rows.select((F.floor(F.col("a") / jn) * side + F.floor(F.col("b") / jn)).cast("int").alias("patch"), v.x.alias("x"), v.y.alias("y"), v.z.alias("z"))
 
 
-def sky_matrix(states: DataFrame, side: int, jn: int = 4, blend: bool = True) -> DataFrame:
-    """(t, patch, coef): mean luminance of each patch, and the ground as patch side * side.
+def sky_matrix(states: DataFrame, side: int, jn: int = 4, blend: bool = True, with_sun: bool = False, colors: dict[str, tuple[float, float, float]] | None = None) -> DataFrame:
+    """(t, patch, coef): mean luminance of each patch, and the ground as patch side * side; ``with_sun`` adds the sun's radiance as the
+    patch after it. ``colors`` gives channels (sky, ground and sun factors by name) as columns coef_<name> beside coef.
 
     ``states`` is the result of ``perez`` with a key t. The directions are (side * jn)^2 rows, a size that the arguments fix,
     so they are broadcast; with ``blend``, sky and ground mix near the horizon by (z + 1.01)^10 and its inverse."""
@@ -210,7 +211,11 @@ def sky_matrix(states: DataFrame, side: int, jn: int = 4, blend: bool = True) ->
     up, down = F.pow(F.col("z") + 1.01, F.lit(10)), F.pow(F.col("z") + 1.01, F.lit(-10))
     mixed = (up * sky + down * F.col("ground_br")) / (up + down) if blend else F.when(F.col("z") >= 0, sky).otherwise(F.col("ground_br"))
     patches = pairs.groupBy("t", "patch").agg(F.avg(mixed).alias("coef"))
-    return patches.unionByName(states.select("t", F.lit(side * side).alias("patch"), F.col("ground_br").alias("coef")))
+    out = patches.unionByName(states.select("t", F.lit(side * side).alias("patch"), F.col("ground_br").alias("coef")))
+    if with_sun:
+        out = out.unionByName(states.select("t", F.lit(side * side + 1).alias("patch"), F.col("solar_rad").alias("coef")))
+    place = F.when(F.col("patch") < side * side, 0).when(F.col("patch") == side * side, 1).otherwise(2)
+    return out.withColumns({f"coef_{name}": F.col("coef") * F.get(F.array(*map(F.lit, map(float, factors))), place) for name, factors in (colors or {}).items()})
 
 
 def patch_share(side: int) -> float:

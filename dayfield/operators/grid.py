@@ -7,6 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import directions as d
+from ..functions.draws import uniform, weighted_key
+from .nearest import knn
+
 #: Kernels of the detail filters: per direction the weights of (-1, 0, 1) along it.
 HAAR, WAVELET = (-1.0, 1.0), (-0.5, 1.0, -0.5)
 
@@ -42,11 +46,15 @@ def detail(grid: DataFrame, keys: list[str], kernel: str = "wav", mode: str = "r
     return along.groupBy(*keys, "i", "j", "value").agg(F.sum("_r").alias("detail"))
 
 
-def normalised(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds norm: (value - min) / (max - min) over each key; unchanged where all values agree."""
-    over = Window.partitionBy(*keys)
-    lo, hi = F.min("value").over(over), F.max("value").over(over)
-    return grid.withColumn("norm", F.when(hi > lo, (F.col("value") - lo) / (hi - lo)).otherwise(F.col("value")))
+def normalised(grid: DataFrame, keys: list[str], inside: str | None = None, edge: float = 0.0) -> DataFrame:
+    """Adds norm: (value - min) / (max - min) over each key (no keys: over all rows, by one aggregation); unchanged where all values agree.
+
+    ``inside`` names a boolean column: cells outside the zone do not count and take the constant ``edge``."""
+    of = F.when(F.col(inside), F.col("value")) if inside else F.col("value")
+    span = grid.groupBy(*keys).agg(F.min(of).alias("_lo"), F.max(of).alias("_hi"))
+    both = grid.join(span, keys) if keys else grid.crossJoin(span)
+    norm = F.when(F.col("_hi") > F.col("_lo"), (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.col("value"))
+    return both.withColumn("norm", F.when(F.col(inside), norm).otherwise(F.lit(edge)) if inside else norm).drop("_lo", "_hi")
 
 
 REDUCERS = {"max": F.max, "sum": F.sum, "avg": F.avg}
@@ -72,12 +80,24 @@ def draw(cells: DataFrame, keys: list[str], limit: float, value: str = "detail",
 
 
 def draw_weighted(cells: DataFrame, keys: list[str], limit: float, value: str = "detail", lb: float = 0.5, ub: float = 2.0, least: int = 1, seed: int = 42) -> DataFrame:
-    """As many cells as exceed the limit, drawn without replacement: candidates over lb * limit, weight clipped at ub * limit."""
-    n = F.greatest(F.sum(F.when(F.col(value) > limit, 1).otherwise(0)).over(Window.partitionBy(*keys)), F.lit(least))
-    weight = F.greatest(F.least(F.col(value), F.lit(ub * limit)), F.lit(1e-12))
-    u = F.greatest(F.rand(seed), F.lit(1e-15))
-    found = cells.withColumn("_n", n).where((F.col(value) > lb * limit) | (F.col("_n") <= least)).withColumn("_key", -F.log(u) / weight)
-    return found.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_key", "i", "j"))).where("_r <= _n").drop("_n", "_key", "_r")
+    """As many cells as exceed the limit, drawn without replacement: candidates over lb * limit, weight clipped at ub * limit.
+
+    Where no cell is a candidate, ``least`` cells are drawn evenly. The draw follows from the seed and the cell, not from the partitioning."""
+    over = Window.partitionBy(*keys)
+    n = F.greatest(F.sum(F.when(F.col(value) > limit, 1).otherwise(0)).over(over), F.lit(least))
+    candidate = F.col(value) > lb * limit
+    found = cells.withColumn("_n", n).withColumn("_any", F.max(candidate).over(over)).where(candidate | ~F.col("_any"))
+    weight = F.when(F.col("_any"), F.least(F.col(value), F.lit(ub * limit))).otherwise(1.0)
+    found = found.withColumn("_key", weighted_key(uniform(seed, *keys, "i", "j"), weight))
+    return found.withColumn("_r", F.row_number().over(over.orderBy("_key", "i", "j"))).where("_r <= _n").drop("_n", "_any", "_key", "_r")
+
+
+def draw_suns(cells: DataFrame, limit: float, sun: str = "feature") -> DataFrame:
+    """Cells per sun whose value bends along the ordered suns of their plan cell by more than the limit; suns without one drop out."""
+    over = Window.partitionBy("i", "j").orderBy(sun)
+    near = lambda f: F.coalesce(f("value").over(over), F.col("value"))
+    found = cells.withColumn("detail", F.abs(F.col("value") - 0.5 * (near(F.lag) + near(F.lead))))
+    return draw(found, [sun], limit, least=0)
 
 
 def lift(coarse: DataFrame, keys: list[str], factor: int = 2) -> DataFrame:
@@ -137,6 +157,19 @@ def mean_positive(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return pixels.where("value > 0").groupBy(*keys).agg(F.avg("value").alias("scale"))
 
 
+def source_raster(cells: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, i, j, dx, dy, dz, omega, lum): the full n * n square map of each key; cells without a sample take the nearest one."""
+    spark = cells.sparkSession
+    grid = spark.range(n * n).select(F.col("id").alias("cell"), F.floor(F.col("id") / n).cast("double").alias("i"), (F.col("id") % n).cast("double").alias("j"))
+    asked = cells.select(*keys).distinct().crossJoin(F.broadcast(grid))
+    samples = cells.select(*keys, (F.col("i") * n + F.col("j")).cast("long").alias("_sample"), F.col("i").cast("double").alias("i"), F.col("j").cast("double").alias("j"), "lum")
+    near = knn(asked, samples, "cell", "_sample", ("i", "j"), 1, float(n), tuple(keys))
+    filled = near.join(samples.select(*keys, "_sample", "lum"), [*keys, "_sample"])
+    u, v = d.bin_uv(F.col("cell"), n)
+    at = d.from_uv(u, v)
+    return filled.select(*keys, F.floor(F.col("cell") / n).cast("int").alias("i"), (F.col("cell") % n).cast("int").alias("j"), at.x.alias("dx"), at.y.alias("dy"), at.z.alias("dz"), F.lit(2 * math.pi / (n * n)).alias("omega"), "lum")
+
+
 def bilinear(queries: DataFrame, pixels: DataFrame, q_id: str = "q_id") -> DataFrame:
     """(q_id, value): weighted sum of the four pixels around (i, j) in pixel units; outside, the median of the border."""
     size = pixels.agg(F.max("i").alias("_hi"), F.max("j").alias("_hj"))
@@ -155,11 +188,17 @@ def bilinear(queries: DataFrame, pixels: DataFrame, q_id: str = "q_id") -> DataF
 def ray_parents(tree: DataFrame) -> DataFrame:
     """(tree_id, seq, px, py, pz, material): for each sky hit the first later row one level up, if its direction differs (dot < .99).
 
-    ``tree`` is (tree_id, seq, level, dx, dy, dz, material)."""
+    ``tree`` is (tree_id, seq, level, dx, dy, dz, material[, nx, ny, nz]); normals of the parents come along."""
+    normal = [c for c in ("nx", "ny", "nz") if c in tree.columns]
     hits = tree.where("material = 'sky'").select("tree_id", F.col("seq").alias("_s"), (F.col("level") - 1).alias("level"), *(F.col(f"d{c}").alias(f"_{c}") for c in "xyz"))
-    later = hits.join(tree, ["tree_id", "level"]).where("seq > _s").groupBy("tree_id", "_s", "_x", "_y", "_z").agg(F.min_by(F.struct("dx", "dy", "dz", "material"), "seq").alias("p"))
+    later = hits.join(tree, ["tree_id", "level"]).where("seq > _s").groupBy("tree_id", "_s", "_x", "_y", "_z").agg(F.min_by(F.struct("dx", "dy", "dz", "material", *normal), "seq").alias("p"))
     differs = F.col("_x") * F.col("p.dx") + F.col("_y") * F.col("p.dy") + F.col("_z") * F.col("p.dz") < 0.99
-    return later.where(differs).select("tree_id", F.col("_s").alias("seq"), F.col("p.dx").alias("px"), F.col("p.dy").alias("py"), F.col("p.dz").alias("pz"), "p.material")
+    return later.where(differs).select("tree_id", F.col("_s").alias("seq"), F.col("p.dx").alias("px"), F.col("p.dy").alias("py"), F.col("p.dz").alias("pz"), "p.material", *(f"p.{c}" for c in normal))
+
+
+def distinct_normals(parents: DataFrame, digits: int = 6) -> DataFrame:
+    """(nx, ny, nz): the different surface normals of ray parents, to ``digits`` decimals."""
+    return parents.select(*(F.round(c, digits).alias(c) for c in ("nx", "ny", "nz"))).distinct()
 
 
 def compressed(rays: DataFrame, keys: list[str], patch: Column, lum_step: float = 0.2) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from .nearest import DXYZ, knn
 
 
@@ -24,10 +25,21 @@ def knn_weights(near: DataFrame, q_id: str = "q_id", with_lum: bool = False) ->
     return near.withColumn("w", w)
 
 
+def with_theta(near: DataFrame, queries: DataFrame, rays: DataFrame, q_id: str = "q_id") -> DataFrame:
+    """Adds theta: the angle of the neighbour around the query direction, in the plane across it."""
+    q = queries.select(q_id, *(F.col(c).alias(f"_q{c}") for c in DXYZ))
+    both = near.join(q, q_id).join(rays.select("ray_id", *(F.col(c).alias(f"_r{c}") for c in DXYZ)), "ray_id")
+    flat = F.sqrt(F.col("_qdx") * F.col("_qdx") + F.col("_qdy") * F.col("_qdy"))
+    rx, ry = F.coalesce(F.try_divide(-F.col("_qdy"), flat), F.lit(1.0)), F.coalesce(F.try_divide(F.col("_qdx"), flat), F.lit(0.0))
+    right = F.col("_rdx") * rx + F.col("_rdy") * ry
+    up = -F.col("_rdx") * F.col("_qdz") * ry + F.col("_rdy") * F.col("_qdz") * rx + F.col("_rdz") * (F.col("_qdx") * ry - F.col("_qdy") * rx)
+    return both.withColumn("theta", F.atan2(up, right)).drop(*(f"_{s}{c}" for s in "qr" for c in DXYZ))
+
+
 def angle_weights(near: DataFrame, q_id: str = "q_id") -> DataFrame:
     """Adds wa: circular spacing of the neighbours by angle: a[i+1]/3 + a[i+2]/6 - a[i-1]/3 - a[i-2]/6, wrapped at 2 pi.
 
-    ``near`` has theta, the angle of the neighbour around the query."""
+    ``near`` has theta, the angle of the neighbour around the query; a query has as many rows as neighbours were asked for."""
     listed = near.groupBy(q_id).agg(F.array_sort(F.collect_list(F.struct("theta", "ray_id"))).alias("a"))
     n = F.size("a")
 
@@ -39,20 +51,27 @@ def angle_weights(near: DataFrame, q_id: str = "q_id") -> DataFrame:
     return near.join(listed.select(q_id, F.explode(spaced).alias("s")).select(q_id, "s.ray_id", "s.wa"), [q_id, "ray_id"])
 
 
-def knn_interpolate(queries: DataFrame, rays: DataFrame, k: int = 10, with_lum: bool = False, matches: DataFrame | None = None) -> DataFrame:
-    """(q_id, lum): weighted mean of the k nearest rays. ``matches`` (q_id, ray_id) lists neighbours of the same content; others weigh .001."""
+def knn_interpolate(queries: DataFrame, rays: DataFrame, k: int = 10, with_lum: bool = False, matches: DataFrame | None = None, with_angle: bool = False, seed: int | None = None) -> DataFrame:
+    """(q_id, lum): weighted mean of the k nearest rays, weights by distance, luminance (``with_lum``) and angle (``with_angle``).
+
+    ``matches`` (q_id, ray_id) lists neighbours of the same content; others weigh .001. With a ``seed`` one neighbour is drawn by
+    weight instead of the mean."""
     near = knn(queries, rays, "q_id", "ray_id", DXYZ, k, 2.0).join(rays.select("ray_id", "lum"), "ray_id")
     weighted = knn_weights(near, "q_id", with_lum)
+    if with_angle:
+        weighted = angle_weights(with_theta(weighted, queries, rays)).withColumn("w", F.col("w") * F.col("wa"))
     if matches is not None:
         weighted = weighted.join(matches.select("q_id", "ray_id", F.lit(1.0).alias("_m")), ["q_id", "ray_id"], "left").withColumn("w", F.col("w") * F.coalesce("_m", F.lit(0.001)))
+    if seed is not None:
+        return weighted.join(dithered(weighted, seed), ["q_id", "ray_id"], "left_semi").select("q_id", "lum")
     return weighted.groupBy("q_id").agg(F.try_divide(F.sum(F.col("w") * F.col("lum")), F.sum("w")).alias("lum"))
 
 
 def dithered(near: DataFrame, seed: int = 42, q_id: str = "q_id") -> DataFrame:
-    """One neighbour per query, drawn by its weight w: the first whose running share reaches a random number."""
+    """One neighbour per query, drawn by its weight w: the first whose running share reaches a random number of the query."""
     order = Window.partitionBy(q_id).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    run = near.withColumn("_run", F.sum("w").over(order) / F.sum("w").over(Window.partitionBy(q_id))).withColumn("_u", F.max(F.when(F.col("rank") == 1, F.rand(seed))).over(Window.partitionBy(q_id)))
-    return run.where("_run >= _u").groupBy(q_id).agg(F.min_by("ray_id", "rank").alias("ray_id"))
+    run = near.withColumn("_run", F.sum("w").over(order)).withColumn("_all", F.sum("w").over(Window.partitionBy(q_id)))
+    return run.where(F.col("_run") >= uniform(seed, q_id) * F.col("_all")).groupBy(q_id).agg(F.min_by("ray_id", "rank").alias("ray_id"))
 
 
 def content_matches(near: DataFrame, normal_deg: float = 5.0, distance: float = 0.5) -> DataFrame:
@@ -67,18 +86,27 @@ def content_matches(near: DataFrame, normal_deg: float = 5.0, distance: float =
     return marked.where(F.col("_same") | (~F.col("_any") & (F.col("rank") == 1))).select("q_id", "ray_id")
 
 
-def local_plane(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """(q_id, value): the plane through the three nearest points in x, y at the query; the nearest value where they are in line or the
-    query lies outside their triangle."""
-    near = knn(queries, points, "q_id", "pt_id", ("x", "y"), 3, 10.0).join(points.select("pt_id", F.col("x").alias("px"), F.col("y").alias("py"), "value"), "pt_id")
-    wide = near.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "px", "py", "value"))).alias("p"))
-    joined = queries.select("q_id", "x", "y").join(wide, "q_id")
-    p = lambda i, c: F.get("p", F.lit(i))[c]
-    det = (p(1, "py") - p(2, "py")) * (p(0, "px") - p(2, "px")) + (p(2, "px") - p(1, "px")) * (p(0, "py") - p(2, "py"))
-    a = F.try_divide((p(1, "py") - p(2, "py")) * (F.col("x") - p(2, "px")) + (p(2, "px") - p(1, "px")) * (F.col("y") - p(2, "py")), det)
-    b = F.try_divide((p(2, "py") - p(0, "py")) * (F.col("x") - p(2, "px")) + (p(0, "px") - p(2, "px")) * (F.col("y") - p(2, "py")), det)
-    inside = (a >= 0) & (b >= 0) & (a + b <= 1)
-    return joined.select("q_id", F.when(inside, a * p(0, "value") + b * p(1, "value") + (1 - a - b) * p(2, "value")).otherwise(p(0, "value")).alias("value"))
+def local_plane(queries: DataFrame, points: DataFrame, k: int = 10) -> DataFrame:
+    """(q_id, value): the plane of the Delaunay triangle around the query in x, y among its k nearest points; where no triangle of them
+    encloses it (outside the hull), the nearest value.
+
+    Of all enclosing triangles the Delaunay one gives the least x^2 + y^2 at the query by its own plane, so each query tries the
+    k (k - 1) (k - 2) / 6 triangles and no triangulation is built; ties go to the smaller ids."""
+    at = points.select("pt_id", F.col("x").alias("px"), F.col("y").alias("py"), "value")
+    near = knn(queries, points, "q_id", "pt_id", ("x", "y"), k, 10.0).join(at, "pt_id").join(queries.select("q_id", "x", "y"), "q_id")
+    corner = lambda n: near.select("q_id", F.struct("rank", "pt_id", (F.col("px") - F.col("x")).alias("x"), (F.col("py") - F.col("y")).alias("y"), "value").alias(n))
+    three = corner("a").join(corner("b"), "q_id").where("a.rank < b.rank").join(corner("c"), "q_id").where("b.rank < c.rank")
+    g = lambda n, f: F.col(f"{n}.{f}")
+    det = (g("b", "y") - g("c", "y")) * (g("a", "x") - g("c", "x")) + (g("c", "x") - g("b", "x")) * (g("a", "y") - g("c", "y"))
+    wa = F.try_divide((g("c", "y") - g("b", "y")) * g("c", "x") + (g("b", "x") - g("c", "x")) * g("c", "y"), det)
+    wb = F.try_divide((g("a", "y") - g("c", "y")) * g("c", "x") + (g("c", "x") - g("a", "x")) * g("c", "y"), det)
+    three = three.where(F.abs(det) > 1e-12).withColumn("wa", wa).withColumn("wb", wb).withColumn("wc", 1 - wa - wb).where("wa >= -1e-12 and wb >= -1e-12 and wc >= -1e-12")
+    square = lambda n: g(n, "x") * g(n, "x") + g(n, "y") * g(n, "y")
+    lifted = F.round(F.col("wa") * square("a") + F.col("wb") * square("b") + F.col("wc") * square("c"), 9)
+    value = F.col("wa") * g("a", "value") + F.col("wb") * g("b", "value") + F.col("wc") * g("c", "value")
+    best = three.groupBy("q_id").agg(F.min_by(value, F.struct(lifted, g("a", "pt_id"), g("b", "pt_id"), g("c", "pt_id"))).alias("_in"))
+    nearest_value = near.where("rank = 1").select("q_id", "value")
+    return nearest_value.join(best, "q_id", "left").select("q_id", F.coalesce("_in", "value").alias("value"))
 
 
 def time_linear(series: DataFrame, asked: DataFrame, values: list[str], key: str = "station") -> DataFrame:

@@ -8,39 +8,69 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import directions as d
+from ..functions import glare
 from . import grid
 from .nearest import DXYZ, knn
 
 
-def hemisphere_cells(spark, n: int) -> DataFrame:
-    """(cell, dx, dy, dz): centres of n * n equal-area cells of the upper hemisphere."""
-    cells = spark.range(n * n).select(F.col("id").alias("cell"))
+def hemisphere_cells(spark, n: int, sphere: bool = False) -> DataFrame:
+    """(cell, dx, dy, dz): centres of n * n equal-area cells of the upper hemisphere, or of 2 * n * n of the sphere."""
+    cells = spark.range(n * n * (2 if sphere else 1)).select(F.col("id").alias("cell"))
     u, v = d.bin_uv(F.col("cell"), n)
     at = d.from_uv(u, v)
     return cells.select("cell", at.x.alias("dx"), at.y.alias("dy"), at.z.alias("dz"))
 
 
-def _cells_by_point(rays: DataFrame, n: int) -> DataFrame:
+def view_cells(views: DataFrame, n: int) -> DataFrame:
+    """(view, cell, dx, dy, dz): the square map of n * n equal-area pixels around each view direction (vx, vy, vz)."""
+    pairs = views.select("view", "vx", "vy", "vz").crossJoin(F.broadcast(hemisphere_cells(views.sparkSession, n)))
+    flat = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
+    rx, ry = F.coalesce(F.try_divide(-F.col("vy"), flat), F.lit(1.0)), F.coalesce(F.try_divide(F.col("vx"), flat), F.lit(0.0))
+    ux, uy, uz = -F.col("vz") * ry, F.col("vz") * rx, F.col("vx") * ry - F.col("vy") * rx
+    x = F.col("dx") * rx + F.col("dy") * ux + F.col("dz") * F.col("vx")
+    y = F.col("dx") * ry + F.col("dy") * uy + F.col("dz") * F.col("vy")
+    z = F.col("dy") * uz + F.col("dz") * F.col("vz")
+    return pairs.select("view", "cell", x.alias("_x"), y.alias("_y"), z.alias("_z")).select("view", "cell", F.col("_x").alias("dx"), F.col("_y").alias("dy"), F.col("_z").alias("dz"))
+
+
+def _cells_by_point(rays: DataFrame, n: int, sphere: bool = False) -> DataFrame:
     """Each point's cells with their nearest ray."""
-    asked = rays.select("pt_id").distinct().crossJoin(F.broadcast(hemisphere_cells(rays.sparkSession, n)))
+    asked = rays.select("pt_id").distinct().crossJoin(F.broadcast(hemisphere_cells(rays.sparkSession, n, sphere)))
     return knn(asked, rays, "cell", "ray_id", DXYZ, 1, 2.0, ("pt_id",))
 
 
-def solid_angles(rays: DataFrame, n: int = 64, few: int = 100) -> DataFrame:
-    """Rays of the upper hemisphere with omega: 2 pi / N where a point has under ``few`` rays, else equal-area cells counted at their
-    nearest ray. The sum over a point is 2 pi; the error of one ray shrinks with the cells; a repeated direction gets 0."""
+def solid_angles(rays: DataFrame, n: int = 64, few: int = 100, sphere: bool = False) -> DataFrame:
+    """Rays with omega: the view's solid angle (2 pi, or 4 pi of the sphere) over N where a point has under ``few`` rays, else
+    equal-area cells counted at their nearest ray. The sum over a point is the view's solid angle; the error of one ray shrinks
+    with the cells; a repeated direction gets 0 but for the smallest id."""
+    whole = 4 * math.pi if sphere else 2 * math.pi
     counted = rays.withColumn("_n", F.count("*").over(Window.partitionBy("pt_id")))
     area = 2 * math.pi / (n * n)
     many = counted.where(F.col("_n") >= few)
-    cells = _cells_by_point(many, n).groupBy("pt_id", "ray_id").agg((F.count("*") * area).alias("omega"))
+    cells = _cells_by_point(many, n, sphere).groupBy("pt_id", "ray_id").agg((F.count("*") * area).alias("omega"))
     shared = many.join(cells, ["pt_id", "ray_id"], "left").withColumn("omega", F.coalesce("omega", F.lit(0.0)))
-    return counted.where(F.col("_n") < few).withColumn("omega", 2 * math.pi / F.col("_n")).unionByName(shared).drop("_n")
-
-
-def view_raster(rays: DataFrame, n: int) -> DataFrame:
-    """(pt_id, i, j, lum): the nearest ray's luminance in each cell of the square map of the zenith view."""
-    found = _cells_by_point(rays, n).join(rays.select("pt_id", "ray_id", "lum"), ["pt_id", "ray_id"])
-    return found.select("pt_id", F.floor(F.col("cell") / n).cast("int").alias("i"), (F.col("cell") % n).cast("int").alias("j"), "lum")
+    return counted.where(F.col("_n") < few).withColumn("omega", whole / F.col("_n")).unionByName(shared).drop("_n")
+
+
+def view_raster(rays: DataFrame, views: DataFrame, n: int, sky: DataFrame | None = None, k: int = 1) -> DataFrame:
+    """([sky,] pt_id, view, i, j, lum): each pixel's luminance from the point's nearest ray, or the mean of the k nearest weighted by
+    exp(-d^2 / (2 mean d^2)).
+
+    Neighbours are found once per (point, view, pixel); with ``sky`` (t, patch, coef) every ray (with its patch) then takes the
+    coefficient of its patch at each time."""
+    asked = rays.select("pt_id").distinct().crossJoin(view_cells(views, n)).withColumn("pixel", F.col("view") * n * n + F.col("cell"))
+    near = knn(asked, rays, "pixel", "ray_id", DXYZ, k, 2.0, ("pt_id",))
+    over = Window.partitionBy("pt_id", "pixel")
+    d2 = F.col("dist") * F.col("dist")
+    near = near.withColumn("w", F.coalesce(F.exp(-F.try_divide(d2, 2 * F.avg(d2).over(over))), F.lit(1.0)))
+    lit = near.join(rays.select("pt_id", "ray_id", "lum", *(["patch"] if sky is not None else [])), ["pt_id", "ray_id"])
+    keys = ["pt_id", "pixel"]
+    if sky is not None:
+        lit = lit.join(sky.select(F.col("t").alias("sky"), "patch", "coef"), "patch").withColumn("lum", F.col("lum") * F.col("coef"))
+        keys = ["sky", *keys]
+    mean = lit.groupBy(*keys).agg((F.sum(F.col("w") * F.col("lum")) / F.sum("w")).alias("lum"))
+    cell = F.col("pixel") % (n * n)
+    return mean.select(*keys[:-1], F.floor(F.col("pixel") / (n * n)).cast("int").alias("view"), F.floor(cell / n).cast("int").alias("i"), (cell % n).cast("int").alias("j"), "lum")
 
 
 def pixel_rays(pixels: DataFrame, n: int) -> DataFrame:
@@ -50,11 +80,32 @@ def pixel_rays(pixels: DataFrame, n: int) -> DataFrame:
     return out.withColumns({"vx": F.lit(0.0), "vy": F.lit(0.0), "vz": F.lit(1.0)})
 
 
+def peak_corrected(pixels: DataFrame, keys: list[str], area: float, blur: bool = False) -> DataFrame:
+    """Pixels with the peak set to an expected solid angle: the brightest pixels whose running omega stays within ``area`` (one at
+    least) take their common mean luminance, so energy stays; with ``blur`` they are then spread by the eye's point spread."""
+    order = Window.partitionBy(*keys).orderBy(F.col("lum").desc(), "i", "j")
+    run = pixels.withColumn("_run", F.sum("omega").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_k", F.row_number().over(order))
+    run = run.withColumn("_peak", (F.col("_run") <= area * (1 + 1e-9)) | (F.col("_k") == 1))
+    over = Window.partitionBy(*keys, "_peak")
+    mean = F.sum(F.col("lum") * F.col("omega")).over(over) / F.sum("omega").over(over)
+    out = run.withColumn("lum", F.when(F.col("_peak"), mean).otherwise(F.col("lum")))
+    if blur:
+        omega, lum = glare.spread_source(F.col("omega"), F.col("lum"))
+        out = out.withColumn("_o", F.when(F.col("_peak"), omega).otherwise(F.col("omega"))).withColumn("_l", F.when(F.col("_peak"), lum).otherwise(F.col("lum")))
+        out = out.withColumn("omega", F.col("_o")).withColumn("lum", F.col("_l")).drop("_o", "_l")
+    return out.drop("_run", "_k", "_peak")
+
+
 def cluster_vector(rays: DataFrame, dist: float, lerr: float) -> DataFrame:
-    """Adds wl: min-max luminance of the point's rays times dist / lerr, the fourth coordinate beside the direction."""
+    """Adds sx, sy, sz, the direction of the ray's source at its point (mean of its rays weighted by lum * omega), and wl: min-max
+    luminance of the point's rays times dist / lerr."""
     over = Window.partitionBy("pt_id")
     lo, hi = F.min("lum").over(over), F.max("lum").over(over)
-    return rays.withColumn("wl", F.when(hi > lo, (F.col("lum") - lo) / (hi - lo)).otherwise(F.col("lum")) * dist / lerr)
+    w = F.col("lum") * F.col("omega")
+    mean = rays.groupBy("pt_id", "src").agg(*(F.sum(F.col(f"d{c}") * w).alias(f"_{c}") for c in "xyz"))
+    size = F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y") + F.col("_z") * F.col("_z"))
+    mean = mean.select("pt_id", "src", *(F.try_divide(F.col(f"_{c}"), size).alias(f"s{c}") for c in "xyz"))
+    return rays.join(mean, ["pt_id", "src"]).withColumn("wl", F.when(hi > lo, (F.col("lum") - lo) / (hi - lo)).otherwise(F.col("lum")) * dist / lerr)
 
 
 def appended(rays: DataFrame, new: DataFrame) -> DataFrame:
@@ -73,18 +124,25 @@ def with_source_views(views: DataFrame, new: DataFrame, default: int = -1) -> Da
     return views.unionByName(new.withColumn("src", F.coalesce("src", F.lit(default))))
 
 
-def thin_raster(pixels: DataFrame, keys: list[str], levels: int, factor: int = 2) -> DataFrame:
-    """(keys, level, i, j, value): pixels that refinement asks for, coarse to fine, deterministic form.
+def thin_raster(pixels: DataFrame, keys: list[str], levels: int, factor: int = 2, seed: int | None = None, values: DataFrame | None = None) -> DataFrame:
+    """(keys, level, i, j, value): pixels that refinement asks for, coarse to fine.
 
     Level k sees the raster averaged over factor^(levels - 1 - k) pixels and keeps cells whose detail exceeds the level's threshold (on
-    values normalised per raster); at level 0 all cells are kept. One job per level over all rasters; every level reads the
-    pixels, so no level depends on another's state."""
+    values normalised per raster); at level 0 all cells are kept. With a ``seed`` cells are drawn by detail instead. ``values`` (one raster
+    i, j, value) replaces the averages by a bilinear look-up at the cells' centres. One job per level over all rasters; every
+    level reads the pixels, so no level depends on another's state."""
     normed = grid.normalised(pixels, keys).select(*keys, "i", "j", F.col("norm").alias("value"))
     out = None
     for level in range(levels):
         step = factor ** (levels - 1 - level)
         coarse = normed.groupBy(*keys, F.floor(F.col("i") / step).cast("int").alias("i"), F.floor(F.col("j") / step).cast("int").alias("j")).agg(F.avg("value").alias("value"))
-        kept = coarse if level == 0 else grid.draw(grid.detail(coarse, keys), keys, grid.threshold(level, levels)).drop("detail")
+        limit = grid.threshold(level, levels)
+        found = grid.detail(coarse, keys) if level else coarse
+        kept = found if level == 0 else (grid.draw(found, keys, limit) if seed is None else grid.draw_weighted(found, keys, limit, seed=seed + level)).drop("detail")
+        if values is not None:
+            at = kept.select(*keys, "i", "j", F.concat_ws(":", *keys, "i", "j").alias("q_id"))
+            centre = at.select("q_id", ((F.col("i") + 0.5) * step - 0.5).alias("i"), ((F.col("j") + 0.5) * step - 0.5).alias("j"))
+            kept = at.join(grid.bilinear(centre, values), "q_id")
         kept = kept.withColumn("level", F.lit(level)).select(*keys, "level", "i", "j", "value")
         out = kept if out is None else out.unionByName(kept)
     return out

@@ -36,6 +36,15 @@ def sc01_transform(spark, sf_dir):
     return binding(spark, sf_dir, "b_dirs").select("ray_id", *(r(c).alias(n) for n, c in zip(("alt", "az", "theta", "phi", "ax", "ay", "u", "v"), (alt, az, theta, phi, ax, ay, u, w), strict=True)))
 
 
+@query(oracle(f"SELECT ray_id, {q.r('u')} AS u, {q.r('v')} AS v, {q.r('dx')} AS bx, {q.r('dy')} AS by, {q.r('dz')} AS bz FROM ({q.uv('SELECT * FROM b_dirs')})", "b_dirs"))
+def sc01_there_and_back(spark, sf_dir):
+    """Vectors of length 3 to square coordinates and back to unit vectors."""
+    rows = binding(spark, sf_dir, "b_dirs").withColumns({c: F.col(c) * 3 for c in nearest.DXYZ})
+    there = d.transform(rows, list(nearest.DXYZ), "uv", ["u", "v"])
+    back = d.transform(there, ["u", "v"], "uv2xyz", ["bx", "by", "bz"])
+    return rounded(back, "u", "v", "bx", "by", "bz").select("ray_id", "u", "v", "bx", "by", "bz")
+
+
 @query(oracle("SELECT pt_id, round(-sin(radians(b))*cos(radians(a)), 6) + 0.0 AS x, round(-cos(radians(b))*cos(radians(a)), 6) + 0.0 AS y, round(sin(radians(a)), 6) + 0.0 AS z, round(sin(radians(a))*cos(radians(b)), 6) + 0.0 AS tx, round(sin(radians(a))*sin(radians(b)), 6) + 0.0 AS ty, round(cos(radians(a)), 6) + 0.0 AS tz FROM (SELECT pt_id, x * 9 - 20 AS a, y * 36 - 170 AS b FROM b_points)", "b_points"))
 def sc02_from_angles(spark, sf_dir):
     p = binding(spark, sf_dir, "b_points").select("pt_id", (F.col("x") * 9 - 20).alias("a"), (F.col("y") * 36 - 170).alias("b"))
@@ -62,6 +71,14 @@ def sc05_grid_codes(spark, sf_dir):
     return rows.select("ray_id", "code", F.round(cu, 6).alias("cu"), F.round(cv, 6).alias("cv"))
 
 
+@query(oracle(f"SELECT pt_id, pt_id % 64 AS code, round((pt_id % 64 // 8 + {q.uniform(5, 'pt_id')})/8, 9) AS u, round((pt_id % 8 + {q.uniform(6, 'pt_id')})/8, 9) AS v FROM b_points", "b_points"))
+def sc05_jittered_cells(spark, sf_dir):
+    """A flat index as a place inside its cell."""
+    rows = binding(spark, sf_dir, "b_points").select("pt_id", (F.col("pt_id") % 64).alias("code"))
+    u, v = d.jittered_uv(F.col("code"), 8, 5, "pt_id")
+    return rows.select("pt_id", "code", F.round(u, 9).alias("u"), F.round(v, 9).alias("v"))
+
+
 @query(oracle(f"SELECT patch, count(*) AS n, {q.r('sum(lum)', 2)} AS lum FROM ({q.patch('SELECT * FROM b_dirs', SIDE)}) GROUP BY patch", "b_dirs"))
 def sc06_sky_patch(spark, sf_dir):
     rows = binding(spark, sf_dir, "b_dirs").withColumn("patch", d.sky_patch(d.xyz(), SIDE))
@@ -140,12 +157,15 @@ def fl05_in_zone(spark, sf_dir):
     return zones.in_zone(nudged, zone_table(spark)).select("zone", "pt_id")
 
 
-@query(oracle(f"SELECT zone, pt_id FROM ({_ZONED}) WHERE {INSIDE} AND floor(x) * 10 + floor(y) IN (SELECT floor(x) * 10 + floor(y) FROM b_queries)", "b_points", "b_queries"))
+@query(oracle(f"SELECT zone, pt_id FROM ({_ZONED}) WHERE {INSIDE} AND floor(x - 1e-9) * 100 + floor(y - 1e-9) IN (SELECT floor(x) * 100 + floor(y) FROM b_queries)", "b_points", "b_queries"))
 def fl06_masked_zone(spark, sf_dir):
-    inside = fl05_in_zone(spark, sf_dir).join(binding(spark, sf_dir, "b_points"), "pt_id")
-    cell = lambda: (F.floor("x") * 10 + F.floor("y")).alias("cell")
-    valid = binding(spark, sf_dir, "b_queries").select(cell()).distinct()
-    return inside.select("zone", "pt_id", cell()).join(valid, "cell", "left_semi").select("zone", "pt_id")
+    """Cells of one unit that a queried point lies in; points just inside their upper edges, as both engines see it."""
+    points = binding(spark, sf_dir, "b_points").crossJoin(zone_table(spark).select("zone"))
+    nudged = points.withColumns({c: F.col(c) - 1e-9 for c in ("x", "y")})
+    valid = binding(spark, sf_dir, "b_queries").withColumns({c: F.floor(c) + 0.5 for c in ("x", "y")})
+    shifted = valid.withColumns({c: F.col(c) - 1e-9 for c in ("x", "y")})
+    kept = zones.masked_zone(nudged.withColumns({f"_{c}0": F.col(c) for c in "xy"}), zone_table(spark), shifted, 1.0)
+    return kept.select("zone", "pt_id")
 
 
 @query(oracle(f"SELECT view, ray_id, round(dx*vx + dy*vy + dz*vz, 6) + 0.0 AS cosine FROM b_dirs, {q.VIEWS} WHERE dx*vx + dy*vy + dz*vz >= cos(radians(15)) - 1e-12", "b_dirs"))
@@ -169,36 +189,60 @@ def fl11_source_in_view(spark, sf_dir):
     return pairs.select("ray_id", "view", F.round(F.when(seen, F.col("omega")).otherwise(0.0), 6).alias("omega"), F.round(F.when(seen, F.col("lum")).otherwise(0.0), 6).alias("lum"))
 
 
-@query(oracle(f"SELECT zone, pt_id FROM zoned p WHERE NOT EXISTS (SELECT 1 FROM zoned o WHERE o.zone = p.zone AND o.pt_id < p.pt_id AND (o.x-p.x)*(o.x-p.x)+(o.y-p.y)*(o.y-p.y) <= 0.25)", "b_points", ctes=f"zoned AS (SELECT zone, pt_id, x, y FROM ({_ZONED}) WHERE zone = 'a' AND x > 1 AND x <= 9 AND y > 1 AND y <= 9)"))
+_THIN = f"zoned AS (SELECT zone, pt_id, x, y FROM (SELECT zone, pt_id, x, y FROM b_points, (VALUES ('a'), ('l')) z(zone)) WHERE {INSIDE}), kept AS (SELECT * FROM zoned p WHERE NOT EXISTS (SELECT 1 FROM zoned o WHERE o.zone = p.zone AND o.pt_id < p.pt_id AND (o.x-p.x)*(o.x-p.x)+(o.y-p.y)*(o.y-p.y) <= 0.25))"
+
+
+@query(oracle("SELECT zone, pt_id, round(x, 6) AS x, round(y, 6) AS y, -1.0 AS area FROM kept UNION ALL SELECT 'far', -1, 51.0, 50.5, 2.0", "b_points", ctes=_THIN))
 def fl14_thin_points(spark, sf_dir):
-    zs = zone_table(spark).where("zone = 'a'")
-    points = binding(spark, sf_dir, "b_points").withColumns({c: F.col(c) - 1e-9 for c in ("x", "y")}).withColumn("zone", F.lit("a"))
-    return zones.thin(points, zs, 0.5).select("zone", "pt_id")
+    """Every zone's own points; a zone without any has its centre and area."""
+    far = spark.createDataFrame([("far", 2, [(50.0, 50.0), (52.0, 50.0), (52.0, 51.0), (50.0, 51.0)], 1.2, 0.0)], "zone string, ring_id int, ring array<struct<x:double,y:double>>, z double, rotation double")
+    zs = zone_table(spark).unionByName(far)
+    points = binding(spark, sf_dir, "b_points").withColumns({c: F.col(c) - 1e-9 for c in ("x", "y")}).crossJoin(zone_table(spark).select("zone"))
+    found = zones.fixed_points(points, zs, 0.5, 0.5)
+    return rounded(found, "x", "y").select("zone", "pt_id", "x", "y", F.coalesce("area", F.lit(-1.0)).alias("area"))
 
 
 @query(oracle("SELECT zone, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, (min(x) + max(x))/2 AS cx, (min(y) + max(y))/2 AS cy FROM (SELECT level AS zone, x, y FROM b_points) GROUP BY zone", "b_points"))
 def ag13_zone_extent(spark, sf_dir):
-    rings = binding(spark, sf_dir, "b_points").groupBy(F.col("level").alias("zone")).agg(F.collect_list(F.struct("x", "y")).alias("ring"), F.first("z").alias("z"))
-    return zones.extents(rings).select("zone", "x0", "y0", "x1", "y1", "cx", "cy")
+    points = binding(spark, sf_dir, "b_points").withColumn("zone", F.col("level"))
+    return zones.box_of(points).withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y0") + F.col("y1")) / 2).select("zone", "x0", "y0", "x1", "y1", "cx", "cy")
 
 
 @query(oracle("SELECT zone, round(CASE WHEN sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy)) >= sqrt((sx-wx)*(sx-wx)+(sy-wy)*(sy-wy)) THEN degrees(atan2(ey-sy, ex-sx)) ELSE degrees(atan2(sy-wy, sx-wx)) END, 6) + 0.0 AS rotation FROM (SELECT level AS zone, arg_min(x, y*1000+x) AS sx, arg_min(y, y*1000+x) AS sy, arg_max(x, x*1000+y) AS ex, arg_max(y, x*1000+y) AS ey, arg_min(x, x*1000+y) AS wx, arg_min(y, x*1000+y) AS wy FROM b_points GROUP BY level)", "b_points"))
 def ag14_long_axis(spark, sf_dir):
-    rings = binding(spark, sf_dir, "b_points").groupBy(F.col("level").alias("zone")).agg(F.collect_list(F.struct("x", "y")).alias("ring"))
-    return zones.long_axis(rings).select("zone", r("rotation").alias("rotation"))
+    return zones.long_axis_of(binding(spark, sf_dir, "b_points").withColumn("zone", F.col("level"))).select("zone", r("rotation").alias("rotation"))
+
+
+_HULL = """p AS (SELECT DISTINCT level AS zone, x + a AS x, y + b AS y FROM b_points, (VALUES (-0.5), (0.5)) a(a), (VALUES (-0.5), (0.5)) b(b)),
+edge AS (SELECT a.zone, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM p a JOIN p b ON a.zone = b.zone AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.zone = a.zone AND (b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x) < -1e-9)),
+ends AS (SELECT DISTINCT zone, ax AS x, ay AS y FROM edge)"""
 
 
-@query()
+@query(oracle("SELECT zone, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM ends e WHERE NOT EXISTS (SELECT 1 FROM edge g WHERE g.zone = e.zone AND abs((g.bx-g.ax)*(e.y-g.ay) - (g.by-g.ay)*(e.x-g.ax)) <= 1e-9 AND (e.x-g.ax)*(e.x-g.bx) + (e.y-g.ay)*(e.y-g.by) < -1e-9)", "b_points", ctes=_HULL))
 def ag15_zone_border(spark, sf_dir):
-    """Convex hulls per level; no SQL for a hull, so pytest holds its invariants."""
+    """Corners of the convex hull of each level's points, widened by a square; in SQL every pair is tested against all points."""
     points = binding(spark, sf_dir, "b_points").withColumnRenamed("level", "zone")
-    return zones.border(points, 0.5).select("zone", F.size("ring").alias("n"))
+    return zones.border(points, 0.5).select("zone", F.explode("ring").alias("p")).select("zone", r("p.x").alias("x"), r("p.y").alias("y"))
 
 
 @query(oracle("SELECT zone, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(x0 + (i + 0.5)*0.5, 6) AS x, round(y0 + (j + 0.5)*0.5, 6) AS y FROM (SELECT level AS zone, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM b_points GROUP BY level), range(100) a(i), range(100) b(j) WHERE i < ceil(round((x1-x0)/0.5, 9)) AND j < ceil(round((y1-y0)/0.5, 9)) AND x0 + (i + 0.5)*0.5 < x1 AND y0 + (j + 0.5)*0.5 < y1", "b_points"))
 def gr03_plan_grid(spark, sf_dir):
     """Cells of level 1 over each level's own hull box, one zone per point level."""
-    points = binding(spark, sf_dir, "b_points").withColumnRenamed("level", "zone")
-    box = zones.extents(points.groupBy("zone").agg(F.collect_list(F.struct("x", "y")).alias("ring"), F.first("z").alias("z")))
+    return rounded(zones.plan_grid(_boxes(spark, sf_dir), 1.0, 1), "x", "y").select("zone", "i", "j", "x", "y")
+
+
+def _boxes(spark, sf_dir):
+    box = zones.box_of(binding(spark, sf_dir, "b_points").withColumnRenamed("level", "zone"))
     corners = F.array(*(F.struct(F.col(a).alias("x"), F.col(b).alias("y")) for a, b in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))
-    return rounded(zones.plan_grid(box.select("zone", corners.alias("ring"), "z"), 1.0, 1), "x", "y").select("zone", "i", "j", "x", "y")
+    return box.select("zone", corners.alias("ring"), "z")
+
+
+_SNAPPED = "box AS (SELECT level AS zone, floor(round(min(x)/0.7, 9))*0.7 AS x0, floor(round(min(y)/0.7, 9))*0.7 AS y0, max(x) AS x1, max(y) AS y1 FROM b_points GROUP BY level)"
+
+
+@query(oracle("SELECT zone, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(x0 + (i + 0.5)*0.7, 6) AS x, round(y0 + (j + 0.5)*0.7, 6) AS y FROM box, range(100) a(i), range(100) b(j) WHERE zone <> 0 AND i < ceil(round((x1-x0)/0.7, 9)) AND j < ceil(round((y1-y0)/0.7, 9)) UNION ALL SELECT level, CAST(floor((x - x0)/0.7) AS INT), CAST(floor((y - y0)/0.7) AS INT), round(x, 6), round(y, 6) FROM b_points JOIN box ON level = zone WHERE level = 0", "b_points", ctes=_SNAPPED))
+def gr03_static_points(spark, sf_dir):
+    """Snapped cells; the points of level 0 are static and take the place of their zone's cells."""
+    static = binding(spark, sf_dir, "b_points").where("level = 0").withColumnRenamed("level", "zone").select("zone", "x", "y", "z")
+    return rounded(zones.plan_grid(_boxes(spark, sf_dir), 0.7, 0, masked=False, snap=True, static=static), "x", "y").select("zone", "i", "j", "x", "y")

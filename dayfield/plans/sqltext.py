@@ -28,6 +28,20 @@ def position(source: str) -> str:
   CASE WHEN abs(vz) > 0.999 THEN vx / sqrt(vz*vz + vx*vx) ELSE 0.0 END AS rz_ FROM ({source}))))"""
 
 
+def from_uv(source: str, u: str = "u", v: str = "v", out: str = "c") -> str:
+    """Adds <out>x, <out>y, <out>z to rows with square coordinates."""
+    q = "pi()/4"
+    return f"""SELECT * EXCLUDE (fa_, fb_, fr_, fp_), fr_*sqrt(greatest(2 - fr_*fr_, 0))*cos(fp_) AS {out}x, fr_*sqrt(greatest(2 - fr_*fr_, 0))*sin(fp_) AS {out}y, (1 - fr_*fr_)*CASE WHEN {u} > 1 THEN -1 ELSE 1 END AS {out}z FROM (
+ SELECT *, CASE WHEN fa_ > -fb_ THEN CASE WHEN fa_ > fb_ THEN {q}*fb_/fa_ ELSE {q}*(2 - fa_/fb_) END ELSE CASE WHEN fa_ < fb_ THEN {q}*(4 + fb_/fa_) ELSE CASE WHEN fb_ <> 0 THEN {q}*(6 - fa_/fb_) ELSE 0 END END END AS fp_ FROM (
+ SELECT *, CASE WHEN fa_ > -fb_ THEN CASE WHEN fa_ > fb_ THEN fa_ ELSE fb_ END ELSE CASE WHEN fa_ < fb_ THEN -fa_ ELSE -fb_ END END AS fr_ FROM (
+ SELECT *, 2*({u} - CASE WHEN {u} > 1 THEN 1 ELSE 0 END) - 1 AS fa_, 2*{v} - 1 AS fb_ FROM ({source}))))"""
+
+
+def uniform(seed: int, *keys: str) -> str:
+    """The same random number from keys as ``draws.uniform``."""
+    return f"CAST(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 8)) AS BIGINT)/4294967296.0"
+
+
 VIEWS = "(VALUES (0, 1.0, 0.0, 0.0), (1, -1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 0.0, -1.0, 0.0), (4, 0.0, 0.0, 1.0)) views(view, vx, vy, vz)"
 
 
