@@ -67,9 +67,11 @@ class Model:
         """Log likelihood ratio of good to bad for each text, within -12 and 12: of its shape and of its words."""
         if not len(texts):
             return np.zeros(0)
-        found = [read(t) for t in texts]
-        tokens = np.array([token_evidence(counts, self.words) for _, counts in found])
-        return np.clip(self.of_shape(np.array([x for x, _ in found])) + self.word_weight * tokens, -12, 12)
+        shapes, tokens = np.empty((len(texts), len(self.mean))), np.empty(len(texts))
+        for i, text in enumerate(texts):
+            shapes[i], counts = read(text)
+            tokens[i] = token_evidence(counts, self.words)
+        return np.clip(self.of_shape(shapes) + self.word_weight * tokens, -12, 12)
 
 
 def token_evidence(counts: Iterable[str], words: dict[str, float]) -> float:
@@ -79,30 +81,32 @@ def token_evidence(counts: Iterable[str], words: dict[str, float]) -> float:
     return sum(known) / float(np.sqrt(len(known) + 10))
 
 
-def word_ratios(counts: list[Iterable[str]], good: np.ndarray, least: int = 3) -> dict[str, float]:
+def word_ratios(holds: dict[bool, Counter], n: dict[bool, int], least: int = 3) -> dict[str, float]:
     """Log ratio of the share of good and of bad documents that hold a word, smoothed by one document of each; words of ``least`` documents or more."""
-    holds: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    for words, g in zip(counts, good.tolist(), strict=True):
-        holds[g].update(words.keys())
-    n = {g: sum(good == g) for g in (True, False)}
-    return {w: float(np.log((holds[True][w] + 1) / (n[True] + 2) * (n[False] + 2) / (holds[False][w] + 1))) for w in {*holds[True], *holds[False]} if holds[True][w] + holds[False][w] >= least}
+    good, bad = holds[True], holds[False]
+    return {w: float(np.log((good[w] + 1) / (n[True] + 2) * (n[False] + 2) / (bad[w] + 1))) for w in {*good, *bad} if good[w] + bad[w] >= least}
 
 
 def fit_texts(texts: list[str | None], good: np.ndarray) -> Model:
     """Shape evidence by ridge logistic regression, then word evidence on top of it.
 
     The weight of the words is fitted on halves that did not name their ratios (the other half did), with the shape evidence as
-    a fixed offset, so that words add what the shape leaves open. Without both classes the evidence of every text is 0."""
-    found = [read(t) for t in texts]
-    shape = fit(np.array([x for x, _ in found]), good)
+    a fixed offset, so that words add what the shape leaves open. Without both classes the evidence of every text is 0. Texts are
+    read twice, so that no more than counts of words is held."""
+    shapes = np.empty((len(texts), len(features(None))))
+    holds = {(h, g): Counter() for h in (0, 1) for g in (True, False)}
+    n = Counter()
+    for i, text in enumerate(texts):
+        shapes[i], counts = read(text)
+        holds[i % 2, bool(good[i])].update(counts.keys())
+        n[i % 2, bool(good[i])] += 1
+    shape = fit(shapes, good)
     if len(np.unique(good)) < 2:
         return shape
-    counts = [c for _, c in found]
-    half, tokens = np.arange(len(texts)) % 2, np.zeros(len(texts))
-    for h in (0, 1):
-        ratios = word_ratios([c for c, k in zip(counts, half, strict=True) if k != h], good[half != h])
-        tokens[half == h] = [token_evidence(c, ratios) for c, k in zip(counts, half, strict=True) if k == h]
-    offset = np.clip(shape.of_shape(np.array([x for x, _ in found])), -12, 12)
+    ratios = [word_ratios({g: holds[h, g] for g in (True, False)}, {g: n[h, g] for g in (True, False)}) for h in (0, 1)]
+    every = word_ratios({g: holds[0, g] + holds[1, g] for g in (True, False)}, {g: n[0, g] + n[1, g] for g in (True, False)})
+    tokens = np.array([token_evidence(read(text)[1], ratios[1 - i % 2]) for i, text in enumerate(texts)])
+    offset = np.clip(shape.of_shape(shapes), -12, 12)
     weight = np.where(good, 0.5 / good.sum(), 0.5 / (~good).sum()) * len(good)
     b, penalty = 0.0, 1e-2 * len(good)
     for _ in range(30):
@@ -111,7 +115,7 @@ def fit_texts(texts: list[str | None], good: np.ndarray) -> Model:
         b += step
         if abs(step) < 1e-9:
             break
-    return Model(shape.mean, shape.scale, shape.weights, word_ratios(counts, good), max(0.0, b))
+    return Model(shape.mean, shape.scale, shape.weights, every, max(0.0, b))
 
 
 def fit(x: np.ndarray, good: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> Model:
@@ -151,7 +155,7 @@ def _evidence(docs: DataFrame, model: Model) -> Column:
 
     @pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(held.value.evidence(text.tolist()))
+        return pd.Series(held.value.evidence(text))
 
     return score("text")
 
