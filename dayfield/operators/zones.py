@@ -141,8 +141,9 @@ def thin(points: DataFrame, zones: DataFrame, tolerance: float) -> DataFrame:
     from .nearest import within
 
     inside = in_zone(points, zones).select(*points.columns)
-    close = within(inside, inside.withColumnRenamed("pt_id", "other_id"), "pt_id", "other_id", tolerance, ("x", "y", "z"))
-    return inside.join(close.where("other_id < pt_id"), "pt_id", "left_anti")
+    keyed = inside.withColumn("_k", F.struct("zone", "pt_id"))
+    close = within(keyed, keyed.withColumnRenamed("_k", "_o"), "_k", "_o", tolerance, ("x", "y", "z")).where("_o.zone = _k.zone and _o.pt_id < _k.pt_id")
+    return inside.join(close.select("_k.zone", "_k.pt_id").distinct(), ["zone", "pt_id"], "left_anti")
 
 
 def fixed_points(points: DataFrame, zones: DataFrame, tolerance: float, resolution: float) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..bindings import binding, oracle
 from ..functions import directions as d
 from ..functions import sky
-from ..operators import cube
+from ..operators import cube, suns
 from ..session import scratch_folder
 from ..sources import tables, weather
+from . import skies as suns_plan
+from . import sqltext as q
 from .registry import query, r, rounded
-from .skies import _SUN, LAT, LON, MERIDIAN
+from .skies import _SUN, HELD, LAT, LON, MERIDIAN, RING
 
 KEYS = ("month", "day", "hour")
 
@@ -71,10 +73,10 @@ def io07_ray_store(spark, sf_dir):
     return found.groupBy("src", "pt_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("lum") * F.col("omega")), 6).alias("energy"))
 
 
-@query(oracle("SELECT src, pt_id, ray_id, round(lum, 6) AS lum FROM b_rays WHERE src = 1 AND pt_id < 5", "b_rays"))
+@query(oracle("SELECT src, pt_id, ray_id, round(lum, 6) AS lum FROM b_rays WHERE src = 1 AND pt_id IN (SELECT pt_id FROM b_points WHERE level = 1)", "b_rays", "b_points"))
 def io08_keyed_rays(spark, sf_dir):
     """Rays of listed (source, point) keys; other folders are not read."""
-    keys = binding(spark, sf_dir, "b_rays").where("src = 1 and pt_id < 5").select(F.lit("a").alias("zone"), "src", "pt_id").distinct()
+    keys = binding(spark, sf_dir, "b_points").where("level = 1").select(F.lit("a").alias("zone"), F.lit(1).alias("src"), "pt_id")
     return tables.read_rays(spark, _stored(spark, sf_dir), keys).select("src", "pt_id", "ray_id", F.round("lum", 6).alias("lum"))
 
 
@@ -99,16 +101,21 @@ def gr02_solstice_tracks(spark, sf_dir):
     return rounded(sky.solstice_tracks(stations), "sx", "sz", digits=5).select("station", "month", "k", "sx", "sz")
 
 
-@query()
+@query(oracle("SELECT station, CAST(k AS INT) AS k, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y FROM ring", ctes=RING))
 def gr02_solar_boundary(spark, sf_dir):
-    """The polygon between both tracks per station; pytest holds that suns of the year lie inside."""
-    stations = binding(spark, sf_dir, "b_weather").select("station").distinct().withColumns({"lat": F.lit(LAT), "lon": F.lit(LON), "meridian": F.lit(MERIDIAN)})
-    return sky.solar_boundary(stations).select("station", F.size("ring").alias("n"))
+    """The polygon between both solstice tracks of every station, closed through far points."""
+    ring = suns_plan.boundary(spark, sf_dir).select("station", F.posexplode("ring").alias("k", "p"))
+    return ring.select("station", "k", r("p.x", 5).alias("x"), r("p.y", 5).alias("y"))
 
 
-@query(oracle("SELECT pt_id, x, y, z, level, round(atan2(y - 5, x - 5), 6) + 0.0 AS bearing FROM b_points", "b_points"))
+@query(oracle(f"SELECT 'sun' AS grid, CAST(c AS INT) AS cell, round(u, 6) + 0.0 AS u, round(v, 6) + 0.0 AS v, round(cx, 6) + 0.0 AS x, round(cy, 6) + 0.0 AS y, round(cz, 6) + 0.0 AS z, round(acos(cz)/(pi()/2)*cx/greatest(sqrt(cx*cx+cy*cy), 1e-12), 6) + 0.0 AS ax FROM ({q.from_uv('SELECT c, (c // 8 + 0.5)/8 AS u, (c % 8 + 0.5)/8 AS v FROM range(64) r(c)')}) JOIN (SELECT DISTINCT CAST(i*8 + j AS INT) AS c FROM held) USING (c) UNION ALL SELECT 'plan', CAST(pt_id AS INT), 0, 0, round(x, 6), round(y, 6), round(z, 6), 0 FROM b_points", "b_weather", "b_points", ctes=f"{_SUN}, {HELD}"))
 def io20_candidate_table(spark, sf_dir):
-    return binding(spark, sf_dir, "b_points").withColumn("bearing", r(F.atan2(F.col("y") - 5, F.col("x") - 5))).select("pt_id", "x", "y", "z", "level", "bearing")
+    """The sun grid with xyz, angular and square coordinates, and the plan points with xyz."""
+    found = suns.sun_grid(spark, 8, held=suns.sun_cells(suns_plan.risen(spark, sf_dir), 8))
+    ax, _ = d.to_angular(d.Xyz(F.col("sx"), F.col("sy"), F.col("sz")))
+    sun_rows = found.select(F.lit("sun").alias("grid"), (F.col("i") * 8 + F.col("j")).cast("int").alias("cell"), "u", "v", F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"), ax.alias("ax"))
+    plan_rows = binding(spark, sf_dir, "b_points").select(F.lit("plan").alias("grid"), F.col("pt_id").cast("int").alias("cell"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v"), "x", "y", "z", F.lit(0.0).alias("ax"))
+    return rounded(sun_rows.unionByName(plan_rows), "u", "v", "x", "y", "z", "ax")
 
 
 @query(oracle("SELECT src, pt_id, ray_id, round(dz, 6) + 0.0 AS dz, CAST(row_number() OVER (PARTITION BY src, pt_id ORDER BY ray_id) AS INT) AS place FROM b_rays", "b_rays"))

@@ -6,23 +6,24 @@ from pyspark.sql import functions as F
 
 from ..bindings import binding, oracle
 from ..operators import grid
+from . import sqltext as q
 from .registry import query
 
 #: Sum of absolute responses of the four directions, with edge cells repeated.
 _TAPS = {"h": ((1, 0), (-1, 0)), "v": ((0, 1), (0, -1)), "d": ((1, 1), (-1, -1)), "a": ((1, -1), (-1, 1))}
 
 
-def _detail_sql() -> str:
+def detail_sql(table: str = "b_grid") -> str:
     joins, terms = [], []
     for k, taps in _TAPS.items():
         for n, (di, dj) in enumerate(taps):
             name = f"{k}{n}"
-            joins.append(f"LEFT JOIN b_grid {name} ON {name}.feature = g.feature AND {name}.i = least(greatest(g.i + {di}, s.li), s.hi) AND {name}.j = least(greatest(g.j + {dj}, s.lj), s.hj)")
+            joins.append(f"LEFT JOIN {table} {name} ON {name}.feature = g.feature AND {name}.i = least(greatest(g.i + {di}, s.li), s.hi) AND {name}.j = least(greatest(g.j + {dj}, s.lj), s.hj)")
         terms.append(f"abs(g.value - 0.5*(coalesce({k}1.value, g.value) + coalesce({k}0.value, g.value)))")
-    return f"SELECT g.feature, g.i, g.j, g.value, {' + '.join(terms)} AS detail FROM b_grid g JOIN (SELECT feature, min(i) AS li, max(i) AS hi, min(j) AS lj, max(j) AS hj FROM b_grid GROUP BY feature) s USING (feature) {' '.join(joins)}"
+    return f"SELECT g.feature, g.i, g.j, g.value, {' + '.join(terms)} AS detail FROM {table} g JOIN (SELECT feature, min(i) AS li, max(i) AS hi, min(j) AS lj, max(j) AS hj FROM {table} GROUP BY feature) s USING (feature) {' '.join(joins)}"
 
 
-DETAIL = f"detail AS ({_detail_sql()}), reduced AS (SELECT i, j, max(detail) AS detail FROM detail GROUP BY i, j)"
+DETAIL = f"detail AS ({detail_sql()}), reduced AS (SELECT i, j, max(detail) AS detail FROM detail GROUP BY i, j)"
 
 
 def cells(spark, sf_dir):
@@ -39,6 +40,13 @@ def ag04_normalise(spark, sf_dir):
     return grid.normalised(cells(spark, sf_dir), ["feature"]).select("feature", "i", "j", F.round("norm", 6).alias("norm"))
 
 
+@query(oracle("SELECT feature, i, j, round(CASE WHEN i < 2 THEN -1 ELSE (value - lo)/(hi - lo) END, 6) AS norm FROM b_grid, (SELECT min(value) AS lo, max(value) AS hi FROM b_grid WHERE i >= 2)", "b_grid"))
+def ag04_normalise_all(spark, sf_dir):
+    """One range for all features; cells outside the zone are a constant edge."""
+    g = cells(spark, sf_dir).withColumn("inside", F.col("i") >= 2)
+    return grid.normalised(g, [], "inside", -1.0).select("feature", "i", "j", F.round("norm", 6).alias("norm"))
+
+
 @query(oracle("SELECT i, j, round(max(value), 4) AS top, round(avg(value), 4) AS mean, round(sum(value), 4) AS total FROM b_grid GROUP BY i, j", "b_grid"))
 def ag05_reduce_features(spark, sf_dir):
     g = cells(spark, sf_dir)
@@ -52,11 +60,23 @@ def tk01_threshold_draw(spark, sf_dir):
     return picked.select("feature", "i", "j", F.round("norm", 6).alias("norm"))
 
 
-@query(oracle("SELECT feature, greatest(count(CASE WHEN norm > 0.6 THEN 1 END), 1) AS n FROM (SELECT feature, (value - min(value) OVER (PARTITION BY feature))/(max(value) OVER (PARTITION BY feature) - min(value) OVER (PARTITION BY feature)) AS norm FROM b_grid) GROUP BY feature", "b_grid"))
+def _weighted_sql(limit: float) -> str:
+    normed = "SELECT feature, i, j, (value - min(value) OVER p)/(max(value) OVER p - min(value) OVER p) AS norm FROM b_grid WINDOW p AS (PARTITION BY feature)"
+    counted = f"SELECT *, greatest(sum(CASE WHEN norm > {limit} THEN 1 ELSE 0 END) OVER (PARTITION BY feature), 1) AS n, bool_or(norm > {0.5 * limit}) OVER (PARTITION BY feature) AS has_any FROM ({normed})"
+    keyed = f"SELECT *, -ln(greatest({q.uniform(42, 'feature', 'i', 'j')}, 1e-12))/CASE WHEN has_any THEN least(norm, {2 * limit}) ELSE 1 END AS key FROM ({counted}) WHERE norm > {0.5 * limit} OR NOT has_any"
+    return oracle(f"SELECT feature, i, j FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY key, i, j) AS k FROM ({keyed})) WHERE k <= n", "b_grid")
+
+
+@query(_weighted_sql(0.6))
 def tk02_weighted_draw(spark, sf_dir):
-    """The drawn cells are random (seeded); their number per run is not."""
-    drawn = grid.draw_weighted(grid.normalised(cells(spark, sf_dir), ["feature"]), ["feature"], 0.6, "norm")
-    return drawn.groupBy("feature").agg(F.count("*").alias("n"))
+    """Cells drawn by weight, with random numbers from the seed and the cell."""
+    return grid.draw_weighted(grid.normalised(cells(spark, sf_dir), ["feature"]), ["feature"], 0.6, "norm").select("feature", "i", "j")
+
+
+@query(_weighted_sql(3.0))
+def tk02_even_draw(spark, sf_dir):
+    """No cell is a candidate: one is drawn evenly."""
+    return grid.draw_weighted(grid.normalised(cells(spark, sf_dir), ["feature"]), ["feature"], 3.0, "norm").select("feature", "i", "j")
 
 
 @query(oracle("SELECT feature, i, j, value, CAST(k AS INT) AS rank FROM (SELECT feature, i, j, round(value, 4) AS value, row_number() OVER (PARTITION BY feature ORDER BY value DESC, i, j) AS k FROM b_grid) WHERE k <= 5", "b_grid"))
@@ -72,15 +92,19 @@ def gr05_lift(spark, sf_dir):
     return grid.lift(cells(spark, sf_dir), ["feature"])
 
 
-@query(oracle("SELECT i, j, round(detail, 4) AS detail FROM reduced WHERE detail > 12000", "b_grid", ctes=DETAIL))
+@query(oracle("SELECT i, j, round(detail, 4) AS detail FROM reduced WHERE detail > 40000", "b_grid", ctes=DETAIL))
 def gr07_draw_detail(spark, sf_dir):
     found = grid.reduce_features(grid.detail(cells(spark, sf_dir), ["feature"]), [], "max", "detail").withColumn("run", F.lit(0))
-    return grid.draw(found, ["run"], 12000.0).select("i", "j", F.round("detail", 4).alias("detail"))
+    return grid.draw(found, ["run"], 40000.0).select("i", "j", F.round("detail", 4).alias("detail"))
+
 
+_UNIT = "unit AS (SELECT feature, i, j, (value - lo)/(hi - lo)*11/50 AS value FROM b_grid, (SELECT min(value) AS lo, max(value) AS hi FROM b_grid))"
 
-@query(oracle("SELECT i, j FROM reduced WHERE detail > 0.175 AND (i + j) % 3 <> 0", "b_grid", ctes=DETAIL))
+
+@query(oracle("SELECT i, j FROM (SELECT i, j, max(detail) AS detail FROM d GROUP BY i, j) WHERE detail > 0.175 AND (i + j) % 3 <> 0", "b_grid", ctes=f"{_UNIT}, d AS ({detail_sql('unit')})"))
 def gr08_draw_unmeasured(spark, sf_dir):
-    g = cells(spark, sf_dir).withColumn("run", F.lit(0))
+    """Values scaled so that the threshold of level 1 keeps a part of the cells."""
+    g = grid.normalised(cells(spark, sf_dir), []).select("feature", "i", "j", (F.col("norm") * 11 / 50).alias("value")).withColumn("run", F.lit(0))
     measured = g.where("(i + j) % 3 = 0").select("run", "i", "j").distinct()
     return grid.plan_next(g, ["run"], 1, 3, measured).select("i", "j")
 
@@ -88,15 +112,10 @@ def gr08_draw_unmeasured(spark, sf_dir):
 _BY_CELL = "SELECT i*16 + j AS cell, feature, value, value - 0.5*(coalesce(lag(value) OVER w, value) + coalesce(lead(value) OVER w, value)) AS d FROM b_grid WINDOW w AS (PARTITION BY i, j ORDER BY feature)"
 
 
-@query(oracle(f"SELECT feature, count(*) AS n FROM ({_BY_CELL}) WHERE abs(d) > 9000 GROUP BY feature", "b_grid"))
+@query(oracle(f"SELECT feature, CAST(cell // 16 AS INT) AS i, CAST(cell % 16 AS INT) AS j, round(abs(d), 4) AS detail FROM ({_BY_CELL}) WHERE abs(d) > 9000", "b_grid"))
 def gr09_draw_suns(spark, sf_dir):
     """Detail along the sun axis for every plan cell, then the cells of each sun; suns without detail drop out."""
-    from pyspark.sql import Window
-
-    over = Window.partitionBy("i", "j").orderBy("feature")
-    near = lambda f: F.coalesce(f("value").over(over), F.col("value"))
-    found = cells(spark, sf_dir).withColumn("detail", F.abs(F.col("value") - 0.5 * (near(F.lag) + near(F.lead))))
-    return grid.draw(found, ["feature"], 9000.0, least=0).groupBy("feature").agg(F.count("*").alias("n"))
+    return grid.draw_suns(cells(spark, sf_dir), 9000.0).select("feature", "i", "j", F.round("detail", 4).alias("detail"))
 
 
 @query(oracle("SELECT feature, i, j, round(CASE WHEN (i + j) % 2 = 0 AND value > 30000 THEN value*2 ELSE value END, 4) AS value FROM b_grid", "b_grid"))
@@ -140,9 +159,10 @@ def wn06_batch_index(spark, sf_dir):
     return grid.batch_index(samples, ["feature"])
 
 
-@query(oracle("SELECT q_id, round(CASE WHEN n = 4 THEN v ELSE edge END, 4) AS value FROM (SELECT q_id, sum(w*value) AS v, count(value) + sum(CASE WHEN value IS NULL AND w = 0 THEN 1 ELSE 0 END) AS n FROM (SELECT q_id, (CASE WHEN a = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END)*(CASE WHEN b = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w, p.value FROM b_queries CROSS JOIN (VALUES (0), (1)) a(a) CROSS JOIN (VALUES (0), (1)) b(b) LEFT JOIN pixels p ON p.i = CAST(floor(x) AS INT) + a AND p.j = CAST(floor(y) AS INT) + b) GROUP BY q_id), (SELECT median(value) AS edge FROM pixels WHERE i = 0 OR j = 0 OR i = 15 OR j = 15)", "b_queries", "b_grid", ctes="pixels AS (SELECT i, j, value FROM b_grid WHERE feature = 1)"))
+@query(oracle("SELECT q_id, round(CASE WHEN n = 4 THEN v ELSE edge END, 4) AS value FROM (SELECT q_id, sum(w*value) AS v, count(value) + sum(CASE WHEN value IS NULL AND w = 0 THEN 1 ELSE 0 END) AS n FROM (SELECT q_id, (CASE WHEN a = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END)*(CASE WHEN b = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w, p.value FROM b_queries CROSS JOIN (VALUES (0), (1)) a(a) CROSS JOIN (VALUES (0), (1)) b(b) LEFT JOIN pixels p ON p.i = CAST(floor(x) AS INT) + a AND p.j = CAST(floor(y) AS INT) + b) GROUP BY q_id), (SELECT median(value) AS edge FROM pixels WHERE i = 0 OR j = 0 OR i = 15 OR j = 15)", "b_queries", "b_grid", ctes="pixels AS (SELECT i, j, avg(value) AS value FROM b_grid GROUP BY i, j)"))
 def jn28_bilinear(spark, sf_dir):
-    pixels = cells(spark, sf_dir).where("feature = 1").select("i", "j", "value")
+    """The raster of all features' means at every query."""
+    pixels = grid.reduce_features(cells(spark, sf_dir), [], "avg")
     asked = binding(spark, sf_dir, "b_queries").select("q_id", F.col("x").alias("i"), F.col("y").alias("j"))
     return grid.bilinear(asked, pixels).select("q_id", F.round("value", 4).alias("value"))
 
@@ -155,3 +175,22 @@ def wn08_ray_parents(spark, sf_dir):
     rays = binding(spark, sf_dir, "b_rays")
     tree = rays.select(F.floor(F.col("ray_id") / 10).alias("tree_id"), (F.col("ray_id") % 10).alias("seq"), (F.col("ray_id") * 7 % 4).cast("int").alias("level"), "dx", "dy", "dz", F.when(F.col("ray_id") % 3 == 0, "sky").otherwise("glass").alias("material"))
     return grid.ray_parents(tree).select("tree_id", "seq", (F.round("px", 6) + 0.0).alias("px"), "material")
+
+
+@query(oracle("SELECT DISTINCT round(p.nx, 2) AS nx, round(p.ny, 2) AS ny, round(p.nz, 2) AS nz FROM (SELECT h.tree_id, h.seq, l.dz AS nx, l.dx AS ny, l.dy AS nz, h.dx*l.dx + h.dy*l.dy + h.dz*l.dz AS c, row_number() OVER (PARTITION BY h.tree_id, h.seq ORDER BY l.seq) AS k FROM tree h JOIN tree l ON h.tree_id = l.tree_id AND l.level = h.level - 1 AND l.seq > h.seq WHERE h.material = 'sky') p WHERE k = 1 AND c < 0.99", "b_rays", ctes=_TREE))
+def wn08_normals(spark, sf_dir):
+    """The different normals of the surfaces that the parents hit."""
+    rays = binding(spark, sf_dir, "b_rays")
+    tree = rays.select(F.floor(F.col("ray_id") / 10).alias("tree_id"), (F.col("ray_id") % 10).alias("seq"), (F.col("ray_id") * 7 % 4).cast("int").alias("level"), "dx", "dy", "dz", F.when(F.col("ray_id") % 3 == 0, "sky").otherwise("glass").alias("material"), F.col("dz").alias("nx"), F.col("dx").alias("ny"), F.col("dy").alias("nz"))
+    return grid.distinct_normals(grid.ray_parents(tree), 2)
+
+
+_RASTER = "sampled AS (SELECT feature, i, j, value AS lum FROM b_grid WHERE (i + j) % 2 = 0), full16 AS (SELECT f.feature, c.c, min({'d': (c.i - s.i)*(c.i - s.i) + (c.j - s.j)*(c.j - s.j), 'k': s.i*16 + s.j, 'l': s.lum}).l AS lum FROM (SELECT DISTINCT feature FROM b_grid) f CROSS JOIN (SELECT c, c // 16 AS i, c % 16 AS j FROM range(256) r(c)) c JOIN sampled s ON s.feature = f.feature GROUP BY ALL), cells AS (" + q.from_uv("SELECT c, (c // 16 + 0.5)/16 AS u, (c % 16 + 0.5)/16 AS v FROM range(256) r(c)") + "), seen AS (SELECT * FROM full16 JOIN cells USING (c))"
+
+
+@query(oracle("SELECT feature, round(x/sqrt(x*x+y*y+z*z), 6) + 0.0 AS dx, round(lum, 4) + 0.0 AS lum, round(share, 6) + 0.0 AS share, round(2*pi()*share, 6) + 0.0 AS omega FROM (SELECT feature, avg(CASE WHEN lum > 38000 THEN cx END) AS x, avg(CASE WHEN lum > 38000 THEN cy END) AS y, avg(CASE WHEN lum > 38000 THEN cz END) AS z, avg(CASE WHEN lum > 38000 THEN lum END) AS lum, avg(CASE WHEN lum > 38000 THEN 1.0E0 ELSE 0E0 END) AS share, max(lum) AS top FROM seen GROUP BY feature) WHERE top > 39000", "b_grid", ctes=_RASTER))
+def ag08_source_raster(spark, sf_dir):
+    """Half of the cells are sampled; the others take the nearest sample before the source is measured."""
+    sampled = cells(spark, sf_dir).where("(i + j) % 2 = 0").withColumnRenamed("value", "lum")
+    found = grid.source_views(grid.source_raster(sampled, ["feature"], 16), ["feature"], 38000.0, 39000.0)
+    return found.select("feature", *((F.round(c, k) + 0.0).alias(c) for c, k in (("dx", 6), ("lum", 4), ("share", 6), ("omega", 6))))

@@ -10,15 +10,16 @@ from ..bindings import binding, oracle
 from ..functions import directions as d
 from ..operators import grid, integrate, interpolate, metrics, nearest, rays, zones
 from . import sqltext as q
-from .geometry import zone_table
+from .geometry import views, zone_table
+from .grids import detail_sql
 from .neighbours import CELLS, NEAR, V2
 from .registry import query, r, rounded
 
-KNN = f"knn AS (SELECT q_id, ray_id, k, sqrt(d2) AS dist, lum FROM (SELECT q.ray_id AS q_id, p.ray_id, p.lum, {V2} AS d2, row_number() OVER (PARTITION BY q.ray_id ORDER BY {V2}, p.ray_id) AS k FROM (SELECT * FROM b_dirs WHERE ray_id % 5 = 1) q, b_rays p) WHERE k <= 10)"
+KNN = f"knn AS (SELECT q_id, ray_id, k, sqrt(d2) AS dist, lum FROM (SELECT q.ray_id AS q_id, p.ray_id, p.lum, {V2} AS d2, row_number() OVER (PARTITION BY q.ray_id ORDER BY {V2}, p.ray_id) AS k FROM b_dirs q, b_rays p) WHERE k <= 10)"
 
 
 def asked(spark, sf_dir):
-    return binding(spark, sf_dir, "b_dirs").where("ray_id % 5 = 1").withColumnRenamed("ray_id", "q_id")
+    return binding(spark, sf_dir, "b_dirs").withColumnRenamed("ray_id", "q_id")
 
 
 def near(spark, sf_dir):
@@ -53,48 +54,98 @@ def wn04_distance_weights(spark, sf_dir):
     return rounded(interpolate.knn_weights(near(spark, sf_dir)), "w").select("q_id", "ray_id", "w")
 
 
-_ANG = f"{KNN}, ang AS (SELECT q_id, ray_id, CAST(ray_id % 360 AS DOUBLE)/58 AS theta FROM knn), num AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY theta, ray_id) - 1 AS i, count(*) OVER (PARTITION BY q_id) AS n FROM ang)"
+_RIGHT = "CASE WHEN q.dx*q.dx + q.dy*q.dy = 0 THEN 1 ELSE -q.dy/sqrt(q.dx*q.dx + q.dy*q.dy) END AS rx, CASE WHEN q.dx*q.dx + q.dy*q.dy = 0 THEN 0 ELSE q.dx/sqrt(q.dx*q.dx + q.dy*q.dy) END AS ry"
+_ANG = f"{KNN}, tan AS (SELECT k.*, q.dx AS qx, q.dy AS qy, q.dz AS qz, p.dx AS px, p.dy AS py, p.dz AS pz, {_RIGHT} FROM knn k JOIN b_dirs q ON k.q_id = q.ray_id JOIN b_rays p ON k.ray_id = p.ray_id), ang AS (SELECT *, atan2(-px*qz*ry + py*qz*rx + pz*(qx*ry - qy*rx), px*rx + py*ry) AS theta FROM tan), lists AS (SELECT q_id, list({{'t': theta, 'r': ray_id}} ORDER BY theta, ray_id) AS a FROM ang GROUP BY q_id), around AS (SELECT q_id, a[i + 1].r AS ray_id, (a[(i + 1) % 10 + 1].t + 2*pi()*((i + 1) // 10))/3 + (a[(i + 2) % 10 + 1].t + 2*pi()*((i + 2) // 10))/6 - (a[(i + 9) % 10 + 1].t + 2*pi()*((i + 9) // 10 - 1))/3 - (a[(i + 8) % 10 + 1].t + 2*pi()*((i + 8) // 10 - 1))/6 AS wa FROM lists, range(10) r(i))"
 
 
-@query(oracle("SELECT q_id, ray_id, round((t1 + 2*pi()*floor((i + 1.0)/n))/3 + (t2 + 2*pi()*floor((i + 2.0)/n))/6 - (p1 + 2*pi()*floor((i - 1.0)/n))/3 - (p2 + 2*pi()*floor((i - 2.0)/n))/6, 6) + 0.0 AS wa FROM (SELECT a.q_id, a.ray_id, a.i, a.n, b1.theta AS t1, b2.theta AS t2, c1.theta AS p1, c2.theta AS p2 FROM num a JOIN num b1 ON b1.q_id = a.q_id AND b1.i = (a.i + 1) % a.n JOIN num b2 ON b2.q_id = a.q_id AND b2.i = (a.i + 2) % a.n JOIN num c1 ON c1.q_id = a.q_id AND c1.i = (a.i - 1 + a.n) % a.n JOIN num c2 ON c2.q_id = a.q_id AND c2.i = (a.i - 2 + a.n) % a.n)", "b_dirs", "b_rays", ctes=_ANG))
+@query(oracle("SELECT q_id, ray_id, round(wa, 5) + 0.0 AS wa FROM around", "b_dirs", "b_rays", ctes=_ANG))
 def wn03_angle_weights(spark, sf_dir):
-    rows = near(spark, sf_dir).withColumn("theta", (F.col("ray_id") % 360).cast("double") / 58)
-    return rounded(interpolate.angle_weights(rows), "wa").select("q_id", "ray_id", "wa")
+    """Spacing of the ten neighbours by their angle around each direction."""
+    q = asked(spark, sf_dir)
+    rows = interpolate.with_theta(near(spark, sf_dir), q, binding(spark, sf_dir, "b_rays"))
+    return rounded(interpolate.angle_weights(rows), "wa", digits=5).select("q_id", "ray_id", "wa")
 
 
-@query(oracle("SELECT count(DISTINCT q_id) AS n FROM knn", "b_dirs", "b_rays", ctes=KNN))
+@query(oracle("SELECT q_id, round(sum(w*wa*lum)/sum(w*wa), 3) + 0.0 AS lum FROM (SELECT *, exp(-dist*dist/(2*avg(dist*dist) OVER p))*CASE WHEN var_pop(lum) OVER p > 0 THEN exp(-(lum - avg(lum) OVER p)*(lum - avg(lum) OVER p)/(2*var_pop(lum) OVER p)) ELSE 1 END AS w FROM knn WINDOW p AS (PARTITION BY q_id)) JOIN around USING (q_id, ray_id) GROUP BY q_id", "b_dirs", "b_rays", ctes=_ANG))
+def ip01_angle_interpolation(spark, sf_dir):
+    """Distance, luminance and angle weights together."""
+    found = interpolate.knn_interpolate(asked(spark, sf_dir), binding(spark, sf_dir, "b_rays"), 10, True, with_angle=True)
+    return rounded(found, "lum", digits=3)
+
+
+_DRAWN = f"{KNN}, w AS (SELECT *, exp(-dist*dist/(2*avg(dist*dist) OVER (PARTITION BY q_id))) AS w FROM knn), run AS (SELECT *, sum(w) OVER (PARTITION BY q_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY q_id) AS total, {q.uniform(42, 'q_id')} AS u FROM w)"
+
+
+@query(oracle("SELECT q_id, arg_min(ray_id, k) AS ray_id FROM run WHERE run >= u*total GROUP BY q_id", "b_dirs", "b_rays", ctes=_DRAWN))
 def wn02_dithered_choice(spark, sf_dir):
-    """One neighbour per query, drawn by weight (seeded); the number of queries is fixed."""
-    return interpolate.dithered(interpolate.knn_weights(near(spark, sf_dir))).agg(F.count("*").alias("n"))
+    """One neighbour per query, drawn by weight with a random number of the query."""
+    return interpolate.dithered(interpolate.knn_weights(near(spark, sf_dir)))
 
 
-_THREE = "three AS (SELECT q_id, qx, qy, max(CASE WHEN k = 1 THEN x END) AS x1, max(CASE WHEN k = 1 THEN y END) AS y1, max(CASE WHEN k = 1 THEN v END) AS v1, max(CASE WHEN k = 2 THEN x END) AS x2, max(CASE WHEN k = 2 THEN y END) AS y2, max(CASE WHEN k = 2 THEN v END) AS v2, max(CASE WHEN k = 3 THEN x END) AS x3, max(CASE WHEN k = 3 THEN y END) AS y3, max(CASE WHEN k = 3 THEN v END) AS v3 FROM (SELECT q.q_id, q.x AS qx, q.y AS qy, p.x, p.y, CAST(p.pt_id % 17 AS DOUBLE) AS v, row_number() OVER (PARTITION BY q.q_id ORDER BY (q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y), p.pt_id) AS k FROM b_queries q, b_points p) WHERE k <= 3 GROUP BY q_id, qx, qy), bary AS (SELECT *, CASE WHEN det <> 0 THEN ((y2-y3)*(qx-x3) + (x3-x2)*(qy-y3))/det END AS a, CASE WHEN det <> 0 THEN ((y3-y1)*(qx-x3) + (x1-x3)*(qy-y3))/det END AS b FROM (SELECT *, (y2-y3)*(x1-x3) + (x3-x2)*(y1-y3) AS det FROM three))"
+_THREE = """n AS (SELECT q.q_id, p.pt_id, p.x - q.x AS x, p.y - q.y AS y, CAST(p.pt_id % 17 AS DOUBLE) AS v, row_number() OVER (PARTITION BY q.q_id ORDER BY (q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y), p.pt_id) AS k FROM b_queries q, b_points p),
+tri AS (SELECT *, 1 - wa - wb AS wc FROM (SELECT *, ((c_y-b_y)*c_x + (b_x-c_x)*c_y)/det AS wa, ((a_y-c_y)*c_x + (c_x-a_x)*c_y)/det AS wb FROM (SELECT a.q_id, a.pt_id AS pa, b.pt_id AS pb, c.pt_id AS pc, a.x AS a_x, a.y AS a_y, a.v AS a_v, b.x AS b_x, b.y AS b_y, b.v AS b_v, c.x AS c_x, c.y AS c_y, c.v AS c_v, (b.y-c.y)*(a.x-c.x) + (c.x-b.x)*(a.y-c.y) AS det
+  FROM n a JOIN n b ON a.q_id = b.q_id AND a.k < b.k AND b.k <= 10 JOIN n c ON b.q_id = c.q_id AND b.k < c.k AND c.k <= 10) WHERE abs(det) > 1e-12)),
+inside AS (SELECT q_id, min({'l': round(wa*(a_x*a_x+a_y*a_y) + wb*(b_x*b_x+b_y*b_y) + wc*(c_x*c_x+c_y*c_y), 9), 'a': pa, 'b': pb, 'c': pc, 'v': wa*a_v + wb*b_v + wc*c_v}) AS b FROM tri WHERE wa >= -1e-12 AND wb >= -1e-12 AND wc >= -1e-12 GROUP BY q_id)"""
 
 
-@query(oracle("SELECT q_id, round(CASE WHEN a >= 0 AND b >= 0 AND a + b <= 1 THEN a*v1 + b*v2 + (1-a-b)*v3 ELSE v1 END, 4) + 0.0 AS value FROM bary", "b_queries", "b_points", ctes=_THREE))
+@query(oracle("SELECT q_id, round(coalesce(i.b.v, n.v), 4) + 0.0 AS value FROM n LEFT JOIN inside i USING (q_id) WHERE k = 1", "b_queries", "b_points", ctes=_THREE))
 def ip02_local_plane(spark, sf_dir):
     points = binding(spark, sf_dir, "b_points").withColumn("value", (F.col("pt_id") % 17).cast("double"))
     return rounded(interpolate.local_plane(binding(spark, sf_dir, "b_queries"), points), "value", digits=4)
 
 
+_CELL = q.from_uv("SELECT c, (c // {n} + 0.5)/{n} AS u, (c % {n} + 0.5)/{n} AS v FROM range({m}) r(c)", out="c")
+_N2 = "(c.cx-p.dx)*(c.cx-p.dx)+(c.cy-p.dy)*(c.cy-p.dy)+(c.cz-p.dz)*(c.cz-p.dz)"
+
+
+def _omega_sql(n: int, sphere: bool) -> str:
+    cells = _CELL.format(n=n, m=n * n * (2 if sphere else 1))
+    where = "" if sphere else " WHERE dz > 0"
+    return oracle(f"SELECT pt_id, ray_id, round(coalesce(k, 0)*2*pi()/{n * n}, 6) + 0.0 AS omega FROM rays LEFT JOIN (SELECT pt_id, ray_id, count(*) AS k FROM (SELECT p.pt_id, c.c, arg_min(p.ray_id, {{'d': {_N2}, 'r': p.ray_id}}) AS ray_id FROM cells c, rays p GROUP BY p.pt_id, c.c) GROUP BY ALL) USING (pt_id, ray_id)", "b_rays", ctes=f"cells AS ({cells}), rays AS (SELECT * FROM b_rays{where})")
 
 
-@query()
+@query(_omega_sql(32, False))
 def ag01_solid_angle(spark, sf_dir):
-    """Solid angles over the upper hemisphere: equal-area cells counted at their nearest ray; pytest holds the sum at 2 pi."""
-    return rounded(rays.solid_angles(binding(spark, sf_dir, "b_rays").where("dz > 0").drop("omega"), 32), "omega").select("pt_id", "ray_id", "omega")
+    """Solid angles over the upper hemisphere: equal-area cells counted at their nearest ray."""
+    return rounded(rays.solid_angles(binding(spark, sf_dir, "b_rays").where("dz > 0").drop("omega"), 32, 1), "omega").select("pt_id", "ray_id", "omega")
+
+
+@query(_omega_sql(24, True))
+def ag01_sphere(spark, sf_dir):
+    """The same over the whole sphere."""
+    return rounded(rays.solid_angles(binding(spark, sf_dir, "b_rays").drop("omega"), 24, 1, True), "omega").select("pt_id", "ray_id", "omega")
+
+
+@query(oracle("SELECT pt_id, ray_id, round(4*pi()/count(*) OVER (PARTITION BY pt_id), 6) AS omega FROM b_rays", "b_rays"))
+def ag01_few_rays(spark, sf_dir):
+    """Points with few rays: the same share for each."""
+    return rounded(rays.solid_angles(binding(spark, sf_dir, "b_rays").drop("omega"), 8, 1_000_000, True), "omega").select("pt_id", "ray_id", "omega")
+
+
+_PIXELS = f"""cells AS ({_CELL.format(n=4, m=16)}), vb AS (SELECT *, CASE WHEN vx*vx + vy*vy = 0 THEN 1.0 ELSE -vy/sqrt(vx*vx + vy*vy) END AS rx, CASE WHEN vx*vx + vy*vy = 0 THEN 0.0 ELSE vx/sqrt(vx*vx + vy*vy) END AS ry FROM {q.VIEWS}),
+pix AS (SELECT view, c, cx*rx + cy*(-vz*ry) + cz*vx AS px, cx*ry + cy*vz*rx + cz*vy AS py, cy*(vx*ry - vy*rx) + cz*vz AS pz FROM cells, vb),
+ranked AS (SELECT p.pt_id, view, c, p.ray_id, p.lum, d2, row_number() OVER (PARTITION BY p.pt_id, view, c ORDER BY d2, p.ray_id) AS k FROM (SELECT r.*, x.view, x.c, (x.px-r.dx)*(x.px-r.dx)+(x.py-r.dy)*(x.py-r.dy)+(x.pz-r.dz)*(x.pz-r.dz) AS d2 FROM pix x, b_rays r) p)"""
 
 
-@query()
+@query(oracle("SELECT t AS sky, pt_id, view, CAST(c // 4 AS INT) AS i, CAST(c % 4 AS INT) AS j, round(lum*coef, 3) + 0.0 AS lum FROM ranked JOIN b_sky ON patch = ray_id % 16 WHERE k = 1", "b_rays", "b_sky", ctes=_PIXELS))
 def jn27_view_raster(spark, sf_dir):
-    """Value per pixel of the zenith view for every point: the nearest ray's luminance."""
-    return rounded(rays.view_raster(binding(spark, sf_dir, "b_rays").where("dz > 0"), 8), "lum", digits=4)
+    """Pixels of five views of every point under every sky: the nearest ray's luminance."""
+    lamps = binding(spark, sf_dir, "b_rays").withColumn("patch", (F.col("ray_id") % 16).cast("int"))
+    found = rays.view_raster(lamps, views(spark), 4, binding(spark, sf_dir, "b_sky"))
+    return rounded(found, "lum", digits=3).select("sky", "pt_id", "view", "i", "j", "lum")
 
 
-@query(oracle("SELECT pt_id, ray_id, round(dx, 6) + 0.0 AS a, round(wl, 6) + 0.0 AS l FROM (SELECT pt_id, ray_id, dx, CASE WHEN hi > lo THEN (lum - lo)/(hi - lo) ELSE lum END*0.1/0.2 AS wl FROM (SELECT *, min(lum) OVER (PARTITION BY pt_id) AS lo, max(lum) OVER (PARTITION BY pt_id) AS hi FROM b_dirs))", "b_dirs"))
+@query(oracle("SELECT pt_id, view, CAST(c // 4 AS INT) AS i, CAST(c % 4 AS INT) AS j, round(sum(w*lum)/sum(w), 3) + 0.0 AS lum FROM (SELECT *, exp(-d2/(2*avg(d2) OVER (PARTITION BY pt_id, view, c))) AS w FROM ranked WHERE k <= 3) GROUP BY ALL", "b_rays", ctes=_PIXELS))
+def jn27_smooth_raster(spark, sf_dir):
+    """The same pixels as weighted means of three rays."""
+    found = rays.view_raster(binding(spark, sf_dir, "b_rays"), views(spark), 4, k=3)
+    return rounded(found, "lum", digits=3).select("pt_id", "view", "i", "j", "lum")
+
+
+@query(oracle("SELECT pt_id, ray_id, round(dx, 6) + 0.0 AS dx, round(x/sqrt(x*x+y*y+z*z), 6) + 0.0 AS sx, round(z/sqrt(x*x+y*y+z*z), 6) + 0.0 AS sz, round(wl, 6) + 0.0 AS wl FROM (SELECT *, CASE WHEN hi > lo THEN (lum - lo)/(hi - lo) ELSE lum END*0.1/0.2 AS wl FROM (SELECT *, min(lum) OVER p AS lo, max(lum) OVER p AS hi, sum(dx*lum*omega) OVER s AS x, sum(dy*lum*omega) OVER s AS y, sum(dz*lum*omega) OVER s AS z FROM b_dirs WINDOW p AS (PARTITION BY pt_id), s AS (PARTITION BY pt_id, src)))", "b_dirs"))
 def ag06_cluster_vector(spark, sf_dir):
-    found = rays.cluster_vector(binding(spark, sf_dir, "b_dirs"), 0.1, 0.2)
-    return found.select("pt_id", "ray_id", r("dx").alias("a"), r("wl").alias("l"))
+    """Direction, direction of the ray's source, and scaled luminance."""
+    return rounded(rays.cluster_vector(binding(spark, sf_dir, "b_dirs"), 0.1, 0.2), "dx", "sx", "sz", "wl").select("pt_id", "ray_id", "dx", "sx", "sz", "wl")
 
 
 @query(oracle("SELECT zone, i, j, round(v, 4) AS value FROM filled JOIN (SELECT pt_id, CAST(pt_id % 17 AS DOUBLE) AS v FROM b_points) USING (pt_id)", "b_points", ctes=CELLS))
@@ -125,22 +176,48 @@ def gr10_source_cells(spark, sf_dir):
     return hit.groupBy(d.sky_patch(d.xyz(), 8).alias("patch")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _thin_sql(random: bool) -> str:
+    parts = []
+    for level, step in ((0, 4), (1, 2), (2, 1)):
+        coarse = f"c{level} AS (SELECT feature, i // {step} AS i, j // {step} AS j, avg(norm) AS value FROM normed GROUP BY ALL)"
+        limit = grid.threshold(level, 3)
+        if level == 0:
+            pick = "SELECT feature, 0 AS level, i, j, value FROM c0"
+        elif not random:
+            pick = f"SELECT feature, {level} AS level, i, j, value FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY detail > {limit!r} DESC, i, j) AS k FROM d{level}) WHERE detail > {limit!r} OR k <= 1"
+        else:
+            pick = f"SELECT feature, {level} AS level, i, j, value FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY key, i, j) AS k FROM (SELECT *, -ln(greatest({q.uniform(7 + level, 'feature', 'i', 'j')}, 1e-12))/CASE WHEN has_any THEN least(detail, {2 * limit!r}) ELSE 1 END AS key FROM (SELECT *, greatest(sum(CASE WHEN detail > {limit!r} THEN 1 ELSE 0 END) OVER (PARTITION BY feature), 1) AS n, bool_or(detail > {0.5 * limit!r}) OVER (PARTITION BY feature) AS has_any FROM d{level}) WHERE detail > {0.5 * limit!r} OR NOT has_any)) WHERE k <= n"
+        parts.append((coarse, "" if level == 0 else f", d{level} AS ({detail_sql(f'c{level}')})", pick))
+    ctes = "normed AS (SELECT feature, i, j, CASE WHEN hi > lo THEN (value - lo)/(hi - lo) ELSE value END AS norm FROM (SELECT *, min(value) OVER (PARTITION BY feature) AS lo, max(value) OVER (PARTITION BY feature) AS hi FROM b_grid)), " + ", ".join(c + d for c, d, _ in parts)
+    return oracle("SELECT feature, level, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(value, 6) + 0.0 AS value FROM (" + " UNION ALL ".join(p for _, _, p in parts) + ")", "b_grid", ctes=ctes)
+
+
+def _thin(spark, sf_dir, **options):
+    found = rays.thin_raster(binding(spark, sf_dir, "b_grid"), ["feature"], 3, **options)
+    return rounded(found, "value").select("feature", "level", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "value")
+
+
+@query(_thin_sql(False))
 def gr12_adaptive_thinning(spark, sf_dir):
     """Pixels that the refinement loop keeps of each feature's raster, deterministic form."""
-    return rays.thin_raster(binding(spark, sf_dir, "b_grid"), ["feature"], 3).groupBy("feature", "level").agg(F.count("*").alias("n"))
+    return _thin(spark, sf_dir)
 
 
-@query(oracle("SELECT ray_id, pt_id, round(lum, 4) AS lum FROM b_dirs WHERE ray_id % 2 = 0 UNION ALL SELECT ray_id, pt_id, round(lum, 4) FROM b_rays", "b_dirs", "b_rays"))
+@query(_thin_sql(True))
+def gr12_random_thinning(spark, sf_dir):
+    """The same with cells drawn by detail."""
+    return _thin(spark, sf_dir, seed=7)
+
+
+@query(oracle("SELECT ray_id, pt_id, round(lum, 4) AS lum FROM b_dirs UNION ALL SELECT ray_id, pt_id, round(lum, 4) FROM b_rays", "b_dirs", "b_rays"))
 def st03_append_rays(spark, sf_dir):
-    found = rays.appended(binding(spark, sf_dir, "b_dirs").where("ray_id % 2 = 0"), binding(spark, sf_dir, "b_rays"))
+    found = rays.appended(binding(spark, sf_dir, "b_dirs"), binding(spark, sf_dir, "b_rays"))
     return found.where("omega is null").select("ray_id", "pt_id", F.round("lum", 4).alias("lum"))
 
 
-@query(oracle("SELECT ray_id FROM b_rays r WHERE NOT EXISTS (SELECT 1 FROM b_dirs d WHERE round(d.dx, 1) = round(r.dx, 1) AND round(d.dy, 1) = round(r.dy, 1) AND round(d.dz, 1) = round(r.dz, 1) AND d.ray_id % 20 = 1)", "b_rays", "b_dirs"))
+@query(oracle("SELECT ray_id FROM b_rays r WHERE NOT EXISTS (SELECT 1 FROM b_dirs d WHERE round(d.dx, 2) = round(r.dx, 2) AND round(d.dy, 2) = round(r.dy, 2) AND round(d.dz, 2) = round(r.dz, 2))", "b_rays", "b_dirs"))
 def st04_new_directions(spark, sf_dir):
-    known = binding(spark, sf_dir, "b_dirs").where("ray_id % 20 = 1")
-    return rays.new_directions(binding(spark, sf_dir, "b_rays"), known, 1).select("ray_id")
+    return rays.new_directions(binding(spark, sf_dir, "b_rays"), binding(spark, sf_dir, "b_dirs"), 2).select("ray_id")
 
 
 @query(oracle("SELECT pt_id, ray_id, CASE WHEN src = 3 THEN 3 ELSE -1 END AS src FROM b_rays WHERE omega > 0.02 UNION ALL SELECT pt_id, ray_id, src FROM b_rays WHERE omega < 0.012", "b_rays"))
@@ -152,13 +229,17 @@ def st06_source_views(spark, sf_dir):
 
 @query(oracle("SELECT pt_id, round(sum(omega), 6) AS view_area, round(count(*)/sum(omega), 4) AS density, round(max(lum), 4) AS top FROM b_dirs WHERE dz > 0 GROUP BY pt_id", "b_dirs"))
 def ud01_grouped_metric(spark, sf_dir):
-    """A metric class as a grouped pandas function: the escape hatch beside the column registry."""
+    """A metric class in pandas: partial sums per batch of rows, then one grouping, so that no group has to fit a task."""
     import pandas as pd
 
-    def summary(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"pt_id": [group["pt_id"].iloc[0]], "view_area": [round(group["omega"].sum(), 6)], "density": [round(len(group) / group["omega"].sum(), 4)], "top": [round(group["lum"].max(), 4)]})
+    def partial(batches):
+        for rows in batches:
+            by = rows.groupby("pt_id", as_index=False)
+            yield pd.DataFrame(by.agg(omega=("omega", "sum"), n=("omega", "size"), top=("lum", "max")))
 
-    return binding(spark, sf_dir, "b_dirs").where("dz > 0").select("pt_id", "omega", "lum").groupBy("pt_id").applyInPandas(summary, "pt_id long, view_area double, density double, top double")
+    rows = binding(spark, sf_dir, "b_dirs").where("dz > 0").select("pt_id", "omega", "lum")
+    sums = rows.mapInPandas(partial, "pt_id long, omega double, n long, top double").groupBy("pt_id").agg(F.sum("omega").alias("o"), F.sum("n").alias("n"), F.max("top").alias("t"))
+    return sums.select("pt_id", F.round("o", 6).alias("view_area"), F.round(F.col("n") / F.col("o"), 4).alias("density"), F.round("t", 4).alias("top"))
 
 
 @query(oracle("SELECT i, j, round(max(value), 4) AS value FROM b_grid GROUP BY i, j", "b_grid"))
@@ -180,3 +261,20 @@ def mt19_image_metrics(spark, sf_dir):
     seen = rays.pixel_rays(pixels, 16)
     wide = metrics.evaluate(seen, ("img",), ["illum", "avglum"])
     return rounded(wide, "illum", "avglum", digits=3)
+
+
+@query(oracle("SELECT img, round(sum(CASE WHEN peak THEN m ELSE lum END*om*c)*179, 3) AS illum, count(CASE WHEN peak THEN 1 END) AS n FROM (SELECT *, sum(lum*om) OVER s/sum(om) OVER s AS m FROM (SELECT *, run <= 0.1*(1 + 1e-9) OR k = 1 AS peak FROM (SELECT feature AS img, i, j, value AS lum, 2*pi()/256 AS om, 1 - greatest(abs(2*(i + 0.5)/16 - 1), abs(2*(j + 0.5)/16 - 1))*greatest(abs(2*(i + 0.5)/16 - 1), abs(2*(j + 0.5)/16 - 1)) AS c, sum(2*pi()/256) OVER w AS run, row_number() OVER w AS k FROM b_grid WINDOW w AS (PARTITION BY feature ORDER BY value DESC, i, j ROWS UNBOUNDED PRECEDING))) WINDOW s AS (PARTITION BY img, peak)) GROUP BY img", "b_grid"))
+def mt19_peak_correction(spark, sf_dir):
+    """The brightest pixels up to a tenth of a steradian take one luminance; their number and the illuminance after it."""
+    pixels = rays.pixel_rays(binding(spark, sf_dir, "b_grid").select(F.col("feature").alias("img"), "i", "j", F.col("value").alias("lum")), 16)
+    fixed = rays.peak_corrected(pixels, ["img"], 0.1)
+    area = fixed.groupBy("img", "lum").agg(F.count("*").alias("n")).groupBy("img").agg(F.max("n").alias("n"))
+    return rounded(metrics.evaluate(fixed, ("img",), ["illum"]), "illum", digits=3).select("img", "illum").join(area, "img")
+
+
+@query(oracle("SELECT img, round(sum(lum*omega), 4) AS energy FROM (SELECT feature AS img, value AS lum, 2*pi()/256 AS omega FROM b_grid) GROUP BY img", "b_grid"))
+def mt19_blurred_sun(spark, sf_dir):
+    """Peak correction and blur keep the energy of every image."""
+    pixels = rays.pixel_rays(binding(spark, sf_dir, "b_grid").select(F.col("feature").alias("img"), "i", "j", F.col("value").alias("lum")), 16)
+    blurred = rays.peak_corrected(pixels, ["img"], 0.1, blur=True)
+    return blurred.groupBy("img").agg(F.round(F.sum(F.col("lum") * F.col("omega")), 4).alias("energy"))

@@ -121,10 +121,13 @@ def jn11_k_nearest(spark, sf_dir):
     return found.select("q_id", "ray_id", "rank", F.round("dist", 6).alias("dist"))
 
 
-@query(oracle("SELECT t, q_id, pt_id AS sky_pt, round(sqrt(d2), 6) AS sky_err FROM (SELECT DISTINCT t FROM b_sky), near", "b_sky", "b_queries", "b_points", ctes=NEAR))
+@query(oracle("SELECT t, q_id, pt_id AS sky_pt, round(sqrt(d2), 6) AS sky_err, coalesce(u.patch, -1) AS sun_patch FROM (SELECT DISTINCT t FROM b_sky) CROSS JOIN near LEFT JOIN (SELECT t, patch FROM b_sun WHERE sun_rad > 0 AND t % 5 <> 0) u USING (t)", "b_sky", "b_sun", "b_queries", "b_points", ctes=NEAR))
 def jn12_time_by_point(spark, sf_dir):
+    """Every time with every point, its nearest plane point and the patch of the time's sun; some times have no sun."""
     times = binding(spark, sf_dir, "b_sky").select("t").distinct()
-    return integrate.time_by_point(times, binding(spark, sf_dir, "b_queries"), {"sky": binding(spark, sf_dir, "b_points")}).select("t", "q_id", "sky_pt", F.round("sky_err", 6).alias("sky_err"))
+    sun = binding(spark, sf_dir, "b_sun").withColumn("sun_rad", F.when(F.col("t") % 5 == 0, 0.0).otherwise(F.col("sun_rad")))
+    found = integrate.time_by_point(times, binding(spark, sf_dir, "b_queries"), {"sky": binding(spark, sf_dir, "b_points")}, sun)
+    return found.select("t", "q_id", "sky_pt", F.round("sky_err", 6).alias("sky_err"), F.coalesce("sun_patch", F.lit(-1)).alias("sun_patch"))
 
 
 @query(oracle("SELECT q_id, round(avg(value), 6) AS value, round(sqrt(max(d2)), 6) AS point_err FROM near JOIN (SELECT pt_id, sum(value) AS value FROM b_contrib GROUP BY pt_id) USING (pt_id) GROUP BY q_id", "b_queries", "b_points", "b_contrib", ctes=NEAR))
@@ -148,6 +151,13 @@ def jn24_sensor_expansion(spark, sf_dir):
     return found.select("pt_id", "sensor_id", *(F.round(c, 6).alias(c) for c in "xyz"), "dx", "dy", "dz")
 
 
+@query(oracle("SELECT pt_id, o_id AS sensor_id, round(x + ox, 6) AS x, round(y + oy, 6) AS y, round(z + oz, 6) AS z, dx, dy, dz FROM b_points, (VALUES (0, 0.0, 0.0, 0.0, 0E0, 0E0, 1E0), (1, 0.1, 0.0, 0.3, 1E0, 0E0, 0E0)) o(o_id, ox, oy, oz, dx, dy, dz)", "b_points"))
+def jn24_given_sensors(spark, sf_dir):
+    """Sensors of six columns: each has its own offset and direction."""
+    given = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 0.1, 0.0, 0.3, 1.0, 0.0, 0.0)], "o_id int, ox double, oy double, oz double, dx double, dy double, dz double")
+    return integrate.sensors(binding(spark, sf_dir, "b_points"), given).select("pt_id", "sensor_id", *(F.round(c, 6).alias(c) for c in "xyz"), "dx", "dy", "dz")
+
+
 CELLS = "cells AS (SELECT zone, i, j, x, y FROM (SELECT 'a' AS zone, CAST(i AS INT) AS i, CAST(j AS INT) AS j, 1 + (i + 0.5)*0.5 AS x, 1 + (j + 0.5)*0.5 AS y FROM range(16) a(i), range(16) b(j) UNION ALL SELECT 'l', CAST(i AS INT), CAST(j AS INT), (i + 0.5)*0.5, (j + 0.5)*0.5 FROM range(12) a(i), range(12) b(j)) WHERE zone = 'a' OR x < 3 OR y < 3), filled AS (SELECT zone, i, j, pt_id FROM (SELECT zone, i, j, pt_id, row_number() OVER (PARTITION BY zone, i, j ORDER BY (c.x-p.x)*(c.x-p.x)+(c.y-p.y)*(c.y-p.y), pt_id) AS k FROM cells c, b_points p) WHERE k = 1)"
 
 
@@ -210,9 +220,12 @@ def jn30_zonal_points(spark, sf_dir):
     return integrate.zonal_points(times, chosen, points.where("level = 0")).select("t", "pt_id", F.round("error_deg", 6).alias("error_deg"))
 
 
-@query(oracle("SELECT t, count(*) AS n FROM b_sun WHERE sun_rad > 400 GROUP BY t", "b_sun"))
+@query(oracle("SELECT u.t, c.pt_id, round(sum(c.value*sun_rad), 6) AS value FROM (SELECT * FROM b_sun WHERE sun_rad > 400) u JOIN b_contrib c USING (patch) GROUP BY u.t, c.pt_id", "b_sun", "b_contrib"))
 def fl15_sun_active(spark, sf_dir):
-    return binding(spark, sf_dir, "b_sun").where("sun_rad > 400").groupBy("t").agg(F.count("*").alias("n"))
+    """Only times with an active sun look up the sun plane."""
+    active = integrate.sun_lookups(binding(spark, sf_dir, "b_sun"), 400.0).select("t", "patch", F.col("sun_rad").alias("coef"))
+    found = integrate.coefficient_product(active, binding(spark, sf_dir, "b_contrib"), ["pt_id"])
+    return found.select("t", "pt_id", F.round("value", 6).alias("value"))
 
 
 @query(oracle("SELECT pt_id, count(DISTINCT sun_id) AS n_suns, count(*) AS n FROM sun_points GROUP BY pt_id", "b_rays", "b_points", ctes=f"suns AS ({SUNS}), {SUN_POINTS}"))

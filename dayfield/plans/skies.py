@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..bindings import binding, oracle
 from ..functions import directions as d
 from ..functions import sky
-from ..operators import interpolate
+from ..operators import interpolate, suns
 from ..session import scratch_folder
 from ..sources import tables, weather
+from . import sqltext as q
 from .registry import query, r, rounded
 
 LAT, LON, MERIDIAN = 46.25, -6.13, -15.0
@@ -139,48 +140,105 @@ def fl03_masked_index(spark, sf_dir):
     return weather.masked_index(t, t.where("t % 7 = 0")).select("station", "masked", "t")
 
 
-@query(oracle("SELECT c.t, c.month, c.day, c.hour, w.month IS NOT NULL AS in_mask FROM (SELECT CAST(i AS INT) AS t, CAST(month(ts) AS INT) AS month, CAST(day(ts) AS INT) AS day, hour(ts) + 0.5E0 AS hour FROM (SELECT i, TIMESTAMP '2021-01-01' + to_hours(i) AS ts FROM range(8760) r(i))) c LEFT JOIN (SELECT DISTINCT month, day, hour FROM b_weather WHERE station = 1) w ON c.month = w.month AND c.day = w.day AND c.hour = w.hour", "b_weather"))
+@query(oracle("SELECT c.t, c.month, c.day, c.hour, w.month IS NOT NULL AS in_mask FROM (SELECT CAST(i AS INT) AS t, CAST(month(ts) AS INT) AS month, CAST(day(ts) AS INT) AS day, hour(ts) + 0.5E0 AS hour FROM (SELECT i, TIMESTAMP '2021-01-01' + to_hours(i) AS ts FROM range(8760) r(i))) c LEFT JOIN (SELECT DISTINCT month, day, hour FROM b_weather) w ON c.month = w.month AND c.day = w.day AND c.hour = w.hour", "b_weather"))
 def fl04_calendar_mask(spark, sf_dir):
-    found = weather.calendar_mask(weather.calendar(spark), binding(spark, sf_dir, "b_weather").where("station = 1"))
+    """Hours of the year that any station has."""
+    found = weather.calendar_mask(weather.calendar(spark), binding(spark, sf_dir, "b_weather"))
     return found.select("t", "month", "day", "hour", "in_mask")
 
 
-@query(oracle("SELECT DISTINCT cell FROM (SELECT CAST(floor(sx*8) AS INT)*100 + CAST(floor(sy*8) AS INT) AS cell FROM sxyz WHERE sz > 0 AND dir_norm > 0)", "b_weather", ctes=_SUN))
+@query(oracle("SELECT station, month, day, hour, round(sx, 6) + 0.0 AS sx, round(sz, 6) + 0.0 AS sz FROM sxyz WHERE sz > 0 AND dir_norm > 0", "b_weather", ctes=_SUN))
 def fl08_candidate_suns(spark, sf_dir):
-    suns = sunny(spark, sf_dir).where("sz > 0 and dir_norm > 0")
-    return suns.select((F.floor(F.col("sx") * 8).cast("int") * 100 + F.floor(F.col("sy") * 8).cast("int")).alias("cell")).distinct()
+    """Weather rows as candidates: the layout of five columns, whose suns are computed."""
+    rows = binding(spark, sf_dir, "b_weather")
+    found = suns.candidates(rows, ["month", "day", "hour", "dir_norm", "dif_horiz"], (LAT, LON, MERIDIAN))
+    return rounded(found, "sx", "sz").select(*KEYS, "sx", "sz")
+
+
+@query(oracle("SELECT 2 AS layout, ray_id, round(-sin(radians(b))*cos(radians(a)), 6) + 0.0 AS sx FROM (SELECT ray_id, degrees(asin(dz)) AS a, CAST(ray_id % 360 AS DOUBLE) AS b FROM b_rays) WHERE a > 0 UNION ALL SELECT 3, ray_id, round(dx, 6) + 0.0 FROM b_rays WHERE dz > 0 UNION ALL SELECT 4, ray_id, round(dx, 6) + 0.0 FROM b_rays WHERE dz > 0 AND lum - 500 > 0", "b_rays"))
+def fl08_candidate_layouts(spark, sf_dir):
+    """Angles, vectors, and vectors with direct normal."""
+    rays = binding(spark, sf_dir, "b_rays").withColumns({"a": F.degrees(F.asin("dz")), "b": (F.col("ray_id") % 360).cast("double"), "n": F.col("lum") - 500})
+    kinds = (["a", "b"], ["dx", "dy", "dz"], ["dx", "dy", "dz", "n"])
+    parts = [suns.candidates(rays, k).select(F.lit(len(k)).alias("layout"), "ray_id", r("sx").alias("sx")) for k in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def risen(spark, sf_dir):
+    """Suns above the horizon with a number each."""
+    rows = sunny(spark, sf_dir).where("sz > 0")
+    return rows.withColumn("sun_id", (((F.col("station") * 100 + F.col("month")) * 100 + F.col("day")) * 100 + F.floor("hour")).cast("long"))
 
 
-_GRID = "cells AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM range(8) a(i), range(8) b(j)), held AS (SELECT DISTINCT CAST(least(floor((sx + 1)*4), 7) AS INT) AS i, CAST(least(floor((sy + 1)*4), 7) AS INT) AS j FROM sxyz WHERE sz > 0)"
+def boundary(spark, sf_dir):
+    stations = binding(spark, sf_dir, "b_weather").select("station").distinct().withColumns({"lat": F.lit(LAT), "lon": F.lit(LON), "meridian": F.lit(MERIDIAN)})
+    return sky.solar_boundary(stations)
 
 
-@query(oracle("SELECT i, j FROM cells JOIN held USING (i, j)", "b_weather", ctes=f"{_SUN}, {_GRID}"))
+_UVS = q.uv("SELECT *, sx AS dx, sy AS dy, sz AS dz FROM sxyz WHERE sz > 0")
+HELD = f"placed AS (SELECT * FROM ({_UVS})), held AS (SELECT DISTINCT CAST(least(floor(u*8), 7) AS INT) AS i, CAST(least(floor(v*8), 7) AS INT) AS j FROM placed)"
+RING = "b_weather AS (SELECT station, CAST(m AS INT) AS month, 21 AS day, k, k/12.0 AS hour FROM (SELECT DISTINCT CAST(user_id % 3 AS INT) AS station FROM events), (VALUES (6), (12)) v(m), range(288) r(k)), " + _SUN + """,
+ring AS (SELECT station, row_number() OVER (PARTITION BY station ORDER BY part, o) - 1 AS k, x, y FROM (
+  SELECT station, 1 AS part, k AS o, sx AS x, sy AS y FROM sxyz WHERE sz > 0 AND month = 6 UNION ALL SELECT station, 3, -k, sx, sy FROM sxyz WHERE sz > 0 AND month = 12
+  UNION ALL SELECT DISTINCT station, 0, 0, 1000.0, 0.0 FROM sxyz UNION ALL SELECT DISTINCT station, 2, 0, -1000.0, 0.0 FROM sxyz)),
+sides AS (SELECT station, x AS x0, y AS y0, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1 FROM ring WINDOW w AS (PARTITION BY station ORDER BY k))"""
+_CORNERS = "spots AS (SELECT c, how, a, b, (c // 8 + a)/8 AS u, (c % 8 + b)/8 AS v FROM range(64) r(c), (VALUES ('center', 0.5, 0.5), ('any', 0.01, 0.01), ('any', 0.01, 0.99), ('any', 0.99, 0.01), ('any', 0.99, 0.99)) h(how, a, b)), dirs AS (" + q.from_uv("SELECT * FROM spots", out="p") + "), hits AS (SELECT c, how, a, b, bool_or(odd) AS inside FROM (SELECT c, how, a, b, station, sum(CASE WHEN (y0 > py) <> (y1 > py) AND px < (x1 - x0)*(py - y0)/(y1 - y0) + x0 THEN 1 ELSE 0 END) % 2 = 1 AS odd FROM dirs, sides GROUP BY ALL) GROUP BY ALL)"
+
+
+@query(oracle("SELECT i, j FROM held", "b_weather", ctes=f"{_SUN}, {HELD}"))
 def fl07_sun_cells(spark, sf_dir):
     """Cells of the sun grid that hold a candidate."""
-    held = sunny(spark, sf_dir).where("sz > 0").select(d.cell((F.col("sx") + 1) / 2, 8).alias("i"), d.cell((F.col("sy") + 1) / 2, 8).alias("j")).distinct()
-    cells = spark.range(64).select(F.floor(F.col("id") / 8).cast("int").alias("i"), (F.col("id") % 8).cast("int").alias("j"))
-    return cells.join(held, ["i", "j"], "left_semi")
+    return suns.sun_grid(spark, 8, held=suns.sun_cells(risen(spark, sf_dir), 8)).select("i", "j")
+
+
+@query(oracle("SELECT 'center' AS how, CAST(c // 8 AS INT) AS i, CAST(c % 8 AS INT) AS j FROM hits WHERE how = 'center' AND inside UNION ALL SELECT 'any', CAST(c // 8 AS INT), CAST(c % 8 AS INT) FROM hits WHERE how = 'any' GROUP BY c HAVING bool_or(inside) UNION ALL SELECT 'all', CAST(c // 8 AS INT), CAST(c % 8 AS INT) FROM hits WHERE how = 'any' GROUP BY c HAVING bool_and(inside)", ctes=f"{RING}, {_CORNERS}"))
+def fl07_solar_bounds(spark, sf_dir):
+    """Cells inside the solar boundary by their centre, by any corner and by all corners."""
+    ring = boundary(spark, sf_dir)
+    parts = [suns.sun_grid(spark, 8, boundary=ring, include=how).select(F.lit(how).alias("how"), "i", "j") for how in ("center", "any", "all")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(oracle("SELECT i, j, round((i + 0.5)/8, 6) AS u, round((j + 0.5)/8, 6) AS v FROM cells JOIN held USING (i, j)", "b_weather", ctes=f"{_SUN}, {_GRID}"))
+@query(oracle(f"SELECT i, j, round(u, 6) + 0.0 AS u, round(v, 6) + 0.0 AS v, round(cx, 6) + 0.0 AS sx, round(cz, 6) + 0.0 AS sz FROM ({q.from_uv('SELECT i, j, (i + 0.5)/8 AS u, (j + 0.5)/8 AS v FROM held')})", "b_weather", ctes=f"{_SUN}, {HELD}"))
 def gr01_sun_grid(spark, sf_dir):
-    return fl07_sun_cells(spark, sf_dir).select("i", "j", F.round((F.col("i") + 0.5) / 8, 6).alias("u"), F.round((F.col("j") + 0.5) / 8, 6).alias("v"))
+    found = suns.sun_grid(spark, 4, 1, held=suns.sun_cells(risen(spark, sf_dir), 8))
+    return rounded(found, "u", "v", "sx", "sz").select("i", "j", "u", "v", "sx", "sz")
 
 
-@query(oracle("SELECT i, j, round(gap, 5) + 0.0 AS gap FROM (SELECT i, j, min(sqrt(((sx+1)*4 - i - 0.5)*((sx+1)*4 - i - 0.5) + ((sy+1)*4 - j - 0.5)*((sy+1)*4 - j - 0.5))) AS gap FROM (SELECT *, CAST(least(floor((sx + 1)*4), 7) AS INT) AS i, CAST(least(floor((sy + 1)*4), 7) AS INT) AS j FROM sxyz WHERE sz > 0) GROUP BY i, j)", "b_weather", ctes=_SUN))
+@query(oracle(f"SELECT CAST(c // 8 AS INT) AS i, CAST(c % 8 AS INT) AS j, round((c // 8 + {q.uniform(3, 'c')})/8, 9) AS u, round((c % 8 + {q.uniform(4, 'c')})/8, 9) AS v FROM hits WHERE how = 'center' AND inside", ctes=f"{RING}, {_CORNERS}"))
+def gr01_jittered_grid(spark, sf_dir):
+    """Cells inside the boundary, each with a place drawn from the seed and the cell."""
+    found = suns.sun_grid(spark, 8, jitter=3, boundary=boundary(spark, sf_dir))
+    return found.select("i", "j", F.round("u", 9).alias("u"), F.round("v", 9).alias("v"))
+
+
+_ALL64 = "SELECT CAST(c // 8 AS INT) AS i, CAST(c % 8 AS INT) AS j FROM range(64) r(c)"
+_GAPS = "gaps AS (SELECT CAST(least(floor(u*8), 7) AS INT) AS i, CAST(least(floor(v*8), 7) AS INT) AS j, CAST(((station*100 + month)*100 + day)*100 + floor(hour) AS BIGINT) AS sun_id, sqrt((u*8 - least(floor(u*8), 7) - 0.5)*(u*8 - least(floor(u*8), 7) - 0.5) + (v*8 - least(floor(v*8), 7) - 0.5)*(v*8 - least(floor(v*8), 7) - 0.5)) AS gap FROM placed)"
+
+
+@query(oracle(f"SELECT i, j, coalesce(b.s, -1) AS sun_id, round(coalesce(b.g, -1), 5) + 0.0 AS gap FROM ({_ALL64}) LEFT JOIN (SELECT i, j, min({{'g': round(gap, 9), 's': sun_id}}) AS b FROM gaps GROUP BY i, j) USING (i, j)", "b_weather", ctes=f"{_SUN}, {HELD}, {_GAPS}"))
 def ag16_candidate_per_cell(spark, sf_dir):
-    """The sun nearest the centre of each cell."""
-    u, v = (F.col("sx") + 1) * 4, (F.col("sy") + 1) * 4
-    cells = sunny(spark, sf_dir).where("sz > 0").withColumn("i", d.cell((F.col("sx") + 1) / 2, 8)).withColumn("j", d.cell((F.col("sy") + 1) / 2, 8))
-    gap = F.sqrt((u - F.col("i") - 0.5) * (u - F.col("i") - 0.5) + (v - F.col("j") - 0.5) * (v - F.col("j") - 0.5))
-    return cells.groupBy("i", "j").agg(r(F.min(gap), 5).alias("gap"))
+    """The sun nearest the centre of each cell; -1 where a cell has none."""
+    found = suns.candidate_per_cell(risen(spark, sf_dir), 8, "sun_id")
+    return found.select("i", "j", "sun_id", r(F.coalesce("gap", F.lit(-1.0)), 5).alias("gap"))
 
 
-@query()
+@query(oracle(f"SELECT i, j, coalesce(s, -1) AS sun_id FROM ({_ALL64}) LEFT JOIN (SELECT i, j, arg_min(sun_id, -ln(greatest({q.uniform(9, 'sun_id')}, 1e-12))/greatest(gap, 1e-9)) AS s FROM gaps GROUP BY i, j) USING (i, j)", "b_weather", ctes=f"{_SUN}, {HELD}, {_GAPS}"))
+def ag16_random_candidate(spark, sf_dir):
+    """One sun per cell, drawn with a chance in proportion to its distance from the centre."""
+    return suns.candidate_per_cell(risen(spark, sf_dir), 8, "sun_id", seed=9).select("i", "j", "sun_id")
+
+
+_MATRIX = "subs AS (" + q.from_uv("SELECT c, CAST(c // 16 // 4 * 4 + c % 16 // 4 AS INT) AS patch, (c // 16 + 0.5)/16 AS u, (c % 16 + 0.5)/16 AS v FROM range(256) r(c)") + """), lum AS (
+ SELECT station, month, day, hour, patch, avg((pow(cz + 1.01, 10)*diff_norm*(1 + ca*exp(cb/greatest(cz, 0.01)))*(1 + cc*exp(cd*acos(greatest(least(g, 1), -1))) + ce*g*g) + pow(cz + 1.01, -10)*ground_br)/(pow(cz + 1.01, 10) + pow(cz + 1.01, -10))) AS coef
+ FROM (SELECT p.*, s.patch, s.cz, s.cx*sx + s.cy*sy + s.cz*sz AS g FROM perez p, subs s) GROUP BY ALL)"""
+
+
+@query(oracle("SELECT station, month, day, hour, patch, round(ln(coef), 3) + 0.0 AS ln_coef, round(ln(coef*CASE WHEN patch < 16 THEN 0.9 WHEN patch = 16 THEN 0.5 ELSE 1 END), 3) + 0.0 AS ln_red FROM (SELECT station, month, day, hour, patch, coef FROM lum UNION ALL SELECT station, month, day, hour, 16, ground_br FROM perez UNION ALL SELECT station, month, day, hour, 17, solar_rad FROM perez) WHERE coef > 0", "b_weather", ctes=f"{_PEREZ}, {_MATRIX}"))
 def ag03_sky_matrix(spark, sf_dir):
-    """Patch coefficients of the first station's day hours; invariants are held by pytest."""
-    states = sky.perez(day_rows(spark, sf_dir).where("station = 0 and day <= 5"))
-    return rounded(sky.sky_matrix(states, 4), "coef", digits=4).select("t.month", "t.day", "t.hour", "patch", "coef")
+    """Patch coefficients, ground and sun of every day hour of all stations, and a second channel."""
+    found = sky.sky_matrix(sky.perez(day_rows(spark, sf_dir)), 4, with_sun=True, colors={"red": (0.9, 0.5, 1.0)}).where("coef > 0")
+    return found.select(*(f"t.{k}" for k in KEYS), "patch", r(F.log("coef"), 3).alias("ln_coef"), r(F.log("coef_red"), 3).alias("ln_red"))
 
 
 @query(oracle("SELECT station, t, round(dir_norm, 6) + 0.0 AS dir_norm FROM (SELECT q.station, q.t, a.v + (q.t - a.t)*(b.v - a.v)/(b.t - a.t) AS dir_norm FROM (SELECT DISTINCT station, day*24 + hour + 0.25 AS t FROM b_weather WHERE hour < 23 AND day < 30) q JOIN (SELECT station, day*24 + hour AS t, dir_norm AS v, lead(day*24 + hour) OVER (PARTITION BY station ORDER BY day*24 + hour) AS nt FROM b_weather) a ON a.station = q.station AND a.t <= q.t AND a.nt > q.t JOIN (SELECT station, day*24 + hour AS t, dir_norm AS v FROM b_weather) b ON b.station = q.station AND b.t = a.nt)", "b_weather"))
