@@ -119,12 +119,13 @@ def _class_sql(name: str, pattern: str, alphabet: str, window: int, bits: float)
     terms = "[" + ", ".join(map(str, secret_scan._terms(window))) + "]"
     bound = math.floor(secret_scan.SCALE * window * (math.log2(window) - bits))
     allowed = " OR ".join(f"regexp_matches(v, {_text(p)})" for p in secret_scan.ALLOW)
+    words = " OR ".join(f"regexp_matches(v, {_text(p)})" for p in secret_scan.ALLOW_WORDS)
     folded = "lower(v)" if len(alphabet) == 16 else "v"
     return f"""{name}_runs AS (SELECT * FROM ({_found_sql(pattern)}) WHERE NOT ({allowed})),
-{name}_windows AS (SELECT rid, s, v, i, string_split(substr({folded}, i, {window}), '') AS w FROM {name}_runs, range(1, 1000000) r(i) WHERE i <= length(v) - {window - 1}),
-{name}_hot AS (SELECT rid, s, i FROM {name}_windows WHERE list_sum(list_transform(list_distinct(w), lambda c: CAST({terms} AS BIGINT[])[len(list_filter(w, lambda z: z = c)) + 1])) <= {bound}),
-{name} AS (SELECT rid, s + min(i) - 1 AS s, s + max(i) - 1 + {window} AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY rid, s ORDER BY i) AS g FROM (
-  SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY rid, s ORDER BY i) + {window} THEN 0 ELSE 1 END AS fresh FROM {name}_hot)) GROUP BY rid, s, g)"""
+{name}_windows AS (SELECT rid, s, v, i, string_split(substr({folded}, i, {window}), '') AS w FROM {name}_runs, range(1, (SELECT coalesce(max(length(v)), 0) + 1 FROM {name}_runs)) r(i) WHERE i <= length(v) - {window - 1}),
+{name}_hot AS (SELECT rid, s, i, v FROM {name}_windows WHERE list_sum(list_transform(list_distinct(w), lambda c: CAST({terms} AS BIGINT[])[len(list_filter(w, lambda z: z = c)) + 1])) <= {bound}),
+{name} AS (SELECT rid, s, e FROM (SELECT rid, s + min(i) - 1 AS s, s + max(i) - 1 + {window} AS e, substr(any_value(v), min(i), max(i) - min(i) + {window}) AS v FROM (SELECT *, sum(fresh) OVER (PARTITION BY rid, s ORDER BY i) AS g FROM (
+  SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY rid, s ORDER BY i) + {window} THEN 0 ELSE 1 END AS fresh FROM {name}_hot)) GROUP BY rid, s, g) WHERE NOT ({words}))"""
 
 
 def _op1_sql() -> str:
@@ -132,7 +133,7 @@ def _op1_sql() -> str:
     group = f"regexp_extract(v, {_text(a_pattern)}, 2)"
     parts = [f"SELECT rid, s, e, 0 AS k, '{assign}' AS kind FROM ({_found_sql(a_pattern)}) WHERE length({group}) >= {a_least}"]
     parts += [f"SELECT rid, s, e, {i}, '{kind}' FROM ({_found_sql(secret_scan.SEARCH[kind])})" for i, kind in ((1, access), (2, hexes))]
-    clear = "NOT EXISTS (SELECT 1 FROM {other} o WHERE o.rid = x.rid AND o.s < x.e AND x.s < o.e)"
+    clear = "NOT EXISTS (SELECT 1 FROM {other} o WHERE o.rid = x.rid AND o.s <= x.s AND x.e <= o.e)"
     (one, *_), (two, *_) = secret_scan.CLASSES
     listed = "coalesce(string_agg({which}, ',' ORDER BY s, k), '')"
     said = "kind || ':' || s || ':' || e"

@@ -21,15 +21,18 @@ CLASSES = (
     ("hexclass", r"[0-9A-Fa-f]{20,}", "0123456789abcdef", 20, 2.75),
     ("base64", r"[A-Za-z0-9+/_-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 20, 3.6),
 )
-#: Candidates that match one of these are not secrets.
+#: Runs that match one of these as a whole are not secrets.
 ALLOW = (
     r"^[A-Za-z/_+-]*$",  # no digit: words, paths and identifiers
     r"^[0-9/_+-]*$",  # no letter: numbers, dates, rulers
-    r"(?i)example|placeholder|changeme|dummy|sample|redacted|xxxx|lorem",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
-    r"(?i)0123456789|abcdefghij",  # alphabets
     r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[/_+-]+(?:[A-Za-z]+|[0-9]{1,4}))+$",  # slugs, paths, dated names
 )
+#: Stretches that hold one of these are not secrets; what else their run holds is judged by itself.
+ALLOW_WORDS = (
+    r"(?i)example|placeholder|changeme|dummy|sample|redacted|xxxx|lorem",
+    r"(?i)0123456789|abcdefghij",  # alphabets
+)
 SCALE = 10_000
 
 
@@ -38,19 +41,42 @@ def _terms(window: int) -> list[int]:
     return [0] + [round(SCALE * c * math.log2(c)) for c in range(1, window + 1)]
 
 
+#: Items handled together, so that arrays grow by pieces: the work on m matches is m^2 / PIECE at most, on small numbers.
+PIECE = 64
+
+
+def _pieces(items: Column) -> Column:
+    """An array as an array of arrays of up to PIECE items."""
+    n = F.ceil(F.size(items) / PIECE).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.slice(items, k * PIECE + 1, PIECE))).otherwise(F.slice(F.array(items), 1, 0))
+
+
 def _found(text: Column, pattern: str) -> Column:
-    """array<(start, end, value)> of leftmost non-overlapping matches; offsets in code points."""
+    """array<(start, end, value)> of leftmost non-overlapping matches; offsets in code points.
+
+    Lengths of the matches and of the text between them add up to the offsets: first by piece, then inside each piece."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    pairs = F.zip_with(values, between, lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+    pieces = _pieces(F.filter(pairs, lambda p: p["value"].isNotNull()))
+    size = lambda ps: F.aggregate(ps, F.lit(0), lambda s, p: s + p["gap"] + F.length(p["value"]))
 
     def add(state: Column, pair: Column) -> Column:
         at = state["at"] + pair["gap"]
         end = at + F.length(pair["value"])
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(at.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"))
 
-    pairs = F.zip_with(values, between, lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    return F.aggregate(F.filter(pairs, lambda p: p["value"].isNotNull()), start, add, lambda s: s["out"])
+    def placed(ps: Column) -> Column:
+        sizes = F.transform(ps, size)
+        based = F.transform(ps, lambda p, k: F.struct(p.alias("p"), k.alias("k")))
+
+        def spans(piece: Column, sizes: Column) -> Column:
+            start = F.struct(F.aggregate(F.slice(sizes, 1, piece["k"]), F.lit(0), lambda s, x: s + x).alias("at"), _empty().alias("out"))
+            return F.aggregate(piece["p"], start, add, lambda s: s["out"])
+
+        return _bound_to(sizes, lambda z: F.flatten(F.transform(based, lambda piece: spans(piece, z))))
+
+    return _bound_to(pieces, placed)
 
 
 def _empty() -> Column:
@@ -103,8 +129,8 @@ def _hot_windows(value: Column, alphabet: str, window: int, bits: float) -> Colu
     return F.aggregate(steps, zero, step, last)
 
 
-def _allowed(value: Column) -> Column:
-    return F.array_contains(F.array(*(F.rlike(value, F.lit(p)) for p in ALLOW)), True)
+def _allowed(value: Column, patterns: tuple[str, ...]) -> Column:
+    return F.array_contains(F.array(*(F.rlike(value, F.lit(p)) for p in patterns)), True)
 
 
 def _class_spans(text: Column, pattern: str, alphabet: str, window: int, bits: float) -> Column:
@@ -114,13 +140,19 @@ def _class_spans(text: Column, pattern: str, alphabet: str, window: int, bits: f
             lambda y: F.struct((run["start"] + y["start"]).alias("start"), (run["start"] + y["end"]).alias("end"), F.substring(run["value"], y["start"] + 1, y["end"] - y["start"]).alias("value")),
         )
 
-    runs = F.filter(_found(text, pattern), lambda x: ~_allowed(x["value"]))
-    return F.when(F.rlike(text, F.lit(pattern)), F.flatten(F.transform(runs, stretches))).otherwise(_empty())
+    runs = F.filter(_found(text, pattern), lambda x: ~_allowed(x["value"], ALLOW))
+    hot = F.filter(F.flatten(F.transform(runs, stretches)), lambda x: ~_allowed(x["value"], ALLOW_WORDS))
+    return F.when(F.rlike(text, F.lit(pattern)), hot).otherwise(_empty())
+
 
+def _outside(spans, others: Column) -> Column:
+    """The spans that no span of ``others`` holds whole. Others are sorted and looked up by pieces with their first start and last end."""
+    pieces = F.transform(_pieces(F.array_sort(F.transform(others, lambda y: F.struct(y["start"], y["end"])))), lambda p: F.struct(p.alias("p"), p[0]["start"].alias("lo"), F.array_max(F.transform(p, lambda y: y["end"])).alias("hi")))
 
-def _apart(spans, others: Column) -> Column:
-    """The spans that overlap none of ``others``."""
-    return F.filter(spans, lambda x: ~F.exists(others, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    def held(x: Column, piece: Column) -> Column:
+        return (piece["lo"] <= x["start"]) & (x["end"] <= piece["hi"]) & F.exists(piece["p"], lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]))
+
+    return F.when(F.size(spans) > 0, _bound_to(pieces, lambda ps: F.filter(spans, lambda x: ~F.exists(ps, lambda p: held(x, p))))).otherwise(_empty())
 
 
 def _tagged(spans, rank: int, kind: str) -> Column:
@@ -130,16 +162,24 @@ def _tagged(spans, rank: int, kind: str) -> Column:
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``secrets``: array<(start, rank, end, kind, value)> in order of start, then kind.
 
-    Kinds: assign, access and hex are the base patterns; "entropy" are stretches found by window entropy that overlap no base
-    span. Offsets count code points, ends are exclusive. Null and empty texts have no secrets; texts are read whole, whatever
-    their length; other columns pass through, and an existing column ``secrets`` is replaced. One pass, no shuffle."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    with_base = docs.withColumns({f"_{kind}": base_spans(text, kind) for kind, *_ in BASE} | {f"_{name}": _class_spans(text, *rule) for name, *rule in CLASSES})
-    base = F.concat(*(F.col(f"_{k}") for k, *_ in BASE))
-    fresh = F.concat(_apart("_hexclass", base), _apart(_apart("_base64", F.col("_hexclass")), base))
-    tagged = [_tagged(f"_{k}", i, k) for i, (k, *_) in enumerate(BASE)]
+    Kinds: assign, access and hex are the base patterns; "entropy" are stretches found by window entropy that do not lie inside one
+    base span (they may overlap one: its part is then reported by both). Offsets count code points, ends are exclusive. Null and
+    empty texts have no secrets; texts are read whole, whatever their length; repeated rows are scanned each; other columns pass
+    through, whatever their names, and an existing column ``secrets`` is replaced. One pass, no shuffle."""
+    kept = [c for c in docs.columns if c != "secrets"]
+    rows = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _scanned(rows).select("row.*", "secrets")
+
+
+def _scanned(rows: DataFrame) -> DataFrame:
+    """Adds secrets to rows with a text that is not null and no other columns but ``row``."""
+    text = F.col("text")
+    found = rows.withColumns({kind: base_spans(text, kind) for kind, *_ in BASE} | {name: _class_spans(text, *rule) for name, *rule in CLASSES})
+    found = found.withColumn("base", F.concat(*(F.col(k) for k, *_ in BASE)))
+    fresh = F.concat(_outside(F.col("hexclass"), F.col("base")), _outside(F.col("base64"), F.concat("base", "hexclass")))
+    tagged = [_tagged(k, i, k) for i, (k, *_) in enumerate(BASE)]
     tagged.append(_tagged(fresh, len(BASE), "entropy"))
-    return with_base.withColumn("secrets", F.array_sort(F.concat(*tagged))).drop(*(f"_{k}" for k, *_ in (*BASE, *CLASSES)))
+    return found.withColumn("secrets", F.array_sort(F.concat(*tagged))).select(*rows.columns, "secrets")
 
 
 def listed(spans: Column) -> Column:
@@ -150,19 +190,25 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every secret replaced by [KIND]; overlapping secrets become one mark, that of the first.
 
-    Columns stay as they are but for the text and, if there is one, n_chars (its new length). Null texts stay null."""
-    scanned = scan(docs.withColumn("_text", F.col(text_col)), "_text")
-    text = F.col("_text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    Columns stay as they are, whatever their names, but for the text and, if there is one, n_chars (its new length). Null texts
+    stay null, empty ones empty; repeated rows stay; an empty table gives no rows. Texts are put together by pieces of spans."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.col("text")
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
 
     def add(s: Column, x: Column) -> Column:
         new = x["start"] >= s["at"]
-        out = F.when(new, F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+        mark = F.concat(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(new, F.concat(s["out"], F.array(mark))).otherwise(s["out"]).alias("out"))
+
+    def part(s: Column, piece: Column) -> Column:
+        done = F.aggregate(piece, zero(s["at"]), add)
+        return F.struct(done["at"].alias("at"), F.concat(s["out"], F.array(F.array_join(done["out"], ""))).alias("out"))
 
-    clean = F.aggregate("secrets", zero, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    clean = F.aggregate(_pieces(F.col("secrets")), zero(F.lit(0)), part, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
     marked = F.size("secrets") > 0
-    out = scanned.withColumn(text_col, F.when(marked, clean).otherwise(text))
+    out = _scanned(rows).select("row", marked.alias("marked"), F.when(marked, clean).alias("clean"))
+    new = F.col("row").withField(text_col, F.when(F.col("marked"), F.col("clean")).otherwise(F.col("row").getField(text_col)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(marked, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new = new.withField("n_chars", F.when(F.col("marked"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return out.select(new.alias("row")).select("row.*")

@@ -228,3 +228,26 @@ def test_multipliers_solve_the_dual(spark):
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if sum(n * rate(mid, n) for n in own) < target else (lo, mid)
         assert all(abs(r["rate"] - rate(lo, r["size"])) < 1e-3 for r in mine)
+
+
+def test_stretches_beyond_a_base_span_are_reported_and_redacted(spark):
+    tail = "Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk0Lm"
+    docs = spark.createDataFrame([(1, f"deadbeefdeadbeefdeadbeef01{tail} end", 1, 2, 3), (2, f"sample-{'a1' * 3}/{tail}", 1, 2, 3)], "doc_id long, text string, _text int, _hex int, base int")
+    rows = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    kinds = [s["kind"] for s in rows[1]["secrets"]]
+    assert "hex" in kinds and "entropy" in kinds and max(s["end"] for s in rows[1]["secrets"]) >= len("deadbeefdeadbeefdeadbeef01") + 28
+    assert rows[1]["_text"] == 1 and rows[1]["_hex"] == 2 and rows[1]["base"] == 3
+    clean = {r["doc_id"]: r for r in secret_scan.redact(docs).collect()}
+    assert tail[4:] not in clean[1]["text"] and clean[1]["text"].endswith(" end") and clean[1]["_text"] == 1 and clean[1]["base"] == 3
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    text = " ".join(f"token=secret{i:06} word" for i in range(8000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = secret_scan.scan(docs).first()
+    assert [(s["start"], s["end"]) for s in row["secrets"]] == [(m.start(), m.end()) for m in ASSIGN.finditer(text)]
+    assert time.perf_counter() - began < 30
+    assert secret_scan.redact(docs).first()["text"] == " ".join("[ASSIGN] word" for _ in range(8000))
