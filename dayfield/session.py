@@ -9,8 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a temporary folder where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-dayfield-")
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); where that is unset, a temporary folder in
+    local mode and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-dayfield-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -11,9 +11,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dayfield.functions import directions, draws
 from dayfield.functions import directions as d
 from dayfield.functions import sky
-from dayfield.operators import cube, grid, integrate, interpolate, metrics, nearest, rays, zones
+from dayfield.operators import cube, grid, integrate, interpolate, metrics, nearest, rays, suns, zones
 
 
 def test_uv_round_trip(spark):
@@ -219,3 +220,65 @@ def test_suns_lie_inside_the_solar_boundary(spark):
     assert inside.where("not inside").count() == 0 and inside.count() > 50
     north = spark.createDataFrame([(0, 80.0, 0.0, 0.0)], "station int, lat double, lon double, meridian double")
     assert sky.solar_boundary(north).first()["ring"][-1]["y"] == -1000.0
+
+
+def test_forms_with_errors_and_warnings(spark):
+    rows = spark.createDataFrame([(s, p, v, m, float(s + p)) for s in range(3) for p in range(2) for v in "ab" for m in ("x", "y")], "sky int, point int, view string, metric string, value double")
+    with pytest.warns(UserWarning, match="no metric"):
+        assert cube.metric_filter(rows, ["x", "z"]).select("metric").distinct().count() == 1
+    assert {r[0] for r in cube.metric_filter(rows, [-1]).select("metric").distinct().collect()} == {"y"}
+    with pytest.raises(ValueError):
+        cube.sky_filter(rows, spark.createDataFrame([], "t int"))
+    with pytest.raises(ValueError):
+        cube.axis_index(rows, "view", ["a", "q"])
+    with pytest.raises(ValueError):
+        cube.pull_order("sky", 0)
+    assert cube.pull_order("view") == ["view", "sky", "point", "metric"]
+    assert cube.pull_axes(rows, "metric", "view", preserve=2).columns == ["sky", "point", "x_a", "x_b", "y_a", "y_b"]
+    assert cube.pull_axes(rows).columns == ["point", "view", "metric", "0", "1", "2"]
+    with pytest.raises(ValueError):
+        cube.merge_checked(rows, rows.where("point = 0"), along="sky")
+    assert cube.merge_checked(rows, rows, along="sky").count() == rows.count()
+    with pytest.raises(ValueError):
+        directions.transform(rows, ["sky", "point"], "uv", ["u", "v"])
+    with pytest.raises(ValueError):
+        suns.candidates(rows, ["sky"])
+    with pytest.raises(ValueError):
+        suns.candidates(rows, ["sky"] * 5)
+    with pytest.raises(ValueError):
+        integrate.evaluate(rows, rows, ["unknown"])
+    with pytest.raises(ValueError):
+        integrate.coefficients(rows, rows, "moon")
+
+
+def test_block_product_matches_a_join(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    sky = spark.createDataFrame([(int(t), int(p), float(draw.random()), int(c)) for t in range(40) for p in draw.choice(30, 8) for c in (0, 1)], "t int, patch int, coef double, c int")
+    contrib = spark.createDataFrame([(int(k), None if k == 7 else "s", int(p), float(draw.random()), int(c)) for k in range(60) for p in draw.choice(30, 5) for c in (0, 1)], "k long, s string, patch int, value double, c int")
+    monkeypatch.setattr(integrate, "BLOCK", 13)
+    for channel in (None, "c"):
+        on = ["patch"] + ([channel] if channel else [])
+        want = {tuple(r)[:-1]: r["v"] for r in sky.join(contrib.drop("c") if not channel else contrib, on).groupBy("t", "k", "s", *on[1:]).agg(F.sum(F.col("coef") * F.col("value")).alias("v")).collect()}
+        got = {tuple(r)[:-1]: r["value"] for r in integrate.coefficient_product(sky, contrib, ["k", "s"], channel=channel).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert integrate.coefficient_product(sky.limit(0), contrib, ["k", "s"]).count() == 0
+
+
+def test_hull_of_many_equal_columns(spark):
+    draw = np.random.default_rng(5)
+    xy = draw.normal(size=(2000, 2))
+    points = spark.createDataFrame([("a", float(x), float(y)) for x, y in xy], "zone string, x double, y double")
+    ring = [(p["x"], p["y"]) for p in zones.border(points, 0.1).first()["ring"]]
+    around = np.array(ring)
+    nxt = np.roll(around, -1, axis=0)
+    for sx in (-0.1, 0.1):
+        for sy in (-0.1, 0.1):
+            p = xy + (sx, sy)
+            cross = (nxt[:, 0] - around[:, 0])[:, None] * (p[:, 1][None] - around[:, 1][:, None]) - (nxt[:, 1] - around[:, 1])[:, None] * (p[:, 0][None] - around[:, 0][:, None])
+            assert (cross >= -1e-9).all()
+
+
+def test_uniform_draws_repeat_and_spread(spark):
+    u = [r[0] for r in spark.range(2000).select(draws.uniform(1, "id")).collect()]
+    again = [r[0] for r in spark.range(2000).repartition(7).select("id", draws.uniform(1, "id").alias("u")).orderBy("id").select("u").collect()]
+    assert u == again and 0.45 < np.mean(u) < 0.55 and 0 <= min(u) and max(u) < 1
