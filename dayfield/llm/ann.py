@@ -172,6 +172,24 @@ def _ranked(rows: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(lambda b: _rerank(b, k), "query_id long, vec_id long, score double")
 
 
+def _split_hot(rows: DataFrame, probes: DataFrame, edge: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """The same rows and probes under keys that no more than about ``edge`` rows and ``edge`` probes share.
+
+    Rows and probes of a key that many have are dealt into parts by a hash of their ids; every part of the rows meets every part of
+    the probes once, so no pair is lost."""
+    count = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / edge).cast("int").alias(name))
+    hot = count(rows, "r").join(count(probes, "q"), "key").where("r > 1 or q > 1")
+    hot = written(hot, "hot")
+    one = F.lit(1)
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        at = df.join(hot, "key", "left").withColumn("_own", F.pmod(F.xxhash64("vec_id"), F.coalesce(own, one))).withColumn("_to", F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1)))
+        parts = (F.col("_own"), F.col("_to")) if own == "r" else (F.col("_to"), F.col("_own"))
+        return at.select(F.when(F.col("r").isNull(), F.col("key")).otherwise(F.xxhash64("key", *(p.cast("long") for p in parts))).alias("key"), "vec_id", "vec")
+
+    return dealt(rows, "r", "q"), dealt(probes, "q", "r")
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
@@ -191,7 +209,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, index: Index | N
     schema = f"key long, vec_id long, vec {kind}"
     rows = vectors.mapInArrow(lambda b: _keyed(b, index, False), schema)
     probes = queries.mapInArrow(lambda b: _keyed(b, index, True), schema)
-    found = written(_top(_ranked(rows, probes, k), k), "found")
+    found = written(_top(_ranked(*_split_hot(rows, probes), k), k), "found")
     counts = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = queries.join(counts, "vec_id", "left_anti")
     if short.limit(1).count():

@@ -172,16 +172,16 @@ def deduplicated(docs: DataFrame, broadcast_rows: int = 1_000_000, **options) ->
 def one_of_each(docs: DataFrame, found: DataFrame, broadcast_rows: int) -> DataFrame:
     """The rows of ``docs`` that ``found`` (doc_id, component_id) keeps, as ``deduplicated`` says."""
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    flags = written(found.groupBy("doc_id").agg(F.count_if(stays).alias("_n")).withColumnRenamed("doc_id", "_id"), "kept")
-    keep, gone = flags.where("_n > 0 or _id is null"), flags.where("_n = 0 and _id is not null")
+    flags = written(found.groupBy("doc_id").agg(F.count_if(stays).alias("n")).withColumnRenamed("doc_id", "id"), "kept")
+    keep, gone = flags.where("n > 0 or id is null"), flags.where("n = 0 and id is not null")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc"))
     if gone.count() <= broadcast_rows:
-        kept = docs.join(F.broadcast(gone), docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+        kept = rows.join(F.broadcast(gone), F.col("doc").eqNullSafe(F.col("id")), "left_anti")
     else:
-        kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
-    if keep.where("_n > 1 or _id is null").limit(1).count():
-        first = F.min(F.struct(*(F.xxhash64(F.col(c)) for c in docs.columns)))
-        key = F.struct(*(F.xxhash64(F.col(c)) for c in docs.columns))
-        best = kept.groupBy("doc_id").agg(first.alias("_best")).select(F.col("doc_id").alias("_id"), "_best")
-        named = kept.where("doc_id is not null").join(best, (F.col("doc_id") == F.col("_id")) & (key == F.col("_best")), "left_semi")
-        kept = named.unionByName(kept.where("doc_id is null")).dropDuplicates(["doc_id", "text"])
-    return kept
+        kept = rows.join(keep, F.col("doc").eqNullSafe(F.col("id")), "left_semi")
+    if keep.where("n > 1 or id is null").limit(1).count():
+        key = F.struct(*(F.xxhash64(F.col("row").getField(c)) for c in docs.columns))
+        best = kept.groupBy(F.col("doc").alias("id")).agg(F.min(key).alias("best"))
+        named = kept.where("doc is not null").join(best, (F.col("doc") == F.col("id")) & (key == F.col("best")), "left_semi")
+        kept = named.unionByName(kept.where("doc is null")).withColumn("text", F.col("row.text")).dropDuplicates(["doc", "text"])
+    return kept.select("row.*")
