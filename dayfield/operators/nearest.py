@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 XYZ, DXYZ = ("x", "y", "z"), ("dx", "dy", "dz")
 #: Rows of a right side that every task may hold: under a megabyte of coordinates.
 SMALL = 20_000
+#: Pairs of suns and points that every task may hold: ten megabytes of numbers.
+MOST_PAIRS = 200_000
 
 
 def squared(left: str, right: str, coords: tuple[str, ...]) -> Column:
@@ -139,11 +141,13 @@ def within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radiu
 def nearest_pair(queries: DataFrame, pairs: DataFrame, scale: float, query_id: str = "q_id", pair_id: str = "pair_id") -> DataFrame:
     """Nearest (sun, point) pair: sun directions and positions times ``scale`` are one six-number vector; cells on its sun part.
 
-    ``scale`` comes from ``scale_factor``. A query looks in growing chord bands of the sun direction; the best pair so far bounds
+    ``scale`` comes from ``scale_factor``. Up to MOST_PAIRS pairs (counted) are sent to every task. Beyond, a query looks in growing chord bands of the sun direction; the best pair so far bounds
     the band that has to be searched."""
     cols = ("sx", "sy", "sz", "x", "y", "z")
     scaled = lambda df: df.withColumns({c: F.col(c) * scale for c in ("x", "y", "z")})
     q, p = scaled(queries), scaled(pairs)
+    if p.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS:
+        return knn_small(q, p, query_id, pair_id, cols, 1).drop("rank")
     first = nearest(q, p, query_id, pair_id, ("sx", "sy", "sz"), 2.0).select(query_id, F.col(pair_id).alias("_first"))
     bound = first.join(p.select(F.col(pair_id).alias("_first"), *(F.col(c).alias(f"_r_{c}") for c in cols)), "_first").join(q.select(query_id, *(F.col(c).alias(f"_l_{c}") for c in cols)), query_id)
     bound = bound.withColumn("_band", F.sqrt(squared("_l_", "_r_", cols))).select(query_id, "_band", *(f"_l_{c}" for c in cols))

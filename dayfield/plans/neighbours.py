@@ -51,7 +51,7 @@ def _pairs(spark, sf_dir):
     return s.crossJoin(p.drop("level")).select((F.col("sun_id") * 100000 + F.col("pt_id")).alias("pair_id"), "sx", "sy", "sz", "x", "y", "z")
 
 
-@query(oracle("SELECT q_id, pair_id, round(sqrt(d2), 6) AS dist FROM (SELECT q_id, pair_id, d2, row_number() OVER (PARTITION BY q_id ORDER BY d2, pair_id) AS k FROM (SELECT a.q_id, s.sun_id*100000 + p.pt_id AS pair_id, (a.sx-s.sx)*(a.sx-s.sx)+(a.sy-s.sy)*(a.sy-s.sy)+(a.sz-s.sz)*(a.sz-s.sz)+(a.x*0.1-p.x*0.1)*(a.x*0.1-p.x*0.1)+(a.y*0.1-p.y*0.1)*(a.y*0.1-p.y*0.1)+(a.z*0.1-p.z*0.1)*(a.z*0.1-p.z*0.1) AS d2 FROM b_asked a, suns s, b_points p)) WHERE k = 1", "b_rays", "b_asked", "b_points", ctes=f"suns AS ({SUNS})"))
+@query(oracle("SELECT q_id, b.p AS pair_id, round(sqrt(b.d), 6) AS dist FROM (SELECT a.q_id, min({'d': (a.sx-s.sx)*(a.sx-s.sx)+(a.sy-s.sy)*(a.sy-s.sy)+(a.sz-s.sz)*(a.sz-s.sz)+(a.x*0.1-p.x*0.1)*(a.x*0.1-p.x*0.1)+(a.y*0.1-p.y*0.1)*(a.y*0.1-p.y*0.1)+(a.z*0.1-p.z*0.1)*(a.z*0.1-p.z*0.1), 'p': s.sun_id*100000 + p.pt_id}) AS b FROM b_asked a, suns s, b_points p GROUP BY a.q_id)", "b_rays", "b_asked", "b_points", ctes=f"suns AS ({SUNS})"))
 def jn03_nearest_sun_point(spark, sf_dir):
     return nearest.nearest_pair(asked(spark, sf_dir), _pairs(spark, sf_dir), 0.1).select("q_id", "pair_id", F.round("dist", 6).alias("dist"))
 

@@ -282,3 +282,15 @@ def test_uniform_draws_repeat_and_spread(spark):
     u = [r[0] for r in spark.range(2000).select(draws.uniform(1, "id")).collect()]
     again = [r[0] for r in spark.range(2000).repartition(7).select("id", draws.uniform(1, "id").alias("u")).orderBy("id").select("u").collect()]
     assert u == again and 0.45 < np.mean(u) < 0.55 and 0 <= min(u) and max(u) < 1
+
+
+def test_nearest_pair_by_cells_and_by_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(draw.normal(size=(n, 3)))
+    frame = lambda rows, name: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], f"{name} long, sx double, sy double, sz double, x double, y double, z double")
+    p, q = np.hstack((np.repeat(unit(15), 12, axis=0), draw.uniform(0, 10, (180, 3)))), np.hstack((unit(25), draw.uniform(0, 10, (25, 3))))
+    d2 = ((q[:, None, :3] - p[None, :, :3]) ** 2).sum(-1) + ((q[:, None, 3:] - p[None, :, 3:]) ** 2).sum(-1) * 0.01
+    for most in (200_000, 0):
+        monkeypatch.setattr(nearest, "MOST_PAIRS", most)
+        got = {r["q_id"]: r["pair_id"] for r in nearest.nearest_pair(frame(q, "q_id"), frame(p, "pair_id"), 0.1).collect()}
+        assert got == dict(enumerate(d2.argmin(axis=1).tolist()))
