@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..bindings import binding, oracle
 from ..functions import directions as d
-from ..operators import grid, integrate, interpolate, metrics, nearest, rays, zones
+from ..operators import grid, interpolate, metrics, nearest, rays, zones
 from . import sqltext as q
 from .geometry import views, zone_table
 from .grids import detail_sql
 from .neighbours import CELLS, NEAR, V2
-from .registry import query, r, rounded
+from .registry import query, rounded
 
 KNN = f"knn AS (SELECT q_id, ray_id, k, sqrt(d2) AS dist, lum FROM (SELECT q.ray_id AS q_id, p.ray_id, p.lum, {V2} AS d2, row_number() OVER (PARTITION BY q.ray_id ORDER BY {V2}, p.ray_id) AS k FROM b_dirs q, b_rays p) WHERE k <= 10)"
 

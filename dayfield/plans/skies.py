@@ -7,7 +7,6 @@ import math
 from pyspark.sql import functions as F
 
 from ..bindings import binding, oracle
-from ..functions import directions as d
 from ..functions import sky
 from ..operators import interpolate, suns
 from ..session import scratch_folder
