@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, covertree, langid, mixing, packing, quality, secret_scan, sharding, simhash, url_filter
+from . import ann, bpe, covertree, filter_audit, langid, mixing, packing, quality, secret_scan, sharding, simhash, spelling, url_filter
 from .common import table
 
 
@@ -78,8 +78,22 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "source", "host_quality", "path_quality", "evidence", "p_quality", "keep")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filter_audit.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(counts)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_feistel_shards, op3_language_id, op4_entropy_mix, op5_bin_slack_packing, op6_multiprobe_search, op7_temporal_url_filter, op8_simhash_dedup, op9_cover_tree_dedup, op10_site_quality)
+    f.__name__: f for f in (op1_secret_scan, op2_feistel_shards, op3_language_id, op4_entropy_mix, op5_bin_slack_packing, op6_multiprobe_search, op7_temporal_url_filter, op8_simhash_dedup, op9_cover_tree_dedup, op10_site_quality, op11_spelling_variants, op12_filter_audit, op13_byte_bpe)
 }
 
 _OP7_SQL = r"""
@@ -118,7 +132,8 @@ def _class_sql(name: str, pattern: str, alphabet: str, window: int, bits: float)
     """CTEs that end in {name}: stretches of windows whose sum of c log c stays under the bound."""
     terms = "[" + ", ".join(map(str, secret_scan._terms(window))) + "]"
     bound = math.floor(secret_scan.SCALE * window * (math.log2(window) - bits))
-    allowed = " OR ".join(f"regexp_matches(v, {_text(p)})" for p in secret_scan.ALLOW)
+    slug = secret_scan.SLUG_PART.strip("^$")
+    allowed = " OR ".join(f"regexp_matches(v, {_text(p)})" for p in (*secret_scan.ALLOW, f"^{slug}(?:{secret_scan.BETWEEN}{slug})+$"))
     words = " OR ".join(f"regexp_matches(v, {_text(p)})" for p in secret_scan.ALLOW_WORDS)
     folded = "lower(v)" if len(alphabet) == 16 else "v"
     return f"""{name}_runs AS (SELECT * FROM ({_found_sql(pattern)}) WHERE NOT ({allowed})),
@@ -147,4 +162,23 @@ SELECT doc_id, count(CASE WHEN kind = 'assign' THEN 1 END) AS n_assign, count(CA
 FROM docs LEFT JOIN spans USING (rid) GROUP BY rid, doc_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op7_temporal_url_filter": _OP7_SQL}
+_OP12_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+said AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+seen AS (SELECT t.*, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, min(t.doc_id) OVER (PARTITION BY t) AS least FROM texts t LEFT JOIN said l ON t.doc_id = l.doc_id),
+failed AS (SELECT part, good, toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS f FROM seen),
+classes AS (SELECT part, f, count(*) AS n, sum(good::INT) AS good, sum(toxic::INT) AS toxic FROM failed GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest(range(1, 6)) AS i),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.i NOT IN (b.i, c.i, d.i, e.i) AND b.i NOT IN (c.i, d.i, e.i) AND c.i NOT IN (d.i, e.i) AND d.i <> e.i),
+steps AS (SELECT part, filter_order, s AS step, o[s] AS letter, n, good, toxic, f[o[s]] AS fails, NOT list_bool_or([false] || list_transform(o[1:s - 1], lambda k: f[k])) AS here,
+    list_sum(list_transform(f, lambda x: x::INT)) = 1 AS single FROM classes, orders, range(1, 6) r(s)),
+summed AS (SELECT part, filter_order, step, letter, sum(CASE WHEN here AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND fails THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails AND NOT here THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails AND single THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN here AND fails THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN here AND fails THEN toxic ELSE 0 END) AS toxic_lost FROM steps GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM summed
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_filter_audit": _OP12_SQL, "op1_secret_scan": _op1_sql(), "op7_temporal_url_filter": _OP7_SQL}

@@ -26,8 +26,10 @@ ALLOW = (
     r"^[A-Za-z/_+-]*$",  # no digit: words, paths and identifiers
     r"^[0-9/_+-]*$",  # no letter: numbers, dates, rulers
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
-    r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[/_+-]+(?:[A-Za-z]+|[0-9]{1,4}))+$",  # slugs, paths, dated names
 )
+#: Slugs, paths and dated names, which are no secrets either: runs of two parts or more, each of these letters or these few digits. A
+#: pattern for the whole run would repeat a group, and the pattern engine recurses once for each repeat; parts are matched one by one.
+BETWEEN, SLUG_PART = r"[/_+-]+", r"^(?:[A-Za-z]+|[0-9]{1,4})$"
 #: Stretches that hold one of these are not secrets; what else their run holds is judged by itself.
 ALLOW_WORDS = (
     r"(?i)example|placeholder|changeme|dummy|sample|redacted|xxxx|lorem",
@@ -133,6 +135,11 @@ def _allowed(value: Column, patterns: tuple[str, ...]) -> Column:
     return F.array_contains(F.array(*(F.rlike(value, F.lit(p)) for p in patterns)), True)
 
 
+def _slug(value: Column) -> Column:
+    parts = F.split(value, BETWEEN, -1)
+    return (F.size(parts) > 1) & F.forall(parts, lambda p: F.rlike(p, F.lit(SLUG_PART)))
+
+
 def _class_spans(text: Column, pattern: str, alphabet: str, window: int, bits: float) -> Column:
     def stretches(run: Column) -> Column:
         return F.transform(
@@ -140,7 +147,7 @@ def _class_spans(text: Column, pattern: str, alphabet: str, window: int, bits: f
             lambda y: F.struct((run["start"] + y["start"]).alias("start"), (run["start"] + y["end"]).alias("end"), F.substring(run["value"], y["start"] + 1, y["end"] - y["start"]).alias("value")),
         )
 
-    runs = F.filter(_found(text, pattern), lambda x: ~_allowed(x["value"], ALLOW))
+    runs = F.filter(_found(text, pattern), lambda x: ~(_allowed(x["value"], ALLOW) | _slug(x["value"])))
     hot = F.filter(F.flatten(F.transform(runs, stretches)), lambda x: ~_allowed(x["value"], ALLOW_WORDS))
     return F.when(F.rlike(text, F.lit(pattern)), hot).otherwise(_empty())
 

