@@ -227,46 +227,6 @@ def provenance(grid: DataFrame, planes: list[str]) -> DataFrame:
     return wide.unpivot(["t", "q_id"], [c for p in planes for c in (f"{p}_err", f"{p}_pt")], "metric", "value")
 
 
-#: Metrics that evaluate gives, from the sums over rays of a view: each is linear or quadratic in the coefficient of a ray's patch.
-EVALUATED = {
-    "illum": lambda scale: F.col("illum") * scale,
-    "avglum": lambda scale: F.try_divide(F.col("flux"), F.col("area")) * scale,
-    "gcr": lambda scale: F.try_divide(F.col("flux2") * F.col("area"), F.col("flux") * F.col("flux")),
-}
-
-
-def evaluate(sky: DataFrame, seen: DataFrame, wanted: list[str], zonal: DataFrame | None = None, grid: DataFrame | None = None, planes: tuple[str, ...] = (), src_only: bool = False, keys: tuple[str, ...] = (), scale: float = SCALE) -> DataFrame:
-    """(sky, point, view, [keys,] metric, value): skies x points x views.
-
-    ``seen`` are rays in view (pt_id, view, patch, omega, lum, cos[, is_src]). Rays are summed per (point, view, patch) once; a
-    sky then costs one product over patches, whatever the number of rays. ``src_only`` keeps rays of sources. With ``zonal``
-    (t, pt_id, x, y, z, area; ``zonal_points``) every sky has its own points, and x, y, z and area lead the metrics. Else every
-    sky has every point. ``grid`` (``time_by_point``) with ``planes`` adds where the values came from. ``keys`` (src) keeps sources apart."""
-    if unknown := [w for w in wanted if w not in EVALUATED]:
-        raise ValueError(f"unknown metrics: {unknown}")
-    by = ["pt_id", "view", *keys]
-    area = seen.groupBy(*by).agg(F.sum("omega").alias("area"))
-    rays = seen.where("is_src") if src_only else seen
-    w = F.col("lum") * F.col("omega")
-    parts = rays.groupBy(*by, "patch").agg(F.sum(w * F.col("cos")).alias("illum"), F.sum(w).alias("flux"), F.sum(w * F.col("lum")).alias("flux2"))
-    need = {"illum": ("illum",), "avglum": ("flux",), "gcr": ("flux", "flux2")}
-    sums = sorted({n for x in wanted for n in need[x]})
-    squares = sky.withColumn("coef", F.col("coef") * F.col("coef"))
-    long = reduce(DataFrame.unionByName, [coefficient_product(squares if n == "flux2" else sky, parts, by, n).withColumn("_part", F.lit(n)) for n in sums])
-    wide = long.groupBy("t", *by).pivot("_part", sums).agg(F.first("value")).join(area, by)
-    wide = wide.select("t", *by, *(EVALUATED[x](scale).alias(x) for x in wanted))
-    lead: list[str] = []
-    if zonal is not None:
-        lead = ["x", "y", "z", "area"]
-        wide = wide.join(zonal.select("t", "pt_id", *(F.col(c).cast("double").alias(c) for c in lead)), ["t", "pt_id"])
-    out = wide.unpivot(["t", *by], [*lead, *wanted], "metric", "value").select(F.col("t").alias("sky"), F.col("pt_id").alias("point"), "view", *keys, "metric", "value")
-    if grid is not None and planes:
-        views = seen.select(F.col("pt_id").alias("point"), "view", *keys).distinct()
-        more = provenance(grid, list(planes)).select(F.col("t").alias("sky"), F.col("q_id").alias("point"), "metric", "value").join(views, "point")
-        out = out.unionByName(more.select(out.columns))
-    return out
-
-
 def summed_sources(evaluated: DataFrame, key: str = "src") -> DataFrame:
     """Additive metrics of several sources of one point as one value."""
     return evaluated.groupBy(*(c for c in evaluated.columns if c not in (key, "value"))).agg(F.sum("value").alias("value"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import binding, oracle
 from ..functions import directions as d
-from ..operators import grid, integrate, metrics
+from ..operators import evaluation, grid, integrate, metrics
 from ..session import scratch_folder
 from ..sources import tables
 from . import sqltext as q
@@ -271,7 +271,7 @@ def _seen(spark, sf_dir):
 @query(oracle("SELECT t AS sky, pt_id AS point, view, metric, CASE WHEN metric = 'gcr' THEN round(value, 6) ELSE round(value, 0) END + 0.0 AS value FROM (SELECT t, pt_id, view, unnest(['illum', 'avglum', 'gcr']) AS metric, unnest([illum, avglum, gcr]) AS value FROM lit)", "b_sky", "b_dirs", ctes=f"{_SEEN}, {_EVAL}"))
 def in07_evaluate(spark, sf_dir):
     """All skies x points x views, as long rows."""
-    found = integrate.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum", "avglum", "gcr"])
+    found = evaluation.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum", "avglum", "gcr"])
     return found.withColumn("value", F.when(F.col("metric") == "gcr", r("value")).otherwise(r("value", 0)))
 
 
@@ -281,7 +281,7 @@ def in07_sources_only(spark, sf_dir):
     seen = _seen(spark, sf_dir).withColumn("is_src", F.col("src") == 0)
     points = binding(spark, sf_dir, "b_points")
     grid_of = integrate.time_by_point(sky(spark, sf_dir).select("t").distinct(), points.withColumnRenamed("pt_id", "q_id"), {"sky": points})
-    return rounded(integrate.evaluate(sky(spark, sf_dir), seen, ["illum"], grid=grid_of, planes=("sky",), src_only=True), "value", digits=0)
+    return rounded(evaluation.evaluate(sky(spark, sf_dir), seen, ["illum"], grid=grid_of, planes=("sky",), src_only=True), "value", digits=0)
 
 
 @query(oracle("SELECT t AS sky, pt_id AS point, view, metric, round(value, 0) + 0.0 AS value FROM (SELECT t, pt_id, view, unnest(['x', 'y', 'z', 'area', 'illum']) AS metric, unnest([x, y, z, area, illum]) AS value FROM lit JOIN zoned USING (t, pt_id))", "b_sky", "b_dirs", "b_points", ctes=f"{_SEEN}, {_EVAL}, {_ZONED}"))
@@ -289,20 +289,61 @@ def in08_zonal_evaluate(spark, sf_dir):
     """Points and areas per sky; x, y, z and area lead the metrics."""
     points = binding(spark, sf_dir, "b_points").withColumn("area", 1.0 + F.col("pt_id") % 4)
     zonal = sky(spark, sf_dir).select("t", (F.floor(F.col("t") / 12) % 3).cast("int").alias("level")).distinct().join(points, "level")
-    return rounded(integrate.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum"], zonal=zonal), "value", digits=0)
+    return rounded(evaluation.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum"], zonal=zonal), "value", digits=0)
+
+
+_LIT = "lamps AS (SELECT v.*, d.t, lum*coalesce(coef, 0)*1E-4 AS lux, coef, cosine >= cos(radians(15)) AS task FROM ({seen}) v CROSS JOIN (SELECT DISTINCT t FROM b_sky) d LEFT JOIN b_sky s ON s.t = d.t AND s.patch = v.ray_id % 16), means AS (SELECT t, pt_id, view, {factor}*sum(CASE WHEN task THEN lux*omega END)*179/sum(CASE WHEN task THEN omega END) AS edge FROM lamps GROUP BY ALL), glared AS (SELECT t, pt_id, view, sum(lux*omega*cosine)*179 AS illum, coalesce(sum(CASE WHEN lux*179 > edge THEN lux*omega*cosine END), 0)*179 AS srcillum, coalesce(sum(CASE WHEN lux*179 > edge THEN lux*lux*omega*179*179/(pos*pos) END), 0) AS pwsl2 FROM lamps JOIN means USING (t, pt_id, view) GROUP BY ALL HAVING count(coef) > 0), rated AS (SELECT *, greatest(CASE WHEN pwsl2 > 0 AND illum - srcillum > 0 THEN 8*log10(0.25*pwsl2/((illum - srcillum)/pi())) ELSE 0 END, 0) AS ugr, {dgp} AS dgp FROM glared)"
+_RATED = "SELECT t AS sky, pt_id AS point, view, metric, round(value, 5) + 0.0 AS value FROM (SELECT t, pt_id, view, unnest(['dgp', 'ugp', 'ugr', 'log_gc']) AS metric, unnest([dgp, pow(1 + 2.0/7*pow(10, -(ugr + 5)/40), -10), ugr, log10(1 + pwsl2/pow(illum, 1.87))]) AS value FROM rated)"
+GLARE = ["dgp", "ugp", "ugr", "log_gc"]
+
+
+def _glared(seen: str, factor: float) -> str:
+    return _LIT.format(seen=q.position(seen), factor=factor, dgp=_DGP.format(low=500))
+
+
+def _dim(spark, sf_dir):
+    """Skies dark enough that glare is not certain."""
+    return sky(spark, sf_dir).withColumn("coef", F.col("coef") * 1e-4)
+
+
+@query(oracle(_RATED, "b_sky", "b_dirs", ctes=f"{_SEEN}, {_glared('SELECT * FROM viewed', 3.0)}"))
+def in07_glare(spark, sf_dir):
+    """Glare of all skies x points x views: a ray glares where it has three times the task zone's mean of that sky."""
+    found = evaluation.evaluate(_dim(spark, sf_dir), _seen(spark, sf_dir), GLARE, threshold=3.0)
+    return rounded(found, "value", digits=5)
+
+
+@query(oracle(_RATED.replace("FROM rated", "FROM rated JOIN zoned USING (t, pt_id)").replace("unnest(['dgp', 'ugp', 'ugr', 'log_gc'])", "unnest(['x', 'y', 'z', 'area', 'dgp', 'ugp'])").replace("unnest([dgp, pow(1 + 2.0/7*pow(10, -(ugr + 5)/40), -10), ugr, log10(1 + pwsl2/pow(illum, 1.87))])", "unnest([x, y, z, area, dgp, pow(1 + 2.0/7*pow(10, -(ugr + 5)/40), -10)])"), "b_sky", "b_dirs", "b_points", ctes=f"{_SEEN}, {_glared('SELECT * FROM viewed', 3.0)}, zoned AS (SELECT t, pt_id, x, y, z, 1E0 + pt_id % 4 AS area FROM (SELECT DISTINCT t FROM b_sky), b_points WHERE level = CASE WHEN t % 3 = 0 THEN 0 ELSE 1 + t % 2 END)"))
+def in08_zonal_glare(spark, sf_dir):
+    """The points follow from each time's sun by itself: those chosen for it, or the fixed ones where none is up."""
+    points = binding(spark, sf_dir, "b_points").withColumn("area", 1.0 + F.col("pt_id") % 4)
+    times = sky(spark, sf_dir).select("t").distinct().withColumn("sun_rad", (F.col("t") % 3).cast("double"))
+    chosen = times.join(points, points["level"] == 1 + times["t"] % 2).select("t", "pt_id", "x", "y", "z", F.lit(0.0).alias("error_deg"))
+    rays = binding(spark, sf_dir, "b_dirs").withColumn("patch", (F.col("ray_id") % 16).cast("int"))
+    found = evaluation.evaluate_model(_dim(spark, sf_dir), rays, views(spark), ["dgp", "ugp"], sun=times, chosen=chosen, fixed=points.where("level = 0"), areas=points, threshold=3.0)
+    return rounded(found, "value", digits=5)
+
+
+@query(oracle(_RATED, "b_sky", "b_rays", ctes=f"{_OCC}, held AS (SELECT pt_id, ray_id, src, dx, dy, dz, lum, omega FROM counted WHERE so IS NULL OR rn > greatest(n - 1, 0) UNION ALL SELECT pt_id, ray_id, src, dx, dy, dz, lum, omega FROM b_rays WHERE src = 0), {_SEEN.replace('b_dirs', 'held')}, {_glared('SELECT * FROM viewed', 1.5)}"))
+def in07_occluded_glare(spark, sf_dir):
+    """Rays behind a large source are left out before glare is found."""
+    rays = binding(spark, sf_dir, "b_rays").withColumn("patch", (F.col("ray_id") % 16).cast("int"))
+    points = rays.select("pt_id").distinct()
+    found = evaluation.evaluate_model(_dim(spark, sf_dir), rays.where("src <> 0"), views(spark), GLARE, points=points, sources=rays.where("src = 0"), threshold=1.5)
+    return rounded(found, "value", digits=5)
 
 
 @query(oracle("SELECT t AS sky, pt_id AS point, view, 'illum' AS metric, round(illum, 0) + 0.0 AS value FROM lit", "b_sky", "b_dirs", ctes=f"{_SEEN}, {_EVAL}"))
 def in11_point_all_suns(spark, sf_dir):
     """All sources of every point apart, then their sum per view."""
-    apart = integrate.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum"], keys=("src",))
+    apart = evaluation.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum"], keys=("src",))
     return rounded(integrate.summed_sources(apart), "value", digits=0).select("sky", "point", "view", "metric", "value")
 
 
 @query(oracle("SELECT t AS sky, pt_id AS point, view, src, round(e*179, 0) + 0.0 AS value FROM sums", "b_sky", "b_dirs", ctes=f"{_SEEN}, {_EVAL}"))
 def in11_sources_apart(spark, sf_dir):
     """The combined form: a row per source."""
-    apart = integrate.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum"], keys=("src",))
+    apart = evaluation.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum"], keys=("src",))
     return rounded(apart, "value", digits=0).select("sky", "point", "view", "src", "value")
 
 
