@@ -12,11 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_folder
+
 XYZ, DXYZ = ("x", "y", "z"), ("dx", "dy", "dz")
 #: Rows of a right side that every task may hold: under a megabyte of coordinates.
 SMALL = 20_000
-#: Pairs of suns and points that every task may hold: ten megabytes of numbers.
-MOST_PAIRS = 200_000
 
 
 def squared(left: str, right: str, coords: tuple[str, ...]) -> Column:
@@ -60,13 +60,16 @@ def _hashed_around(cells: list[Column]) -> Column:
 def knn(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coords: tuple[str, ...] = XYZ, k: int = 1, reach: float = 0.0, by: tuple[str, ...] = (), small: int = SMALL) -> DataFrame:
     """(by.., left_id, right_id, dist, rank): the k nearest rows of ``right`` for each row of ``left``, ties to the smaller id.
 
-    A ``right`` side of up to SMALL rows (counted) is sent to every task and searched by blocks of distances (``knn_small``). Beyond,
+    A ``right`` side of up to SMALL rows (counted) is sent to every task and searched by blocks of distances (``knn_small``); with ``by``, values
+    of up to SMALL rows each meet their rows of ``left`` in a co-grouping (``knn_grouped``). Beyond,
     rows of ``right`` are counted in cells of doubling size. A row of ``left`` takes the finest level at which its own cell holds k
     rows, and the largest distance in that cell; the finest level whose cells are at least as wide holds the true neighbours in
     the block around its cell. All steps are equi joins on (level, cell), and on the columns ``by`` if rows match only
     within them; a cell is a hash of its level and indices, and a collision only adds rows that the distance then rules out. ``reach`` is the largest distance by which ``left`` lies outside the extent of ``right``."""
     if small and not by and right.limit(small + 1).count() <= small:
         return knn_small(left, right, left_id, right_id, coords, k)
+    if small and by and (right.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= small:
+        return knn_grouped(left, right, left_id, right_id, coords, k, by)
     low, finest, doublings = _scale(right, coords, reach, by, 64 * k)
     up = math.ceil(math.log2(math.sqrt(len(coords)))) if len(coords) > 1 else 0
     size = F.lit(finest) * F.pow(F.lit(2.0), F.col("_level"))
@@ -107,28 +110,65 @@ def knn_small(left: DataFrame, right: DataFrame, left_id: str, right_id: str, co
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, at = held.value
-        n, block = len(ids), max(1, (1 << 20) // max(1, len(ids)))
         for batch in batches:
             asked = np.array([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(at))])
-            for start in range(0, batch.num_rows if n else 0, block):
-                part = asked[:, start : start + block]
-                d2 = sum((part[c][:, None] - at[c][None]) * (part[c][:, None] - at[c][None]) for c in range(len(at)))
-                if k == 1:
-                    best = d2.argmin(axis=1)[:, None]
-                else:
-                    top = np.argpartition(d2, min(k, n) - 1, axis=1)[:, : min(k, n)]
-                    edge = np.take_along_axis(d2, top, 1).max(axis=1)
-                    best = np.take_along_axis(top, np.lexsort((top, np.take_along_axis(d2, top, 1))), 1)
-                    for i in np.flatnonzero((d2 <= edge[:, None]).sum(axis=1) > min(k, n)):
-                        best[i] = np.lexsort((np.arange(n), d2[i]))[: min(k, n)]
-                rows, width = np.repeat(np.arange(start, start + len(best)), best.shape[1]), best.shape[1]
-                dist = np.sqrt(np.take_along_axis(d2, best, 1)).ravel()
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), ids.take(pa.array(best.ravel())), pa.array(dist), pa.array(np.tile(np.arange(1, width + 1, dtype=np.int32), len(best)))], [left_id, right_id, "dist", "rank"])
+            for rows, best, dist, rank in _nearest_of(asked, at, k):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), ids.take(pa.array(best)), pa.array(dist), pa.array(rank)], [left_id, right_id, "dist", "rank"])
 
     kinds = f"`{left_id}` {left.schema[left_id].dataType.simpleString()}, `{right_id}` {right.schema[right_id].dataType.simpleString()}, dist double, rank int"
     return left.select(left_id, *(F.col(c).cast("double") for c in coords)).distinct().mapInArrow(search, kinds)
 
 
+def _nearest_of(asked: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, column, distance, rank) of the k nearest columns of ``at`` for each column of ``asked``, in blocks of a million distances; ties
+    to the first."""
+    n = at.shape[1]
+    block = max(1, (1 << 20) // max(1, n))
+    for start in range(0, asked.shape[1] if n else 0, block):
+        part = asked[:, start : start + block]
+        d2 = sum((part[c][:, None] - at[c][None]) * (part[c][:, None] - at[c][None]) for c in range(len(at)))
+        if k == 1:
+            best = d2.argmin(axis=1)[:, None]
+        else:
+            top = np.argpartition(d2, min(k, n) - 1, axis=1)[:, : min(k, n)]
+            edge = np.take_along_axis(d2, top, 1).max(axis=1)
+            best = np.take_along_axis(top, np.lexsort((top, np.take_along_axis(d2, top, 1))), 1)
+            for i in np.flatnonzero((d2 <= edge[:, None]).sum(axis=1) > min(k, n)):
+                best[i] = np.lexsort((np.arange(n), d2[i]))[: min(k, n)]
+        rows, width = np.repeat(np.arange(start, start + len(best)), best.shape[1]), best.shape[1]
+        yield rows, best.ravel(), np.sqrt(np.take_along_axis(d2, best, 1)).ravel(), np.tile(np.arange(1, width + 1, dtype=np.int32), len(best))
+
+
+#: Rows of a left side that one task searches for one value of the ``by`` columns.
+ASKED = 100_000
+
+
+def knn_grouped(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coords: tuple[str, ...], k: int, by: tuple[str, ...]) -> DataFrame:
+    """``knn`` within the columns ``by``, where no value of these has more than SMALL rows of ``right``: one co-grouping, blocks of distances.
+
+    A value that very many rows of ``left`` ask for is dealt into parts, each with its own copy of the few rows of ``right``. Null values of ``by`` match nothing."""
+    asked = left.select(*by, left_id, *(F.col(c).cast("double").alias(c) for c in coords)).distinct()
+    most = asked.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    parts = -(-most // ASKED) or 1
+    asked = asked.withColumn("_part", F.pmod(F.xxhash64(left_id), F.lit(parts)).cast("int"))
+    there = right.where(F.col(right_id).isNotNull()).select(*by, right_id, *(F.col(c).cast("double").alias(c) for c in coords)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    named = [b for b in by if right.schema[b].nullable]
+    for b in named:
+        there, asked = there.where(F.col(b).isNotNull()), asked.where(F.col(b).isNotNull())
+
+    def search(one: pa.Table, two: pa.Table) -> pa.Table:
+        order = pc.sort_indices(two.column(right_id))
+        ids = two.column(right_id).take(order).combine_chunks()
+        at, want = np.array([two.column(c).take(order).to_numpy() for c in coords]), np.array([one.column(c).to_numpy() for c in coords])
+        found = list(_nearest_of(want, at, k)) if one.num_rows and two.num_rows else []
+        rows, best, dist, rank = (np.concatenate([f[i] for f in found]) if found else np.empty(0, kind) for i, kind in enumerate((np.int64, np.int64, float, np.int32)))
+        kept = one.select([*by, left_id]).take(pa.array(rows))
+        return pa.table([*kept.columns, ids.take(pa.array(best)), pa.array(dist), pa.array(rank)], names=[*by, left_id, right_id, "dist", "rank"])
+
+    kinds = ", ".join([*(f"`{b}` {left.schema[b].dataType.simpleString()}" for b in [*by, left_id]), f"`{right_id}` {right.schema[right_id].dataType.simpleString()}", "dist double", "rank int"])
+    return asked.groupBy(*by, "_part").cogroup(there.groupBy(*by, "_part")).applyInArrow(search, kinds)
+
+
 def within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float, coords: tuple[str, ...] = DXYZ) -> DataFrame:
     """(left_id, right_id, dist) of all pairs at most ``radius`` apart: cells of that size, their neighbours, then the distance."""
     size = F.lit(float(radius))
@@ -138,25 +178,46 @@ def within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radiu
     return own.join(to, "_cell").where(d2 <= radius * radius).select(left_id, right_id, F.sqrt(d2).alias("dist"))
 
 
-def nearest_pair(queries: DataFrame, pairs: DataFrame, scale: float, query_id: str = "q_id", pair_id: str = "pair_id") -> DataFrame:
-    """Nearest (sun, point) pair: sun directions and positions times ``scale`` are one six-number vector; cells on its sun part.
-
-    ``scale`` comes from ``scale_factor``. Up to MOST_PAIRS pairs (counted) are sent to every task. Beyond, a query looks in growing chord bands of the sun direction; the best pair so far bounds
-    the band that has to be searched."""
-    cols = ("sx", "sy", "sz", "x", "y", "z")
-    scaled = lambda df: df.withColumns({c: F.col(c) * scale for c in ("x", "y", "z")})
-    q, p = scaled(queries), scaled(pairs)
-    if p.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS:
-        return knn_small(q, p, query_id, pair_id, cols, 1).drop("rank")
-    first = nearest(q, p, query_id, pair_id, ("sx", "sy", "sz"), 2.0).select(query_id, F.col(pair_id).alias("_first"))
-    bound = first.join(p.select(F.col(pair_id).alias("_first"), *(F.col(c).alias(f"_r_{c}") for c in cols)), "_first").join(q.select(query_id, *(F.col(c).alias(f"_l_{c}") for c in cols)), query_id)
-    bound = bound.withColumn("_band", F.sqrt(squared("_l_", "_r_", cols))).select(query_id, "_band", *(f"_l_{c}" for c in cols))
-    level = F.greatest(F.ceil(F.log2(F.greatest("_band", F.lit(1e-6)) / 0.05)), F.lit(0)).cast("int")
-    size = 0.05 * F.pow(F.lit(2.0), F.col("_level"))
-    asked = bound.withColumn("_level", F.least(level, F.lit(6))).withColumn("_cell", F.explode(_around(_cell(("sx", "sy", "sz"), size, "_l_"))))
-    at = p.select(pair_id, *(F.col(c).alias(f"_r_{c}") for c in cols)).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("_cell", F.array(*_cell(("sx", "sy", "sz"), size, "_r_")))
-    best = asked.join(at, ["_level", "_cell"]).groupBy(query_id).agg(F.min(F.struct(squared("_l_", "_r_", cols).alias("d2"), F.col(pair_id))).alias("_b"))
-    return best.select(query_id, F.col(f"_b.{pair_id}").alias(pair_id), F.sqrt("_b.d2").alias("dist"))
+SUN = ("sx", "sy", "sz")
+
+
+def nearest_pair(queries: DataFrame, suns: DataFrame, points: DataFrame, scale: float, first: int = 8) -> DataFrame:
+    """(q_id, sun_id, pt_id, dist): nearest of the pairs of a sun and a point, positions times ``scale`` (``scale_factor``).
+
+    ``points`` (pt_id, x, y, z) go with every sun, or with the suns that a column sun_id names. The squared distance is a sun part and a point
+    part, so no table of pairs is searched. Where every sun has every point, each part has its own nearest. Else suns are walked
+    in rings of growing chord, ``first`` suns and then four times as many; each asks for the nearest of its own points only, and a
+    query is done when the chord of the ring exceeds the best distance. The state of each round is written to the shared folder.
+    Ties go to the smaller sun, then the smaller point; queries meet no row if there is no pair."""
+    scaled = lambda df: df.withColumns({c: F.col(c) * scale for c in XYZ})
+    q, p = scaled(queries.select("q_id", *SUN, *XYZ)), scaled(points)
+    if "sun_id" not in points.columns:
+        s1, p1 = knn(q, suns, "q_id", "sun_id", SUN, 1, 2.0), nearest(q, p, "q_id", "pt_id", XYZ, 2.0)
+        at = lambda df, key, coords: df.select(key, *(F.col(c).alias(f"_r_{c}") for c in coords))
+        both = s1.select("q_id", "sun_id").join(p1.select("q_id", "pt_id"), "q_id").join(at(suns, "sun_id", SUN), "sun_id").join(at(p, "pt_id", XYZ), "pt_id")
+        asked = q.select("q_id", *(F.col(c).alias(f"_l_{c}") for c in (*SUN, *XYZ)))
+        return both.join(asked, "q_id").select("q_id", "sun_id", "pt_id", F.sqrt(squared("_l_", "_r_", (*SUN, *XYZ))).alias("dist"))
+    spark = queries.sparkSession
+    open_queries, best, done, k = q, None, 0, first
+    while True:
+        ring = _kept(spark, knn(open_queries, suns, "q_id", "sun_id", SUN, k, 2.0).where(F.col("rank") > done).select("q_id", "sun_id", F.col("dist").alias("chord"), "rank"), "ring")
+        asked = ring.join(q.select("q_id", *XYZ), "q_id")
+        near = knn(asked, p, "q_id", "pt_id", XYZ, 1, 1e4, by=("sun_id",)).select("q_id", "sun_id", "pt_id", F.col("dist").alias("_p"))
+        found = ring.join(near, ["q_id", "sun_id"]).select("q_id", F.struct((F.col("chord") * F.col("chord") + F.col("_p") * F.col("_p")).alias("d2"), "sun_id", "pt_id").alias("b"))
+        best = _kept(spark, (found if best is None else best.unionByName(found)).groupBy("q_id").agg(F.min("b").alias("b")), "best")
+        reached = ring.groupBy("q_id").agg(F.max("chord").alias("chord"), F.max("rank").alias("rank")).where(F.col("rank") == k)
+        going = reached.join(best, "q_id", "left").where(F.col("b").isNull() | (F.col("chord") * F.col("chord") <= F.col("b.d2")))
+        open_queries = _kept(spark, open_queries.join(going.select("q_id"), "q_id", "left_semi"), "open")
+        if not open_queries.limit(1).count():
+            return best.select("q_id", "b.sun_id", "b.pt_id", F.sqrt("b.d2").alias("dist"))
+        done, k = k, 4 * k
+
+
+def _kept(spark, df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    path = scratch_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def mean_gap(rows: DataFrame, row_id: str, coords: tuple[str, ...]) -> DataFrame:
@@ -188,26 +249,95 @@ def points_by_sun(queries: DataFrame, suns: DataFrame, sun_points: DataFrame, sc
 
     Candidate suns are expanded to their points; ``fixed`` points come in with the sun of their nearest sampled point. Each point is
     lifted by the error of its sun (chord over ``scale``) and every position takes the nearest lifted point, so a better sun
-    wins over a slightly nearer point; the points used are kept. One plan for all queries."""
-    found = candidate_suns(queries, suns, tolerance_deg, least).join(sun_points, "sun_id")
-    sampled = found.select("q_id", "x", "y", "z", F.struct("pt_id", "sun_id", "chord").alias("b"))
+    wins over a slightly nearer point; the points used are kept. One plan for all queries: the sampled points of a query meet in one task
+    (its candidate suns times the points of a sun), where positions look into cells of the largest lift only."""
+    near = candidate_suns(queries, suns, tolerance_deg, least)
+    sampled = near.join(sun_points, "sun_id").select("q_id", "pt_id", "sun_id", "chord", *XYZ)
     if fixed is not None:
-        near = fixed_to_suns(sampled, fixed)
-        sampled = sampled.unionByName(near.select("q_id", *XYZ, F.struct(F.col("pt_id"), F.col("sun_id"), F.col("chord")).alias("b")))
-    lifted = sampled.select("q_id", "x", "y", (F.col("z") + F.col("b.chord") / scale).alias("z"), "b")
-    spots = sampled.select("q_id", F.struct(*XYZ).alias("spot"), *XYZ).distinct()
-    used = knn(spots, lifted, "spot", "b", XYZ, 1, 10.0, ("q_id",)).select("q_id", "b").distinct()
-    at = sampled.select("q_id", *XYZ, "b").distinct()
-    return used.join(at, ["q_id", "b"]).select("q_id", "b.pt_id", "b.sun_id", *XYZ, F.degrees(2 * F.asin(F.col("b.chord") / 2)).alias("error_deg"))
-
-
-def fixed_to_suns(sampled: DataFrame, fixed: DataFrame) -> DataFrame:
+        sampled = sampled.unionByName(fixed_to_suns(near, sun_points, fixed).select(sampled.columns))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sampled.schema.fields)
+    used = sampled.repartition("q_id").sortWithinPartitions("q_id").mapInArrow(lambda b: _used_points(b, scale), kinds)
+    return used.select("q_id", "pt_id", "sun_id", *XYZ, F.degrees(2 * F.asin(F.col("chord") / 2)).alias("error_deg"))
+
+
+#: Rows of queries that are searched together, and pairs of rows that are in memory at a time.
+SEARCHED, PAIRS = 50_000, 1_000_000
+
+
+def _used_points(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
+    """The sampled points that some position of their query takes as its nearest lifted one, from rows sorted by query."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rows >= SEARCHED:
+            now = pa.Table.from_batches([*held, batch]).combine_chunks()
+            ids = now.column("q_id").combine_chunks()
+            edge = int(pc.index(ids, ids[len(ids) - 1]).as_py())  # the last query may go on
+            if edge:
+                yield from _used_of(now.slice(0, edge), scale)
+            held = now.slice(edge).to_batches()
+            rows = len(ids) - edge
+        else:
+            held.append(batch)
+            rows += batch.num_rows
+    if rows:
+        yield from _used_of(pa.Table.from_batches(held), scale)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _used_of(table: pa.Table, scale: float) -> Iterator[pa.RecordBatch]:
+    """A position's own point lies its lift away, so a nearer one lies within the query's largest lift in x and y: positions are dealt into
+    cells of that width and look into the nine cells around them. Ties go to the smaller point, then the smaller sun."""
+    query = table.column("q_id").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    chord, x, y, z = (table.column(c).to_numpy().astype(float) for c in ("chord", *XYZ))
+    point, sun = (np.unique(table.column(c).to_numpy(), return_inverse=True)[1] for c in ("pt_id", "sun_id"))
+    lifted = z + chord / scale
+    reach = np.zeros(query.max() + 1)
+    np.maximum.at(reach, query, chord / scale)
+    width = np.maximum(reach, 1e-9)[query] * (1 + 1e-9)
+    cx, cy = (np.floor(v / width).astype(np.int64) for v in (x, y))
+    code = lambda i, j: _mixed(_mixed(_mixed(query.astype(np.uint64)) ^ i.astype(np.uint64)) ^ j.astype(np.uint64))
+    own = code(cx, cy)
+    order = np.argsort(own, kind="stable")
+    sorted_codes = own[order]
+    around = np.stack([code(cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=1)
+    first, last = np.searchsorted(sorted_codes, around, "left"), np.searchsorted(sorted_codes, around, "right")
+    counts = (last - first).sum(axis=1)
+    used = np.zeros(len(x), bool)
+    begin = 0
+    total = np.cumsum(counts)
+    while begin < len(x):
+        until = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS, side="right")))
+        low, n = first[begin:until].ravel(), (last - first)[begin:until].ravel()
+        spot = np.repeat(np.repeat(np.arange(begin, until), 9), n)
+        met = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        same = query[spot] == query[met]
+        spot, met = spot[same], met[same]
+        d2 = (x[spot] - x[met]) * (x[spot] - x[met]) + (y[spot] - y[met]) * (y[spot] - y[met]) + (z[spot] - lifted[met]) * (z[spot] - lifted[met])
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(spot)) + 1))
+        least = d2 == np.repeat(np.minimum.reduceat(d2, starts), np.diff(np.append(starts, len(d2))))
+        spot, met = spot[least], met[least]
+        best = np.lexsort((sun[met], point[met], spot))
+        used[met[best[np.concatenate(([0], np.flatnonzero(np.diff(spot[best])) + 1))]]] = True
+        begin = until
+    yield from table.filter(pa.array(used)).to_batches(max_chunksize=10_000)
+
+
+def fixed_to_suns(near: DataFrame, sun_points: DataFrame, fixed: DataFrame) -> DataFrame:
     """(q_id, pt_id, x, y, z, sun_id, chord): every fixed point in every query, with the sun of the nearest sampled point of the query.
 
-    ``sampled`` is (q_id, x, y, z, b), b = (pt_id, sun_id, chord). The result has a row per query and fixed point by definition."""
-    each = sampled.select("q_id").distinct().crossJoin(fixed.select(F.col("pt_id").alias("_f"), *XYZ))
-    near = knn(each, sampled, "_f", "b", XYZ, 1, 10.0, ("q_id",))
-    return each.join(near, ["q_id", "_f"]).select("q_id", F.col("_f").alias("pt_id"), *XYZ, "b.sun_id", "b.chord")
+    ``near`` is ``candidate_suns``. The nearest of a sun's points to a fixed point does not depend on the query, so it is found once per sun and fixed
+    point; a query takes the least over its suns. The result has a row per query and fixed point by definition."""
+    asked = near.select("sun_id").distinct().crossJoin(fixed.select(F.col("pt_id").alias("_f"), *XYZ))
+    found = knn(asked, sun_points, "_f", "pt_id", XYZ, 1, 1e4, by=("sun_id",)).select("sun_id", "_f", "pt_id", "dist")
+    best = near.join(found, "sun_id").groupBy("q_id", "_f").agg(F.min(F.struct("dist", "pt_id", "sun_id", "chord")).alias("b"))
+    return best.join(fixed.select(F.col("pt_id").alias("_f"), *XYZ), "_f").select("q_id", F.col("_f").alias("pt_id"), *XYZ, "b.sun_id", "b.chord")
 
 
 def per_distinct(rows: DataFrame, keys: list[str], compute) -> DataFrame:

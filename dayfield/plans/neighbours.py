@@ -45,14 +45,11 @@ def jn02_nearest_point(spark, sf_dir):
     return near_points(spark, sf_dir).select("q_id", "pt_id", F.round("dist", 6).alias("dist"))
 
 
-def _pairs(spark, sf_dir):
-    s, p = suns(spark, sf_dir), binding(spark, sf_dir, "b_points")
-    return s.crossJoin(p.drop("level")).select((F.col("sun_id") * 100000 + F.col("pt_id")).alias("pair_id"), "sx", "sy", "sz", "x", "y", "z")
-
-
 @query(oracle("SELECT q_id, b.p AS pair_id, round(sqrt(b.d), 6) AS dist FROM (SELECT a.q_id, min({'d': (a.sx-s.sx)*(a.sx-s.sx)+(a.sy-s.sy)*(a.sy-s.sy)+(a.sz-s.sz)*(a.sz-s.sz)+(a.x*0.1-p.x*0.1)*(a.x*0.1-p.x*0.1)+(a.y*0.1-p.y*0.1)*(a.y*0.1-p.y*0.1)+(a.z*0.1-p.z*0.1)*(a.z*0.1-p.z*0.1), 'p': s.sun_id*100000 + p.pt_id}) AS b FROM b_asked a, suns s, b_points p GROUP BY a.q_id)", "b_rays", "b_asked", "b_points", ctes=f"suns AS ({SUNS})"))
 def jn03_nearest_sun_point(spark, sf_dir):
-    return nearest.nearest_pair(asked(spark, sf_dir), _pairs(spark, sf_dir), 0.1).select("q_id", "pair_id", F.round("dist", 6).alias("dist"))
+    """Every sun with every plan point."""
+    found = nearest.nearest_pair(asked(spark, sf_dir), suns(spark, sf_dir), binding(spark, sf_dir, "b_points"), 0.1)
+    return found.select("q_id", (F.col("sun_id") * 100000 + F.col("pt_id")).alias("pair_id"), F.round("dist", 6).alias("dist"))
 
 
 @query(oracle("SELECT round(s.g, 6) AS sun_gap, round(p.g, 6) AS point_gap, round(s.g/p.g, 6) AS scale FROM (SELECT avg(m) AS g FROM (SELECT a.sun_id, min(sqrt((a.sx-b.sx)*(a.sx-b.sx)+(a.sy-b.sy)*(a.sy-b.sy)+(a.sz-b.sz)*(a.sz-b.sz))) AS m FROM suns a, suns b WHERE a.sun_id <> b.sun_id AND a.level = 0 AND b.level = 0 GROUP BY a.sun_id)) s, (SELECT avg(m) AS g FROM (SELECT q.pt_id, min(sqrt(" + D2 + ")) AS m FROM b_points q, b_points p WHERE q.pt_id <> p.pt_id AND q.level = 0 AND p.level = 0 GROUP BY q.pt_id)) p", "b_rays", "b_points", ctes=f"suns AS ({SUNS})"))
@@ -79,6 +76,13 @@ def sun_points(spark, sf_dir):
     return suns(spark, sf_dir).select("sun_id", (F.col("sun_id") % 7).alias("m")).join(binding(spark, sf_dir, "b_points").withColumn("m", F.pmod(-F.col("pt_id"), F.lit(7))), "m").select("sun_id", "pt_id", "x", "y", "z")
 
 
+@query(oracle("SELECT q_id, b.s AS sun_id, b.p AS pt_id, round(sqrt(b.d), 6) AS dist FROM (SELECT a.q_id, min({'d': (a.sx-s.sx)*(a.sx-s.sx)+(a.sy-s.sy)*(a.sy-s.sy)+(a.sz-s.sz)*(a.sz-s.sz)+(a.x*0.1-p.x*0.1)*(a.x*0.1-p.x*0.1)+(a.y*0.1-p.y*0.1)*(a.y*0.1-p.y*0.1)+(a.z*0.1-p.z*0.1)*(a.z*0.1-p.z*0.1), 's': s.sun_id, 'p': p.pt_id}) AS b FROM b_asked a, suns s JOIN sun_points p USING (sun_id) GROUP BY a.q_id)", "b_rays", "b_asked", "b_points", ctes=f"suns AS ({SUNS}), {SUN_POINTS}"))
+def jn03_nearest_sampled_pair(spark, sf_dir):
+    """Every sun with its own sampled points."""
+    found = nearest.nearest_pair(asked(spark, sf_dir), suns(spark, sf_dir), sun_points(spark, sf_dir), 0.1)
+    return found.select("q_id", "sun_id", "pt_id", F.round("dist", 6).alias("dist"))
+
+
 @query(oracle("SELECT q_id, sun_id, round(chord, 6) AS chord FROM cand", "b_rays", "b_asked", ctes=SUN_CTES))
 def jn06_candidate_suns(spark, sf_dir):
     return nearest.candidate_suns(asked(spark, sf_dir), suns(spark, sf_dir), 5.0, 3).select("q_id", "sun_id", F.round("chord", 6).alias("chord"))
@@ -92,9 +96,9 @@ def jn07_candidate_points(spark, sf_dir):
 
 @query(oracle("SELECT q_id, pt_id, sun_id FROM (SELECT q_id, f.pt_id, sun_id, row_number() OVER (PARTITION BY q_id, f.pt_id ORDER BY (f.x-p.x)*(f.x-p.x)+(f.y-p.y)*(f.y-p.y)+(f.z-p.z)*(f.z-p.z), p.pt_id, sun_id) AS k FROM (SELECT q_id, sun_id, pt_id, x, y, z FROM cand JOIN sun_points USING (sun_id)) p, (SELECT -pt_id AS pt_id, x + 0.05 AS x, y, z FROM b_points WHERE level = 0) f) WHERE k = 1", "b_rays", "b_asked", "b_points", ctes=f"{SUN_CTES}, {SUN_POINTS}"))
 def jn08_fixed_points(spark, sf_dir):
-    sampled = nearest.candidate_suns(asked(spark, sf_dir), suns(spark, sf_dir), 5.0, 3).join(sun_points(spark, sf_dir), "sun_id")
+    near = nearest.candidate_suns(asked(spark, sf_dir), suns(spark, sf_dir), 5.0, 3)
     fixed = binding(spark, sf_dir, "b_points").where("level = 0").select((-F.col("pt_id")).alias("pt_id"), (F.col("x") + 0.05).alias("x"), "y", "z")
-    found = nearest.fixed_to_suns(sampled.select("q_id", "x", "y", "z", F.struct("pt_id", "sun_id", "chord").alias("b")), fixed)
+    found = nearest.fixed_to_suns(near, sun_points(spark, sf_dir), fixed)
     return found.select("q_id", "pt_id", "sun_id")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dayfield.functions import directions, draws
 from dayfield.functions import directions as d
 from dayfield.functions import sky
-from dayfield.operators import cube, grid, integrate, interpolate, metrics, nearest, rays, suns, zones
+from dayfield.operators import cube, evaluation, grid, integrate, interpolate, metrics, nearest, rays, suns, zones
 
 
 def test_uv_round_trip(spark):
@@ -246,7 +246,7 @@ def test_forms_with_errors_and_warnings(spark):
     with pytest.raises(ValueError):
         suns.candidates(rows, ["sky"] * 5)
     with pytest.raises(ValueError):
-        integrate.evaluate(rows, rows, ["unknown"])
+        evaluation.evaluate(rows, rows, ["unknown"])
     with pytest.raises(ValueError):
         integrate.coefficients(rows, rows, "moon")
 
@@ -284,13 +284,97 @@ def test_uniform_draws_repeat_and_spread(spark):
     assert u == again and 0.45 < np.mean(u) < 0.55 and 0 <= min(u) and max(u) < 1
 
 
-def test_nearest_pair_by_cells_and_by_blocks(spark, monkeypatch):
+def unit(draw, n):
+    x = draw.normal(size=(n, 3))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_nearest_pair_of_all_and_of_sampled_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(nearest.knn, "__defaults__", (*nearest.knn.__defaults__[:-1], small))
     draw = np.random.default_rng(9)
-    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(draw.normal(size=(n, 3)))
-    frame = lambda rows, name: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], f"{name} long, sx double, sy double, sz double, x double, y double, z double")
-    p, q = np.hstack((np.repeat(unit(15), 12, axis=0), draw.uniform(0, 10, (180, 3)))), np.hstack((unit(25), draw.uniform(0, 10, (25, 3))))
-    d2 = ((q[:, None, :3] - p[None, :, :3]) ** 2).sum(-1) + ((q[:, None, 3:] - p[None, :, 3:]) ** 2).sum(-1) * 0.01
-    for most in (200_000, 0):
-        monkeypatch.setattr(nearest, "MOST_PAIRS", most)
-        got = {r["q_id"]: r["pair_id"] for r in nearest.nearest_pair(frame(q, "q_id"), frame(p, "pair_id"), 0.1).collect()}
-        assert got == dict(enumerate(d2.argmin(axis=1).tolist()))
+    s, p, q = unit(draw, 15), draw.uniform(0, 10, (40, 3)), np.hstack((unit(draw, 25), draw.uniform(0, 10, (25, 3))))
+    frame = lambda rows, *names: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], ", ".join([f"{names[0]} long", *(f"{n} double" for n in names[1:])]))
+    suns_, points, asked = frame(s, "sun_id", "sx", "sy", "sz"), frame(p, "pt_id", "x", "y", "z"), frame(q, "q_id", "sx", "sy", "sz", "x", "y", "z")
+    d2 = ((q[:, None, None, :3] - s[None, :, None]) ** 2).sum(-1) + ((q[:, None, None, 3:] - p[None, None]) ** 2).sum(-1) * 0.01
+    got = {r["q_id"]: (r["sun_id"], r["pt_id"]) for r in nearest.nearest_pair(asked, suns_, points, 0.1).collect()}
+    assert got == {i: divmod(int(d2[i].argmin()), 40) for i in range(25)}
+    keep = np.add.outer(np.arange(15), np.arange(40)) % 6 == 0
+    members = spark.createDataFrame([(i, j) for i, j in np.argwhere(keep).tolist()], "sun_id long, pt_id long").join(points, "pt_id")
+    masked = np.where(keep[None], d2, np.inf)
+    got = {r["q_id"]: (r["sun_id"], r["pt_id"]) for r in nearest.nearest_pair(asked, suns_, members, 0.1, first=2).collect()}
+    assert got == {i: divmod(int(masked[i].argmin()), 40) for i in range(25)}
+    assert nearest.nearest_pair(asked.limit(0), suns_, members, 0.1).count() == 0
+
+
+@pytest.mark.parametrize("searched", [1, 50_000])
+def test_penalised_points_are_those_of_all_pairs(spark, monkeypatch, searched):
+    monkeypatch.setattr(nearest, "SEARCHED", searched)
+    monkeypatch.setattr(nearest, "PAIRS", 300)
+    draw = np.random.default_rng(4)
+    rows = [(int(q), int(p), int(s), float(draw.choice([0.0, 0.02, 0.1, 0.3])), *map(float, draw.integers(0, 6, 2) / 4), float(draw.integers(0, 3)) / 8) for q in range(7) for s in range(3) for p in draw.choice(30, 12, replace=False)]
+    df = spark.createDataFrame(rows, "q_id long, pt_id long, sun_id long, chord double, x double, y double, z double")
+    scale, want = 0.5, set()
+    for q in range(7):
+        mine = [r for r in rows if r[0] == q]
+        for a in mine:
+            best = min(mine, key=lambda b: ((a[4] - b[4]) ** 2 + (a[5] - b[5]) ** 2 + (a[6] - (b[6] + b[3] / scale)) ** 2, b[1], b[2]))
+            want.add(best[:3])
+    found = df.repartition("q_id").sortWithinPartitions("q_id").mapInArrow(lambda b: nearest._used_points(b, scale), df.schema)
+    assert {(r["q_id"], r["pt_id"], r["sun_id"]) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("parts", [2, 100_000])
+def test_nearest_within_groups(spark, monkeypatch, parts):
+    monkeypatch.setattr(nearest, "ASKED", parts)
+    draw = np.random.default_rng(3)
+    left, right = draw.uniform(0, 1, (40, 3)), draw.integers(0, 4, (60, 3)) / 4
+    one = spark.createDataFrame([(i % 3 if i % 7 else None, i, *map(float, r)) for i, r in enumerate(left)], "g long, l long, x double, y double, z double")
+    two = spark.createDataFrame([(i % 4, i, *map(float, r)) for i, r in enumerate(right)], "g long, r long, x double, y double, z double")
+    got = {(r["g"], r["l"], r["rank"]): r["r"] for r in nearest.knn(one, two, "l", "r", k=3, by=("g",)).collect()}
+    want = {}
+    for i, v in enumerate(left):
+        if i % 7:
+            near = sorted((((v - right[j]) ** 2).sum(), j) for j in range(60) if j % 4 == i % 3)
+            want |= {(i % 3, i, k): j for k, (_, j) in enumerate(near[:3], 1)}
+    assert got == want
+
+
+@pytest.mark.parametrize("size", [16, 8192])
+@pytest.mark.parametrize("threshold", [4.0, 5000.0])
+def test_glare_per_sky_matches_a_row_per_ray_and_sky(spark, monkeypatch, size, threshold):
+    monkeypatch.setattr(evaluation, "RAYS", size)
+    monkeypatch.setattr(evaluation, "TIMES", 2)
+    draw = np.random.default_rng(6)
+    v = unit(draw, 150)
+    rows = [(int(i % 3), int(i), int(draw.integers(0, 5)), *map(float, v[i]), float(draw.uniform(0.01, 0.05)), float(draw.exponential(20.0))) for i in range(150)]
+    rows += [(r[0], r[1], (r[2] + 2) % 5, *r[3:7], 3.0) for r in rows[::4]]  # a second patch for some rays
+    rays_ = spark.createDataFrame(rows, "pt_id long, ray_id long, patch int, dx double, dy double, dz double, omega double, lum double")
+    views = spark.createDataFrame([(0, 1.0, 0.0, 0.0, 180.0), (1, 0.0, 1.0, 0.0, 180.0)], "view int, vx double, vy double, vz double, angle_deg double")
+    sky_ = spark.createDataFrame([(t, p, float(draw.uniform(0, 2))) for t in range(5) for p in range(5) if (t, p) != (2, 3)], "t int, patch int, coef double")
+    seen = evaluation.with_position(metrics.in_view(rays_, views))
+    wanted = ["dgp", "ugp", "ugr", "pwsl2", "illum", "maxlum", "backlum_true", "tasklum", "gcr", "density"]
+    found = evaluation.evaluate(sky_, seen, wanted, threshold=threshold, shared_rays=True)
+    lit = seen.join(sky_, "patch").groupBy("t", "pt_id", "view", "ray_id", "dx", "dy", "dz", "vx", "vy", "vz", "omega", "cos").agg(F.sum(F.col("lum") * F.col("coef")).alias("lum"))
+    whole = seen.select("pt_id", "view", "ray_id", "dx", "dy", "dz", "vx", "vy", "vz", "omega", "cos").distinct().crossJoin(sky_.select("t").distinct())
+    lit = whole.join(lit.select("t", "pt_id", "view", "ray_id", "lum"), ["t", "pt_id", "view", "ray_id"], "left").fillna(0.0, ["lum"])
+    want = metrics.evaluate(lit, ("t", "pt_id", "view"), wanted, threshold)
+    want = {(r["t"], r["pt_id"], r["view"], n): r[n] for r in want.collect() for n in wanted}
+    got = {(r["sky"], r["point"], r["view"], r["metric"]): r["value"] for r in found.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9) for k in want if want[k] is not None)
+    assert evaluation.evaluate(sky_, seen.limit(0), ["dgp"]).count() == evaluation.evaluate(sky_.limit(0), seen, ["illum"]).count() == 0
+
+
+def test_plain_metrics_by_patch_match_those_by_ray(spark):
+    draw = np.random.default_rng(8)
+    rows = [(int(i % 4) or None, int(i), int(i % 5), *map(float, w), 0.02, float(draw.exponential(5.0))) for i, w in enumerate(unit(draw, 80))]
+    rays_ = spark.createDataFrame(rows, "pt_id long, ray_id long, patch int, dx double, dy double, dz double, omega double, lum double")
+    views = spark.createDataFrame([(0, 1.0, 0.0, 0.0, 180.0)], "view int, vx double, vy double, vz double, angle_deg double")
+    sky_ = spark.createDataFrame([(t, p, float(draw.uniform(0, 2))) for t in range(3) for p in range(5)], "t int, patch int, coef double")
+    seen = evaluation.with_position(metrics.in_view(rays_, views))
+    read = lambda df: {(r["sky"], r["point"], r["metric"]): r["value"] for r in df.collect()}
+    wanted = ["illum", "avglum", "avgraylum", "gcr", "density", "view_area"]
+    one, two = read(evaluation.evaluate(sky_, seen, wanted)), read(evaluation.evaluate(sky_, seen, [*wanted, "dgp"]))
+    assert one.keys() == {k for k in two if k[2] != "dgp"}
+    assert all(one[k] == pytest.approx(two[k], rel=1e-9) for k in one)
