@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
-from .nearest import DXYZ, knn
+from . import zones
+from .nearest import DXYZ, kept, knn
 
 
 def knn_weights(near: DataFrame, q_id: str = "q_id", with_lum: bool = False) -> DataFrame:
@@ -86,27 +91,111 @@ def content_matches(near: DataFrame, normal_deg: float = 5.0, distance: float =
     return marked.where(F.col("_same") | (~F.col("_any") & (F.col("rank") == 1))).select("q_id", "ray_id")
 
 
+#: Corners of a hull that every task may hold.
+HULL = 100_000
+
+
+def _enclosed(queries: DataFrame, points: DataFrame) -> DataFrame | None:
+    """Queries inside the convex hull of all points, or on it; None where the hull has too many corners to be sent to every task."""
+    ring = zones.border(points.select(F.lit(0).alias("zone"), "x", "y"), 0.0).select(F.explode("ring").alias("p")).select("p.x", "p.y").limit(HULL + 1).toArrow()
+    if ring.num_rows > HULL:
+        return None
+    corners = np.array([ring.column(c).to_numpy() for c in "xy"]).T
+    held = queries.sparkSession.sparkContext.broadcast(corners)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = held.value
+        edge = np.roll(at, -1, axis=0) - at
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in "xy")
+            within = np.full(len(x), len(at) > 2)
+            for (px, py), (ex, ey) in zip(at, edge, strict=True):
+                within &= ex * (y - py) - ey * (x - px) >= -1e-9
+            yield batch.filter(pa.array(within))
+
+    return queries.mapInArrow(inside, queries.schema)
+
+
+def _weights(p: np.ndarray) -> np.ndarray | None:
+    """Barycentric weights of the origin in the triangle ``p`` (3 x 2); None for a flat one."""
+    (ax, ay), (bx, by), (cx, cy) = p
+    det = (by - cy) * (ax - cx) + (cx - bx) * (ay - cy)
+    if abs(det) <= 1e-12:
+        return None
+    wa, wb = ((cy - by) * cx + (bx - cx) * cy) / det, ((ay - cy) * cx + (cx - ax) * cy) / det
+    return np.array((wa, wb, 1 - wa - wb))
+
+
+def delaunay_at_origin(p: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple[float, float] | None:
+    """(value at the origin, reach) by the Delaunay triangle of ``p`` (sorted by distance) that encloses it; None where none does.
+
+    Points are lifted to x^2 + y^2: the Delaunay triangle is the enclosing one whose plane is lowest at the origin. From any enclosing
+    triangle the point that lies furthest below its plane takes the place of a corner until none does. Points on the last circle are
+    all of its triangles' corners: of these the first enclosing one by ids counts. ``reach`` is the largest distance of the circle from the origin."""
+    z = (p * p).sum(axis=1)
+    if z[0] < 1e-24:
+        return float(values[0]), 0.0
+    angle = np.arctan2(p[:, 1], p[:, 0])
+    off = (angle - angle[0] + 2 * math.pi) % (2 * math.pi) - math.pi  # from the direction opposite to the nearest point
+    left, right = np.flatnonzero((off >= 0) & (off < math.pi - 1e-12)), np.flatnonzero((off < 0) & (off > -math.pi + 1e-12))
+    if not len(left) or not len(right):
+        return None
+    b, c = left[off[left].argmin()], right[off[right].argmax()]
+    if off[b] - off[c] > math.pi + 1e-12 or _weights(p[[0, b, c]]) is None:
+        return None
+    three = [0, int(b), int(c)]
+    for _ in range(10 * len(p) + 100):
+        plane = np.linalg.solve(np.column_stack((p[three], np.ones(3))), z[three])
+        gap = z - p @ plane[:2] - plane[2]
+        low = int(gap.argmin())
+        if gap[low] >= -1e-9 or low in three:
+            break
+        tries = [[low if k == n else three[k] for k in range(3)] for n in range(3)]
+        rated = [(w.min(), t) for t in tries if (w := _weights(p[t])) is not None]
+        three = max(rated)[1]
+    reach = math.hypot(*plane[:2]) / 2 + math.sqrt(max(plane[2] + plane[0] ** 2 / 4 + plane[1] ** 2 / 4, 0.0))
+    around = np.flatnonzero(gap <= 1e-9)
+    for t in itertools.combinations(around[np.argsort(ids[around])].tolist(), 3):
+        w = _weights(p[list(t)])
+        if w is not None and w.min() >= -1e-12:
+            return float(w @ values[list(t)]), reach
+    return float(_weights(p[three]) @ values[three]), reach
+
+
+def _planes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Values of queries with their k nearest points, and whether they stand whatever further points there are."""
+    for batch in batches:
+        values, sure = [], []
+        for near in batch.column("near").to_pylist():
+            p = np.array([(n["x"], n["y"]) for n in near])
+            found = delaunay_at_origin(p, np.array([n["pt_id"] for n in near]), np.array([n["value"] for n in near], float))
+            values.append(near[0]["value"] if found is None else found[0])
+            sure.append(len(near) < k or (found is not None and found[1] < math.hypot(*p[-1]) - 1e-9))
+        yield pa.RecordBatch.from_arrays([batch.column("q_id"), pa.array(values, pa.float64()), pa.array(sure, pa.bool_())], ["q_id", "value", "sure"])
+
+
 def local_plane(queries: DataFrame, points: DataFrame, k: int = 10) -> DataFrame:
-    """(q_id, value): the plane of the Delaunay triangle around the query in x, y among its k nearest points; where no triangle of them
-    encloses it (outside the hull), the nearest value.
-
-    Of all enclosing triangles the Delaunay one gives the least x^2 + y^2 at the query by its own plane, so each query tries the
-    k (k - 1) (k - 2) / 6 triangles and no triangulation is built; ties go to the smaller ids."""
-    at = points.select("pt_id", F.col("x").alias("px"), F.col("y").alias("py"), "value")
-    near = knn(queries, points, "q_id", "pt_id", ("x", "y"), k, 10.0).join(at, "pt_id").join(queries.select("q_id", "x", "y"), "q_id")
-    corner = lambda n: near.select("q_id", F.struct("rank", "pt_id", (F.col("px") - F.col("x")).alias("x"), (F.col("py") - F.col("y")).alias("y"), "value").alias(n))
-    three = corner("a").join(corner("b"), "q_id").where("a.rank < b.rank").join(corner("c"), "q_id").where("b.rank < c.rank")
-    g = lambda n, f: F.col(f"{n}.{f}")
-    det = (g("b", "y") - g("c", "y")) * (g("a", "x") - g("c", "x")) + (g("c", "x") - g("b", "x")) * (g("a", "y") - g("c", "y"))
-    wa = F.try_divide((g("c", "y") - g("b", "y")) * g("c", "x") + (g("b", "x") - g("c", "x")) * g("c", "y"), det)
-    wb = F.try_divide((g("a", "y") - g("c", "y")) * g("c", "x") + (g("c", "x") - g("a", "x")) * g("c", "y"), det)
-    three = three.where(F.abs(det) > 1e-12).withColumn("wa", wa).withColumn("wb", wb).withColumn("wc", 1 - wa - wb).where("wa >= -1e-12 and wb >= -1e-12 and wc >= -1e-12")
-    square = lambda n: g(n, "x") * g(n, "x") + g(n, "y") * g(n, "y")
-    lifted = F.round(F.col("wa") * square("a") + F.col("wb") * square("b") + F.col("wc") * square("c"), 9)
-    value = F.col("wa") * g("a", "value") + F.col("wb") * g("b", "value") + F.col("wc") * g("c", "value")
-    best = three.groupBy("q_id").agg(F.min_by(value, F.struct(lifted, g("a", "pt_id"), g("b", "pt_id"), g("c", "pt_id"))).alias("_in"))
-    nearest_value = near.where("rank = 1").select("q_id", "value")
-    return nearest_value.join(best, "q_id", "left").select("q_id", F.coalesce("_in", "value").alias("value"))
+    """(q_id, value): linear interpolation over the Delaunay triangulation of all points in x, y; outside their convex hull, the nearest value.
+
+    No triangulation is built. A query finds the Delaunay triangle around it among its k nearest points; it stands if its circle lies
+    within the distance of the last of them, so that no further point can be in it, else k doubles for that query, up to all points. Points on
+    one circle: the first enclosing triangle by ids. Fewer than three points, or points on one line: the nearest value."""
+    at = points.select("pt_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("value").cast("double").alias("value"))
+    asked = queries.select("q_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    inside = _enclosed(asked, points)
+    kind = queries.schema["q_id"].dataType.simpleString()
+    near_of = lambda q, n: knn(q, points, "q_id", "pt_id", ("x", "y"), n, 10.0).join(at, "pt_id")
+    going, done = asked if inside is None else kept(inside, "inside"), []
+    if inside is not None:
+        done.append(near_of(asked.join(going.select("q_id"), "q_id", "left_anti"), 1).select("q_id", "value"))
+    while True:
+        listed = near_of(going, k).join(going, "q_id").groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "pt_id", (F.col("px") - F.col("x")).alias("x"), (F.col("py") - F.col("y")).alias("y"), "value"))).alias("near"))
+        found = kept(listed.mapInArrow(lambda b, k=k: _planes(b, k), f"q_id {kind}, value double, sure boolean"), "planes")
+        done.append(found.where("sure").select("q_id", "value"))
+        going = going.join(found.where("not sure").select("q_id"), "q_id", "left_semi")
+        if not found.where("not sure").limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+        k *= 2
 
 
 def time_linear(series: DataFrame, asked: DataFrame, values: list[str], key: str = "station") -> DataFrame:

@@ -197,27 +197,26 @@ def nearest_pair(queries: DataFrame, suns: DataFrame, points: DataFrame, scale:
         both = s1.select("q_id", "sun_id").join(p1.select("q_id", "pt_id"), "q_id").join(at(suns, "sun_id", SUN), "sun_id").join(at(p, "pt_id", XYZ), "pt_id")
         asked = q.select("q_id", *(F.col(c).alias(f"_l_{c}") for c in (*SUN, *XYZ)))
         return both.join(asked, "q_id").select("q_id", "sun_id", "pt_id", F.sqrt(squared("_l_", "_r_", (*SUN, *XYZ))).alias("dist"))
-    spark = queries.sparkSession
     open_queries, best, done, k = q, None, 0, first
     while True:
-        ring = _kept(spark, knn(open_queries, suns, "q_id", "sun_id", SUN, k, 2.0).where(F.col("rank") > done).select("q_id", "sun_id", F.col("dist").alias("chord"), "rank"), "ring")
+        ring = kept(knn(open_queries, suns, "q_id", "sun_id", SUN, k, 2.0).where(F.col("rank") > done).select("q_id", "sun_id", F.col("dist").alias("chord"), "rank"), "ring")
         asked = ring.join(q.select("q_id", *XYZ), "q_id")
         near = knn(asked, p, "q_id", "pt_id", XYZ, 1, 1e4, by=("sun_id",)).select("q_id", "sun_id", "pt_id", F.col("dist").alias("_p"))
         found = ring.join(near, ["q_id", "sun_id"]).select("q_id", F.struct((F.col("chord") * F.col("chord") + F.col("_p") * F.col("_p")).alias("d2"), "sun_id", "pt_id").alias("b"))
-        best = _kept(spark, (found if best is None else best.unionByName(found)).groupBy("q_id").agg(F.min("b").alias("b")), "best")
+        best = kept((found if best is None else best.unionByName(found)).groupBy("q_id").agg(F.min("b").alias("b")), "best")
         reached = ring.groupBy("q_id").agg(F.max("chord").alias("chord"), F.max("rank").alias("rank")).where(F.col("rank") == k)
         going = reached.join(best, "q_id", "left").where(F.col("b").isNull() | (F.col("chord") * F.col("chord") <= F.col("b.d2")))
-        open_queries = _kept(spark, open_queries.join(going.select("q_id"), "q_id", "left_semi"), "open")
+        open_queries = kept(open_queries.join(going.select("q_id"), "q_id", "left_semi"), "open")
         if not open_queries.limit(1).count():
             return best.select("q_id", "b.sun_id", "b.pt_id", F.sqrt("b.d2").alias("dist"))
         done, k = k, 4 * k
 
 
-def _kept(spark, df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again."""
-    path = scratch_folder(spark, name)
+    path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mean_gap(rows: DataFrame, row_id: str, coords: tuple[str, ...]) -> DataFrame:

@@ -80,13 +80,17 @@ def wn02_dithered_choice(spark, sf_dir):
     return interpolate.dithered(interpolate.knn_weights(near(spark, sf_dir)))
 
 
-_THREE = """n AS (SELECT q.q_id, p.pt_id, p.x - q.x AS x, p.y - q.y AS y, CAST(p.pt_id % 17 AS DOUBLE) AS v, row_number() OVER (PARTITION BY q.q_id ORDER BY (q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y), p.pt_id) AS k FROM b_queries q, b_points p),
-tri AS (SELECT *, 1 - wa - wb AS wc FROM (SELECT *, ((c_y-b_y)*c_x + (b_x-c_x)*c_y)/det AS wa, ((a_y-c_y)*c_x + (c_x-a_x)*c_y)/det AS wb FROM (SELECT a.q_id, a.pt_id AS pa, b.pt_id AS pb, c.pt_id AS pc, a.x AS a_x, a.y AS a_y, a.v AS a_v, b.x AS b_x, b.y AS b_y, b.v AS b_v, c.x AS c_x, c.y AS c_y, c.v AS c_v, (b.y-c.y)*(a.x-c.x) + (c.x-b.x)*(a.y-c.y) AS det
-  FROM n a JOIN n b ON a.q_id = b.q_id AND a.k < b.k AND b.k <= 10 JOIN n c ON b.q_id = c.q_id AND b.k < c.k AND c.k <= 10) WHERE abs(det) > 1e-12)),
-inside AS (SELECT q_id, min({'l': round(wa*(a_x*a_x+a_y*a_y) + wb*(b_x*b_x+b_y*b_y) + wc*(c_x*c_x+c_y*c_y), 9), 'a': pa, 'b': pb, 'c': pc, 'v': wa*a_v + wb*b_v + wc*c_v}) AS b FROM tri WHERE wa >= -1e-12 AND wb >= -1e-12 AND wc >= -1e-12 GROUP BY q_id)"""
+_IN_CIRCLE = "((ax-d.x)*((by_-d.y)*((cx-d.x)*(cx-d.x)+(cy-d.y)*(cy-d.y)) - (cy-d.y)*((bx-d.x)*(bx-d.x)+(by_-d.y)*(by_-d.y))) - (ay-d.y)*((bx-d.x)*((cx-d.x)*(cx-d.x)+(cy-d.y)*(cy-d.y)) - (cx-d.x)*((bx-d.x)*(bx-d.x)+(by_-d.y)*(by_-d.y))) + ((ax-d.x)*(ax-d.x)+(ay-d.y)*(ay-d.y))*((bx-d.x)*(cy-d.y) - (cx-d.x)*(by_-d.y)))"
+#: All Delaunay triangles (empty circumcircles), then those around each query.
+_THREE = f"""p AS (SELECT pt_id, x, y, CAST(pt_id % 17 AS DOUBLE) AS v FROM b_points),
+three AS (SELECT a.pt_id AS pa, b.pt_id AS pb, c.pt_id AS pc, a.x AS ax, a.y AS ay, a.v AS av, b.x AS bx, b.y AS by_, b.v AS bv, c.x AS cx, c.y AS cy, c.v AS cv, (b.y-c.y)*(a.x-c.x) + (c.x-b.x)*(a.y-c.y) AS det
+  FROM p a JOIN p b ON a.pt_id < b.pt_id JOIN p c ON b.pt_id < c.pt_id),
+tri AS (SELECT t.* FROM three t JOIN p d ON abs(det) > 1e-12 GROUP BY ALL HAVING max(sign(det)*{_IN_CIRCLE}) <= 1e-7),
+inside AS (SELECT q_id, min({{'a': pa, 'b': pb, 'c': pc, 'v': wa*av + wb*bv + (1 - wa - wb)*cv}}) AS b FROM (SELECT *, ((cy-by_)*(cx-x) + (bx-cx)*(cy-y))/det AS wa, ((ay-cy)*(cx-x) + (cx-ax)*(cy-y))/det AS wb FROM b_queries, tri) WHERE wa >= -1e-12 AND wb >= -1e-12 AND 1 - wa - wb >= -1e-12 GROUP BY q_id),
+n AS (SELECT q.q_id, arg_min(p.v, {{'d': (q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y), 'p': p.pt_id}}) AS v FROM b_queries q, p GROUP BY q.q_id)"""
 
 
-@query(oracle("SELECT q_id, round(coalesce(i.b.v, n.v), 4) + 0.0 AS value FROM n LEFT JOIN inside i USING (q_id) WHERE k = 1", "b_queries", "b_points", ctes=_THREE))
+@query(oracle("SELECT q_id, round(coalesce(i.b.v, n.v), 4) + 0.0 AS value FROM n LEFT JOIN inside i USING (q_id)", "b_queries", "b_points", ctes=_THREE))
 def ip02_local_plane(spark, sf_dir):
     points = binding(spark, sf_dir, "b_points").withColumn("value", (F.col("pt_id") % 17).cast("double"))
     return rounded(interpolate.local_plane(binding(spark, sf_dir, "b_queries"), points), "value", digits=4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -378,3 +379,25 @@ def test_plain_metrics_by_patch_match_those_by_ray(spark):
     one, two = read(evaluation.evaluate(sky_, seen, wanted)), read(evaluation.evaluate(sky_, seen, [*wanted, "dgp"]))
     assert one.keys() == {k for k in two if k[2] != "dgp"}
     assert all(one[k] == pytest.approx(two[k], rel=1e-9) for k in one)
+
+
+@pytest.mark.parametrize("layout", ["even", "clustered", "lattice", "line"])
+def test_local_plane_is_the_delaunay_one(spark, layout):
+    draw = np.random.default_rng(5)
+    at = {"even": draw.uniform(0, 1, (24, 2)), "clustered": np.vstack((draw.normal(0, 0.01, (22, 2)) + 0.1, [(1, 1), (1, 0), (0, 1)])), "lattice": np.array([(i / 4, j / 4) for i in range(5) for j in range(5)]), "line": np.array([(i / 9, i / 9) for i in range(10)])}[layout]
+    values = draw.uniform(0, 9, len(at))
+    asked = np.vstack((draw.uniform(-0.2, 1.2, (60, 2)), at[:3], (at[:1] + at[1:2]) / 2))
+    points = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(at, values, strict=True))], "pt_id long, x double, y double, value double")
+    queries = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(asked)], "q_id long, x double, y double")
+    got = {r["q_id"]: r["value"] for r in interpolate.local_plane(queries, points, k=4).collect()}
+    circles = []
+    for t in map(list, itertools.combinations(range(len(at)), 3)):
+        m = np.column_stack((at[t], np.ones(3)))
+        if abs(np.linalg.det(m)) > 1e-12:
+            plane = np.linalg.solve(m, (at[t] ** 2).sum(axis=1))
+            if ((at**2).sum(axis=1) - at @ plane[:2] - plane[2]).min() >= -1e-10:
+                circles.append((t, m))
+    for i, q in enumerate(asked):
+        want = {float(w @ values[t]) for t, m in circles if (w := np.linalg.solve(m.T, [*q, 1])).min() >= -1e-11}
+        near = values[np.isclose(((at - q) ** 2).sum(axis=1), ((at - q) ** 2).sum(axis=1).min(), atol=1e-14)]
+        assert min(abs(got[i] - v) for v in (want or near)) < 1e-6
