@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import directions as d
 from ..functions.draws import uniform, weighted_key
-from .nearest import knn
+from .nearest import kept, knn
 
 #: Kernels of the detail filters: per direction the weights of (-1, 0, 1) along it.
 HAAR, WAVELET = (-1.0, 1.0), (-0.5, 1.0, -0.5)
@@ -72,24 +73,67 @@ def threshold(level: int, levels: int, t0: float = 0.25, t1: float = 0.1, accura
     return accuracy * ((t1 - t0) / max(1, levels - 1) * level + t0)
 
 
+#: Buckets of a histogram of keys, and rows of a run that one task may rank.
+BUCKETS, RANKED = 1024, 100_000
+
+
+def _on(df: DataFrame, keys: list[str], side: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``side`` (one row per key; one row where there are no keys)."""
+    return df.join(side, keys) if keys else df.crossJoin(F.broadcast(side))
+
+
+def first_n(rows: DataFrame, keys: list[str], order: list[str], n: str, ranked: int = RANKED) -> DataFrame:
+    """The first rows of each run by the numeric columns ``order``, as many as its column ``n`` says; ``n`` is dropped.
+
+    A run of up to ``ranked`` rows is ranked in one window. A larger one is selected by histograms: the span of its first order column
+    that is not constant is cut into BUCKETS, counts say in which bucket the n-th row lies, all rows before it are taken and only that
+    bucket goes on, until it is small. So no run of any size is one task, unless its rows are equal in every order column."""
+    if not keys:
+        return first_n(rows.withColumn("_run", F.lit(0)), ["_run"], order, n, ranked).drop("_run")
+    largest = lambda df: df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    going, taken, most = rows, [], largest(rows)
+    while most > ranked:
+        span = going.groupBy(*keys).agg(*(f(c).cast("double").alias(f"_{x}{k}") for k, c in enumerate(order) for x, f in (("lo", F.min), ("hi", F.max))))
+        place = lambda k: F.least(F.floor((F.col(order[k]) - F.col(f"_lo{k}")) / (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * BUCKETS), F.lit(BUCKETS - 1))
+        at = F.coalesce(*(F.when(F.col(f"_hi{k}") > F.col(f"_lo{k}"), F.coalesce(place(k), F.lit(-1))) for k in range(len(order))), F.lit(0)).cast("int")
+        dealt = going.join(span, keys).withColumn("_at", at).select(*going.columns, "_at")
+        counts = dealt.groupBy(*keys, "_at").agg(F.count("*").alias("_c"), F.max(n).alias("_n"))
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        edge = kept(counts.withColumn("_before", before).where((F.col("_before") < F.col("_n")) & (F.col("_before") + F.col("_c") >= F.col("_n"))).select(*keys, F.col("_at").alias("_edge"), "_before"), "edges")
+        fewer = counts.groupBy(*keys).agg(F.sum("_c").alias("_c"), F.max("_n").alias("_n")).where("_c < _n").select(*keys)
+        met = dealt.join(edge, keys)
+        taken += [dealt.join(fewer, keys, "left_semi").drop("_at", n), met.where("_at < _edge").drop("_at", "_edge", "_before", n)]
+        going = kept(met.where("_at = _edge").withColumn(n, F.col(n) - F.col("_before")).select(*going.columns), "going")
+        if (now := largest(going)) >= most:
+            break
+        most = now
+    ranks = going.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= F.col(n)).drop("_r", n)
+    return reduce(DataFrame.unionByName, [ranks, *taken])
+
+
 def draw(cells: DataFrame, keys: list[str], limit: float, value: str = "detail", least: int = 1) -> DataFrame:
-    """Cells over the limit; where fewer than ``least`` are, the first cells by (i, j) make up the number."""
-    order = Window.partitionBy(*keys).orderBy((F.col(value) > limit).desc(), "i", "j")
-    ranked = cells.withColumn("_r", F.row_number().over(order))
-    return ranked.where((F.col(value) > limit) | (F.col("_r") <= least)).drop("_r")
+    """Cells over the limit; where fewer than ``least`` are, the first cells by (i, j) make up the number.
+
+    Counted per run by a grouping; only runs that lack cells select further ones (``first_n``)."""
+    over = F.coalesce(F.col(value) > limit, F.lit(False))
+    picked = cells.where(over)
+    if least <= 0:
+        return picked
+    lacking = cells.groupBy(*keys).agg((F.lit(least) - F.sum(over.cast("long"))).alias("_n")).where("_n > 0")
+    return picked.unionByName(first_n(_on(cells.where(~over), keys, lacking), keys, ["i", "j"], "_n"))
 
 
-def draw_weighted(cells: DataFrame, keys: list[str], limit: float, value: str = "detail", lb: float = 0.5, ub: float = 2.0, least: int = 1, seed: int = 42) -> DataFrame:
+def draw_weighted(cells: DataFrame, keys: list[str], limit: float, value: str = "detail", lb: float = 0.5, ub: float = 2.0, least: int = 1, seed: int = 42, ranked: int = RANKED) -> DataFrame:
     """As many cells as exceed the limit, drawn without replacement: candidates over lb * limit, weight clipped at ub * limit.
 
-    Where no cell is a candidate, ``least`` cells are drawn evenly. The draw follows from the seed and the cell, not from the partitioning."""
-    over = Window.partitionBy(*keys)
-    n = F.greatest(F.sum(F.when(F.col(value) > limit, 1).otherwise(0)).over(over), F.lit(least))
+    Where no cell is a candidate, ``least`` cells are drawn evenly. The draw follows from the seed and the cell, not from the partitioning.
+    The number comes from a grouping, the cells with the smallest keys from ``first_n``."""
     candidate = F.col(value) > lb * limit
-    found = cells.withColumn("_n", n).withColumn("_any", F.max(candidate).over(over)).where(candidate | ~F.col("_any"))
+    n = F.greatest(F.sum(F.when(F.col(value) > limit, 1).otherwise(0)), F.lit(least)).cast("long")
+    found = _on(cells, keys, cells.groupBy(*keys).agg(n.alias("_n"), F.max(candidate).alias("_any"))).where(candidate | ~F.col("_any"))
     weight = F.when(F.col("_any"), F.least(F.col(value), F.lit(ub * limit))).otherwise(1.0)
-    found = found.withColumn("_key", weighted_key(uniform(seed, *keys, "i", "j"), weight))
-    return found.withColumn("_r", F.row_number().over(over.orderBy("_key", "i", "j"))).where("_r <= _n").drop("_n", "_any", "_key", "_r")
+    found = found.withColumn("_key", weighted_key(uniform(seed, *keys, "i", "j"), weight)).drop("_any")
+    return first_n(found, keys, ["_key", "i", "j"], "_n", ranked).drop("_key")
 
 
 def draw_suns(cells: DataFrame, limit: float, sun: str = "feature") -> DataFrame:
@@ -110,8 +154,8 @@ def plan_next(grid: DataFrame, keys: list[str], level: int, levels: int, measure
     """Requests of the next round: all cells where a grid is even (variance under 1e-9) at level 0, else cells with detail.
 
     Cells of ``measured`` (keys, i, j) are left out."""
-    over = Window.partitionBy(*keys)
-    found = reduce_features(detail(grid, [*keys, "feature"], **options), keys, how, "detail").withColumn("_even", F.var_pop("detail").over(over) < 1e-9)
+    found = reduce_features(detail(grid, [*keys, "feature"], **options), keys, how, "detail")
+    found = _on(found, keys, found.groupBy(*keys).agg((F.var_pop("detail") < 1e-9).alias("_even")))
     found = found.join(measured, [*keys, "i", "j"], "left_anti") if measured is not None else found
     limit = threshold(level, levels)
     picked = draw(found.where(~F.col("_even")), keys, limit)
@@ -139,8 +183,13 @@ def statistics(samples: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def batch_index(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds idx: running number within a run, ordered by level and cell."""
-    return samples.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("level", "i", "j")) - 1)
+    """Adds idx: running number within a run, ordered by level and cell.
+
+    Numbered within each (level, i) of a run, from where the rows before it end: sums over the counts of the (level, i) give that."""
+    lines = samples.groupBy(*keys, "level", "i").agg(F.count("*").alias("_n"))
+    base = lines.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("level", "i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, "level", "i").orderBy("j"))
+    return samples.withColumn("_k", within).join(base, [*keys, "level", "i"]).withColumn("idx", (F.col("_base") + F.col("_k") - 1).cast("int")).drop("_base", "_k")
 
 
 def unanswered(requests: DataFrame, answers: DataFrame, on: list[str]) -> DataFrame:
@@ -170,19 +219,22 @@ def source_raster(cells: DataFrame, keys: list[str], n: int) -> DataFrame:
     return filled.select(*keys, F.floor(F.col("cell") / n).cast("int").alias("i"), (F.col("cell") % n).cast("int").alias("j"), at.x.alias("dx"), at.y.alias("dy"), at.z.alias("dz"), F.lit(2 * math.pi / (n * n)).alias("omega"), "lum")
 
 
-def bilinear(queries: DataFrame, pixels: DataFrame, q_id: str = "q_id") -> DataFrame:
-    """(q_id, value): weighted sum of the four pixels around (i, j) in pixel units; outside, the median of the border."""
-    size = pixels.agg(F.max("i").alias("_hi"), F.max("j").alias("_hj"))
-    edge = pixels.crossJoin(size).where("i = 0 or j = 0 or i = _hi or j = _hj").agg(F.median("value").alias("_edge"))
+def bilinear(queries: DataFrame, pixels: DataFrame, q_id: str = "q_id", keys: list[str] | None = None) -> DataFrame:
+    """([keys,] q_id, value): weighted sum of the four pixels around (i, j) in pixel units; outside, the median of the border.
+
+    With ``keys`` there is one raster per key and a query looks into its own."""
+    keys = keys or []
+    size = pixels.groupBy(*keys).agg(F.max("i").alias("_hi"), F.max("j").alias("_hj"))
+    edge = _on(pixels, keys, size).where("i = 0 or j = 0 or i = _hi or j = _hj").groupBy(*keys).agg(F.median("value").alias("_edge"))
     at = queries.withColumn("_i", F.floor("i").cast("int")).withColumn("_j", F.floor("j").cast("int"))
     corner = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1))))
     each = at.withColumn("_c", corner)
     fi, fj = F.col("i") - F.col("_i"), F.col("j") - F.col("_j")
     w = F.when(F.col("_c.a") == 1, fi).otherwise(1 - fi) * F.when(F.col("_c.b") == 1, fj).otherwise(1 - fj)
-    each = each.select(q_id, (F.col("_i") + F.col("_c.a")).alias("_pi"), (F.col("_j") + F.col("_c.b")).alias("_pj"), w.alias("_w"))
-    found = each.join(pixels.select(F.col("i").alias("_pi"), F.col("j").alias("_pj"), "value"), ["_pi", "_pj"], "left")
-    sums = found.groupBy(q_id).agg(F.sum(F.col("_w") * F.col("value")).alias("_v"), F.sum(F.when(F.col("value").isNull() & (F.col("_w") > 0), 1).otherwise(0)).alias("_miss"))
-    return sums.crossJoin(F.broadcast(edge)).select(q_id, F.when(F.col("_miss") > 0, F.col("_edge")).otherwise(F.col("_v")).alias("value"))
+    each = each.select(*keys, q_id, (F.col("_i") + F.col("_c.a")).alias("_pi"), (F.col("_j") + F.col("_c.b")).alias("_pj"), w.alias("_w"))
+    found = each.join(pixels.select(*keys, F.col("i").alias("_pi"), F.col("j").alias("_pj"), "value"), [*keys, "_pi", "_pj"], "left")
+    sums = found.groupBy(*keys, q_id).agg(F.sum(F.col("_w") * F.col("value")).alias("_v"), F.sum(F.when(F.col("value").isNull() & (F.col("_w") > 0), 1).otherwise(0)).alias("_miss"))
+    return _on(sums, keys, edge).select(*keys, q_id, F.when(F.col("_miss") > 0, F.col("_edge")).otherwise(F.col("_v")).alias("value"))
 
 
 def ray_parents(tree: DataFrame) -> DataFrame:

@@ -157,16 +157,17 @@ def knn_grouped(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         there, asked = there.where(F.col(b).isNotNull()), asked.where(F.col(b).isNotNull())
 
     def search(one: pa.Table, two: pa.Table) -> pa.Table:
-        order = pc.sort_indices(two.column(right_id))
-        ids = two.column(right_id).take(order).combine_chunks()
-        at, want = np.array([two.column(c).take(order).to_numpy() for c in coords]), np.array([one.column(c).to_numpy() for c in coords])
+        order = pc.sort_indices(two.column("_id"))
+        ids = two.column("_id").take(order).combine_chunks()
+        at, want = np.array([two.column(f"_{c}").take(order).to_numpy() for c in coords]), np.array([one.column(c).to_numpy() for c in coords])
         found = list(_nearest_of(want, at, k)) if one.num_rows and two.num_rows else []
         rows, best, dist, rank = (np.concatenate([f[i] for f in found]) if found else np.empty(0, kind) for i, kind in enumerate((np.int64, np.int64, float, np.int32)))
         kept = one.select([*by, left_id]).take(pa.array(rows))
         return pa.table([*kept.columns, ids.take(pa.array(best)), pa.array(dist), pa.array(rank)], names=[*by, left_id, right_id, "dist", "rank"])
 
     kinds = ", ".join([*(f"`{b}` {left.schema[b].dataType.simpleString()}" for b in [*by, left_id]), f"`{right_id}` {right.schema[right_id].dataType.simpleString()}", "dist double", "rank int"])
-    return asked.groupBy(*by, "_part").cogroup(there.groupBy(*by, "_part")).applyInArrow(search, kinds)
+    there = there.select(*(F.col(c).alias(f"_{c}") for c in [*by, "_part"]), F.col(right_id).alias("_id"), *(F.col(c).alias(f"_{c}") for c in coords))  # both sides may come from one table
+    return asked.groupBy(*by, "_part").cogroup(there.groupBy(*(f"_{c}" for c in [*by, "_part"]))).applyInArrow(search, kinds)
 
 
 def within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float, coords: tuple[str, ...] = DXYZ) -> DataFrame:

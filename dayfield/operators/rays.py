@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import directions as d
 from ..functions import glare
+from ..session import scratch_folder
 from . import grid
 from .nearest import DXYZ, knn
 
@@ -146,3 +149,55 @@ def thin_raster(pixels: DataFrame, keys: list[str], levels: int, factor: int = 2
         kept = kept.withColumn("level", F.lit(level)).select(*keys, "level", "i", "j", "value")
         out = kept if out is None else out.unionByName(kept)
     return out
+
+
+def _there(spark, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def refine(pixels: DataFrame, keys: list[str], levels: int, size: int, factor: int = 2, seed: int | None = None, folder: str | None = None) -> DataFrame:
+    """(keys, level, i, j, value): the refinement loop over rasters (keys, i, j, value) of ``size`` * ``size`` pixels, coarse to fine.
+
+    Level 0 samples every cell. Each further level lifts the weights of the one before, draws the cells whose detail exceeds the level's
+    threshold (by detail at random with a ``seed``), samples only these, by bilinear look-up at their centres in the raster normalised per
+    key, and writes what it found into the weights; it ends early where nothing is drawn. So a level depends on what the level before kept.
+    Samples and weights of each level are written to ``folder`` (a new shared one if not given), with a mark when they are complete: a run that
+    is started again on the folder reads complete levels and goes on from there. A cell with a missing pixel takes the border's median."""
+    spark = pixels.sparkSession
+    folder = folder or scratch_folder(spark, "levels")
+    normed = grid.normalised(pixels, keys).select(*keys, "i", "j", F.col("norm").alias("value"))
+    weights, out = None, []
+    for level in range(levels):
+        at = f"{folder}/level-{level}"
+        if _there(spark, f"{at}/complete") is None:
+            step = factor ** (levels - 1 - level)
+            if level == 0:
+                cell = F.explode(F.sequence(F.lit(0), F.lit(size // step - 1)))
+                lifted = normed.select(*keys).distinct().withColumn("i", cell).withColumn("j", cell).withColumn("value", F.lit(1.0))
+                drawn = lifted
+            else:
+                lifted = grid.lift(weights, keys, factor)
+                found, limit = grid.detail(lifted, keys), grid.threshold(level, levels)
+                drawn = grid.draw(found, keys, limit) if seed is None else grid.draw_weighted(found, keys, limit, seed=seed + level)
+            asked = drawn.select(*keys, F.struct("i", "j").alias("_cell"), ((F.col("i") + 0.5) * step - 0.5).alias("i"), ((F.col("j") + 0.5) * step - 0.5).alias("j"))
+            seen = grid.bilinear(asked, normed, "_cell", keys).select(*keys, F.lit(level).alias("level"), F.col("_cell.i").cast("int").alias("i"), F.col("_cell.j").cast("int").alias("j"), "value")
+            seen.write.mode("overwrite").parquet(f"{at}/samples")
+            grid.updated(lifted, spark.read.parquet(f"{at}/samples"), keys).write.mode("overwrite").parquet(f"{at}/weights")
+            spark.range(1).write.mode("overwrite").parquet(f"{at}/complete")
+        samples, weights = spark.read.parquet(f"{at}/samples"), spark.read.parquet(f"{at}/weights")
+        if not samples.limit(1).count():
+            break
+        out.append(samples)
+    return reduce(DataFrame.unionByName, out) if out else normed.select(*keys, F.lit(0).alias("level"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "value").limit(0)
+
+
+def refined_rays(samples: DataFrame, key: str, levels: int, size: int, factor: int = 2, cells: int = 64, few: int = 100) -> DataFrame:
+    """(pt_id, ray_id, dx, dy, dz, lum, omega): the samples of ``refine`` as rays of the hemisphere at their cells' centres, with their
+    solid angles; ray_id is the level and the cell in one number."""
+    n = F.lit(size) / F.pow(F.lit(float(factor)), F.lit(levels - 1) - F.col("level"))
+    v = d.from_uv((F.col("i") + 0.5) / n, (F.col("j") + 0.5) / n)
+    at = samples.select(F.col(key).alias("pt_id"), ((F.col("level").cast("long") * size + F.col("i")) * size + F.col("j")).alias("ray_id"), v.x.alias("dx"), v.y.alias("dy"), v.z.alias("dz"), F.col("value").alias("lum"))
+    return solid_angles(at, cells, few)

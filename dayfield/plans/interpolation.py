@@ -211,6 +211,50 @@ def gr12_random_thinning(spark, sf_dir):
     return _thin(spark, sf_dir, seed=7)
 
 
+def _loop_ctes(random: bool) -> str:
+    """The loop level by level: s0..s2 are samples, w0..w2 weights, l1, l2 lifted weights, d1, d2 their detail."""
+    parts = ["normed AS (SELECT feature, i, j, CASE WHEN hi > lo THEN (value - lo)/(hi - lo) ELSE value END AS norm FROM (SELECT *, min(value) OVER (PARTITION BY feature) AS lo, max(value) OVER (PARTITION BY feature) AS hi FROM b_grid))",
+             "rim AS (SELECT feature, median(norm) AS edge FROM (SELECT *, max(i) OVER (PARTITION BY feature) AS hi, max(j) OVER (PARTITION BY feature) AS hj FROM normed) WHERE i = 0 OR j = 0 OR i = hi OR j = hj GROUP BY feature)"]
+    picks = ["(SELECT feature, a.i AS i, b.j AS j FROM (SELECT DISTINCT feature FROM b_grid), range(4) a(i), range(4) b(j))"]
+    for level in (1, 2):
+        limit = grid.threshold(level, 3)
+        if random:
+            picks.append(f"(SELECT feature, i, j FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY key, i, j) AS k FROM (SELECT *, -ln(greatest({q.uniform(11 + level, 'feature', 'i', 'j')}, 1e-12))/CASE WHEN has_any THEN least(detail, {2 * limit!r}) ELSE 1 END AS key FROM (SELECT *, greatest(sum(CASE WHEN detail > {limit!r} THEN 1 ELSE 0 END) OVER (PARTITION BY feature), 1) AS n, bool_or(detail > {0.5 * limit!r}) OVER (PARTITION BY feature) AS has_any FROM d{level}) WHERE detail > {0.5 * limit!r} OR NOT has_any)) WHERE k <= n)")
+        else:
+            picks.append(f"(SELECT feature, i, j FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY detail > {limit!r} DESC, i, j) AS k FROM d{level}) WHERE detail > {limit!r} OR k <= 1)")
+    for level, step in ((0, 4), (1, 2), (2, 1)):
+        if level:
+            parts.append(f"l{level} AS (SELECT feature, i*2 + a AS i, j*2 + b AS j, value FROM w{level - 1}, (VALUES (0), (1)) a(a), (VALUES (0), (1)) b(b))")
+            parts.append(f"d{level} AS ({detail_sql(f'l{level}')})")
+        first, taps = {4: (1, 2), 2: (0, 2), 1: (0, 1)}[step]
+        parts.append(f"s{level} AS (SELECT p.feature, p.i, p.j, CASE WHEN count(n.norm) = {taps * taps} THEN avg(n.norm) ELSE any_value(edge) END AS value FROM {picks[level]} p JOIN rim USING (feature) CROSS JOIN range({taps}) a(a) CROSS JOIN range({taps}) b(b) LEFT JOIN normed n ON n.feature = p.feature AND n.i = p.i*{step} + {first} + a AND n.j = p.j*{step} + {first} + b GROUP BY p.feature, p.i, p.j)")
+        if level < 2:
+            parts.append(f"w{level} AS (SELECT c.feature, c.i, c.j, coalesce(s.value, c.value) AS value FROM {'(SELECT *, 1.0 AS value FROM ' + picks[0] + ')' if level == 0 else f'l{level}'} c LEFT JOIN s{level} s USING (feature, i, j))")
+    return ", ".join(parts)
+
+
+_LOOP = "SELECT feature, level, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(value, 6) + 0.0 AS value FROM (SELECT 0 AS level, * FROM s0 UNION ALL SELECT 1, * FROM s1 UNION ALL SELECT 2, * FROM s2)"
+
+
+@query(oracle(_LOOP, "b_grid", ctes=_loop_ctes(False)))
+def gr12_refinement_loop(spark, sf_dir):
+    """The loop itself: each level draws from the weights that the level before left."""
+    return rounded(rays.refine(binding(spark, sf_dir, "b_grid"), ["feature"], 3, 16), "value").select("feature", "level", "i", "j", "value")
+
+
+@query(oracle(_LOOP, "b_grid", ctes=_loop_ctes(True)))
+def gr12_random_loop(spark, sf_dir):
+    """The same with cells drawn by detail."""
+    return rounded(rays.refine(binding(spark, sf_dir, "b_grid"), ["feature"], 3, 16, seed=11), "value").select("feature", "level", "i", "j", "value")
+
+
+@query()
+def gr12_loop_angles(spark, sf_dir):
+    """Solid angles of the rays that the loop kept. No SQL: its cells lie as far from one ray as from another; held by pytest."""
+    samples = rays.refine(binding(spark, sf_dir, "b_grid"), ["feature"], 3, 16)
+    return rounded(rays.refined_rays(samples, "feature", 3, 16, cells=32, few=1), "omega").select("pt_id", "ray_id", "omega")
+
+
 @query(oracle("SELECT ray_id, pt_id, round(lum, 4) AS lum FROM b_dirs UNION ALL SELECT ray_id, pt_id, round(lum, 4) FROM b_rays", "b_dirs", "b_rays"))
 def st03_append_rays(spark, sf_dir):
     found = rays.appended(binding(spark, sf_dir, "b_dirs"), binding(spark, sf_dir, "b_rays"))

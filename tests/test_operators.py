@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -401,3 +402,34 @@ def test_local_plane_is_the_delaunay_one(spark, layout):
         want = {float(w @ values[t]) for t, m in circles if (w := np.linalg.solve(m.T, [*q, 1])).min() >= -1e-11}
         near = values[np.isclose(((at - q) ** 2).sum(axis=1), ((at - q) ** 2).sum(axis=1).min(), atol=1e-14)]
         assert min(abs(got[i] - v) for v in (want or near)) < 1e-6
+
+
+@pytest.mark.parametrize("ranked", [1, 100_000])
+def test_first_rows_of_large_runs(spark, monkeypatch, ranked):
+    monkeypatch.setattr(grid, "BUCKETS", 4)
+    rnd = random.Random(1)
+    rows = [(g, float(rnd.choice([0.0, 0.1, rnd.random(), rnd.random() ** 9])), i % 13, i // 13, n) for g, n, many in ((0, 70, 300), (1, 1, 40), (2, 500, 60), (3, 7, 7), (None, 3, 9)) for i in range(many)]
+    df = spark.createDataFrame([r for r in rows if r[0] is not None], "g int, w double, i int, j int, n int")
+    got = {(r["g"], r["i"], r["j"]) for r in grid.first_n(df, ["g"], ["w", "i", "j"], "n", ranked).collect()}
+    want = {(r[0], r[2], r[3]) for g in range(4) for r in sorted((r for r in rows if r[0] == g), key=lambda r: r[1:4])[: {0: 70, 1: 1, 2: 500, 3: 7}[g]]}
+    assert got == want
+    alone = df.where("g = 0").drop("g")
+    assert grid.first_n(alone, [], ["w", "i", "j"], "n", ranked).count() == 70
+
+
+def test_refinement_goes_on_from_a_complete_level(spark, tmp_path):
+    rows = [(k, i, j, float((i * 7 + j * 3 + k) % 11 + (20 if (i, j) == (5, 5) else 0))) for k in range(2) for i in range(8) for j in range(8)]
+    pixels = spark.createDataFrame(rows, "k int, i int, j int, value double")
+    read = lambda df: sorted(map(tuple, df.select("k", "level", "i", "j", "value").collect()))
+    whole = read(rays.refine(pixels, ["k"], 3, 8, folder=str(tmp_path / "a")))
+    assert {r[1] for r in whole} == {0, 1, 2} and sum(r[1] == 0 for r in whole) == 8
+    rays.refine(pixels, ["k"], 3, 8, folder=str(tmp_path / "b")).count()
+    shutil.rmtree(tmp_path / "b" / "level-2")
+    shutil.rmtree(tmp_path / "b" / "level-1" / "complete")
+    marked = (tmp_path / "b" / "level-0" / "samples" / "_SUCCESS").stat().st_mtime_ns
+    assert read(rays.refine(pixels, ["k"], 3, 8, folder=str(tmp_path / "b"))) == whole
+    assert (tmp_path / "b" / "level-0" / "samples" / "_SUCCESS").stat().st_mtime_ns == marked
+    assert rays.refine(pixels.limit(0), ["k"], 3, 8).count() == 0
+    angles = rays.refined_rays(rays.refine(pixels, ["k"], 3, 8), "k", 3, 8, cells=16, few=1).groupBy("pt_id").agg(F.sum("omega").alias("o"), F.count("*").alias("n"), F.min("dz").alias("dz")).collect()
+    assert sorted((r["pt_id"], r["n"]) for r in angles) == [(k, sum(r[0] == k for r in whole)) for k in range(2)]
+    assert all(r["o"] == pytest.approx(2 * math.pi) and r["dz"] > 0 for r in angles)
