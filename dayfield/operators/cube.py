@@ -39,9 +39,21 @@ def axis_filter(result: DataFrame, **wanted) -> DataFrame:
     return result
 
 
+#: Labels of one axis that may become columns or names in a plan.
+MOST_LABELS = 10_000
+
+
+def _labels(rows: DataFrame, axis: str) -> list:
+    """The distinct labels of an axis in order; more than MOST_LABELS are an error, never a part of them."""
+    found = [r[0] for r in rows.select(axis).distinct().orderBy(axis).limit(MOST_LABELS + 1).collect()]
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"{axis} has more than {MOST_LABELS} labels: name the ones to take")
+    return found
+
+
 def metric_filter(result: DataFrame, wanted: list[str | int]) -> DataFrame:
     """Rows of metrics by name or by place in their order; unknown names warn and are left out."""
-    known = [r[0] for r in result.select("metric").distinct().orderBy("metric").limit(10_000).collect()]
+    known = _labels(result, "metric")
     names = [known[w] if isinstance(w, int) and -len(known) <= w < len(known) else w for w in wanted]
     for name in names:
         if name not in known:
@@ -80,11 +92,11 @@ def pull_axes(result: DataFrame, *axes: str | int, labels: dict[str, list] | Non
     """The cube with the first ``preserve`` axes (of ``pull_order``) as columns and the others as label columns of the rows.
 
     Columns are named by their labels, joined by "_" where several axes are kept. ``labels`` gives the values of the kept axes; an
-    axis that is left out takes the distinct ones (a bounded list: they become columns)."""
+    axis that is left out takes the distinct ones (they become columns: more than MOST_LABELS are an error)."""
     order = pull_order(*axes)
     kept, rows = order[:preserve], order[preserve:]
     found = axis_filter(result, **filters)
-    known = {a: (labels or {}).get(a) or [r[0] for r in found.select(a).distinct().orderBy(a).limit(10_000).collect()] for a in kept}
+    known = {a: (labels or {}).get(a) or _labels(found, a) for a in kept}
     names = ["_".join(map(str, combo)) for combo in itertools.product(*known.values())]
     key = F.concat_ws("_", *(F.col(a).cast("string") for a in kept))
     return found.withColumn("_column", key).groupBy(*rows).pivot("_column", names).agg(F.first("value"))

@@ -121,7 +121,7 @@ def plan_grid(zones: DataFrame, resolution: float, level: int = 0, jitter: int |
 def uv_of(points: DataFrame, zones: DataFrame) -> DataFrame:
     """Adds u, v: position in the zone's box after turning it back by its rotation."""
     box = extents(zones).join(zones.select("zone", "rotation").distinct(), "zone")
-    turned = points.join(F.broadcast(box.select("zone", "x0", "y0", "x1", "y1", "cx", "cy", "rotation")), "zone")
+    turned = points.join(box.select("zone", "x0", "y0", "x1", "y1", "cx", "cy", "rotation"), "zone")
     x, y = d.rotate_z(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), -F.col("rotation"))
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     return turned.withColumn("u", (x + F.col("cx") - F.col("x0")) / side).withColumn("v", (y + F.col("cy") - F.col("y0")) / side).drop("x0", "y0", "x1", "y1", "cx", "cy", "rotation")

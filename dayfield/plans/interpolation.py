@@ -318,6 +318,21 @@ def mt19_peak_correction(spark, sf_dir):
     return rounded(metrics.evaluate(fixed, ("img",), ["illum"]), "illum", digits=3).select("img", "illum").join(area, "img")
 
 
+_PEAKED = f"""run AS (SELECT *, sum(omega) OVER w AS run, row_number() OVER w AS k FROM (SELECT feature AS img, i, j, value/1E4 AS lum, 2*pi()/256 AS omega, (i + 0.5)/16 AS u, (j + 0.5)/16 AS v FROM b_grid) WINDOW w AS (PARTITION BY img ORDER BY lum DESC, i, j ROWS UNBOUNDED PRECEDING)),
+evened AS (SELECT *, CASE WHEN peak THEN sum(lum*omega) OVER (PARTITION BY img, peak)/sum(omega) OVER (PARTITION BY img, peak) ELSE lum END AS ml FROM (SELECT *, run <= 0.1*(1 + 1e-9) OR k = 1 AS peak FROM run)),
+spread AS (SELECT img, u, v, CASE WHEN peak THEN wide ELSE omega END AS omega, CASE WHEN peak THEN ml*omega/wide ELSE ml END AS lum, 0.0 AS vx, 0.0 AS vy, 1.0 AS vz FROM (SELECT *, pi()*pow(radians(degrees(sqrt(omega/pi())) + greatest(least(0.0916665*sqrt(greatest(log10(greatest(ml, 1)), 0)), 1.5), 0)), 2) AS wide FROM evened)),
+lit AS (SELECT img, sum(lum*omega*dz)*179 AS illum, coalesce(sum(CASE WHEN lum*179 > 900 THEN lum*omega*dz END), 0)*179 AS srcillum, coalesce(sum(CASE WHEN lum*179 > 900 THEN lum*lum*omega*179*179/(pos*pos) END), 0) AS pwsl2 FROM ({q.position(q.from_uv("SELECT * FROM spread", out="d"))}) GROUP BY img)"""
+
+
+@query(oracle("SELECT img, round(least((CASE WHEN illum < 500 THEN exp(0.024*illum - 4)/(1 + exp(0.024*illum - 4)) ELSE 1 END)*(5.87e-5*illum + 9.18e-2*log10(1 + pwsl2/pow(illum, 1.87)) + 0.16), 1), 7) + 0.0 AS dgp, round(pow(1 + 2.0/7*pow(10, -(greatest(CASE WHEN pwsl2 > 0 AND illum - srcillum > 0 THEN 8*log10(0.25*pwsl2/((illum - srcillum)/pi())) ELSE 0 END, 0) + 5)/40), -10), 7) + 0.0 AS ugp, round(pwsl2, 3) + 0.0 AS pwsl2 FROM lit", "b_grid", ctes=_PEAKED))
+def mt19_blurred_glare(spark, sf_dir):
+    """Glare of every image after peak correction and blur, which spreads its sources."""
+    pixels = rays.pixel_rays(binding(spark, sf_dir, "b_grid").select(F.col("feature").alias("img"), "i", "j", (F.col("value") / 1e4).alias("lum")), 16)
+    blurred = rays.peak_corrected(pixels, ["img"], 0.1, blur=True)
+    found = metrics.evaluate(blurred, ("img",), ["dgp", "ugp", "pwsl2"], 900.0)
+    return rounded(rounded(found, "dgp", "ugp", digits=7), "pwsl2", digits=3)
+
+
 @query(oracle("SELECT img, round(sum(lum*omega), 4) AS energy FROM (SELECT feature AS img, value AS lum, 2*pi()/256 AS omega FROM b_grid) GROUP BY img", "b_grid"))
 def mt19_blurred_sun(spark, sf_dir):
     """Peak correction and blur keep the energy of every image."""

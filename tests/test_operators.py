@@ -433,3 +433,18 @@ def test_refinement_goes_on_from_a_complete_level(spark, tmp_path):
     angles = rays.refined_rays(rays.refine(pixels, ["k"], 3, 8), "k", 3, 8, cells=16, few=1).groupBy("pt_id").agg(F.sum("omega").alias("o"), F.count("*").alias("n"), F.min("dz").alias("dz")).collect()
     assert sorted((r["pt_id"], r["n"]) for r in angles) == [(k, sum(r[0] == k for r in whole)) for k in range(2)]
     assert all(r["o"] == pytest.approx(2 * math.pi) and r["dz"] > 0 for r in angles)
+
+
+def test_blur_changes_glare(spark):
+    pixels = rays.pixel_rays(spark.createDataFrame([(0, i, j, 500.0 if (i, j) == (7, 7) else 3.0) for i in range(16) for j in range(16)], "img int, i int, j int, lum double"), 16)
+    plain, blurred = (metrics.evaluate(rays.peak_corrected(pixels, ["img"], 0.02, blur=b), ("img",), ["dgp", "illum"], 900.0).first() for b in (False, True))
+    assert blurred["dgp"] < plain["dgp"] - 1e-4 and blurred["illum"] == pytest.approx(plain["illum"])
+
+
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(cube, "MOST_LABELS", 3)
+    result = spark.createDataFrame([(1, 1, "v", f"m{k}", 1.0) for k in range(4)], "sky int, point int, view string, metric string, value double")
+    with pytest.raises(ValueError):
+        cube.metric_filter(result, ["m0"])
+    with pytest.raises(ValueError):
+        cube.pull_axes(result, "metric")
