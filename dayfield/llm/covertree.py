@@ -96,7 +96,11 @@ def _hung(rows: pa.Table, nets: pa.Table) -> pa.Table:
     return out.append_column("gap", pa.array(np.where(far, own, gap)))
 
 
-def build(classes: DataFrame, reach: float, node_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+#: Nodes with more rows are divided, where the next level would not be the rows themselves; children that stand in one row of a join.
+NODE_ROWS, CHILDREN = 64, 64
+
+
+def build(classes: DataFrame, reach: float, node_rows: int = NODE_ROWS) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes) of the cover tree over ``classes`` (class, vec, w).
 
     rows: class, vec, w, node (its leaf). nodes: node, parent, centre, radius (the most it may cover), cover (measured over all rows
@@ -139,9 +143,13 @@ def build(classes: DataFrame, reach: float, node_rows: int = 4096) -> tuple[Data
 
 
 def _children(nodes: DataFrame) -> DataFrame:
-    """(of, below): the children of each open node, and each leaf as its own only child."""
+    """(of, piece, below): the children of each open node in pieces of about CHILDREN, and each leaf as its own only child."""
     child = F.struct("node", "centre", "cover", "n", "open")
-    return nodes.select(F.when(F.col("open"), F.lit(None)).otherwise(F.col("node")).alias("own"), "parent", child.alias("c")).select(F.explode(F.array_compact(F.array(F.col("own"), F.when(F.col("parent") != "", F.col("parent"))))).alias("of"), "c").groupBy("of").agg(F.sort_array(F.collect_list("c")).alias("below"))
+    own, parent = F.when(~F.col("open"), F.col("node")), F.when(F.col("parent") != "", F.col("parent"))
+    each = nodes.select(F.explode(F.array_compact(F.array(own, parent))).alias("of"), child.alias("c"))
+    counts = each.groupBy(F.col("of").alias("_of")).agg(F.ceil(F.count("*") / CHILDREN).cast("int").alias("_pieces"))
+    dealt = each.join(counts, F.col("of") == F.col("_of")).withColumn("piece", F.pmod(F.xxhash64("c.node"), F.col("_pieces")).cast("int"))
+    return dealt.groupBy("of", "piece").agg(F.sort_array(F.collect_list("c")).alias("below"))
 
 
 def _listed(column: pa.Array, k: int) -> tuple[pa.StructArray, np.ndarray | None]:
@@ -156,7 +164,7 @@ def _surviving(batches: Iterator[pa.RecordBatch], reach: float) -> Iterator[pa.R
         for k in range(batch.num_rows):
             (left, x), (right, y) = _listed(batch.column(2), k), _listed(batch.column(3), k)
             near = _apart(x, y) <= reach + SLACK + np.add.outer(left.field("cover").to_numpy(), right.field("cover").to_numpy())
-            if batch.column(0)[k] == batch.column(1)[k]:
+            if batch.column(4)[k].as_py():
                 near = np.triu(near)
             a, b = (pa.array(at) for at in np.nonzero(near))
             columns = [left.field("node").take(a), right.field("node").take(b), left.field("n").take(a), right.field("n").take(b), left.field("open").take(a), right.field("open").take(b)]
@@ -167,11 +175,12 @@ def traverse(nodes: DataFrame, reach: float) -> tuple[DataFrame, list[tuple[int,
     """(i, j, n_i, n_j): the leaf pairs that may hold vectors within ``reach``, and (pairs tested, pairs kept) of each level.
 
     The dual traversal starts with each root and itself; both sides of a pair that survives go down one level together, a leaf
-    stays what it is. Only a root that is a leaf has no centre; it has no partner but itself. Each level is one join of the surviving pairs with the children of both sides."""
+    stays what it is. Only a root that is a leaf has no centre; it has no partner but itself. Each level is one join of the surviving pairs with the
+    children of both sides, piece by piece."""
     below = written(_children(nodes), "children")
     pairs = nodes.where("parent = ''").select(F.col("node").alias("i"), F.col("node").alias("j"), F.col("n").alias("n_i"), F.col("n").alias("n_j"), F.col("open").alias("open_i"), F.col("open").alias("open_j"))
     leaves, figures = [], []
-    sizes = below.select("of", F.size("below").cast("long").alias("c"))
+    sizes = below.groupBy("of").agg(F.sum(F.size("below")).cast("long").alias("c"))
     while True:
         leaves.append(pairs.where("not open_i and not open_j").select("i", "j", "n_i", "n_j"))
         go = pairs.where("open_i or open_j").select("i", "j")
@@ -179,7 +188,8 @@ def traverse(nodes: DataFrame, reach: float) -> tuple[DataFrame, list[tuple[int,
         tested = count.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("c_i") * (F.col("c_i") + 1) / 2).otherwise(F.col("c_i") * F.col("c_j"))).cast("long")).first()[0]
         if not tested:
             break
-        both = go.join(below.select(F.col("of").alias("i"), F.col("below").alias("mine")), "i").join(below.select(F.col("of").alias("j"), F.col("below").alias("theirs")), "j").select("i", "j", "mine", "theirs")
+        side = lambda node, piece, name: below.select(F.col("of").alias(node), F.col("piece").alias(piece), F.col("below").alias(name))
+        both = go.join(side("i", "_p", "mine"), "i").join(side("j", "_q", "theirs"), "j").where("i <> j or _p <= _q").select("i", "j", "mine", "theirs", F.expr("i = j and _p = _q").alias("same"))
         pairs = written(both.mapInArrow(lambda b: _surviving(b, reach), "i string, j string, n_i long, n_j long, open_i boolean, open_j boolean"), "pairs")
         figures.append((tested, pairs.count()))
     out = leaves[0]
@@ -268,7 +278,7 @@ def _block_pair(group: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(np.concatenate(out_a).astype(np.int64)), "b": pa.array(np.concatenate(out_b).astype(np.int64), mask=n > 0), "n": pa.array(n)})
 
 
-def links(classes: DataFrame, threshold: float, node_rows: int = 4096, block: int = 4096) -> DataFrame:
+def links(classes: DataFrame, threshold: float, node_rows: int = NODE_ROWS, block: int = 4096) -> DataFrame:
     """(a, b, n) over ``classes`` (class, vec, w): n other vectors link with class a (b null), or a and b are connected (n 0)."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     rows, nodes = build(classes, reach, node_rows)
@@ -292,7 +302,7 @@ def links(classes: DataFrame, threshold: float, node_rows: int = 4096, block: in
     return written(found.union(within), "links")
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.9, node_rows: int = 4096, block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.9, node_rows: int = NODE_ROWS, block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per vec_id: vec_id, n_links, component_id, kept.
 
     Two vectors link if their cosine (double precision) is ``threshold`` or more. Equal vectors (by two 64-bit hashes) are one class

@@ -39,13 +39,14 @@ def _rate(lam: Column, size: Column, mean: Column, most: float) -> Column:
     return F.least(F.exp(F.least(F.greatest(lam * size / mean, F.lit(-60.0)), F.lit(5.0))), F.lit(most))
 
 
-def balance(sizes: DataFrame, sources: DataFrame, most: float = 2.0, rounds: int = 40, tolerance: float = 1e-4) -> DataFrame:
+def balance(sizes: DataFrame, sources: DataFrame, most: float = 2.0, rounds: int = 60, tolerance: float = 1e-4) -> DataFrame:
     """``sources`` with ``lam``: the multipliers of the dual.
 
     The dual of "least relative entropy to rate 1, with the tokens of each source equal to its target" is convex, and its
     Hessian has one entry per source. Each Newton step is one grouped aggregation of (source, size, n) joined to the current
     multipliers; a step that leaves the bracket of earlier signs is replaced by the middle of the bracket. All sources step
-    together. Sources at their cap or without words need no multiplier (rate ``most`` and 1)."""
+    together. Sources at their cap or without words need no multiplier (rate ``most`` and 1). Multipliers that have not settled after
+    ``rounds`` steps are an error."""
     span = 400.0
     state = sources.withColumn("mean", F.when(F.col("source_size") > 0, F.col("source_size") / F.col("n_docs")).otherwise(1.0))
     state = state.withColumn("done", F.col("full") | (F.col("source_size") == 0)).withColumn("lam", F.lit(0.0)).withColumn("lo", F.lit(-span)).withColumn("hi", F.lit(span))
@@ -69,6 +70,8 @@ def balance(sizes: DataFrame, sources: DataFrame, most: float = 2.0, rounds: int
         joined = joined.withColumn("lo", F.coalesce(lo, F.col("lo"))).withColumn("hi", F.coalesce(hi, F.col("hi")))
         joined = joined.withColumn("done", F.col("done") | F.coalesce(near, F.lit(True))).withColumn("lam", F.when(F.col("done"), F.col("lam")).otherwise(F.round(moved, 12)))
         state = written(joined.drop("tokens", "slope"), "balance")
+    if state.where("not done").limit(1).count():
+        raise RuntimeError(f"the multipliers did not settle in {rounds} steps")
     return state
 
 
@@ -107,7 +110,6 @@ def _plan(docs: DataFrame, weights, share: float, most: float, seed: int, id_col
     state = written(state.join(lacks, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of"), "state")
     rated = rated.join(lacks, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     rated = rated.withColumn("room", _room(F.col("size"), F.col("whole"), F.col("lack"), most))
-    largest = state.agg(F.max("n_docs")).first()[0] or 0
     held = bucket_count(state.agg(F.max("n_docs")).first()[0] or 0)
     high = F.shiftright("_h", 64 - max(1, (held - 1).bit_length())).cast("int")
     return prefix_sums(rated, ["source"], ["_h", "doc_id", "size"], F.col("room"), "before", bucket=high), state

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import table, written
+from .common import table, unique_join, written
 
 SYMBOLS = "#$%&*@^~<>{}[]=|\\_+"
 
@@ -230,22 +230,27 @@ def sites(scored: DataFrame) -> Sites:
     return Sites(joined, rate, host_pull, _strength(centred, F.col("centre")))
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = 6000, least: float = 0.5, columns: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = 6000, least: float = 0.5, columns: list[str] | None = None, broadcast_sites: int = 100_000) -> DataFrame:
     """``docs`` (or its ``columns``) with host_quality, path_quality, evidence, p_quality and keep (p_quality >= ``least``).
 
     log odds = evidence of the whole text + log odds of its path's posterior, both posteriors taken without the document itself,
     so that no text counts twice. ``host`` and ``path`` default to the source and its language. Null hosts and paths are sites
     of their own. Null, empty and very long texts are judged like any other; repeated rows stay. Without labels of both classes
     the evidence is 0 and every document is kept; an empty table gives no rows. Columns of ``docs`` of the five new names are
-    replaced; others pass through. Texts are read by Python once: rows and evidence are written, and no text is shuffled."""
+    replaced; others pass through. Texts are read by Python once: rows and evidence are written. Up to ``broadcast_sites``
+    sites (counted) are sent to every task and no text is shuffled; beyond, sites that hold over a thousandth of all rows still are, and
+    only the rows of the others are shuffled by their site."""
     model = train(docs, labels, sample)
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
     new = ("host_quality", "path_quality", "evidence", "p_quality", "keep")
     kept = [c for c in (docs.columns if columns is None else columns) if c not in new]
     scored = written(docs.select(F.struct(*kept).alias("row"), host.alias("host"), path.alias("path"), F.round(_evidence(docs, model), 9).alias("evidence")), "scored")
     found = sites(scored.select("host", "path", "evidence"))
-    at = found.rows.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_n", "host_good", "path_n", "path_good")
-    out = scored.join(at, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))).withColumn("_own", found.own(F.col("evidence")))
+    site = F.to_json(F.struct("host", "path")).alias("site")  # one key without nulls
+    at = found.rows.select(site, "host_n", "host_good", "path_n", "path_good", F.col("path_n").alias("n"))
+    keyed = scored.select("row", "evidence", site)
+    met = keyed.join(F.broadcast(at.drop("n")), "site") if at.limit(broadcast_sites + 1).count() <= broadcast_sites else unique_join(keyed, at, "site")
+    out = met.withColumn("_own", found.own(F.col("evidence")))
     out = out.select("row.*", found.host_quality(F.col("_own")).alias("host_quality"), found.path_quality(F.col("_own")).alias("path_quality"), "evidence")
     out = out.withColumn("p_quality", _sigmoid(F.col("evidence") + _logit(F.col("path_quality"))))
     return out.withColumn("keep", F.col("p_quality") >= least)

@@ -38,12 +38,16 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.where("op = 'add' and (until is null or until > at)").select("list", "action", "key", F.col("at").alias("since"), "until")
 
 
-def active_at(asked: DataFrame, spans: DataFrame, salts: int = 16) -> DataFrame:
-    """``asked`` (key, _salt, _time, ..) with the ``list`` and ``action`` of every interval that holds at ``_time``.
+def active_at(asked: DataFrame, spans: DataFrame, each: int = 20_000) -> DataFrame:
+    """``asked`` (key, _time, ..) with the ``list`` and ``action`` of every interval that holds at ``_time``.
 
     As-of join: intervals of one (key, list) do not overlap, so rows and intervals are ordered by time together and each row
-    sees the last interval that began at or before it; no row meets the other intervals of its key."""
-    dealt = spans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    sees the last interval that began at or before it; no row meets the other intervals of its key. A key with more than ``each`` rows is
+    dealt by hash into parts of about that many, counted per key; each part has all intervals of the key."""
+    only = [c for c in asked.columns]
+    parts = asked.groupBy("key").agg(F.ceil(F.count("*") / each).cast("int").alias("_parts")).where("_parts > 1")
+    asked = asked.join(parts, "key", "left").withColumn("_salt", F.pmod(F.xxhash64(*only), F.coalesce("_parts", F.lit(1))).cast("int")).select(*only, "_salt")
+    dealt = spans.join(parts, "key", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     lists = dealt.select("key", "_salt", "list").distinct()
     rows = asked.join(lists, ["key", "_salt"]).select("key", "_salt", "list", F.col("_time").alias("_at"), F.struct(*asked.columns).alias("_row"), F.lit(None).cast(dealt.select(F.struct("action", "until")).schema[0].dataType).alias("_span"))
     starts = dealt.select("key", "_salt", "list", F.col("since").alias("_at"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.struct("action", "until").alias("_span"))
@@ -52,20 +56,20 @@ def active_at(asked: DataFrame, spans: DataFrame, salts: int = 16) -> DataFrame:
     return met.where("_span.until is null or _at < _span.until").select("_row.*", "list", "_span.action")
 
 
-def apply_lists(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched", salts: int = 16) -> DataFrame:
+def apply_lists(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched", each: int = 20_000) -> DataFrame:
     """``captures`` with n_active, list, key and verdict (allow, block or keep).
 
     An entry counts if since <= fetch time < until and its key is the URL's host, a parent domain or host plus first segment. The
     most specific key wins; at one key, allow before block, then the list that is first by name. No active entry, a null or
     malformed URL and a null time give ``keep``. Repeated captures are decided once and each returned; existing columns of the
-    four names are replaced, those that start with two underscores must not be there. Keys that many captures share are spread
-    over ``salts`` parts; each part has all entries of the key. Empty tables give no rows, or ``keep`` for every capture."""
+    four names are replaced, others pass through, whatever their names. Keys that more than ``each`` captures share are dealt into
+    parts. Empty tables give no rows, or ``keep`` for every capture."""
     distinct = captures.select(F.col(url_col).alias("_url"), F.col(time_col).alias("_time")).where("_url is not null and _time is not null").distinct()
     asked = distinct.withColumn("_k", F.explode(keys_of(F.col("_url")))).select("_url", "_time", F.col("_k.key").alias("key"), F.col("_k.rank").alias("_rank"))
-    asked = asked.withColumn("_salt", F.pmod(F.xxhash64("_url", "_time"), F.lit(salts)).cast("int"))
-    met = active_at(asked, intervals(entries), salts)
+    met = active_at(asked, intervals(entries), each)
     first = F.min(F.struct((-F.col("_rank")).alias("r"), F.col("action").alias("action"), F.col("list").alias("list"), F.col("key").alias("key")))
-    decided = met.groupBy(F.col("_url").alias("__url"), F.col("_time").alias("__time")).agg(F.count("*").alias("__n"), first.alias("__first"))
+    decided = met.groupBy("_url", "_time").agg(F.count("*").alias("_n"), first.alias("_first"))
     kept = [c for c in captures.columns if c not in ("n_active", "list", "key", "verdict")]
-    rows = captures.select(*kept).join(decided, (F.col(url_col) == F.col("__url")) & (F.col(time_col) == F.col("__time")), "left")
-    return rows.select(*kept, F.coalesce("__n", F.lit(0)).cast("long").alias("n_active"), F.col("__first.list").alias("list"), F.col("__first.key").alias("key"), F.coalesce("__first.action", F.lit("keep")).alias("verdict"))
+    rows = captures.select(F.struct(*kept).alias("_row"), F.col(url_col).alias("_u"), F.col(time_col).alias("_t"))
+    rows = rows.join(decided, (F.col("_u") == F.col("_url")) & (F.col("_t") == F.col("_time")), "left")
+    return rows.select("_row.*", F.coalesce("_n", F.lit(0)).cast("long").alias("n_active"), F.col("_first.list").alias("list"), F.col("_first.key").alias("key"), F.coalesce("_first.action", F.lit("keep")).alias("verdict"))
