@@ -40,6 +40,14 @@ def jn01_nearest_ray(spark, sf_dir):
     return found.select("q_id", "ray_id", F.round("dist", 6).alias("dist"))
 
 
+@query(oracle(f"SELECT q_id, ray_id, round(sqrt(d2), 6) AS dist FROM (SELECT q.ray_id AS q_id, p.ray_id, {V2} AS d2, row_number() OVER (PARTITION BY q.ray_id ORDER BY {V2}, p.ray_id) AS k FROM b_rays q, b_dirs p) WHERE k = 1", "b_dirs", "b_rays"))
+def jn01_nearest_among_many(spark, sf_dir):
+    """The large table on the right: cells instead of one copy per task."""
+    q = binding(spark, sf_dir, "b_rays").withColumnRenamed("ray_id", "q_id")
+    found = nearest.nearest(q, binding(spark, sf_dir, "b_dirs"), "q_id", "ray_id", nearest.DXYZ, 2.0)
+    return found.select("q_id", "ray_id", F.round("dist", 6).alias("dist"))
+
+
 @query(oracle("SELECT q_id, pt_id, round(sqrt(d2), 6) AS dist FROM near", "b_queries", "b_points", ctes=NEAR))
 def jn02_nearest_point(spark, sf_dir):
     return near_points(spark, sf_dir).select("q_id", "pt_id", F.round("dist", 6).alias("dist"))
