@@ -149,7 +149,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(doc_id, lang_pred, score) for every row: the class with the largest output, and that output within 0 and 1.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text if nothing was learned. Ties go to the
-    language that is first by name. Only id and text are read."""
+    language that is first by name. Only id and text are read; repeated rows are judged each; texts of any length are read whole; an empty
+    table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,7 +86,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, keep_id
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): only documents over ``capacity`` are cut, the first piece is the rest.
 
-    ``vocabulary`` is a file that every executor has. Null texts are empty: one piece with the end id."""
+    ``vocabulary`` is a file that every executor has. Null texts are empty: one piece with the end id. Texts of any length are encoded
+    whole; repeated rows give their pieces each; other columns are not read; an empty table gives no rows."""
     path = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
