@@ -40,9 +40,16 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(value, F.lit(high)), F.lit(low))
 
 
+def atan2(y: Column, x: Column) -> Column:
+    """IEEE's atan2, which heeds the sign of zeros; Spark's takes -0 for 0."""
+    minus = lambda c: c.cast("string").startswith("-")
+    level = F.when(minus(x), F.lit(PI)).otherwise(0.0)
+    return F.when((y == 0) & x.isNotNull() & ~F.isnan(x), F.when(minus(y), -level).otherwise(level)).otherwise(F.atan2(y, x))
+
+
 def to_alt_az(v: Xyz) -> tuple[Column, Column]:
     """Degrees above the horizon and azimuth in -180..180."""
-    return F.degrees(F.asin(clip(v.z, -1.0, 1.0))), F.degrees(F.atan2(-v.x, -v.y))
+    return F.degrees(F.asin(clip(v.z, -1.0, 1.0))), F.degrees(atan2(-v.x, -v.y))
 
 
 def from_alt_az(alt: Column, az: Column) -> Xyz:
@@ -51,7 +58,7 @@ def from_alt_az(alt: Column, az: Column) -> Xyz:
 
 
 def to_theta_phi(v: Xyz) -> tuple[Column, Column]:
-    return F.acos(clip(v.z, -1.0, 1.0)), F.atan2(v.y, v.x)
+    return F.acos(clip(v.z, -1.0, 1.0)), atan2(v.y, v.x)
 
 
 def from_theta_phi(theta: Column, phi: Column) -> Xyz:
@@ -67,7 +74,7 @@ def to_angular(v: Xyz) -> tuple[Column, Column]:
 def to_uv(v: Xyz) -> tuple[Column, Column]:
     """Square coordinates of a unit vector: u in 0..1 above, 1..2 below the horizon, v in 0..1."""
     r = F.sqrt(F.greatest(1 - F.abs(v.z), F.lit(0.0)))
-    raw = F.atan2(v.y, v.x)
+    raw = atan2(v.y, v.x)
     phi = F.when(raw < -PI / 4, raw + 2 * PI).otherwise(raw)
     q = PI / 4
     a = F.when(phi < q, r).when(phi < 3 * q, -(phi - PI / 2) * r / q).when(phi < 5 * q, -r).otherwise((phi - 1.5 * PI) * r / q)
