@@ -113,15 +113,22 @@ def direct_difference(contrib_sky: DataFrame, contrib_direct: DataFrame, keys: l
     return contrib_sky.join(direct, [*keys, "patch"], "left").select(*keys, "patch", F.greatest(F.col("value") - F.coalesce("direct", F.lit(0.0)), F.lit(0.0)).alias("value"))
 
 
-def time_by_point(times: DataFrame, points: DataFrame, planes: dict[str, DataFrame], sun: DataFrame | None = None) -> DataFrame:
+def time_by_point(times: DataFrame, points: DataFrame, planes: dict[str, DataFrame], sun: DataFrame | None = None, own: bool = False) -> DataFrame:
     """(t, q_id, <plane>_pt..): every time with every point, and the point's nearest row in each plane, found once per point.
 
+    Ties go to the smaller id; with ``own``, ids of points and planes mean the same, and a point that is itself a row of the plane takes itself
+    where others share its place.
+
     With ``sun`` (t, patch), direct views get the patch of the time's sun as ``sun_patch``; null where no sun is up."""
     found = points
     if sun is not None:
         times = times.join(sun_lookups(sun).select("t", F.col("patch").alias("sun_patch")), "t", "left")
     for name, plane in planes.items():
         near = nearest(points, plane, "q_id", "pt_id", XYZ, 10.0).select("q_id", F.col("pt_id").alias(f"{name}_pt"), F.col("dist").alias(f"{name}_err"))
+        if own:
+            itself = points.select("q_id", *XYZ).join(plane.select(F.col("pt_id").alias("q_id"), *XYZ), ["q_id", *XYZ], "left_semi").select("q_id", F.lit(True).alias("_own")).distinct()
+            kind = plane.schema["pt_id"].dataType
+            near = near.join(itself, "q_id", "left").select("q_id", F.when(F.col("_own"), F.col("q_id").cast(kind)).otherwise(F.col(f"{name}_pt")).alias(f"{name}_pt"), f"{name}_err")
         found = found.join(near, "q_id")
     return times.crossJoin(found)
 

@@ -280,7 +280,7 @@ def in07_sources_only(spark, sf_dir):
     """Only rays of the first source, with the plane point and its distance as further metrics."""
     seen = _seen(spark, sf_dir).withColumn("is_src", F.col("src") == 0)
     points = binding(spark, sf_dir, "b_points")
-    grid_of = integrate.time_by_point(sky(spark, sf_dir).select("t").distinct(), points.withColumnRenamed("pt_id", "q_id"), {"sky": points})
+    grid_of = integrate.time_by_point(sky(spark, sf_dir).select("t").distinct(), points.withColumnRenamed("pt_id", "q_id"), {"sky": points}, own=True)
     return rounded(evaluation.evaluate(sky(spark, sf_dir), seen, ["illum"], grid=grid_of, planes=("sky",), src_only=True), "value", digits=0)
 
 
