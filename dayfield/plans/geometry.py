@@ -179,7 +179,7 @@ def fl09_view_cone(spark, sf_dir):
 def fl10_outside_sources(spark, sf_dir):
     rays = binding(spark, sf_dir, "b_dirs")
     sources = binding(spark, sf_dir, "b_rays").where("omega > 0.02").withColumnRenamed("ray_id", "sv_id")
-    return rays.join(nearest.within(rays, sources, "ray_id", "sv_id", 0.05), "ray_id", "left_anti").select("ray_id")
+    return nearest.within_some(rays.select("ray_id", *nearest.DXYZ), sources, "ray_id", "sv_id", 0.05, some=False).select("ray_id")
 
 
 @query(oracle(f"SELECT ray_id, view, round(CASE WHEN acos(greatest(least(c, 1), -1)) <= pi()/12 + sqrt(omega/pi()) THEN omega ELSE 0 END, 6) AS omega, round(CASE WHEN acos(greatest(least(c, 1), -1)) <= pi()/12 + sqrt(omega/pi()) THEN lum ELSE 0 END, 6) AS lum FROM (SELECT *, dx*vx + dy*vy + dz*vz AS c FROM b_rays, {q.VIEWS})", "b_rays"))
