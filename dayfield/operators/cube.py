@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .nearest import XYZ, knn, nearest
+from .nearest import XYZ, kept, nearest, nearest_in_each
 
 AXES = ("sky", "point", "view", "metric")
 
@@ -183,9 +183,8 @@ def rebase_zonal(zonal: DataFrame, new_points: DataFrame, total: float) -> DataF
 
     Positions are dropped, area becomes origarea and the new area is ``total`` over the number of new points."""
     count = new_points.agg(F.count("*").alias("_n"))
-    asked = zonal.select("sky").distinct().crossJoin(new_points.select("q_id", *XYZ))
-    near = knn(asked, zonal, "q_id", "point", XYZ, 1, 10.0, ("sky",))
-    moved = zonal.select("sky", "point", "area", "value").join(near, ["sky", "point"]).crossJoin(F.broadcast(count))
+    zonal = kept(zonal.select("sky", "point", *XYZ, "area", "value"), "zonal")  # counted, then dealt
+    moved = nearest_in_each(new_points, zonal, "q_id", "point", "sky", XYZ, ("area", "value")).crossJoin(F.broadcast(count))
     return moved.select("sky", F.col("q_id").alias("point"), "value", F.col("area").alias("origarea"), (F.lit(total) / F.col("_n")).alias("area"), F.col("dist").alias("rebase_err"))
 
 
