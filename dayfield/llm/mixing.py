@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, bucket_count, prefix_sums, written
 
-#: Sums of tilted tokens are taken in this type, whose addition is exact, so that reruns agree.
-EXACT = "decimal(38,6)"
-
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, n_docs, source_size) -> the same with ``weight``, ``full`` and ``target``.
@@ -39,37 +36,44 @@ def _rate(lam: Column, size: Column, mean: Column, most: float) -> Column:
     return F.least(F.exp(F.least(F.greatest(lam * size / mean, F.lit(-60.0)), F.lit(5.0))), F.lit(most))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def balance(sizes: DataFrame, sources: DataFrame, most: float = 2.0, rounds: int = 60, tolerance: float = 1e-4) -> DataFrame:
     """``sources`` with ``lam``: the multipliers of the dual.
 
     The dual of "least relative entropy to rate 1, with the tokens of each source equal to its target" is convex, and its
-    Hessian has one entry per source. Each Newton step is one grouped aggregation of (source, size, n) joined to the current
-    multipliers; a step that leaves the bracket of earlier signs is replaced by the middle of the bracket. All sources step
-    together. Sources at their cap or without words need no multiplier (rate ``most`` and 1). Multipliers that have not settled after
-    ``rounds`` steps are an error."""
+    Hessian has one entry per source. A source's distinct sizes and their counts are one array in its row (of n words in all, sqrt(2 n) sizes
+    at most), so all Newton steps of a source are one expression and all sources step in one job; sums go by size, so reruns agree. A step that
+    leaves the bracket of earlier signs is replaced by the middle of the bracket. Sources at their cap or without words need no multiplier
+    (rate ``most`` and 1). Multipliers that have not settled after ``rounds`` steps are an error."""
     span = 400.0
-    state = sources.withColumn("mean", F.when(F.col("source_size") > 0, F.col("source_size") / F.col("n_docs")).otherwise(1.0))
-    state = state.withColumn("done", F.col("full") | (F.col("source_size") == 0)).withColumn("lam", F.lit(0.0)).withColumn("lo", F.lit(-span)).withColumn("hi", F.lit(span))
-    state = written(state, "balance")
-    for _ in range(rounds):
-        if state.where("not done").limit(1).count() == 0:
-            break
-        to = state.where("not done").select(F.col("source").alias("_source"), "lam", "mean")
-        x = F.col("size") / F.col("mean")
-        rate = _rate(F.col("lam"), F.col("size"), F.col("mean"), most)
-        sums = sizes.join(to, F.col("source").eqNullSafe(F.col("_source"))).groupBy("_source").agg(
-            F.sum((rate * F.col("size") * F.col("n")).cast(EXACT)).cast("double").alias("tokens"),
-            F.sum(F.when(rate < most, rate * F.col("size") * x * F.col("n")).otherwise(0.0).cast(EXACT)).cast("double").alias("slope"),
+    mean, target = F.col("mean"), F.col("target")
+
+    def summed(lam: Column) -> Column:
+        add = lambda z, x, rate: F.struct(
+            (z["tokens"] + rate * x["size"] * x["n"]).alias("tokens"),
+            (z["slope"] + F.when(rate < most, rate * x["size"] * (x["size"] / mean) * x["n"]).otherwise(0.0)).alias("slope"),
         )
-        gap = F.col("tokens") - F.col("target")
-        lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
-        step = F.col("lam") - gap / F.greatest(F.col("slope"), F.lit(1e-9))
-        moved = F.when((step > F.col("lo")) & (step < F.col("hi")), step).otherwise((F.col("lo") + F.col("hi")) / 2)
-        near = (F.abs(gap) <= tolerance * F.greatest(F.col("target"), F.lit(1.0))) | (F.col("hi") - F.col("lo") < 1e-9)
-        joined = state.join(sums, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-        joined = joined.withColumn("lo", F.coalesce(lo, F.col("lo"))).withColumn("hi", F.coalesce(hi, F.col("hi")))
-        joined = joined.withColumn("done", F.col("done") | F.coalesce(near, F.lit(True))).withColumn("lam", F.when(F.col("done"), F.col("lam")).otherwise(F.round(moved, 12)))
-        state = written(joined.drop("tokens", "slope"), "balance")
+        start = F.struct(F.lit(0.0).alias("tokens"), F.lit(0.0).alias("slope"))
+        return F.aggregate("_held", start, lambda z, x: _let(_rate(lam, x["size"], mean, most), lambda rate: add(z, x, rate)))
+
+    def moved(s: Column, z: Column) -> Column:
+        gap = z["tokens"] - target
+        lo, hi = F.when(gap < 0, s["lam"]).otherwise(s["lo"]), F.when(gap > 0, s["lam"]).otherwise(s["hi"])
+        step = s["lam"] - gap / F.greatest(z["slope"], F.lit(1e-9))
+        near = (F.abs(gap) <= tolerance * F.greatest(target, F.lit(1.0))) | (hi - lo < 1e-9)
+        lam = F.when(near, s["lam"]).otherwise(F.round(F.when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2), 12))
+        return F.struct(lam.alias("lam"), lo.alias("lo"), hi.alias("hi"), near.alias("done"))
+
+    held = sizes.groupBy(F.col("source").alias("_source")).agg(F.array_sort(F.collect_list(F.struct(F.col("size").cast("double").alias("size"), F.col("n").cast("double").alias("n")))).alias("_held"))
+    state = sources.withColumn("mean", F.when(F.col("source_size") > 0, F.col("source_size") / F.col("n_docs")).otherwise(1.0))
+    state = state.join(held, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    start = F.struct(F.lit(0.0).alias("lam"), F.lit(-span).alias("lo"), F.lit(span).alias("hi"), (F.col("full") | (F.col("source_size") == 0)).alias("done"))
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: F.when(s["done"], s).otherwise(_let(summed(s["lam"]), lambda z: moved(s, z))))
+    state = written(state.withColumn("_s", steps).drop("_held").select("*", "_s.lam", "_s.done").drop("_s"), "balance")
     if state.where("not done").limit(1).count():
         raise RuntimeError(f"the multipliers did not settle in {rounds} steps")
     return state

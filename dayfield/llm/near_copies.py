@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of five-word shingles: MinHash bands find candidates, whole texts decide."""
+"""Near copies by Jaccard similarity of five-word shingles: SimHash links and MinHash bands find candidates, whole texts decide."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, unique_join, written
-from .simhash import _LOWER, _WHITE, one_of_each
+from .simhash import _LOWER, _WHITE, fingerprint, one_of_each
+from .simhash import links as fingerprint_links
 
 #: A pair at Jaccard 0.8 shares no band with probability (1 - 0.8^4)^24, 3 in a million.
 SHINGLE, BANDS, ROWS, SEED = 5, 24, 4, 42
@@ -64,13 +65,15 @@ def _set_id(values: np.ndarray) -> int:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, int] = {}
     for batch in batches:
-        ids, sigs, sizes = [], [], []
-        for text in batch.column(1):
-            values = shingles(text.as_py(), known)
+        ids, sigs, sizes, prints = [], [], [], []
+        for text in (x.as_py() for x in batch.column(1)):
+            values = shingles(text, known)
             ids.append(_set_id(values))
             sigs.append(signature(values).tobytes() if len(values) else None)
             sizes.append(len(values))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "set_id", "sig", "size"])
+            prints.append(fingerprint(text))
+        columns = [pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "set_id", "sig", "size", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +116,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key_before, centre_before = key[-1], centre[-1]
 
 
+def by_fingerprint(classes: DataFrame) -> DataFrame:
+    """(a, b), a > b: pairs of sets that SimHash links: each with the first set of its fingerprint, and the first sets of fingerprints that
+    ``simhash.links`` joins. Linear in the sets, as those links are."""
+    held = classes.where("sig is not null").select("set_id", "fp")
+    first = written(held.groupBy("fp").agg(F.min("set_id").alias("first")), "first")
+    one, two = (first.select(F.col("fp").alias(f"_{c}"), F.col("first").alias(f"_f{c}")) for c in "ab")
+    linked = fingerprint_links(first).join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).select("_fa", "_fb")
+    pairs = linked.union(held.join(first, "fp").where("set_id <> first").select("set_id", "first"))
+    return pairs.select(F.greatest("_fa", "_fb").alias("a"), F.least("_fa", "_fb").alias("b"))
+
+
 def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
     """The rows of one value of ``names`` at a time, from rows sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -257,14 +271,15 @@ def _whole(docs: DataFrame, classes: DataFrame, pairs: DataFrame, broadcast_rows
 def near_copies(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, component_id) for every row: documents that pairs of Jaccard 0.8 or more connect; the smallest doc_id names them.
 
-    Equal shingle sets are one class. Classes that share a band are linked to the first of them first; links that the texts
-    confirm make components, and then every pair of a band that is still apart is compared. Texts without words are one class. Repeated rows are one
+    Equal shingle sets are one class. Classes that SimHash links, and those that share a MinHash band with the first of it, are candidates; links
+    that the texts confirm make components, and then every pair of a band that is still apart is compared. Texts without words are one class. Repeated rows are one
     document with several rows; rows with a null id stand in the component of their text; an empty table gives no rows."""
-    prints = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prints, "doc_id long, set_id long, sig binary, size long"), "prints")
-    classes = written(prints.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.any_value("sig").alias("sig"), F.any_value("size").alias("size"), F.count("*").alias("n")), "classes")
+    prints = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prints, "doc_id long, set_id long, sig binary, size long, fp long"), "prints")
+    classes = written(prints.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.any_value("sig").alias("sig"), F.any_value("size").alias("size"), F.min("fp").alias("fp"), F.count("*").alias("n")), "classes")
     banded = classes.where("sig is not null").select("set_id", "sig").mapInArrow(_banded, "key long, set_id long, band int").select("key", "set_id")
     ordered = banded.repartitionByRange("key", "set_id").sortWithinPartitions("key", "set_id")
-    stars = written(_met(ordered.mapInArrow(_links, "a long, b long").distinct(), classes, "sig", _likely), "stars")
+    candidates = by_fingerprint(classes).union(ordered.mapInArrow(_links, "a long, b long")).distinct()
+    stars = written(_met(candidates, classes, "sig", _likely), "stars")
     sure = written(_met(stars, _whole(docs, classes, stars, broadcast_rows), "whole", _alike), "sure")
     labels = components(sure.union(written(_left_apart(docs, classes, sure, broadcast_rows), "left")))
     named = classes.select("set_id", "least", F.col("n").alias("rows")).join(labels, F.col("set_id") == F.col("id"), "left")
