@@ -171,11 +171,14 @@ def pad(result: DataFrame, times: DataFrame, fill: float = 0.0) -> DataFrame:
 def rebase(result: DataFrame, old_points: DataFrame, new_points: DataFrame) -> DataFrame:
     """The cube at new points: each takes its nearest old point's values, with the distance as metric ``rebase_err``.
 
-    Distances are found once per point and then joined to the facts."""
+    Distances are found once per point and then joined to the facts. A cell's metrics are one row in the join and come apart, with its distance, in the last
+    step: no row of the moved cube is shuffled. A q_id has one position."""
     near = nearest(new_points, old_points.withColumnRenamed("pt_id", "point"), "q_id", "point", XYZ, 10.0)
-    moved = result.join(near, "point").select("sky", F.col("q_id").alias("point"), "view", "metric", "value", "dist")
-    errors = moved.groupBy("sky", "point", "view").agg(F.max("dist").alias("value")).withColumn("metric", F.lit("rebase_err"))
-    return moved.drop("dist").unionByName(errors.select(*AXES, "value"))
+    kind = result.schema["metric"].dataType
+    cells = result.groupBy("sky", "point", "view").agg(F.collect_list(F.struct("metric", F.col("value").cast("double").alias("value"))).alias("_cells"))
+    error = F.array(F.struct(F.lit("rebase_err").cast(kind).alias("metric"), F.col("dist").alias("value")))
+    moved = cells.join(near, "point").select("sky", F.col("q_id").alias("point"), "view", F.explode(F.concat("_cells", error)).alias("_c"))
+    return moved.select("sky", "point", "view", "_c.metric", "_c.value")
 
 
 def rebase_zonal(zonal: DataFrame, new_points: DataFrame, total: float) -> DataFrame:
