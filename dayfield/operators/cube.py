@@ -75,9 +75,12 @@ def filter_by(result: DataFrame, name: str, labels: DataFrame) -> DataFrame:
 
 
 def pull(result: DataFrame, column: str, values: list, **filters) -> DataFrame:
-    """One column per value of the ``column`` axis, one row per combination of the other axes."""
+    """One column per value of the ``column`` axis, one row per combination of the other axes.
+
+    One grouping: a pivot would group by all axes first, with tables of groups in the memory of the same task."""
     rows = [a for a in AXES if a != axis(column)]
-    return axis_filter(result, **filters).groupBy(*rows).pivot(column, values).agg(F.first("value"))
+    cells = [F.first(F.when(F.col(column) == F.lit(v), F.col("value")), ignorenulls=True).alias(str(v)) for v in values]
+    return axis_filter(result, **filters).groupBy(*rows).agg(*cells)
 
 
 def pull_order(*axes: str | int) -> list[str]:
@@ -252,13 +255,26 @@ def heat_map(values: DataFrame, steps_per_day: int) -> DataFrame:
     return values.select(F.floor(t / steps_per_day).cast("int").alias("day"), (steps_per_day - 1 - t % steps_per_day).cast("int").alias("row"), "value")
 
 
+def _padded(result: DataFrame, column: str, values: list, times: DataFrame, fill: float) -> DataFrame:
+    """``pull`` of ``pad``; where sky is not the column, cells are pulled first, so that what is padded has one row per time, point and view and nothing is
+    grouped after. A label of ``column`` is filled where its row has it at some time, as in ``pad``."""
+    if column == "sky":
+        return pull(pad(result, times, fill), column, values)
+    rows = [a for a in AXES if a not in ("sky", column)]
+    names = [str(v) for v in values]
+    has = result.groupBy(*rows).agg(*(F.max(F.coalesce(F.col(column) == F.lit(v), F.lit(False))).alias(f"_has_{i}") for i, v in enumerate(values)))
+    wide = pull(result, column, values)
+    every = times.select("sky").distinct().crossJoin(has).join(wide, ["sky", *rows], "left")
+    return every.select("sky", *rows, *(F.coalesce(F.col(f"`{n}`"), F.when(F.col(f"_has_{i}"), F.lit(fill))).alias(n) for i, n in enumerate(names)))
+
+
 def printed(result: DataFrame, column: str, values: list, row_labels: bool = True, times: DataFrame | None = None, fill: float = 0.0, **filters) -> DataFrame:
     """``pull`` as text with five significant digits: the rows of the TSV export.
 
     With ``times`` (a column sky) every time of the year has its rows, ``fill`` where the cube has none. ``row_labels`` keeps the
     labels of the rows as leading columns; without them rows still come in the order of their labels when written."""
     chosen = axis_filter(result, **filters)
-    wide = pull(chosen if times is None else pad(chosen, times, fill), column, values)
+    wide = pull(chosen, column, values) if times is None else _padded(chosen, column, values, times, fill)
     rows = [a for a in AXES if a != column] if row_labels else []
     return wide.select(*rows, *(F.when(F.col(f"`{v}`").isNull(), "").otherwise(F.format_string("%.4e", F.col(f"`{v}`").cast("double"))).alias(str(v)) for v in values))
 
