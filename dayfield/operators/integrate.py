@@ -133,8 +133,14 @@ def time_by_point(times: DataFrame, points: DataFrame, planes: dict[str, DataFra
     return times.crossJoin(found)
 
 
-def _on_plane(sky: DataFrame, contrib: DataFrame, value: str = "value") -> DataFrame:
-    return coefficient_product(sky, contrib, ["pt_id", "sensor_id"], value)
+def summed_products(terms: list[tuple[DataFrame, DataFrame]], keys: list[str]) -> DataFrame:
+    """(t, keys, value): the sum of the products of (coefficients, contributions).
+
+    The patches of each term are numbered apart, so one product sums over terms as it does over patches, and no row per time and key is grouped again."""
+    apart = lambda i: (F.col("patch").cast("long") * len(terms) + i).alias("patch")
+    coefs = reduce(DataFrame.unionByName, [sky.select("t", apart(i), F.col("coef").cast("double").alias("coef")) for i, (sky, _) in enumerate(terms)])
+    rows = reduce(DataFrame.unionByName, [contrib.select(*keys, apart(i), F.col("value").cast("double").alias("value")) for i, (_, contrib) in enumerate(terms)])
+    return coefficient_product(coefs, rows, keys)
 
 
 #: Terms of each simulation type: (plane, coefficients).
@@ -156,7 +162,7 @@ def simulate(simtype: str, sky: DataFrame, sun: DataFrame, planes: dict[str, Dat
 
     ``planes``: sky and direct have (pt_id, sensor_id, patch, value); sun and views (pt_id, sensor_id, patch, value), where the patch
     says which suns they stand for; difference is made of sky and direct. A type that is not listed is one fixed plane of
-    that name with coefficient 1. A missing plane is an error. Every term is one product; they are summed in one grouping.
+    that name with coefficient 1. A missing plane is an error. All terms are one product (``summed_products``).
 
     ``sun`` says on which patch the sampled sun that stands for each time lies; ``real_sun`` (the same columns, ``sun`` if not
     given) on which patch the sun itself does: 1compdv takes the patch to be replaced from the real sun, 3comp from the sampled one."""
@@ -179,23 +185,23 @@ def simulate(simtype: str, sky: DataFrame, sun: DataFrame, planes: dict[str, Dat
         "real sun patch": with_sun_patch(sky, sun if real_sun is None else real_sun, False),
         "sun": sun.select("t", "patch", F.col("sun_rad").alias("coef")),
     }
-    parts = [_on_plane(coefs[kind], planes[plane]) for plane, kind in terms]
-    return reduce(DataFrame.unionByName, parts).groupBy("t", "pt_id", "sensor_id").agg((F.sum("value") * scale).alias("illum"))
+    found = summed_products([(coefs[kind], planes[plane]) for plane, kind in terms], ["pt_id", "sensor_id"])
+    return found.select("t", "pt_id", "sensor_id", (F.col("value") * scale).alias("illum"))
 
 
 def sensor_sum(planes: list[tuple[str, DataFrame, float]], sky: DataFrame, sun: DataFrame, scale: float = SCALE) -> DataFrame:
     """(t, pt_id, sensor_id, illum) from planes (kind, contributions, factor) with kind sky, skysun, patch, sun or fixed."""
     kinds = {"sky": sky.select("t", "patch", "coef"), "skysun": with_sun_patch(sky, sun), "patch": with_sun_patch(sky, sun, False), "sun": sun.select("t", "patch", F.col("sun_rad").alias("coef"))}
-    parts = []
-    for kind, contrib, factor in planes:
-        if kind == "fixed":
-            each = sky.select("t").distinct().crossJoin(contrib.groupBy("pt_id", "sensor_id").agg(F.sum("value").alias("value")))
-        elif kind in kinds:
-            each = _on_plane(kinds[kind], contrib)
-        else:
-            raise ValueError(f"unknown plane kind {kind!r}")
-        parts.append(each.select("t", "pt_id", "sensor_id", (F.col("value") * factor * scale).alias("value")))
-    return reduce(DataFrame.unionByName, parts).groupBy("t", "pt_id", "sensor_id").agg(F.sum("value").alias("illum"))
+    keys = ["pt_id", "sensor_id"]
+    if unknown := [kind for kind, _, _ in planes if kind != "fixed" and kind not in kinds]:
+        raise ValueError(f"unknown plane kind {unknown[0]!r}")
+    scaled = lambda contrib, factor: contrib.withColumn("value", F.col("value") * factor * scale)
+    terms = [(kinds[kind], scaled(contrib, factor)) for kind, contrib, factor in planes if kind != "fixed"]
+    fixed = [sky.select("t").distinct().crossJoin(scaled(contrib, factor).groupBy(*keys).agg(F.sum("value").alias("value"))) for kind, contrib, factor in planes if kind == "fixed"]
+    parts = ([summed_products(terms, keys)] if terms else []) + fixed
+    if len(parts) == 1:
+        return parts[0].select("t", *keys, F.col("value").alias("illum"))
+    return reduce(DataFrame.unionByName, parts).groupBy("t", *keys).agg(F.sum("value").alias("illum"))
 
 
 def at_points(evaluated: DataFrame, points: DataFrame, plane: DataFrame, values: list[str]) -> DataFrame:
