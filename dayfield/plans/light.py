@@ -336,8 +336,8 @@ def in07_occluded_glare(spark, sf_dir):
 @query(oracle("SELECT t AS sky, pt_id AS point, view, 'illum' AS metric, round(illum, 0) + 0.0 AS value FROM lit", "b_sky", "b_dirs", ctes=f"{_SEEN}, {_EVAL}"))
 def in11_point_all_suns(spark, sf_dir):
     """All sources of every point apart, then their sum per view."""
-    apart = evaluation.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum"], keys=("src",))
-    return rounded(integrate.summed_sources(apart), "value", digits=0).select("sky", "point", "view", "metric", "value")
+    found = evaluation.evaluate(sky(spark, sf_dir), _seen(spark, sf_dir), ["illum"], keys=("src",), summed=True)
+    return rounded(found, "value", digits=0).select("sky", "point", "view", "metric", "value")
 
 
 @query(oracle("SELECT t AS sky, pt_id AS point, view, src, round(e*179, 0) + 0.0 AS value FROM sums", "b_sky", "b_dirs", ctes=f"{_SEEN}, {_EVAL}"))
