@@ -6,7 +6,7 @@ import base64
 import itertools
 import operator
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: States, pieces and pairs that a worker keeps; beyond, the tables are emptied and fill again. Results do not depend on them.
-MOST_STATES, MOST_PIECES, MOST_PAIRS = 100_000, 400_000, 400_000
+MOST_STATES, MOST_PIECES, MOST_PAIRS = 300_000, 400_000, 400_000
 #: Pieces up to this many characters are kept, and texts from this many are split piece by piece.
 KEPT_PIECE, LONG_TEXT = 40, 1_000_000
 #: Bytes of a piece after which tokens that are sure are handed out; a longer piece is held in parts of this size.
@@ -29,15 +29,17 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-class State:
+class State(dict):
     """A determinised state: the trie node of the token that may have begun first, and for every place where the next token may have
-    begun the token before it. ``next``: byte -> (state, token that ends here if the text does)."""
+    begun the token before it. It holds byte -> (state, token that ends here if the text does), made when first asked for."""
 
-    __slots__ = ("node", "lefts", "next")
+    __slots__ = ("node", "lefts", "step")
 
-    def __init__(self, node: int, lefts: tuple[int, ...]) -> None:
-        self.node, self.lefts = node, lefts
-        self.next: dict[int, tuple[State, int]] = {}
+    def __init__(self, node: int, lefts: tuple[int, ...], step: Callable[[State, int], tuple[State, int]]) -> None:
+        self.node, self.lefts, self.step = node, lefts, step
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        return self.step(self, byte)
 
 
 class Transducer:
@@ -75,6 +77,7 @@ class Transducer:
 
     def _reset(self) -> None:
         self._states: dict[tuple, State] = {}
+        self._make = self.step
         self.start = self._state(0, (-1,))
 
     def _state(self, node: int, lefts: tuple[int, ...]) -> State:
@@ -82,7 +85,7 @@ class Transducer:
         if found is None:
             if len(self._states) >= MOST_STATES:
                 self._reset()
-            found = self._states[node, lefts] = State(node, lefts)
+            found = self._states[node, lefts] = State(node, lefts, self._make)
         return found
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -150,24 +153,27 @@ class Transducer:
 
     def step(self, state: State, byte: int) -> tuple[State, int]:
         """The next state and the last token of what is read by then; made once and kept in the state."""
-        node, keep, ends = self._moves.get(state.node << 8 | byte) or self._move(state.node, byte)
+        node, keep, _ = self._moves.get(state.node << 8 | byte) or self._move(state.node, byte)
+        token = self._last(state, byte)
+        found = state[byte] = self._state(node, (*keep(state.lefts), token)), token
+        return found
+
+    def _last(self, state: State, byte: int) -> int:
+        """The token that ends with the byte if the text does; no state is made for what nothing may follow."""
+        _, _, ends = self._moves.get(state.node << 8 | byte) or self._move(state.node, byte)
         lefts, pairs = state.lefts, self._pairs
         for place, token in ends:
             left = lefts[place]
-            near = pairs.get((left, token)) if left >= 0 else True
-            if near or (near is None and self.adjacent(left, token)):
-                break
-        else:
-            raise ValueError(f"no reading of the text ends at byte {byte}: the vocabulary's ranks are not those of merges")
-        found = state.next[byte] = self._state(node, (*keep(lefts), token)), token
-        return found
+            if left < 0 or (near := pairs.get((left, token))) or (near is None and self.adjacent(left, token)):
+                return token
+        raise ValueError(f"no reading of the text ends at byte {byte}: the vocabulary's ranks are not those of merges")
 
     def feed(self, data: bytes) -> Iterator[list[int]]:
         """Tokens of one piece of text in lists, each as soon as it is sure; pieces longer than ``BLOCK`` bytes are held in parts."""
         state, last, length = self.start, [], self._length
         for begin in range(0, len(data), BLOCK):
             for byte in data[begin : begin + BLOCK]:
-                state, token = state.next.get(byte) or self.step(state, byte)
+                state, token = state[byte]
                 last.append(token)
             if begin + BLOCK < len(data):
                 readings = [set(self._ends(last, len(last) - self._depth[node])) for node in self._opened[state.node]]
@@ -192,7 +198,19 @@ class Transducer:
         """Ids of one piece of text; one that is itself in the vocabulary is one token."""
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        return list(itertools.chain.from_iterable(self.feed(data)))
+        if len(data) > BLOCK:
+            return list(itertools.chain.from_iterable(self.feed(data)))
+        state, last, length = self.start, [], self._length
+        for byte in data[:-1]:
+            state, token = state[byte]
+            last.append(token)
+        last += [state[byte][1] if byte in state else self._last(state, byte) for byte in data[-1:]]
+        out, at = [], len(last)
+        while at > 0:
+            out.append(token := last[at - 1])
+            at -= length[token]
+        out.reverse()
+        return out
 
 
 def _ranges(points: list[int]) -> str:

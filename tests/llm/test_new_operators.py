@@ -231,6 +231,15 @@ def test_long_random_word_leaves_in_parts(library):
     assert [t for p in parts for t in p] == library.encode_ordinary(word)
 
 
+def test_the_last_byte_of_a_word_makes_no_state(library, ranks):
+    """Words are kept whole, so what only ends a word would fill the table of states, which is then emptied and made again."""
+    machine = bpe.Transducer(ranks)
+    words = [f" thenininqz{c}" for c in "abcdefgh"]
+    assert [machine.tokens(w.encode()) for w in words[:1]] == [library.encode_ordinary(words[0])]
+    known = len(machine._states)
+    assert [machine.tokens(w.encode()) for w in words] == [library.encode_ordinary(w) for w in words] and len(machine._states) == known
+
+
 def test_small_tables_give_the_same_ids(monkeypatch, library):
     for name in ("MOST_STATES", "MOST_PIECES", "MOST_PAIRS"):
         monkeypatch.setattr(bpe, name, 5)
