@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +15,25 @@ from .nearest import XYZ, knn, nearest
 SCALE = 179.0
 
 
-def coefficient_product(sky: DataFrame, contrib: DataFrame, keys: list[str], value: str = "value", out: str = "value", channel: str | None = None) -> DataFrame:
-    """(t, keys, [channel,] out): sum over patches of coef * value, for every pair of a time and a key that share a patch.
+def coefficient_product(sky: DataFrame, contrib: DataFrame, keys: list[str], value: str = "value", out: str = "value", channel: str | None = None, count: str | None = None) -> DataFrame:
+    """(t, keys, [channel,] out[, count]): sum over patches of coef * value, for every pair of a time and a key that share a patch.
 
     A block product: keys and times are dealt into blocks by hash, blocks meet as (key block, time block), and each pair of blocks
     is one matrix product over the patches. A contribution is copied once per time block and a coefficient once per key block, so no
     row per (time, key, patch) exists before the sum, and there are as many tasks as block pairs, however few patches there are.
-    Repeated rows of one patch add up; null keys are keys; null values and patches are left out."""
+    Repeated rows of one patch add up; null keys are keys; null values and patches are left out. ``count`` names a column for the number of pairs of a coefficient and a
+    contribution, which counts null values too; where all are null, so is the sum."""
     on = [channel] if channel else []
     keys = [k for k in keys if k not in on]
     time_blocks, key_blocks = _blocks(sky, ["t"]), _blocks(contrib, keys)
-    coefs = sky.where("patch is not null and coef is not null").select("t", "patch", F.col("coef").cast("double").alias("_v"), *on).withColumn("_tb", F.pmod(F.xxhash64("t"), F.lit(time_blocks)).cast("int"))
-    rows = contrib.where("patch is not null").select(*keys, *on, "patch", F.col(value).cast("double").alias("_v")).where("_v is not null")
+    known = lambda name: F.lit(True) if count else F.col(name).isNotNull()
+    coefs = sky.where("patch is not null").where(known("coef")).select("t", "patch", F.col("coef").cast("double").alias("_v"), *on).withColumn("_tb", F.pmod(F.xxhash64("t"), F.lit(time_blocks)).cast("int"))
+    rows = contrib.where("patch is not null").select(*keys, *on, "patch", F.col(value).cast("double").alias("_v")).where(known("_v"))
     rows = rows.withColumn("_kb", F.pmod(F.xxhash64(*keys), F.lit(key_blocks)).cast("int"))
     left = rows.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(time_blocks - 1))))
     right = coefs.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(key_blocks - 1))))
-    schema = ", ".join([f"`t` {sky.schema['t'].dataType.simpleString()}", *(f"`{k}` {contrib.schema[k].dataType.simpleString()}" for k in [*keys, *on]), f"`{out}` double"])
-    return left.groupBy("_kb", "_to", *on).cogroup(right.groupBy("_of", "_tb", *on)).applyInArrow(lambda x, y: _product(x, y, keys, on, out), schema)
+    schema = ", ".join([f"`t` {sky.schema['t'].dataType.simpleString()}", *(f"`{k}` {contrib.schema[k].dataType.simpleString()}" for k in [*keys, *on]), f"`{out}` double", *([f"`{count}` long"] if count else [])])
+    return left.groupBy("_kb", "_to", *on).cogroup(right.groupBy("_of", "_tb", *on)).applyInArrow(lambda x, y: _product(x, y, keys, on, out, count), schema)
 
 
 #: Times and keys in one block, about.
@@ -52,7 +55,7 @@ def _coded(table: pa.Table, names: list[str]) -> tuple[np.ndarray, pa.Table]:
     return codes, table.select(names).take(pa.array(first))
 
 
-def _product(left: pa.Table, right: pa.Table, keys: list[str], on: list[str], out: str) -> pa.Table:
+def _product(left: pa.Table, right: pa.Table, keys: list[str], on: list[str], out: str, count: str | None = None) -> pa.Table:
     """Keys x patches times patches x times; pairs without a common patch give no row."""
     if not left.num_rows or not right.num_rows:
         left, right = left.slice(0, 0), right.slice(0, 0)
@@ -61,15 +64,22 @@ def _product(left: pa.Table, right: pa.Table, keys: list[str], on: list[str], ou
     column, times = _coded(right, ["t"])
     a, b = np.zeros((named.num_rows, len(patches))), np.zeros((len(patches), times.num_rows))
     p, q = np.searchsorted(patches, left.column("patch").to_numpy()), np.searchsorted(patches, right.column("patch").to_numpy())
-    np.add.at(a, (row, p), left.column("_v").to_numpy())
-    np.add.at(b, (q, column), right.column("_v").to_numpy())
+    (one, known), (two, met) = ((pc.fill_null(t.column("_v"), 0.0).to_numpy(), pc.is_valid(t.column("_v")).to_numpy()) for t in (left, right))
+    np.add.at(a, (row, p), one)
+    np.add.at(b, (q, column), two)
     has_a, has_b = np.zeros(a.shape, np.float32), np.zeros(b.shape, np.float32)
-    has_a[row, p], has_b[q, column] = 1, 1
-    i, j = np.nonzero(has_a @ has_b)
-    values = (a @ b)[i, j]
+    has_a[row[known], p[known]], has_b[q[met], column[met]] = 1, 1
+    has = has_a @ has_b
+    if count:
+        all_a, all_b = np.zeros(a.shape), np.zeros(b.shape)
+        np.add.at(all_a, (row, p), 1)
+        np.add.at(all_b, (q, column), 1)
+        pairs = all_a @ all_b
+    i, j = np.nonzero(pairs if count else has)
+    values = pa.array((a @ b)[i, j], mask=has[i, j] == 0)
     columns = {"t": times.column("t").take(pa.array(j))} | {k: named.column(k).take(pa.array(i)) for k in keys}
     columns |= {c: pa.array([left.column(c)[0].as_py()] * len(i), left.column(c).type) if left.num_rows else left.column(c) for c in on}
-    return pa.table(columns | {out: pa.array(values)})
+    return pa.table(columns | {out: values} | ({count: pa.array(pairs[i, j].astype(np.int64))} if count else {}))
 
 
 def dense_product(sky_arrays: DataFrame, ray_arrays: DataFrame, keys: list[str]) -> DataFrame:
